@@ -21,7 +21,7 @@ from .common import id_type, map_texts
 CHUNK = 256
 
 #: Transitions and words that a Python worker remembers.
-MEMO_STEPS, MEMO_WORDS = 400_000, 400_000
+MEMO_STEPS, MEMO_WORDS = 250_000, 300_000
 
 # --- segmentation ----------------------------------------------------------------------------------------------------
 
