@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, gram_hashes, hash_words, id_type, map_texts, mix, shared_table, space_words, with_group
+from .bitmaps import bitmap, in_bitmap
+from .common import components, gram_hashes, hash_words, id_type, map_texts, mix, shared_table, shuffle_partitions, space_words, with_group
 
 #: Rows of one bucket that a task compares with as many others at a time.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 
 
 #: The low bits of a token hold its band.
@@ -48,8 +49,8 @@ class Bands:
         return (self.most(2 * self.high(band)) + 1) * 27 // 20 + 4
 
     def bits(self, band: int) -> int:
-        """Bits of the parity sketch: about eight for each differing shingle that is allowed."""
-        return 64 * (self.most(2 * self.high(band)) // 8 + 1)
+        """Bits of the parity sketch: about 24 for each differing shingle that is allowed, so that few of them cancel."""
+        return 64 * (self.most(2 * self.high(band)) * 3 // 8 + 1)
 
     def joined(self, n: int) -> list[tuple[int, int]]:
         """(band, largest size of a partner there) of a set of n: its own band, and each later one a partner can be in.
@@ -138,10 +139,6 @@ def _sketch_docs(k: int, percent: int):
     return run
 
 
-def _hamming_ok(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1) <= most
-
-
 def _close(percent: int):
     """Keep the pairs whose parity sketches differ in no more bits than the sets may differ in shingles."""
     bands = Bands(percent)
@@ -157,28 +154,48 @@ def _close(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of one bucket's block that are in different components and within the Hamming bound."""
+def _across(percent: int, forest: bool):
+    """Pairs of one bucket's block that are in different components and within the Hamming bound.
+
+    As a forest: of those, in order of their Hamming distance, only pairs that connect what the others don't."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table.column("id").combine_chunks(), table.column("comp").combine_chunks().dictionary_encode()
         comp = comp.indices.to_numpy(zero_copy_only=False)
         side, n = table.column("side").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-        mine, other = table.column("mine").to_numpy()[:1], table.column("other").to_numpy()[:1]
+        mine, other = table.column("mine")[0].as_py(), table.column("other")[0].as_py()
         raw = table.column("bits").to_pylist()
         width = max(map(len, raw)) + 7 & ~7
         bits = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), np.uint64).reshape(len(raw), -1)
-        left = np.flatnonzero(side == mine[0])
-        right = np.flatnonzero(side == other[0])
-        xs, ys = [], []
+        left, right = np.flatnonzero(side == mine), np.flatnonzero(side == other)
+        xs, ys, over = [], [], []
         for i in left:
             cand = right[comp[right] != comp[i]]
-            if mine[0] == other[0]:
+            if mine == other:
                 cand = cand[cand > i]
-            ok = cand[_hamming_ok(bits[i], bits[cand], (n[i] + n[cand]) * (100 - percent) // (100 + percent))]
-            xs.append(np.full(len(ok), i))
-            ys.append(ok)
+            differ = np.bitwise_count(bits[i] ^ bits[cand]).sum(-1).astype(np.int64)
+            most = (n[i] + n[cand]) * (100 - percent) // (100 + percent)
+            ok = differ <= most
+            xs.append(np.full(int(ok.sum()), i))
+            ys.append(cand[ok])
+            over.append(differ[ok] / np.maximum(1, most[ok]))
         x, y = (np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for v in (xs, ys))
+        if forest and len(x):
+            root = list(range(int(comp.max()) + 1))
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            keep = []
+            for at in np.argsort(np.concatenate(over), kind="stable").tolist():
+                a, b = find(int(comp[x[at]])), find(int(comp[y[at]]))
+                if a != b:
+                    root[a] = b
+                    keep.append(at)
+            x, y = x[keep], y[keep]
         return pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y))})
 
     return run
@@ -210,8 +227,9 @@ def _linked(percent: int):
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     """Links (a, b), as class keys, of the candidate pairs (a, b) of short keys whose shingle sets meet the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    reps = classes.where("id = rep").join(wanted, "k1", "left_semi").select(F.col("id").alias("_rep")).distinct()
-    texts = docs.join(reps, F.col("id") == F.col("_rep"), "left_semi")
+    # Texts are not shuffled: a bitmap picks the documents (and a few others, which meet no pair) where they lie.
+    reps = classes.where("id = rep").join(wanted, "k1", "left_semi")
+    texts = in_bitmap(docs, F.col("id"), shared_table(bitmap(reps, F.col("id")), "wanted"))
     sets = shared_table(map_texts(texts, _sets(k), "k1 long, key binary, s binary", "id"), "sets")
     both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("key").alias("ka"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("k1").alias("b"), F.col("key").alias("kb"), F.col("s").alias("sb")), "b"
@@ -233,7 +251,8 @@ def jaccard_components(
     2. Classes emit tokens (``sketch``); the smallest class that has a token is paired with the others that have it.
     3. Pairs outside the Hamming bound go; shingle sets decide on the rest; components of those links.
     4. In buckets that still hold several components, members are compared across components under the Hamming bound, in
-       blocks, and decided in the same way.  So no bucket is expanded into all its pairs, yet no link is lost.
+       blocks, and decided in the same way: first the closest pairs that would connect a block, then all that are left.
+       So no bucket is expanded into all its pairs, yet no link is lost.
     """
     kind = id_type(docs, id_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -253,7 +272,8 @@ def jaccard_components(
         "buckets",
     )
     band = F.col("token").bitwiseAND(F.lit(BAND_MASK)).cast("int").alias("band")
-    members = shared_table(tokens.join(buckets, "token"), "members")
+    often = in_bitmap(tokens, F.col("token"), shared_table(bitmap(buckets, F.col("token")), "tokens"))
+    members = shared_table(often.join(buckets, "token"), "members")
     stars = members.where("k1 <> a").select(band, "a", F.col("k1").alias("b")).distinct()
     near = (
         stars.join(short.select(F.col("k1").alias("a"), "band", F.col("n").alias("na"), F.col("bits").alias("xa")), ["a", "band"])
@@ -265,25 +285,12 @@ def jaccard_components(
     links = shared_table(_verify(shared_table(near, "near"), classes, rows, k, percent, kind), "links")
     found = components(links)
 
-    node = F.col("node")
-    label = found.select(_short(node).alias("k1"), _short(F.col("component")).alias("comp")).groupBy("k1").agg(F.min("comp").alias("comp"))
-    labelled = members.where("size > 2").join(label, "k1", "left").select("token", "k1", "size", F.coalesce("comp", "k1").alias("comp"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    mixed = shared_table(mixed, "mixed")
-    inside = labelled.join(mixed, "token").distinct().withColumn("band", band).join(short, ["k1", "band"])
-    count = F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int")
-    parts = inside.withColumn("side", F.pmod(F.xxhash64("k1"), count).cast("int")).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), count - 1))
-    )
-    blocks = parts.select(
-        "token", F.least("side", "with").alias("mine"), F.greatest("side", "with").alias("other"), "side", F.col("k1").alias("id"), "n", "bits", "comp"
-    )
-    across = shared_table(
-        blocks.groupBy("token", "mine", "other").applyInArrow(_across(percent), "a long, b long").distinct(), "across"
-    )
-    if not across.isEmpty():
-        more = shared_table(_verify(across, classes, rows, k, percent, kind), "links")
-        found = components(links.unionAll(more))
+    # Once with forests, which join most of what is left, then with every pair across components that is left.
+    for forest in (True, False):
+        across = _pairs_across(members, found, short, percent, forest)
+        if not across.isEmpty():
+            links = links.unionAll(shared_table(_verify(across, classes, rows, k, percent, kind), "links"))
+            found = components(links)
     # The smallest id of each component, through the smallest id of each of its classes.
     least = shared_table(
         found.join(classes.where("id = rep").select(F.col("key").alias("node"), "rep").distinct(), "node")
@@ -297,6 +304,26 @@ def jaccard_components(
     )
 
 
+def _pairs_across(members: DataFrame, found: DataFrame, short: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) in buckets that hold several components."""
+    label = found.select(_short(F.col("node")).alias("k1"), _short(F.col("component")).alias("comp"))
+    label = label.groupBy("k1").agg(F.min("comp").alias("comp"))
+    labelled = members.where("size > 2").join(label, "k1", "left").select("token", "k1", "size", F.coalesce("comp", "k1").alias("comp"))
+    labelled = shared_table(labelled, "labelled")
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    band = F.col("token").bitwiseAND(F.lit(BAND_MASK)).cast("int").alias("band")
+    inside = labelled.join(shared_table(mixed, "mixed"), "token").distinct().withColumn("band", band).join(short, ["k1", "band"])
+    count = F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int")
+    parts = inside.withColumn("side", F.pmod(F.xxhash64("k1"), count).cast("int")).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), count - 1))
+    )
+    blocks = parts.select(
+        "token", F.least("side", "with").alias("mine"), F.greatest("side", "with").alias("other"), "side", F.col("k1").alias("id"), "n", "bits", "comp"
+    ).repartition(shuffle_partitions(members.sparkSession), "token", "mine", "other")
+    pairs = blocks.groupBy("token", "mine", "other").applyInArrow(_across(percent, forest), "a long, b long")
+    return shared_table(pairs.distinct(), "across")
+
+
 def _short(key):
     """The short key of a class key: its first eight bytes as a signed number."""
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
