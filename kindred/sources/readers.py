@@ -17,8 +17,8 @@ QUERY_RECORD = "id string, values array<string>, signature array<decimal(20,0)>,
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of a JSON-lines file with their ``line`` file-wise reference in errors; blank lines are skipped, fields that the
-    schema does not have and malformed lines are errors."""
+    """Objects of a JSON-lines file; blank lines are skipped; a malformed line or a field that the schema does not have is an
+    error that shows the line."""
     fields = [f.name for f in T._parse_datatype_string(schema).fields]
     lines = spark.read.text(path).where(F.trim("value") != "")
     allowed = F.array(*[F.lit(f) for f in fields])
@@ -55,14 +55,16 @@ def documents(spark: SparkSession, path: str, text_field: str = "text", id_field
 
 
 def source_tree(spark: SparkSession, root: str, extensions: tuple[str, ...], max_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(``path, content`` of the accepted files, counts of files by fate): hidden, other extensions, too large, binary, empty."""
+    """(``path, content`` of the accepted files, counts of files by fate): hidden, other extensions, too large, binary, blank.
+
+    Spark's file sources do not list files of no bytes, so those are neither accepted nor counted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").replace("file://", "")
     path = F.regexp_replace("path", F.lit("^.*?" + base.replace(".", "[.]") + "/"), F.lit(""))
     fate = (
         F.when(F.rlike(path, F.lit(r"(^|/)\.")), "skipped_hidden").when(~F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).isin(*extensions), "skipped_extension")
-        .when(F.col("length") > max_bytes, "skipped_oversize").when(F.col("length") == 0, "skipped_empty")
-        .when(F.instr(F.hex("content"), F.lit("00")) % 2 == 1, "skipped_binary").otherwise("accepted")
+        .when(F.col("length") > max_bytes, "skipped_oversize").when(F.instr(F.decode("content", "ISO-8859-1"), F.lit("\0")) > 0, "skipped_binary")
+        .when(F.trim(F.decode("content", "UTF-8")) == "", "skipped_empty").otherwise("accepted")
     )
     rows = files.select(path.alias("path"), "content", fate.alias("fate"))
     return rows.where("fate = 'accepted'").select("path", F.decode("content", "UTF-8").alias("content")), rows.groupBy("fate").agg(F.count("*").alias("files"))
