@@ -31,9 +31,10 @@ def bucket_distribution(banded: DataFrame) -> DataFrame:
 
 def distribution(histogram: DataFrame) -> DataFrame:
     """The same from ``size, n``.  The window runs over distinct sizes, whose number is far below that of buckets."""
-    ranked = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)))
-    total = histogram.agg(F.sum("n").alias("total"))
-    rows = ranked.join(F.broadcast(total))
+    every = Window.orderBy("size")
+    rows = histogram.withColumn("upto", F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "total", F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    )
     at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p / 100), F.col("size"))).cast("bigint")
     members = F.sum(F.col("size") * F.col("n"))
     return rows.agg(
@@ -111,10 +112,13 @@ def query_metrics(queries: int, found: DataFrame, indexed: int) -> DataFrame:
 
 
 def latency_percentiles(samples: DataFrame, value: str) -> DataFrame:
-    """p50, p95, p99: the sorted value at the zero-based place ceil(p * (n - 1)), found by a count below each distinct value."""
-    counts = samples.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = upto.join(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    """p50, p95, p99: the sorted value at the zero-based place ceil(p * (n - 1)), found by a count below each distinct value.
+
+    For measured samples: the distinct values pass through one task."""
+    every = Window.orderBy("v")
+    rows = samples.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn(
+        "upto", F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("total", F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return rows.agg(*[F.min(F.when(F.col("upto") > F.ceil((F.col("total") - 1) * p / 100), F.col("v"))).alias(f"p{p}") for p in (50, 95, 99)])
 
 
