@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,9 @@ FREQUENT = 1023
 #: Restaurants that share out all other words by their hash; each is one dish of the context restaurants.
 SHARDS = 256
 
+#: Words of a shard beyond which it is split into restaurants of its own, so that none outgrows a task.
+SHARD_WORDS = 1 << 18
+
 #: Most frequent words whose figures every scoring task holds (24 bytes each); the others are joined.
 HEAD = 1 << 18
 
@@ -234,12 +238,12 @@ def _count_pairs(shared, first: int):
 def _fit_shards(table: pa.Table) -> pa.Table:
     hashes, counts = table.column("h").to_numpy(), table.column("c").to_numpy()
     order = np.argsort(hashes)
-    shard = table.column("shard")[0].as_py()
-    p, unseen = fit_shard(counts[order], SEED + shard)
-    # The row without a hash holds the probability of an unseen word.
+    part = table.column("part")[0].as_py()
+    p, unseen = fit_shard(counts[order], SEED + part)
+    # The row without a hash holds the probability of an unseen word, and the restaurant's customers.
     return pa.table({
-        "shard": pa.array([shard] * (len(p) + 1), pa.int32()), "h": pa.array([*hashes[order].tolist(), None], pa.int64()),
-        "c": pa.array([*counts[order].tolist(), 0], pa.int64()), "logp": pa.array([*np.log10(p).tolist(), float(np.log10(unseen))], pa.float64()),
+        "part": pa.array([part] * (len(p) + 1), pa.int64()), "h": pa.array([*hashes[order].tolist(), None], pa.int64()),
+        "c": pa.array([*counts[order].tolist(), int(counts.sum())], pa.int64()), "logp": pa.array([*np.log10(p).tolist(), float(np.log10(unseen))], pa.float64()),
     })
 
 
@@ -282,7 +286,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The model: the FREQUENT most frequent words are contexts, all other words share one; a context restaurant serves
     frequent words and shards of the others; all share a root.  Within a shard, a restaurant serves its words and one
-    unseen word.  Seating is sampled by random-scan Gibbs sweeps (one customer of each dish in each restaurant a sweep),
+    unseen word; a shard of more than SHARD_WORDS words is split by further bits of the hash into several.  Seating is sampled by random-scan Gibbs sweeps (one customer of each dish in each restaurant a sweep),
     and predictive probabilities are averaged.  Counts cover all training texts.  The context table is bounded by its
     dimensions and sampled on the driver; shards are sampled where they lie.  Words beyond the HEAD most frequent are
     scored by a join.  Without training rows every probability is that of the bases.
@@ -304,9 +308,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Words that are not dishes of their own, in the shards that the classes name.
     own = spark.createDataFrame([(int(h),) for h in lexicon.hashes[lexicon.kind < FREQUENT].view(np.int64)], "h long")
-    rest = counts.join(F.broadcast(own), "h", "left_anti").withColumn("shard", F.expr(f"cast(h & {SHARDS - 1}L as int)"))
-    words = shared_table(rest.groupBy("shard").applyInArrow(_fit_shards, "shard int, h long, c long, logp double"), "shards")
-    unseen = {r.shard: r.logp for r in words.where("h is null").select("shard", "logp").collect()}
+    splits = 1 << max(0, math.ceil(math.log2(max(1, sums.v) / (SHARDS * SHARD_WORDS))))
+    part = F.expr(f"h & {SHARDS * splits - 1}L").alias("part")
+    rest = counts.join(F.broadcast(own), "h", "left_anti").select("h", "c", part)
+    fitted = shared_table(rest.groupBy("part").applyInArrow(_fit_shards, "part long, h long, c long, logp double"), "shards")
+    # A shard shares its words out to its restaurants by their customers, one being added to each.
+    rooms = fitted.where("h is null").select("part", F.col("c").alias("own"), F.col("logp").alias("unseen"))
+    whole = rooms.groupBy(F.expr(f"part & {SHARDS - 1}L").alias("shard")).agg(F.sum("own").alias("whole"))
+    share = F.log10((F.col("own") + 1) / (F.col("whole") + splits))
+    rooms = rooms.join(whole, F.expr(f"part & {SHARDS - 1}L") == F.col("shard")).select("part", share.alias("share"), "unseen")
+    words = shared_table(
+        fitted.where("h is not null").join(rooms, "part").select("h", "c", (F.col("logp") + F.col("share")).alias("logp")), "shard-words"
+    )
     found = words.join(F.broadcast(head_rows.select("h")), "h").select("h", "logp").toArrow()
     at, known, _ = lexicon.find(found.column("h").to_numpy().view(np.uint64))
     lexicon.logp[at[known]] = found.column("logp").to_numpy()[known]
@@ -317,13 +330,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = map_texts(docs, _score_head(scoring, first, sums.n, sums.v), schema, id_col, text_col, {"held_out": fold == 0})
     scored = shared_table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("row", F.explode("tail").alias("w")).select("row", "w.h", "w.n")
-    fallback = F.element_at(F.array(*[F.lit(float(unseen.get(s, 0.0))) for s in range(SHARDS)]), F.expr(f"cast(h & {SHARDS - 1}L as int)") + 1)
-    known = words.where("h is not null").select("h", "c", "logp")
     base = F.log10(F.coalesce("c", F.lit(0)) + 0.1) - F.log10(F.lit(sums.n + 0.1 * (sums.v + 1)))
-    more = tail.join(known, "h", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"),
-        F.sum(F.col("n") * base).alias("b"),
-        F.sum(F.col("n") * F.coalesce("logp", fallback)).alias("s"),
+    met = tail.join(words, "h", "left").withColumn("part", part)
+    lost = met.where("c is null").join(rooms.withColumn("logp0", F.col("share") + F.col("unseen")).select("part", "logp0"), "part", "left")
+    # A restaurant that no word came to has the one unseen word alone.
+    lost = lost.join(whole.select("shard", "whole"), F.expr(f"part & {SHARDS - 1}L") == F.col("shard"), "left")
+    empty = F.log10(1 / (F.coalesce("whole", F.lit(0)) + splits))
+    both = met.where("c is not null").select("row", "n", "c", "logp").unionByName(
+        lost.select("row", "n", "c", F.coalesce("logp0", empty).alias("logp"))
+    )
+    more = both.groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * base).alias("b"), F.sum(F.col("n") * F.col("logp")).alias("s")
     )
     return scored.drop("tail").join(more, "row", "left").select(
         F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),

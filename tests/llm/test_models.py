@@ -18,9 +18,11 @@ def tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), None]
 
 
-@pytest.mark.parametrize("head", [1 << 18, 40])
-def test_counts_and_base_match_brute_force(spark, corpus, head, monkeypatch):
+@pytest.mark.parametrize(("head", "frequent", "shard_words"), [(1 << 18, 1023, 1 << 18), (40, 20, 1)])
+def test_counts_and_base_match_brute_force(spark, corpus, head, frequent, shard_words, monkeypatch):
     monkeypatch.setattr(pitman_yor, "HEAD", head)
+    monkeypatch.setattr(pitman_yor, "FREQUENT", frequent)
+    monkeypatch.setattr(pitman_yor, "SHARD_WORDS", shard_words)
     c = Counter()
     for i, t in corpus:
         if zlib.crc32(str(i).encode() if i is not None else b"") % 10:
