@@ -1,10 +1,9 @@
-"""Helpers shared by the operators: shared tables, Arrow document maps, salted group statistics, components."""
+"""Helpers shared by the operators: Arrow document maps, salted group statistics, components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import contextlib
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,47 +13,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII upper case to lower case, everything else unchanged.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from ..operators.tables import shared_table
 
 #: Characters of text that one step of an Arrow map holds as Python words at a time.
 STEP_CHARS = 1 << 20
 
 #: Words whose hashes a Python worker remembers.
-MEMO_WORDS = 300_000
-
-
-# --- tables in the shared folder -------------------------------------------------------------------------------------
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and no executor owns it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kindred-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _drop_shared_tables() -> None:
-    for spark, path in _written:
-        try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone by now
-            return
+MEMO_WORDS = 200_000
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -134,6 +99,36 @@ def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatc
         start = end
 
 
+_owner = [""]
+_caches: list[Callable[[], None]] = []
+
+
+def forgets(clear: Callable[[], None]) -> None:
+    """Register how a module's memo is emptied."""
+    _caches.append(clear)
+
+
+def own_memos(owner: str) -> None:
+    """A Python worker outlives its tasks.  Memos of other operators are emptied when one begins, so they don't add up."""
+    if _owner[0] != owner:
+        for clear in _caches:
+            clear()
+        gc.collect()
+        _owner[0] = owner
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of fewer rows while something with large rows is computed."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
@@ -145,19 +140,24 @@ def map_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     also: dict[str, Column] | None = None,
+    encoded: bool = False,
 ) -> DataFrame:
     """Run ``fn`` over (ids, texts, batch) of each partition in bounded steps; a null text is empty.  ``fn`` yields
-    columns by name.  Only the id, the text and ``also`` are read, so other columns of ``docs`` can't clash."""
+    columns by name.  Only the id, the text and ``also`` are read, so other columns of ``docs`` can't clash.
+    ``encoded`` texts come as UTF-8 bytes."""
     spark_schema = docs.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memos(fn.__module__)
+
         def docs_in() -> Iterator[tuple[pa.Array, list[str], pa.RecordBatch]]:
             for batch in batches:
                 for part in steps(batch):
-                    yield part.column("id"), part.column("text").to_pylist(), part
+                    texts = part.column("text")
+                    yield part.column("id"), (texts.cast(pa.binary()) if encoded else texts).to_pylist(), part
 
         for out in fn(docs_in()):
             yield pa.RecordBatch.from_arrays(
@@ -181,6 +181,7 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+forgets(WORDS.clear)
 
 #: bytes.split() parts at exactly [\x20\x09-\x0D], and bytes.lower() changes A-Z alone.
 ALNUM = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -218,7 +219,3 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(1, k):
             h = mix(h * np.uint64(0x2545F4914F6CDD1D) + words[i : n + i])
     return h
-
-
-def offsets(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(lengths)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,22 +13,58 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_type, map_texts
+from .common import forgets, id_type, map_texts
 
 #: Encoded chunks of text that a Python worker remembers.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 500_000
 
 #: Windows that a packer keeps open; beyond it their pieces are joined into full windows, which bounds its memory.
 MOST_OPEN = 2048
 
 _encoders: dict[tuple[str, int], Encoder] = {}
+forgets(_encoders.clear)
+
+
+class Recent(dict):
+    """A memo of two generations: what was not asked for during the last ``bound`` new entries is forgotten."""
+
+    def __init__(self, bound: int) -> None:
+        super().__init__()
+        self.bound, self.old = bound, {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that are not known; the others are kept from now on."""
+        if len(self) > self.bound:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for key in keys.difference(self):
+            found = self.old.get(key)
+            if found is None:
+                out.append(key)
+            else:
+                self[key] = found
+        return out
+
+
+#: Characters that the tokenizer never joins with a letter or digit before them.
+_MARKS = b".,!%&*$#|?;:"
+
+#: Words of small letters of Latin-1 alone, as UTF-8: lower case, composed, and of letters only.
+_PLAIN = re.compile(b"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+#: Byte-level models read bytes as characters: printable ones as they are, the others from 256 on.
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173))}
 
 
 class Encoder:
-    """Token ids, as little-endian 32-bit bytes, of whole texts of a tokenizer that drops white space.
+    """Token ids, as little-endian 32-bit bytes, of whole texts of a tokenizer that drops white space and lower-cases.
 
     No token of such a tokenizer spans white space and its normaliser changes nothing across it, so a text is encoded
-    as the sequence of its chunks between ``[\\x20\\x09-\\x0D]``; each distinct chunk is encoded by the library once.
+    as the sequence of its chunks between ``[\x20\x09-\x0D]``.  A chunk that ends in marks after an ASCII letter or
+    digit is encoded as the part before them and the marks.  Each part is encoded by the library once, while it is
+    remembered; a part of small Latin-1 letters, which its normaliser and split leave as one word, by the library's
+    model at once.  Texts that may hold a special string are given to the library as they are.
     """
 
     def __init__(self, path: str, end: int) -> None:
@@ -37,20 +76,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end], "<u4").tobytes()
-        self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
-        new = list({c for own in chunks for c in own if c not in memo})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            done = self.tokenizer.encode_batch([c.decode("utf-8") for c in part], add_special_tokens=False)
-            memo.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in done], strict=True))
-        return [b"".join(map(memo.__getitem__, own)) + self.end for own in chunks]
+        self.chunks, self.parts = Recent(MEMO_CHUNKS), Recent(MEMO_CHUNKS)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in UTF-8."""
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        aside = dict(zip(whole, self._library([texts[i].decode() for i in whole]), strict=True)) if whole else {}
+        rows = [[] if i in aside else t.lower().split() for i, t in enumerate(texts)]
+        new = {}
+        for chunk in self.chunks.missing(set().union(*rows)):
+            stem = chunk.rstrip(_MARKS)
+            if len(stem) == len(chunk) or not stem[-1:].isalnum():
+                new[chunk] = (chunk,)
+            else:
+                new[chunk] = (stem, chunk[len(stem) :])
+        parts = self.parts.missing({p for own in new.values() for p in own})
+        tokenize = self.tokenizer.model.tokenize
+        for word in parts:
+            if word.isalpha() or _PLAIN.fullmatch(word):
+                plain = word.decode("latin-1")
+                ids = [t.id for t in tokenize(plain if word.isascii() else plain.translate(_BYTE_CHARS))]
+                self.parts[word] = struct.pack(f"<{len(ids)}I", *ids)
+        parts = [p for p in parts if p not in self.parts]
+        for start in range(0, len(parts), 10_000):
+            some = parts[start : start + 10_000]
+            self.parts.update(zip(some, self._library([p.decode("utf-8") for p in some]), strict=True))
+        known = self.parts
+        self.chunks.update({chunk: b"".join([known[p] for p in own]) for chunk, own in new.items()})
+        find = self.chunks.__getitem__
+        return [(aside[i] if i in aside else b"".join(map(find, own))) + self.end for i, own in enumerate(rows)]
 
 
 def encoder(path: str, end: int) -> Encoder:
@@ -150,6 +209,13 @@ class SumOfSquares:
 
 def _pack(encode: Callable[[], Encoder], size: int):
     def run(docs) -> Iterator[dict]:
+        gc.disable()  # the words of a step are many objects and no cycles; looking for some takes a third of the time
+        try:
+            yield from packed(docs)
+        finally:
+            gc.enable()
+
+    def packed(docs) -> Iterator[dict]:
         packer, tokens = SumOfSquares(size), encode()
         task = TaskContext.get()
         first = (task.partitionId() if task else 0) << 36
@@ -210,4 +276,4 @@ def pack(
     def encode() -> Encoder:
         return encoder(tokenizer, end)
 
-    return map_texts(docs, _pack(encode, size), schema, id_col, text_col).withColumnRenamed("id", "doc_id")
+    return map_texts(docs, _pack(encode, size), schema, id_col, text_col, encoded=True).withColumnRenamed("id", "doc_id")
