@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import bitmap, in_bitmap
-from .common import components, gram_hashes, hash_words, id_type, map_texts, mix, shared_table, shuffle_partitions, space_words, with_group
+from .common import components, gram_hashes, hash_words, id_type, map_texts, mix, shared_table, shuffle_partitions, small_batches, space_words, with_group
 
 #: Rows of one bucket that a task compares with as many others at a time.
 BLOCK_ROWS = 512
@@ -19,6 +19,9 @@ BLOCK_ROWS = 512
 #: The low bits of a token hold its band.
 BAND_MASK = 63
 
+#: Pairs, each with two sets, that go to a Python worker at a time.
+PAIR_ROWS = 500
+
 #: Classes that a task remembers, so as not to give the sketch of a repeated set again.
 SEEN = 200_000
 
@@ -234,7 +237,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
     both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("key").alias("ka"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("k1").alias("b"), F.col("key").alias("kb"), F.col("s").alias("sb")), "b"
     )
-    return both.select("ka", "kb", "sa", "sb").mapInArrow(_linked(percent), "a binary, b binary")
+    with small_batches(docs.sparkSession, PAIR_ROWS):
+        return shared_table(both.select("ka", "kb", "sa", "sb").mapInArrow(_linked(percent), "a binary, b binary"), "links")
 
 
 def jaccard_components(
@@ -282,14 +286,14 @@ def jaccard_components(
         .mapInArrow(_close(percent), "a long, b long")
         .distinct()
     )
-    links = shared_table(_verify(shared_table(near, "near"), classes, rows, k, percent, kind), "links")
+    links = _verify(shared_table(near, "near"), classes, rows, k, percent, kind)
     found = components(links)
 
     # Once with forests, which join most of what is left, then with every pair across components that is left.
     for forest in (True, False):
         across = _pairs_across(members, found, short, percent, forest)
         if not across.isEmpty():
-            links = links.unionAll(shared_table(_verify(across, classes, rows, k, percent, kind), "links"))
+            links = links.unionAll(_verify(across, classes, rows, k, percent, kind))
             found = components(links)
     # The smallest id of each component, through the smallest id of each of its classes.
     least = shared_table(

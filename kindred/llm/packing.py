@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from .common import forgets, id_type, map_texts
 
 #: Encoded chunks of text that a Python worker remembers.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 350_000
 
 #: Windows that a packer keeps open; beyond it their pieces are joined into full windows, which bounds its memory.
 MOST_OPEN = 2048

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hash_words, id_type, map_texts, mix, steps
+from .common import forgets, gram_hashes, hash_words, id_type, map_texts, mix, own_memos, steps
 
 #: Hash buckets of the n-gram indicators; a model is this many numbers.
 BUCKETS = 1 << 18
@@ -25,7 +25,7 @@ SAMPLE_ROWS = 20_000
 GRAMS = 3
 
 #: Shapes that a Python worker remembers.
-MEMO_SHAPES = 300_000
+MEMO_SHAPES = 200_000
 
 
 #: ASCII capitals as A; small letters and all characters beyond ASCII as a; digits as 0; the rest as they are.
@@ -47,6 +47,7 @@ class Shapes(dict):
 
 
 SHAPES = Shapes()
+forgets(SHAPES.clear)
 
 
 def features(text: str) -> np.ndarray:
@@ -201,6 +202,7 @@ def keep_quality(
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memos(__name__)
         at = None
         for batch in batches:
             at = batch.schema.get_field_index(text_col) if at is None else at

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, map_texts
+from .common import forgets, id_type, map_texts
 
 #: Characters of a chunk.
 CHUNK = 256
@@ -276,6 +276,7 @@ class WordMachine:
 
 
 _machines: dict[str, WordMachine] = {}
+forgets(_machines.clear)
 
 
 def machine(path: str) -> WordMachine:
