@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 
 from .common import forgets, id_type, map_texts
 
-#: Encoded chunks of text that a Python worker remembers.
+#: Encoded chunks of text, and as many parts of chunks, that a Python worker remembers in each of two generations.
 MEMO_CHUNKS = 350_000
 
 #: Windows that a packer keeps open; beyond it their pieces are joined into full windows, which bounds its memory.
 MOST_OPEN = 2048
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, int], Encoder] = {}
 forgets(_encoders.clear)
 
 
@@ -67,7 +67,7 @@ class Encoder:
     model at once.  Texts that may hold a special string are given to the library as they are.
     """
 
-    def __init__(self, path: str, end: int) -> None:
+    def __init__(self, path: str, end: int, memo: int = MEMO_CHUNKS) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,7 +78,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end], "<u4").tobytes()
-        self.chunks, self.parts = Recent(MEMO_CHUNKS), Recent(MEMO_CHUNKS)
+        self.chunks, self.parts = Recent(memo), Recent(memo)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -112,10 +112,10 @@ class Encoder:
         return [(aside[i] if i in aside else b"".join(map(find, own))) + self.end for i, own in enumerate(rows)]
 
 
-def encoder(path: str, end: int) -> Encoder:
-    if (path, end) not in _encoders:
-        _encoders[path, end] = Encoder(path, end)
-    return _encoders[path, end]
+def encoder(path: str, end: int, memo: int) -> Encoder:
+    if (path, end, memo) not in _encoders:
+        _encoders[path, end, memo] = Encoder(path, end, memo)
+    return _encoders[path, end, memo]
 
 
 class SumOfSquares:
@@ -259,7 +259,7 @@ def _pack(encode: Callable[[], Encoder], size: int):
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, end: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO_CHUNKS
 ) -> DataFrame:
     """Pieces of documents in sequences: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -267,13 +267,13 @@ def pack(
     empty text is ``end`` alone.  Each partition packs its documents online as they come (``SumOfSquares``) and holds the
     open windows only, of which there are at most ``MOST_OPEN``.  Sequences are ``size`` long or a power
     of two, so none needs padding.  Rows that repeat an id are documents of their own.  The tokenizer must drop white
-    space.  A lost task packs its partition again with the same result.
+    space.  ``memo`` bounds what a worker remembers: more of it costs memory and saves time.  A lost task packs its partition again with the same result.
     """
     schema = (
         f"id {id_type(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 
     def encode() -> Encoder:
-        return encoder(tokenizer, end)
+        return encoder(tokenizer, end, memo)
 
     return map_texts(docs, _pack(encode, size), schema, id_col, text_col, encoded=True).withColumnRenamed("id", "doc_id")
