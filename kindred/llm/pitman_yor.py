@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -42,11 +43,68 @@ GATHER = 8_000_000
 END = int(hash_words([b" end"])[0])
 
 
+#: Customers up to which a cell's number of tables is drawn from all its probabilities, and numbers that one step weighs.
+LISTED, STEP = 128, 1 << 20
+
+
+@functools.lru_cache
+def log_seatings(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: the weight of all seatings of c customers at t tables."""
+    out = np.full((LISTED + 1, LISTED + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, LISTED):
+        t = np.arange(1, c + 1)
+        out[c + 1, 1 : c + 1] = out[c, 1 : c + 1] + np.log(c - discount * t)
+        out[c + 1, 1:] = np.logaddexp(out[c + 1, 1:], out[c, :-1])
+    return out
+
+
+def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """The number of tables of each cell: t with a probability as (seatings of its customers at t tables) * weight^t.
+
+    Beyond LISTED customers: that is the number of jumps of a compound Poisson variable (weight / d jumps of Sibuya's law)
+    given their sum, here by its saddle point: ``mean`` and ``spread`` of the jumps besides the largest.  The work doesn't
+    grow with the customers of a cell."""
+    tables = np.ones(len(customers), np.int64)
+    order = np.argsort(customers, kind="stable")
+    sizes, starts = np.unique(customers[order], return_index=True)
+    ways = log_seatings(discount)
+    for c, lo, hi in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        if c < 2:
+            continue
+        if c > LISTED:
+            break
+        for at in range(lo, hi, max(1, STEP // c)):
+            cells = order[at : min(hi, at + max(1, STEP // c))]
+            logs = ways[c, 1 : c + 1] + np.log(weight[cells])[:, None] * np.arange(1, c + 1)
+            sums = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+            tables[cells] = 1 + (sums < (rng.random(len(cells)) * sums[:, -1])[:, None]).sum(1)
+    hot = np.flatnonzero(customers > LISTED)
+    if len(hot):
+        c, a, d = customers[hot].astype(np.float64), weight[hot], discount
+        # a z (1 - z)^(d - 1) = c in x = log(1 - z), by halving.
+        low, high = np.full(len(hot), -700.0), np.zeros(len(hot))
+        for _ in range(60):
+            x = (low + high) / 2
+            more = np.log(a) + np.log(-np.expm1(x)) + (d - 1) * x > np.log(c)
+            low, high = np.where(more, x, low), np.where(more, high, x)
+        q = np.exp(high)
+        g = -np.expm1(d * high)
+        mean = a / d * g
+        first = (1 - q) * d * q ** (d - 1) / g
+        second = first + (1 - q) ** 2 * d * (1 - d) * q ** (d - 2) / g
+        spread = np.where(np.isfinite(second), mean * (1 - first * (first / second)), mean)
+        drawn = np.where(mean < 50, rng.poisson(np.minimum(mean, 50)), np.rint(mean + np.sqrt(np.maximum(spread, 0)) * rng.standard_normal(len(hot))))
+        tables[hot] = np.clip(1 + drawn, 1, customers[hot]).astype(np.int64)
+    return tables
+
+
 class Restaurants:
-    """Seating of customers: for each cell (a dish in a restaurant) the sizes of its tables.
+    """Seating of customers: for each cell (a dish in a restaurant) the number of its tables.
 
     A customer of a dish joins a table of that dish with weight size - d, or opens one with weight
-    (theta + d * tables of the restaurant) * P(dish in the parent).
+    (theta + d * tables of the restaurant) * P(dish in the parent).  Probabilities depend on the numbers of tables alone, so
+    a sweep sums over the sizes and draws each number anew, given all else.
     """
 
     def __init__(self, room: np.ndarray, customers: np.ndarray, rooms: int, law: tuple[float, float], rng: np.random.Generator) -> None:
@@ -55,58 +113,27 @@ class Restaurants:
         self.total = np.bincount(room, self.customers, rooms)
 
     def start(self, base: np.ndarray) -> None:
-        """Seat the customers one after another; the runs without a new table are drawn at once (geometric, thinned)."""
-        d, c = self.discount, self.customers
-        tables = np.bincount(self.room, minlength=self.rooms)
-        open_weight = (self.strength + d * tables[self.room]) * base
-        seated, t = np.ones(len(c)), np.ones(len(c), np.int64)
-        active = np.flatnonzero(c > 1)
-        while len(active):
-            a, n, k = open_weight[active], seated[active], t[active]
-            p = a / (n - d * k + a)
-            later = n + self.rng.geometric(np.maximum(p, 1e-12))
-            going = later <= c[active]
-            real = going & (self.rng.random(len(active)) * p * (later - 1 - d * k + a) < a)
-            t[active[real]] += 1
-            seated[active] = later
-            active = active[going]
-        self.cell = np.repeat(np.arange(len(c)), t)
-        self.size = np.ones(len(self.cell), np.int64)
-        first = np.concatenate(([0], np.cumsum(t)[:-1])).astype(np.int64) if len(t) else np.empty(0, np.int64)
-        self.size[first] += c - t
-        self.tables = t
+        """A table a cell, and a sweep."""
+        self.tables = np.ones(len(self.customers), np.int64)
+        self.sweep(base)
 
     def sweep(self, base: np.ndarray) -> None:
-        """Take one customer of every cell from its table, chosen evenly, and seat it again given all others."""
-        d, cells = self.discount, np.arange(len(self.customers))
-        if not len(cells):
-            return
-        ends = np.cumsum(self.size)
-        before = np.concatenate(([0], np.cumsum(self.customers)[:-1]))
-        left = np.searchsorted(ends, before + np.floor(self.rng.random(len(cells)) * self.customers), "right")
-        self.size[left] -= 1
-        closed = self.size[left] == 0
-        tables = self.tables - closed
-        whole = np.bincount(self.room, tables, self.rooms)
-        fresh = (self.strength + d * whole[self.room]) * base
-        join = np.maximum(self.customers - 1 - d * tables, 0.0)
-        opens = (tables == 0) | (self.rng.random(len(cells)) * (fresh + join) < fresh)
-        weights = np.where(self.size > 0, self.size - d, 0.0)
-        ends = np.cumsum(weights)
-        starts = np.concatenate(([0.0], ends))[np.searchsorted(self.cell, cells, "left")]
-        at = np.searchsorted(ends, starts + self.rng.random(len(cells)) * join, "right")
-        last = np.searchsorted(self.cell, cells, "right") - 1
-        at = np.minimum(at, last)
-        at = np.where(self.size[at] > 0, at, left)  # a rounding error must not seat anyone at a closed table
-        stay = ~opens & (self.cell[at] == cells)
-        opens = ~stay
-        np.add.at(self.size, at[stay], 1)
-        kept = self.size > 0
-        cell = np.concatenate((self.cell[kept], cells[opens]))
-        size = np.concatenate((self.size[kept], np.ones(int(opens.sum()), np.int64)))
-        order = np.argsort(cell, kind="stable")
-        self.cell, self.size = cell[order], size[order]
-        self.tables = np.bincount(self.cell, minlength=len(cells))
+        """Seat all customers of all cells again.  Given a gamma variable for each restaurant, drawn from the tables that it
+        has just now, its cells are independent of each other."""
+        drawn = self.rng.standard_gamma(self.strength / self.discount + np.bincount(self.room, self.tables, self.rooms))
+        self.tables = draw_tables(self.customers, self.discount * drawn[self.room] * base, self.discount, self.rng)
+
+    @property
+    def cell(self) -> np.ndarray:
+        """The cell of each table."""
+        return np.repeat(np.arange(len(self.customers)), self.tables)
+
+    @property
+    def size(self) -> np.ndarray:
+        """Sizes of the tables in one of the seatings with these numbers: the first one of a cell takes what the others leave."""
+        size = np.ones(int(self.tables.sum()), np.int64)
+        size[np.cumsum(self.tables) - self.tables] += self.customers - self.tables
+        return size
 
     def predictive(self) -> tuple[np.ndarray, np.ndarray]:
         """(share of each cell without its parent, weight of the parent in each restaurant)."""
@@ -286,8 +313,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The model: the FREQUENT most frequent words are contexts, all other words share one; a context restaurant serves
     frequent words and shards of the others; all share a root.  Within a shard, a restaurant serves its words and one
-    unseen word; a shard of more than SHARD_WORDS words is split by further bits of the hash into several.  Seating is sampled by random-scan Gibbs sweeps (one customer of each dish in each restaurant a sweep),
-    and predictive probabilities are averaged.  Counts cover all training texts.  The context table is bounded by its
+    unseen word; a shard of more than SHARD_WORDS words is split by further bits of the hash into several.  Seating is sampled by Gibbs sweeps that seat every customer again (each cell's number of tables is drawn given
+    the parent and the restaurant), and predictive probabilities are averaged.  Counts cover all training texts.  The context table is bounded by its
     dimensions and sampled on the driver; shards are sampled where they lie.  Words beyond the HEAD most frequent are
     scored by a join.  Without training rows every probability is that of the bases.
     """
