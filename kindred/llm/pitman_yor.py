@@ -8,23 +8,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, id_type, map_texts, shared_table, space_words
+from .common import hash_words, id_type, map_texts, mix, shared_table, space_words
 from .quality import remainder
 
-#: Words that are contexts and dishes of their own: the most frequent ones.
+#: Shape of the dense tables that ``fit_contexts`` fits; ``score_texts`` has a restaurant for every word instead.
 FREQUENT = 1023
 
-#: Restaurants that share out all other words by their hash; each is one dish of the context restaurants.
+#: Restaurants that share out the words of the unigram parent by their hash.
 SHARDS = 256
 
 #: Words of a shard beyond which it is split into restaurants of its own, so that none outgrows a task.
 SHARD_WORDS = 1 << 18
 
-#: Most frequent words whose figures every scoring task holds (24 bytes each); the others are joined.
-HEAD = 1 << 18
+#: Most frequent words, and pairs of words, whose figures every scoring task holds (32 and 12 bytes each); the others are joined.
+HEAD, HEAD_PAIRS = 1 << 18, 1 << 20
 
 DISHES, CONTEXTS = FREQUENT + SHARDS, FREQUENT + 1
 
@@ -34,10 +35,13 @@ ROOT, CONTEXT, SHARD = (0.5, 10.0), (0.75, 5.0), (0.6, 10.0)
 #: Gibbs sweeps that are passed over, and sweeps whose predictive probabilities are averaged.
 BURN, SAMPLES = 6, 8
 
+#: Sweeps over the restaurants of all contexts, each given the parent that the tables of the one before lead to.
+ROUNDS = 3
+
 SEED = 20_000_003
 
 #: Tokens that a counting task gathers before it sums them up.
-GATHER = 8_000_000
+GATHER = 4_000_000
 
 #: The end of a text, which no word can be: words hold no space.
 END = int(hash_words([b" end"])[0])
@@ -189,25 +193,30 @@ def fit_shard(customers: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
 
 
 class Lexicon:
-    """The head of the vocabulary: word hashes in order, with count, class and log10 probability within the class."""
+    """The head of the vocabulary: word hashes in order, with count, tables as a context and probability in the parent."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        rank = np.lexsort((hashes, -counts))
+    def __init__(self, table: pa.Table) -> None:
+        hashes = table.column("h").to_numpy().view(np.uint64)
         order = np.argsort(hashes)
-        place = np.empty(len(hashes), np.int64)
-        place[rank] = np.arange(len(hashes))
-        self.hashes, self.counts = hashes[order], counts[order]
-        shard = FREQUENT + (self.hashes % np.uint64(SHARDS)).astype(np.int64)
-        self.kind = np.where(place[order] < FREQUENT, place[order], shard)
-        self.logp = np.zeros(len(hashes))
-
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, known, class) of word hashes; a word that is not known has the class of its shard."""
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64), np.zeros(len(words), bool), FREQUENT + (words % np.uint64(SHARDS)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        known = self.hashes[at] == words
-        return at, known, np.where(known, self.kind[at], FREQUENT + (words % np.uint64(SHARDS)).astype(np.int64))
+        self.hashes = hashes[order]
+        self.counts, self.tables, self.p = (table.column(x).to_numpy()[order] for x in ("c", "tables", "p"))
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, known) of word hashes."""
+        return _find(self.hashes, words)
+
+
+def _find(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(hashes):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return at, hashes[at] == wanted
+
+
+def _keys(context: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs."""
+    with np.errstate(over="ignore"):
+        return mix(mix(context) * np.uint64(0x2545F4914F6CDD1D) + words)
 
 
 def _tokens(texts: list[str], learn: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -222,11 +231,11 @@ def _tokens(texts: list[str], learn: list[bool] | None = None) -> tuple[np.ndarr
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(lengths, np.int64)
 
 
-def _contexts(kinds: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
-    """The context of each token: the token before it if it is frequent, else the one that all others share."""
-    before = np.concatenate(([first], kinds[:-1])) if len(kinds) else kinds
-    before[np.cumsum(lengths)[:-1]] = first
-    return np.minimum(before, FREQUENT)
+def _before(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The context of each token: the word before it, an end for the first one of a text."""
+    before = np.concatenate((np.array([END], np.uint64), words[:-1])) if len(words) else words
+    before[np.cumsum(lengths)[:-1]] = END
+    return before
 
 
 def _count_words(docs) -> Iterator[dict]:
@@ -247,17 +256,58 @@ def _count_words(docs) -> Iterator[dict]:
         yield flush()
 
 
-def _count_pairs(shared, first: int):
-    def run(docs) -> Iterator[dict]:
-        counts = np.zeros(CONTEXTS * DISHES, np.int64)
-        for _, texts, batch in docs:
-            words, lengths = _tokens(texts, batch.column("learn").to_pylist())
-            if len(words):
-                kinds = shared.value.find(words)[2]
-                pairs, n = np.unique(_contexts(kinds, lengths, first) * DISHES + kinds, return_counts=True)
-                counts[pairs] += n
-        cells = np.flatnonzero(counts)
-        yield {"context": cells // DISHES, "dish": cells % DISHES, "c": counts[cells]}
+def _count_pairs(docs) -> Iterator[dict]:
+    held, size = [], 0
+
+    def flush() -> dict:
+        before, words = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys = _keys(before, words)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        at = order[first]
+        return {"u": before[at].view(np.int64), "w": words[at].view(np.int64), "c": np.diff(np.append(first, len(keys)))}
+
+    for _, texts, batch in docs:
+        words, lengths = _tokens(texts, batch.column("learn").to_pylist())
+        if len(words):
+            held.append((_before(words, lengths), words))
+            size += len(words)
+        if size >= GATHER:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _rng(sweep: int) -> np.random.Generator:
+    return np.random.default_rng([SEED, sweep, TaskContext.get().partitionId()])
+
+
+def _open(sweep: int):
+    """The gamma variable of each restaurant, drawn from its tables: given those, all cells are independent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = _rng(sweep)
+        for b in batches:
+            drawn = rng.standard_gamma(CONTEXT[1] / CONTEXT[0] + b.column("tables").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("u"), pa.array(drawn, pa.float64())], names=["u", "gamma"])
+
+    return run
+
+
+def _seat(sweep: int):
+    """Tables of the cells of all contexts: a sample, and the mean of as many as are averaged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = _rng(sweep)
+        for b in batches:
+            c, gamma, p = (b.column(x).to_numpy() for x in ("c", "gamma", "p"))
+            drawn = [draw_tables(c, CONTEXT[0] * gamma * p, CONTEXT[0], rng) for _ in range(SAMPLES if sweep == ROUNDS - 1 else 1)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("u"), b.column("w"), b.column("c"), pa.array(drawn[-1], pa.int64()), pa.array(np.mean(drawn, 0), pa.float64())],
+                names=["u", "w", "c", "t", "mean"],
+            )
 
     return run
 
@@ -274,36 +324,62 @@ def _fit_shards(table: pa.Table) -> pa.Table:
     })
 
 
-def _score_head(shared, first: int, total: int, kinds_total: int):
+_TAIL = pa.struct([("u", pa.int64()), ("w", pa.int64()), ("open", pa.float32()), ("p", pa.float32())])
+
+
+def _score_head(shared, total: int, kinds_total: int):
     floor = np.log10(total + 0.1 * (kinds_total + 1))
+    discount, strength = CONTEXT
 
     def run(docs) -> Iterator[dict]:
-        lexicon, table = shared.value
+        lexicon, keys, own = shared.value
         for ids, texts, batch in docs:
             words, lengths = _tokens(texts)
-            at, known, kinds = lexicon.find(words)
-            score = table[_contexts(kinds, lengths, first), kinds].astype(np.float64)
-            base = np.zeros(len(words))
+            before = _before(words, lengths)
+            (at, known), (at_u, known_u) = lexicon.find(words), lexicon.find(before)
+            at_pair, met = _find(keys, _keys(before, words))
+            n = len(words)
+            base, score, opens, p = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
             if len(lexicon.hashes):
-                score += np.where(known, lexicon.logp[at], 0.0)
                 base = np.where(known, np.log10(lexicon.counts[at] + 0.1) - floor, 0.0)
+                opens, p = strength + discount * lexicon.tables[at_u], lexicon.p[at]
+                score = np.where(known_u, -np.log10(strength + lexicon.counts[at_u]), 0.0)
+            done = known & known_u & met
+            if done.any():
+                score[done] += np.log10(own[at_pair[done]] + opens[done] * p[done])
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-            text_of = np.repeat(np.arange(len(lengths)), lengths)
-            tail = []
-            rest, owner = words[~known], text_of[~known]
-            cuts = np.searchsorted(owner, np.arange(len(lengths) + 1))
-            for i in range(len(lengths)):
-                h, n = np.unique(rest[cuts[i] : cuts[i + 1]], return_counts=True)
-                tail.append(list(zip(h.view(np.int64).tolist(), n.tolist(), strict=True)))
+            left = np.flatnonzero(~done)
+            ends = np.searchsorted(left, np.concatenate((starts, [n])))
+            tail = pa.StructArray.from_arrays(
+                [pa.array(before[left].view(np.int64)), pa.array(words[left].view(np.int64)), pa.array(opens[left], pa.float32(), mask=~known_u[left]), pa.array(p[left], pa.float32(), mask=~known[left])],
+                fields=list(_TAIL),
+            )
             yield {
                 "id": ids, "held_out": batch.column("held_out"), "n_tokens": lengths, "n_known": np.add.reduceat(known.astype(np.int64), starts),
                 "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(score, starts),
-                "tail": pa.array(tail, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))),
+                "tail": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail, type=pa.list_(pa.field("element", _TAIL))),
             }
 
     return run
 
 
+def _parent(dishes: DataFrame, splits: int) -> tuple[DataFrame, DataFrame]:
+    """(h, p) of the unigram parent, whose customers ``tables`` are the tables of all contexts, and (part, unseen).
+
+    Parts of the vocabulary by hash share out the parent by their customers, one being added to each; within a part a
+    restaurant serves its words and an unseen one."""
+    part = F.expr(f"h & {SHARDS * splits - 1}L").alias("part")
+    fitted = dishes.select("h", F.col("tables").alias("c"), part).groupBy("part")
+    fitted = shared_table(fitted.applyInArrow(_fit_shards, "part long, h long, c long, logp double"), "shards")
+    rooms = fitted.where("h is null").select("part", F.col("c").alias("own"), F.col("logp").alias("unseen"))
+    whole = rooms.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
+    share = (F.col("own") + 1) / F.lit(float(whole + SHARDS * splits))
+    words = fitted.where("h is not null").join(F.broadcast(rooms.select("part", share.alias("share"))), "part")
+    every = dishes.sparkSession.range(SHARDS * splits).select(F.col("id").alias("part")).join(rooms, "part", "left")
+    unseen = F.coalesce(share * F.pow(F.lit(10.0), "unseen"), F.lit(1.0 / (whole + SHARDS * splits)))
+    return words.select("h", (F.pow(F.lit(10.0), "logp") * F.col("share")).alias("p")), every.select("part", unseen.alias("unseen"))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -311,79 +387,92 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose id's crc32 modulo ``folds`` is 0 (a null id is one) teach nothing.  ``base_score`` adds up
     log10((c + 0.1) / (N + 0.1 (V + 1))); ``score`` is the log10 probability of the text in the model.
 
-    The model: the FREQUENT most frequent words are contexts, all other words share one; a context restaurant serves
-    frequent words and shards of the others; all share a root.  Within a shard, a restaurant serves its words and one
-    unseen word; a shard of more than SHARD_WORDS words is split by further bits of the hash into several.  Seating is sampled by Gibbs sweeps that seat every customer again (each cell's number of tables is drawn given
-    the parent and the restaurant), and predictive probabilities are averaged.  Counts cover all training texts.  The context table is bounded by its
-    dimensions and sampled on the driver; shards are sampled where they lie.  Words beyond the HEAD most frequent are
-    scored by a join.  Without training rows every probability is that of the bases.
+    The model: every word (and the end) is a context with a restaurant of its own, which serves words; all share a unigram
+    parent, whose customers are their tables.  Its parts are restaurants by hash; one of more than SHARD_WORDS words is
+    split by further bits.  Seating is sampled by Gibbs sweeps that seat every customer again (each cell's number of tables
+    is drawn given the parent and the restaurant), and the last sweep's samples are averaged.  Counts cover all
+    training texts; cells are spread as rows, so that no context lies in one task.  What the HEAD most frequent words and
+    the HEAD_PAIRS most frequent pairs don't decide is scored by joins.  Without training rows every probability is that
+    of the bases.
     """
     spark = docs.sparkSession
+    discount, strength = CONTEXT
     fold = remainder(F.col(id_col), folds)
     learn = {"learn": fold != 0}
     counted = map_texts(docs, _count_words, "h long, c long", id_col, text_col, learn)
     counts = shared_table(counted.groupBy("h").agg(F.sum("c").alias("c")), "words")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head_rows = shared_table(_head(counts), "head")
-    head = head_rows.toArrow()
-    lexicon = Lexicon(head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy())
-    first = int(lexicon.find(np.array([END], np.uint64))[2][0])
-    shared = spark.sparkContext.broadcast(lexicon)
-    pairs = map_texts(docs, _count_pairs(shared, first), "context int, dish int, c long", id_col, text_col, learn)
-    cells = pairs.groupBy("context", "dish").agg(F.sum("c").alias("c")).toArrow()  # CONTEXTS x DISHES rows at most
-    table = np.log10(fit_contexts(*(cells.column(x).to_numpy().astype(np.int64) for x in ("context", "dish", "c")))).astype(np.float32)
-
-    # Words that are not dishes of their own, in the shards that the classes name.
-    own = spark.createDataFrame([(int(h),) for h in lexicon.hashes[lexicon.kind < FREQUENT].view(np.int64)], "h long")
+    pairs = map_texts(docs, _count_pairs, "u long, w long, c long", id_col, text_col, learn)
+    cells = shared_table(pairs.groupBy("u", "w").agg(F.sum("c").alias("c")), "cells")
     splits = 1 << max(0, math.ceil(math.log2(max(1, sums.v) / (SHARDS * SHARD_WORDS))))
-    part = F.expr(f"h & {SHARDS * splits - 1}L").alias("part")
-    rest = counts.join(F.broadcast(own), "h", "left_anti").select("h", "c", part)
-    fitted = shared_table(rest.groupBy("part").applyInArrow(_fit_shards, "part long, h long, c long, logp double"), "shards")
-    # A shard shares its words out to its restaurants by their customers, one being added to each.
-    rooms = fitted.where("h is null").select("part", F.col("c").alias("own"), F.col("logp").alias("unseen"))
-    whole = rooms.groupBy(F.expr(f"part & {SHARDS - 1}L").alias("shard")).agg(F.sum("own").alias("whole"))
-    share = F.log10((F.col("own") + 1) / (F.col("whole") + splits))
-    rooms = rooms.join(whole, F.expr(f"part & {SHARDS - 1}L") == F.col("shard")).select("part", share.alias("share"), "unseen")
-    words = shared_table(
-        fitted.where("h is not null").join(rooms, "part").select("h", "c", (F.col("logp") + F.col("share")).alias("logp")), "shard-words"
-    )
-    found = words.join(F.broadcast(head_rows.select("h")), "h").select("h", "logp").toArrow()
-    at, known, _ = lexicon.find(found.column("h").to_numpy().view(np.uint64))
-    lexicon.logp[at[known]] = found.column("logp").to_numpy()[known]
-    scoring = spark.sparkContext.broadcast((lexicon, table))
+
+    # A cell of one customer has one table for good; the others begin with one.
+    more = cells.where("c > 1")
+    once = F.count(F.when(F.col("c") == 1, 1)).alias("once")
+    rooms = shared_table(cells.groupBy("u").agg(F.count("*").alias("tables"), once), "rooms")
+    dishes = shared_table(cells.groupBy(F.col("w").alias("h")).agg(F.count("*").alias("tables"), once), "dishes")
+    rooms_now, dishes_now = rooms, dishes
+    for sweep in range(ROUNDS):
+        words, unseen = _parent(dishes_now, splits)
+        words = shared_table(words, "parent")
+        opened = shared_table(rooms_now.select("u", "tables").mapInArrow(_open(sweep), "u long, gamma double"), "opened")
+        given = more.join(opened, "u").join(words.withColumnRenamed("h", "w"), "w").select("u", "w", "c", "gamma", "p")
+        seated = shared_table(given.mapInArrow(_seat(sweep), "u long, w long, c long, t long, mean double"), "seated")
+        last = sweep == ROUNDS - 1
+        tables = (F.col("once") + F.coalesce(F.col("t"), F.lit(0))).alias("tables")
+        added = seated.groupBy("u").agg(F.sum("mean" if last else "t").alias("t"))
+        rooms_now = rooms.join(added, "u", "left").select("u", tables)
+        if not last:
+            dishes_now = dishes.join(seated.groupBy(F.col("w").alias("h")).agg(F.sum("t").alias("t")), "h", "left").select("h", tables)
+
+    figures = counts.join(rooms_now.withColumnRenamed("u", "h"), "h").join(words, "h")
+    figures = shared_table(figures.select("h", "c", F.col("tables").cast("double").alias("tables"), "p"), "figures")
+    unseen = F.broadcast(unseen)
+    seen = seated.select("u", "w", "c", (F.col("c") - discount * F.col("mean")).alias("own"))
+    top = _head(seen, HEAD_PAIRS).select("u", "w", "own").toArrow()
+    keys = _keys(*(top.column(x).to_numpy().view(np.uint64) for x in ("u", "w")))
+    order = np.argsort(keys)
+    scoring = spark.sparkContext.broadcast((Lexicon(_head(figures, HEAD).toArrow()), keys[order], top.column("own").to_numpy()[order].astype(np.float32)))
     schema = (
-        f"id {id_type(docs, id_col)}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<h:long,n:long>>"
+        f"id {id_type(docs, id_col)}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+        "tail array<struct<u:long,w:long,open:float,p:float>>"
     )
-    scored = map_texts(docs, _score_head(scoring, first, sums.n, sums.v), schema, id_col, text_col, {"held_out": fold == 0})
+    scored = map_texts(docs, _score_head(scoring, sums.n, sums.v), schema, id_col, text_col, {"held_out": fold == 0})
     scored = shared_table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode("tail").alias("w")).select("row", "w.h", "w.n")
-    base = F.log10(F.coalesce("c", F.lit(0)) + 0.1) - F.log10(F.lit(sums.n + 0.1 * (sums.v + 1)))
-    met = tail.join(words, "h", "left").withColumn("part", part)
-    lost = met.where("c is null").join(rooms.withColumn("logp0", F.col("share") + F.col("unseen")).select("part", "logp0"), "part", "left")
-    # A restaurant that no word came to has the one unseen word alone.
-    lost = lost.join(whole.select("shard", "whole"), F.expr(f"part & {SHARDS - 1}L") == F.col("shard"), "left")
-    empty = F.log10(1 / (F.coalesce("whole", F.lit(0)) + splits))
-    both = met.where("c is not null").select("row", "n", "c", "logp").unionByName(
-        lost.select("row", "n", "c", F.coalesce("logp0", empty).alias("logp"))
+
+    # Tokens whose word, context or pair is not in a head.  Only rare words are joined by themselves.
+    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.*")
+    zero = F.lit(0.0)
+    context = figures.select(F.col("h").alias("u"), F.col("c").alias("cu"), "tables")
+    lost = tail.where("open is null").join(context, "u", "left").select(
+        "row", "u", "w", (strength + discount * F.coalesce("tables", zero)).alias("open"), "p", (-F.log10(strength + F.coalesce("cu", zero))).alias("s")
     )
-    more = both.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * base).alias("b"), F.sum(F.col("n") * F.col("logp")).alias("s")
+    opens = tail.where("open is not null").select("row", "u", "w", F.col("open").cast("double").alias("open"), "p", zero.alias("s")).unionByName(lost)
+    base = F.log10(F.coalesce("c", F.lit(0)) + 0.1) - F.log10(F.lit(sums.n + 0.1 * (sums.v + 1)))
+    rare = opens.where("p is null").drop("p").join(figures.select(F.col("h").alias("w"), "c", "p"), "w", "left")
+    rare = rare.withColumn("part", F.expr(f"w & {SHARDS * splits - 1}L")).join(unseen, "part").select(
+        "row", "u", "w", (F.col("open") * F.coalesce("p", "unseen")).alias("back"), "s", F.when(F.col("c") > 0, 1).otherwise(0).alias("k"), base.alias("b")
     )
-    return scored.drop("tail").join(more, "row", "left").select(
+    every = opens.where("p is not null").select("row", "u", "w", (F.col("open") * F.col("p")).alias("back"), "s", F.lit(0).alias("k"), zero.alias("b")).unionByName(rare)
+    once = cells.where("c = 1").select("u", "w", F.lit(1 - discount).alias("own"))
+    every = every.join(seen.select("u", "w", "own").unionByName(once), ["u", "w"], "left")
+    score = F.col("s") + F.log10(F.coalesce("own", zero) + F.col("back"))
+    more = every.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum(score).alias("s"))
+    return scored.drop("tail").withColumnRenamed("score", "score0").join(more, "row", "left").select(
         F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(sums.n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        F.lit(sums.n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"),
+        (F.col("score0") + F.coalesce("s", zero)).alias("score"),
     )
 
 
-def _head(counts: DataFrame) -> DataFrame:
-    """The most frequent words, HEAD at most: those above the least step of a logarithmic scale that keeps to the bound."""
+def _head(counts: DataFrame, most: int) -> DataFrame:
+    """The rows with the highest counts ``c``, ``most`` at most: those above the least step of a logarithmic scale that keeps to the bound."""
     step = F.floor(F.log2("c") * 64)
     sizes = counts.groupBy(step.alias("step")).count().collect()  # some thousand rows for any 64-bit counts
     least, size = 1 << 20, 0
     for row in sorted(sizes, key=lambda r: -r["step"]):
         size += row["count"]
-        if size > HEAD:
+        if size > most:
             break
         least = row["step"]
     return counts.where(step >= least)
