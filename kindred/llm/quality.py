@@ -1,4 +1,4 @@
-"""Quality classifier: naive Bayes support vectors over n-grams of token shapes, fitted by dual coordinate descent."""
+"""Quality classifier: naive Bayes support vectors over n-grams of words and of their shapes, fitted by dual coordinate descent."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forgets, gram_hashes, hash_words, id_type, map_texts, mix, own_memos, steps
+from .common import forgets, gram_hashes, hash_words, id_type, map_texts, mix, own_memos, space_words, steps
 
 #: Hash buckets of the n-gram indicators; a model is this many numbers.
 BUCKETS = 1 << 18
@@ -36,12 +36,12 @@ _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class Shapes(dict):
-    """Hash of a word's shape: the kinds of its characters, each run as one, eight at most."""
+    """Hash of a word's shape: the kinds of its characters, each run as one."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_SHAPES:
             self.clear()
-        shape = _RUN.sub(rb"\1", word.translate(_KINDS))[:8]
+        shape = _RUN.sub(rb"\1", word.translate(_KINDS))
         found = self[word] = xxhash.xxh3_64_intdigest(shape)
         return found
 
@@ -51,7 +51,8 @@ forgets(SHAPES.clear)
 
 
 def features(text: str) -> np.ndarray:
-    """Buckets of the distinct n-grams of a whole text: shapes of its words, each marked if it repeats the word before."""
+    """Buckets of the distinct n-grams of a whole text: of its words with A-Z lower-cased, and of their shapes, each
+    marked if it repeats the word before."""
     words = text.encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.int32)
@@ -59,8 +60,9 @@ def features(text: str) -> np.ndarray:
     same = hash_words(words)
     again = np.concatenate(([False], same[1:] == same[:-1]))
     marked = mix(shapes + again.astype(np.uint64))
-    grams = np.concatenate([gram_hashes(marked, n) + np.uint64(n) for n in range(1, GRAMS + 1)])
-    return np.unique(mix(grams) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    plain = hash_words(space_words(text))
+    grams = [gram_hashes(x, n) + np.uint64(n + k * GRAMS) for k, x in enumerate((marked, plain)) for n in range(1, GRAMS + 1)]
+    return np.unique(mix(np.concatenate(grams)) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
 @dataclass
@@ -94,19 +96,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     for i in train:
         (p if labels[i] else q)[rows[i]] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
     y = np.where(labels == 1, 1.0, -1.0)
     # Dual coordinate descent of the hinge loss, the bias being a constant feature.
     w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(n)
-    square = np.array([v @ v + 1 for v in values])
+    # Values are made as they are needed: those of all rows at once would outweigh the rows.
+    values = lambda r: ratio[r] / np.sqrt(max(1, len(r)))
+    square = np.array([(v := values(r)) @ v + 1 for r in rows])
     weight = cost * np.where(labels == 1, len(train) / (2 * labels[train].sum()), len(train) / (2 * (len(train) - labels[train].sum())))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(train):
-            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1
+            value = values(rows[i])
+            gradient = y[i] * (w[rows[i]] @ value + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), weight[i])
             if step := new - alpha[i]:
-                w[rows[i]] += step * y[i] * values[i]
+                w[rows[i]] += step * y[i] * value
                 bias += step * y[i]
                 alpha[i] = new
                 moved = max(moved, abs(step))
@@ -162,10 +166,11 @@ def train(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
     table = map_texts(rows.limit(2 * sample_rows), _rows(), "label int, found array<int>", "id", "text", {"label": F.col("label")})
     found = table.toArrow()
-    lists = found.column("found").combine_chunks()
+    lists, kinds = found.column("found").combine_chunks(), found.column("label").to_numpy().astype(int)
+    del found
     flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    order = sorted(range(len(lists)), key=lambda i: (cuts[i + 1] - cuts[i], flat[cuts[i] : cuts[i + 1]].tobytes()))
-    return fit([flat[cuts[i] : cuts[i + 1]] for i in order], found.column("label").to_numpy()[order].astype(int))
+    order = sorted(range(len(lists)), key=lambda i: (cuts[i + 1] - cuts[i], xxhash.xxh3_128_digest(flat[cuts[i] : cuts[i + 1]])))
+    return fit([flat[cuts[i] : cuts[i + 1]] for i in order], kinds[order])
 
 
 def _scores(shared):
