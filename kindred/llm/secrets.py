@@ -15,15 +15,21 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Candidates of the battery: maximal runs of at least 20 such characters, one of them a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+#: Candidates of the battery: maximal runs of at least LEAST such characters, with padding that ends there, and as long parts of
+#: a run between SEPARATORS.
+LEAST, SEPARATORS = 20, "[-_/]"
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+(?:={{1,2}}+(?![A-Za-z0-9+/_=-]))?"
 
 #: Encodings in the order in which they are tried: pattern of the token without padding, alphabet.
 ENCODINGS = {
     "hex": (r"^(?=.*[0-9])(?=.*[A-Fa-f])([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    "dashed hex": (r"^(?=.*[0-9])(?=.*[A-Fa-f])([0-9a-f]+(-[0-9a-f]+)+|[0-9A-F]+(-[0-9A-F]+)+)$", "0123456789abcdef"),
     "base32": (r"^(?=.*[A-Z])(?=.*[2-7])[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base26": (r"^([a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz"),
     "base36": (r"^(?=.*[A-Za-z])(?=.*[0-9])([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    "base64": (r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    "base38": (r"^(?=.*[a-z])(?=.*[-_])[a-z0-9_-]+$", "0123456789abcdefghijklmnopqrstuvwxyz-_"),
+    "base52": (r"^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    "base64": (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
 
 #: Steps of the p values whose counts the false-discovery control looks at, and bands of token length.
@@ -51,6 +57,28 @@ def _matches(text: Column, pattern: str, kind: str, value: int | None = None, le
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(none)
 
 
+def _with_parts(spans: Column) -> Column:
+    """The spans, and the parts of each between separators that are long enough to be candidates."""
+
+    def parts(span: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + F.length(x)
+            part = F.struct(acc["at"].alias("start"), end.alias("end"), span["kind"].alias("kind"), x.alias("token"))
+            return F.struct((end + 1).alias("at"), F.when(F.length(x) >= LEAST, F.concat(acc["out"], F.array(part))).otherwise(acc["out"]).alias("out"))
+
+        none = F.array().cast("array<struct<start:int,end:int,kind:int,token:string>>")
+        cut = F.split(span["token"], SEPARATORS, -1)
+        found = F.aggregate(cut, F.struct(span["start"].alias("at"), none.alias("out")), step)["out"]
+        return F.concat(F.array(span), F.when(F.size(cut) > 1, found).otherwise(none))
+
+    return F.flatten(F.transform(spans, parts))
+
+
+def _outermost(spans: Column) -> Column:
+    """The spans without those that lie in a longer one."""
+    return F.filter(spans, lambda s: ~F.exists(spans, lambda t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])))
+
+
 def _upper_tail(z: Column) -> Column:
     """P(normal > z) by a logistic curve, exact to about 1e-4."""
     z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
@@ -68,7 +96,8 @@ def _judged(tokens: DataFrame) -> DataFrame:
     wide = F.translate(bare, "-_", "+/")
     encoding, plain, alphabet = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (name, (pattern, symbols)) in reversed(list(enumerate(ENCODINGS.items()))):
-        text = {"hex": F.lower(bare), "base36": F.lower(bare), "base64": wide}.get(name, bare)
+        low = F.lower(bare)
+        text = {"hex": low, "dashed hex": F.replace(low, F.lit("-"), F.lit("")), "base26": low, "base36": low, "base64": wide}.get(name, bare)
         fits = F.rlike(wide if name == "base64" else bare, F.lit(pattern))
         encoding, plain = F.when(fits, i).otherwise(encoding), F.when(fits, text).otherwise(plain)
         alphabet = F.when(fits, F.lit(symbols)).otherwise(alphabet)
@@ -131,15 +160,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: ``doc_id, base, random``, both array<struct<start, end, kind, token>>.
 
     ``base`` holds the matches of the three patterns (spans of the whole match in code points, end exclusive; token is the
-    value for ``assign``).  ``random`` holds runs of 20 or more characters of an encoding whose three randomness tests don't
+    value for ``assign``).  ``random`` holds runs of 20 or more characters of an encoding, or else their parts between ``-``, ``_``
+    and ``/`` that are as long, whose three randomness tests don't
     speak against even draws, at thresholds that keep the estimated share of other tokens within ``rate`` in each length
     band; those that overlap base spans are left out.  A null text is empty; an empty table gives an empty result; rows
-    that repeat an id are scanned one by one.  The counts for the thresholds cover all rows; there are at most 4 x 16 x 100.
+    that repeat an id are scanned one by one.  The counts for the thresholds cover all rows; there are at most 8 x 16 x 100.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_matches(text, ASSIGN, "assign", 1, ASSIGN_CHARS), _matches(text, ACCESS, "access"), _matches(text, HEX, "hex"))
     # One pass over the texts; what it finds is written, so that its row numbers stay.
-    rows = docs.select(F.col(id_col).alias("doc_id"), base.alias("base"), _matches(text, TOKEN, "random").alias("tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), base.alias("base"), _with_parts(_matches(text, TOKEN, "random")).alias("tokens"))
     rows = shared_table(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     seen = rows.where(F.size("tokens") > 0).select("row", F.explode(F.transform("tokens", lambda s: F.struct(s.alias("span"), free(s).alias("free")))).alias("x"))
@@ -152,7 +182,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return rows.select("doc_id", "base", F.array().cast(rows.schema["tokens"].dataType).alias("random"))
     least = F.create_map(*[F.lit(x) for (e, b), t in limits.items() for x in (e * BANDS + b, t)])
     kept = seen.where(F.col("free") & (F.col("p") >= F.element_at(least, F.col("encoding") * BANDS + F.col("band"))))
-    kept = kept.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("random"))
+    kept = kept.groupBy("row").agg(F.array_sort(_outermost(F.collect_list("span"))).alias("random"))
     none = F.array().cast(rows.schema["tokens"].dataType)
     return rows.drop("tokens").join(kept, "row", "left").select("doc_id", "base", F.coalesce("random", none).alias("random"))
 
