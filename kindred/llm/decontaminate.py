@@ -239,27 +239,29 @@ def contamination(
 
         out = map_texts(docs, _search_all(index, to_arrow_type(benchmark.schema[item_col].dataType)), schema, id_col, text_col)
     else:
-        out = _joined(docs, items, id_col, text_col, kind, item_kind, window)
+        out = _joined(docs, items, id_col, text_col, item_kind, window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
     return out.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), "spans", F.array_distinct("items").alias("items"))
 
 
-def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, kind: str, item_kind: str, window: int) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_kind: str, window: int) -> DataFrame:
     own = shared_table(map_texts(items, _item_prints(window), f"id {item_kind}, length int, fp long", "item", "item_text"), "item-prints")
     lengths = sorted(r.length for r in own.select("length").distinct().collect())  # at most ``window`` numbers
-    prints = map_texts(docs, _prints(lengths), f"id {kind}, fp long", id_col, text_col)
+    # Rows are told apart by a written number, since ids may be null or repeat.
+    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = shared_table(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    prints = map_texts(rows, _prints(lengths), "id long, fp long", "id")
     pairs = prints.join(own.select("fp", F.col("id").alias("item")), "fp").select("id", "item").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = pairs.join(items, "item").join(rows, "id")
+    both = pairs.join(items, "item").join(rows.select("id", "text"), "id")
     found = map_texts(
-        both, _search_pairs(window), f"id {kind}, item {item_kind}, spans array<struct<start:int,end:int>>", "id", "text",
+        both, _search_pairs(window), f"id long, item {item_kind}, spans array<struct<start:int,end:int>>", "id", "text",
         {"item": F.col("item"), "item_text": F.col("item_text")},
     )
     per_doc = found.groupBy("id").agg(F.collect_list("spans").alias("spans"), F.collect_set("item").alias("items"))
-    per_doc = per_doc.mapInArrow(_merged(), f"id {kind}, spans array<struct<start:int,end:int>>, items array<{item_kind}>")
-    counts = map_texts(docs, _counts(), f"id {kind}, n_words long", id_col, text_col)
+    per_doc = per_doc.mapInArrow(_merged(), f"id long, spans array<struct<start:int,end:int>>, items array<{item_kind}>")
+    counts = map_texts(rows, _counts(), "id long, n_words long", "id").join(rows.select("id", "doc"), "id")
     return counts.join(per_doc, "id", "left").select(
-        "id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        F.col("doc").alias("id"), "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
         F.coalesce("items", F.array().cast(f"array<{item_kind}>")).alias("items"),
     )
 
