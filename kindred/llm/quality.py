@@ -148,29 +148,43 @@ def remainder(id_col: Column, parts: int) -> Column:
 def _rows():
     def run(docs) -> Iterator[dict]:
         for _, texts, batch in docs:
-            yield {"label": batch.column("label"), "found": [features(t) for t in texts]}
+            yield {"label": batch.column("label"), "found": [features(t).tobytes() for t in texts]}
 
     return run
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fit on the rows of one partition, in an order that depends on them alone; without rows there is a model as well."""
+    own_memos(__name__)
+    rows, labels = [], []
+    for batch in batches:
+        rows += [np.frombuffer(x, np.int32) for x in batch.column("found").to_pylist()]
+        labels += batch.column("label").to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), xxhash.xxh3_128_digest(rows[i]), labels[i]))
+    model = fit([rows[i] for i in order], np.array([labels[i] for i in order], np.int64))
+    yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     sample_rows: int = SAMPLE_ROWS, folds: int = 5,
 ) -> Model:
     """Fit on labelled documents whose id's remainder by ``folds`` is not 0, at most ``sample_rows`` of them.
 
-    Labels other than 0 and 1, and ids with both, teach nothing."""
+    Labels other than 0 and 1, and ids with both, teach nothing.  Rows that repeat an id and its text teach once; where ids
+    repeat with several texts, each text counts as a row.  Indicators are made where the rows lie; one task, in an executor, fits the
+    model, and what it holds is bounded by ``sample_rows``."""
     known = labels.where(F.col(label_col).isin(0, 1) & (remainder(F.col(id_col), folds) != 0)).groupBy(F.col(id_col).alias("_id"))
     known = known.agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("_other")).where("label = _other")
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_id", "label")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id"))
-    table = map_texts(rows.limit(2 * sample_rows), _rows(), "label int, found array<int>", "id", "text", {"label": F.col("label")})
-    found = table.toArrow()
-    lists, kinds = found.column("found").combine_chunks(), found.column("label").to_numpy().astype(int)
-    del found
-    flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    order = sorted(range(len(lists)), key=lambda i: (cuts[i + 1] - cuts[i], xxhash.xxh3_128_digest(flat[cuts[i] : cuts[i + 1]])))
-    return fit([flat[cuts[i] : cuts[i + 1]] for i in order], kinds[order])
+    chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).select("_id", "label"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, F.col("id") == F.col("_id"))
+    texts = rows.groupBy(F.xxhash64("id").alias("at"), "id", F.xxhash64("text").alias("of")).agg(F.min("label").alias("label"))
+    texts = F.broadcast(texts.orderBy("at", "id", "of").limit(sample_rows).select(F.col("id").alias("_id"), F.col("of").alias("_of"), "label"))
+    rows = rows.drop("label", "_id").join(texts, (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_of")))
+    rows = rows.groupBy("id", "_of").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    found = map_texts(rows, _rows(), "label int, found binary", "id", "text", {"label": F.col("label")})
+    (row,) = found.repartition(1).mapInArrow(_fit, "weights binary, bias double, slope double, shift double").collect()
+    return Model(np.frombuffer(row.weights), row.bias, row.slope, row.shift)
 
 
 def _scores(shared):
