@@ -1,4 +1,9 @@
-"""Scoring of texts by a hierarchical Pitman-Yor language model with Gibbs-sampled Chinese-restaurant seating."""
+"""Scoring of texts by a hierarchical Pitman-Yor language model with Gibbs-sampled Chinese-restaurant seating.
+
+Tokens, grouped by their context, travel as packed arrays (``blobs``), not as rows: a task of the map side sorts some millions
+of them and sends each bucket one value.  A bucket holds whole contexts; one that is too frequent for that is dealt over
+several buckets by the words that follow it.
+"""
 
 from __future__ import annotations
 
@@ -8,40 +13,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, id_type, map_texts, mix, shared_table, space_words
+from ..operators.tables import bucketed_table, free_shuffles, scratch
+from .blobs import even_keys, narrow, pack, steps_of, unpack
+from .common import hash_words, id_type, map_texts, mix, own_memos, shared_table, shuffle_partitions, space_words
 from .quality import remainder
 
-#: Shape of the dense tables that ``fit_contexts`` fits; ``score_texts`` has a restaurant for every word instead.
-FREQUENT = 1023
-
-#: Restaurants that share out the words of the unigram parent by their hash.
-SHARDS = 256
-
-#: Words of a shard beyond which it is split into restaurants of its own, so that none outgrows a task.
-SHARD_WORDS = 1 << 18
+#: (discount, strength) of the unigram parent and of the contexts.
+ROOT, CONTEXT = (0.5, 10.0), (0.75, 5.0)
 
-#: Most frequent words, and pairs of words, whose figures every scoring task holds (32 and 12 bytes each); the others are joined.
-HEAD, HEAD_PAIRS = 1 << 18, 1 << 20
+#: Gibbs sweeps over all restaurants that are passed over, and those whose predictive probabilities are averaged.
+BURN, SAMPLES = 2, 2
 
-DISHES, CONTEXTS = FREQUENT + SHARDS, FREQUENT + 1
-
-#: Discounts and strengths of the root, the contexts and the shards.
-ROOT, CONTEXT, SHARD = (0.5, 10.0), (0.75, 5.0), (0.6, 10.0)
+SEED = 20_000_003
 
-#: Gibbs sweeps that are passed over, and sweeps whose predictive probabilities are averaged.
-BURN, SAMPLES = 6, 8
+#: Tokens and documents that a task of the map side sorts at a time, and tokens that a bucket is meant to hold.
+GATHER, GATHER_DOCS, BUCKET_TOKENS = 1 << 21, 1 << 16, 1 << 22
 
-#: Sweeps over the restaurants of all contexts, each given the parent that the tables of the one before lead to.
-ROUNDS = 3
+#: Tokens of a bucket that are scored at a time.
+STEP_TOKENS = 1 << 18
 
-SEED = 20_000_003
-
-#: Tokens that a counting task gathers before it sums them up.
-GATHER = 4_000_000
+#: One of so many documents is looked at to find the contexts that are dealt over several buckets.  It decides nothing else.
+LOOK = 64
 
 #: The end of a text, which no word can be: words hold no space.
 END = int(hash_words([b" end"])[0])
@@ -70,6 +66,8 @@ def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng:
     given their sum, here by its saddle point: ``mean`` and ``spread`` of the jumps besides the largest.  The work doesn't
     grow with the customers of a cell."""
     tables = np.ones(len(customers), np.int64)
+    if not len(customers):
+        return tables
     order = np.argsort(customers, kind="stable")
     sizes, starts = np.unique(customers[order], return_index=True)
     ways = log_seatings(discount)
@@ -108,24 +106,33 @@ class Restaurants:
 
     A customer of a dish joins a table of that dish with weight size - d, or opens one with weight
     (theta + d * tables of the restaurant) * P(dish in the parent).  Probabilities depend on the numbers of tables alone, so
-    a sweep sums over the sizes and draws each number anew, given all else.
+    a sweep sums over the sizes and draws each number anew, given all else.  ``once`` counts, for each restaurant, further
+    cells of one customer, which have one table whatever happens.
     """
 
-    def __init__(self, room: np.ndarray, customers: np.ndarray, rooms: int, law: tuple[float, float], rng: np.random.Generator) -> None:
+    def __init__(
+        self, room: np.ndarray, customers: np.ndarray, rooms: int, law: tuple[float, float], rng: np.random.Generator, once: np.ndarray | int = 0
+    ) -> None:
         self.room, self.customers, self.rooms, self.rng = room, customers.astype(np.int64), rooms, rng
         self.discount, self.strength = law
-        self.total = np.bincount(room, self.customers, rooms)
+        self.once = once
+        self.tables = np.ones(len(self.customers), np.int64)
 
     def start(self, base: np.ndarray) -> None:
         """A table a cell, and a sweep."""
         self.tables = np.ones(len(self.customers), np.int64)
         self.sweep(base)
 
-    def sweep(self, base: np.ndarray) -> None:
+    def opened(self) -> np.ndarray:
+        """Tables of each restaurant."""
+        return self.once + np.bincount(self.room, self.tables, self.rooms).astype(np.int64)
+
+    def sweep(self, base: np.ndarray, gamma: np.ndarray | None = None) -> None:
         """Seat all customers of all cells again.  Given a gamma variable for each restaurant, drawn from the tables that it
         has just now, its cells are independent of each other."""
-        drawn = self.rng.standard_gamma(self.strength / self.discount + np.bincount(self.room, self.tables, self.rooms))
-        self.tables = draw_tables(self.customers, self.discount * drawn[self.room] * base, self.discount, self.rng)
+        if gamma is None:
+            gamma = self.rng.standard_gamma(self.strength / self.discount + self.opened())
+        self.tables = draw_tables(self.customers, self.discount * gamma[self.room] * base, self.discount, self.rng)
 
     @property
     def cell(self) -> np.ndarray:
@@ -142,242 +149,395 @@ class Restaurants:
     def predictive(self) -> tuple[np.ndarray, np.ndarray]:
         """(share of each cell without its parent, weight of the parent in each restaurant)."""
         d, s = self.discount, self.strength
-        own = (self.customers - d * self.tables) / (s + self.total[self.room])
-        return own, (s + d * np.bincount(self.room, self.tables, self.rooms)) / (s + self.total)
-
-
-def fit_contexts(context: np.ndarray, dish: np.ndarray, customers: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """P(dish | context), contexts x dishes, averaged over samples of the seating.
-
-    Tables of the context restaurants are the customers of the root, whose base is even over the dishes."""
-    rng = np.random.default_rng(seed)
-    order = np.lexsort((dish, context))
-    context, dish, customers = context[order], dish[order], customers[order]
-    rooms = Restaurants(context, customers, CONTEXTS, CONTEXT, rng)
-    even = 1.0 / DISHES
-    parent = np.full(DISHES, even)
-    rooms.start(parent[dish])
-    mean = np.zeros((CONTEXTS, DISHES))
-    for sweep in range(BURN + SAMPLES):
-        served = np.bincount(dish, rooms.tables, DISHES).astype(np.int64)
-        dishes = np.flatnonzero(served)
-        root = Restaurants(np.zeros(len(dishes), np.int64), served[dishes], 1, ROOT, rng)
-        root.start(np.full(len(dishes), even))
-        for _ in range(3):
-            root.sweep(np.full(len(dishes), even))
-        own, rest = root.predictive()
-        parent = np.full(DISHES, rest[0] * even)
-        parent[dishes] += own
-        rooms.sweep(parent[dish])
-        if sweep >= BURN:
-            own, rest = rooms.predictive()
-            mean += rest[:, None] * parent[None, :]
-            mean[context, dish] += own
-    return mean / SAMPLES
-
-
-def fit_shard(customers: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
-    """(P of each word of a shard, P of a word that it has not seen); the base is even over the words and one unseen."""
-    rng = np.random.default_rng(seed)
-    even = np.full(len(customers), 1.0 / (len(customers) + 1))
-    rooms = Restaurants(np.zeros(len(customers), np.int64), customers, 1, SHARD, rng)
-    rooms.start(even)
-    mean, unseen = np.zeros(len(customers)), 0.0
-    for sweep in range(BURN + SAMPLES):
-        rooms.sweep(even)
-        if sweep >= BURN:
-            own, rest = rooms.predictive()
-            mean += own + rest[0] * even
-            unseen += rest[0] / (len(customers) + 1)
-    return mean / SAMPLES, unseen / SAMPLES
-
-
-class Lexicon:
-    """The head of the vocabulary: word hashes in order, with count, tables as a context and probability in the parent."""
-
-    def __init__(self, table: pa.Table) -> None:
-        hashes = table.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.counts, self.tables, self.p = (table.column(x).to_numpy()[order] for x in ("c", "tables", "p"))
-
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, known) of word hashes."""
-        return _find(self.hashes, words)
-
-
-def _find(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(hashes):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    return at, hashes[at] == wanted
+        total = np.bincount(self.room, self.customers, self.rooms) + self.once
+        return (self.customers - d * self.tables) / (s + total[self.room]), (s + d * self.opened()) / (s + total)
+
 
+def parent(customers: np.ndarray, tables: np.ndarray, words: int, all_customers: int, all_tables: int) -> np.ndarray:
+    """P of words in the unigram parent, whose base is even over ``words`` known words and one unknown one."""
+    d, s = ROOT
+    return (customers - d * tables + (s + d * all_tables) / (words + 1)) / (s + all_customers)
 
-def _keys(context: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs."""
-    with np.errstate(over="ignore"):
-        return mix(mix(context) * np.uint64(0x2545F4914F6CDD1D) + words)
 
+# --- tokens by context -----------------------------------------------------------------------------------------------
 
-def _tokens(texts: list[str], learn: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes with an end after each text, their number in each text)."""
     parts, lengths = [], []
     end = np.array([END], np.uint64)
-    for i, text in enumerate(texts):
-        if learn is None or learn[i]:
-            words = space_words(text)
-            parts += [hash_words(words), end]
-            lengths.append(len(words) + 1)
+    for text in texts:
+        words = space_words(text)
+        parts += [hash_words(words), end]
+        lengths.append(len(words) + 1)
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(lengths, np.int64)
 
 
-def _before(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The context of each token: the word before it, an end for the first one of a text."""
-    before = np.concatenate((np.array([END], np.uint64), words[:-1])) if len(words) else words
-    before[np.cumsum(lengths)[:-1]] = END
-    return before
+def _count(docs) -> Iterator[dict]:
+    for _, texts, _ in docs:
+        words, counts = np.unique(_tokens(texts)[0], return_counts=True)
+        yield {"h": words.view(np.int64), "c": counts}
+
 
+def _layout(docs: DataFrame, id_col: str, text_col: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of buckets, frequent contexts, number of buckets that each of those is dealt over), from a sample.
 
-def _count_words(docs) -> Iterator[dict]:
-    held, size = [], 0
+    At most four contexts a bucket are frequent.  Whatever the sample holds, results are the same."""
+    seen = map_texts(docs.sample(False, 1 / LOOK, SEED), _count, "h long, c long", id_col, text_col).groupBy("h").agg(F.sum("c").alias("c"))
+    seen = shared_table(seen, "look")
+    tokens = (seen.agg(F.sum("c")).first()[0] or 0) * LOOK
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-tokens // BUCKET_TOKENS))
+    fair = tokens / buckets / 4
+    hot = seen.where(F.col("c") * LOOK > max(fair, LOOK * 8)).toPandas()
+    hashes = hot["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    deal = np.minimum(buckets, np.ceil(hot["c"].to_numpy(np.float64) * LOOK / max(fair, 1))).astype(np.int64)
+    return buckets, hashes[order], deal[order]
 
-    def flush() -> dict:
-        words, counts = np.unique(np.concatenate(held), return_counts=True)
-        return {"h": words.view(np.int64), "c": counts}
 
-    for _, texts, batch in docs:
-        words, _ = _tokens(texts, batch.column("learn").to_pylist())
-        held.append(words)
-        size += len(words)
-        if size >= GATHER:
-            yield flush()
-            held, size = [], 0
-    if size:
-        yield flush()
-
-
-def _count_pairs(docs) -> Iterator[dict]:
-    held, size = [], 0
-
-    def flush() -> dict:
-        before, words = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys = _keys(before, words)
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        at = order[first]
-        return {"u": before[at].view(np.int64), "w": words[at].view(np.int64), "c": np.diff(np.append(first, len(keys)))}
-
-    for _, texts, batch in docs:
-        words, lengths = _tokens(texts, batch.column("learn").to_pylist())
-        if len(words):
-            held.append((_before(words, lengths), words))
-            size += len(words)
-        if size >= GATHER:
+def _place(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, known) of values in an ascending sequence."""
+    if not len(hashes):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return at, hashes[at] == wanted
+
+
+def _blocks(shared: Broadcast):
+    """Rows of two kinds: (bucket, chunk, data) for the tokens of a chunk of documents that belong to a bucket, sorted by context and
+    word; and (bucket, chunk, ids, held, n) for its documents.  A document's code is its number in the chunk, and whether it teaches."""
+
+    def block(words: np.ndarray, cu: np.ndarray, cw: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> bytes:
+        first = np.flatnonzero(np.diff(cu, prepend=-1))
+        own, index = np.unique(cw, return_inverse=True)
+        return pack(
+            steps_of(words[cu[first]]), narrow(np.diff(np.append(first, len(cu)))), steps_of(words[own]), narrow(index), narrow(counts), narrow(codes)
+        )
+
+    def run(docs) -> Iterator[dict]:
+        hot, deal, keys = shared.value
+        buckets, task, chunks = len(keys), TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+
+        def flush() -> dict:
+            nonlocal chunks
+            ids, words, lengths, out = (list(x) for x in zip(*held, strict=True))
+            ids, lengths, out = pa.chunked_array(ids).combine_chunks(), np.concatenate(lengths), np.concatenate(out)
+            tokens = np.concatenate(words)
+            held.clear()
+            words, index = np.unique(tokens, return_inverse=True)
+            # The context of a token is the word before it, an end for the first one of a text.
+            u = np.concatenate((np.searchsorted(words, np.array([END], np.uint64)), index[:-1]))
+            u[np.cumsum(lengths)[:-1]] = u[0]
+            home = (mix(words) % np.uint64(buckets)).astype(np.int64)
+            b = home[u]
+            at, known = _place(hot, words)
+            if known.any():
+                spread = np.where(known, deal[at], 1)[u]
+                apart = np.flatnonzero(spread > 1)
+                b[apart] = (b[apart] + (mix(tokens[apart] + np.uint64(1)) % spread[apart].astype(np.uint64)).astype(np.int64)) % buckets
+            del tokens
+            bits = np.uint64(max(1, len(words).bit_length()))
+            if 2 * int(bits) + buckets.bit_length() > 64:
+                raise ValueError("too many words in one text for this many buckets")
+            key = ((b.astype(np.uint64) << bits | u.astype(np.uint64)) << bits) | index.astype(np.uint64)
+            order = np.argsort(key)
+            key = key[order]
+            codes = np.repeat(np.arange(len(lengths)) * 2 + ~out, lengths)[order]
+            del order, b, u, index
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends, cells = np.append(starts, len(key)), key[starts]
+            del key
+            mask = (np.uint64(1) << bits) - np.uint64(1)
+            cw, cu, cb = (cells & mask).astype(np.int64), (cells >> bits & mask).astype(np.int64), (cells >> (bits + bits)).astype(np.int64)
+            cuts = np.searchsorted(cb, np.arange(buckets + 1))
+            rows = [(k, x, y) for k, x, y in zip(keys.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if x < y]
+            data = [block(words, cu[x:y], cw[x:y], np.diff(ends[x : y + 1]), codes[ends[x] : ends[y]]) for _, x, y in rows]
+            chunk = task << 24 | chunks
+            chunks += 1
+            offsets = pa.array([0] * (len(rows) + 1) + [len(ids)], pa.int32())
+            return {
+                "b": [k for k, _, _ in rows] + [int(keys[chunk % buckets])], "chunk": [chunk] * (len(rows) + 1), "data": [*data, None],
+                "ids": pa.ListArray.from_arrays(offsets, ids), "held": pa.ListArray.from_arrays(offsets, pa.array(out)),
+                "n": pa.ListArray.from_arrays(offsets, pa.array(lengths)),
+            }
+
+        tokens = count = 0
+        for ids, texts, batch in docs:
+            words, lengths = _tokens(texts)
+            if held and (tokens + len(words) > GATHER or count + len(lengths) > GATHER_DOCS):
+                yield flush()
+                tokens = count = 0
+            held.append((ids, words, lengths, batch.column("held_out").to_numpy(zero_copy_only=False)))
+            tokens, count = tokens + len(words), count + len(lengths)
+        if held:
             yield flush()
-            held, size = [], 0
-    if size:
-        yield flush()
 
+    return run
+
+
+def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of sorted batches, those of one value at a time.  Binary values are buffers."""
+    own, rows = None, []
+    for batch in batches:
+        columns = [batch.column(n) for n in batch.schema.names]
+        for i in range(batch.num_rows):
+            row = {n: c[i] for n, c in zip(batch.schema.names, columns, strict=True)}
+            now = row[column].as_py()
+            if now != own and rows:
+                yield own, rows
+                rows = []
+            own = now
+            rows.append(row)
+    if rows:
+        yield own, rows
+
+
+def _merge(shared: Broadcast, schema: pa.Schema):
+    """One row for each bucket: its cells (context, word, customers), its tokens by cell, and what sweeps need of the cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memos(__name__)
+        for b, rows in _by("b", batches):
+            for r in rows:
+                if not r["data"].is_valid:
+                    one = {"b": [b], "chunk": [r["chunk"].as_py()], "ids": pa.array([r["ids"]], schema.field("ids").type), "held": [r["held"]], "n": [r["n"]]}
+                    yield pa.RecordBatch.from_arrays([pa.array(one[f.name], f.type) if f.name in one else pa.nulls(1, f.type) for f in schema], schema=schema)
+            rows = [r for r in rows if r["data"].is_valid]
+            if not rows:
+                continue
+            chunks = [r["chunk"].as_py() for r in rows]
+            parts = [unpack(r["data"].as_buffer()) for r in rows]
+            us, ws = [np.cumsum(p[0]) for p in parts], [np.cumsum(p[2]) for p in parts]
+            u_all, w_all = np.unique(np.concatenate(us)), np.unique(np.concatenate(ws))
+            key, code = [], []
+            for i, (_, cells, _, index, counts, codes) in enumerate(parts):
+                at = np.repeat(np.searchsorted(u_all, us[i]), cells).astype(np.uint64) << np.uint64(32) | np.searchsorted(w_all, ws[i])[index].astype(np.uint64)
+                key.append(np.repeat(at, counts))
+                code.append(codes.astype(np.int64) | i << 17)
+            del parts, us, ws
+            key, code = np.concatenate(key), np.concatenate(code)
+            order = np.argsort(key)
+            key, code = key[order], code[order]
+            del order
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            counts = np.diff(np.append(starts, len(key)))
+            learn = np.add.reduceat(code & 1, starts)
+            room, word = (key[starts] >> np.uint64(32)).astype(np.int64), (key[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            del key
+            many, one = np.flatnonzero(learn > 1), learn == 1
+            at, known = _place(shared.value[0], u_all)
+            hot = np.flatnonzero(known)
+            row = {
+                "b": [b], "chunks": [chunks],
+                "cells": [pack(steps_of(u_all), narrow(np.bincount(room, minlength=len(u_all))), steps_of(w_all), narrow(word), narrow(learn))],
+                "tokens": [pack(narrow(counts), narrow(code))],
+                "more": [pack(
+                    steps_of(room[many].astype(np.uint32)), narrow(word[many]), narrow(learn[many]), narrow(np.bincount(room[one], minlength=len(u_all))),
+                    narrow(np.bincount(word[one], minlength=len(w_all))), narrow(hot), narrow(at[hot]),
+                )],
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) if f.name in row else pa.nulls(1, f.type) for f in schema], schema=schema)
+
+    return run
+
+
+# --- Gibbs sweeps ----------------------------------------------------------------------------------------------------
+
+#: Rows of buckets: requests to the shards of the parent (``shard`` is set), or the seating of a bucket.
+_ASKED = "b int, shard int, data binary, hot array<struct<u:long,c:long,t:long>>"
+_HOT = pa.list_(pa.struct([("u", pa.int64()), ("c", pa.int64()), ("t", pa.int64())]))
 
-def _rng(sweep: int) -> np.random.Generator:
-    return np.random.default_rng([SEED, sweep, TaskContext.get().partitionId()])
+
+def _asked(b: int, rows: list[tuple[int | None, bytes]], hot: list[dict]) -> pa.RecordBatch:
+    """``hot`` goes with the first row."""
+    return pa.RecordBatch.from_pydict({
+        "b": pa.array([b] * len(rows), pa.int32()), "shard": pa.array([s for s, _ in rows], pa.int32()), "data": pa.array([x for _, x in rows], pa.binary()),
+        "hot": pa.array([hot, *[None] * (len(rows) - 1)], _HOT),
+    })
 
 
-def _open(sweep: int):
-    """The gamma variable of each restaurant, drawn from its tables: given those, all cells are independent."""
+def _first_requests(shared: Broadcast, shards: np.ndarray):
+    """Ask the shards for the words of a bucket, with their customers and (one a cell) tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = _rng(sweep)
-        for b in batches:
-            drawn = rng.standard_gamma(CONTEXT[1] / CONTEXT[0] + b.column("tables").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column("u"), pa.array(drawn, pa.float64())], names=["u", "gamma"])
+        own_memos(__name__)
+        for b, (row,) in _by("b", batches):
+            u, cells, w, word, learn = unpack(row["cells"].as_buffer())
+            u, w, learn = np.cumsum(u), np.cumsum(w), learn.astype(np.int64)
+            customers, tables = np.bincount(word, learn, len(w)).astype(np.int64), np.bincount(word[learn > 0], minlength=len(w))
+            cuts = np.searchsorted(((w >> np.uint64(32)) * np.uint64(len(shards))) >> np.uint64(32), np.arange(len(shards) + 1))
+            rows = [
+                (s, pack(steps_of(w[x:y]), narrow(customers[x:y]), narrow(tables[x:y])))
+                for s, x, y in zip(shards.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if x < y
+            ]
+            room = np.repeat(np.arange(len(u)), cells)
+            at, known = _place(shared.value[0], u)
+            hot = [
+                {"u": int(at[r]), "c": int(learn[lo:hi].sum()), "t": int((learn[lo:hi] > 0).sum())}
+                for r in np.flatnonzero(known) for lo, hi in [np.searchsorted(room, [r, r + 1])]
+            ]
+            yield _asked(b, rows, hot)
 
     return run
 
 
-def _seat(sweep: int):
-    """Tables of the cells of all contexts: a sample, and the mean of as many as are averaged."""
+_ANSWER = "b int, shard int, data binary, counts binary, v long, n long, c long, t long"
+
+
+def _serve(sweep: int, gamma: float, words: int):
+    """A shard of the parent: its customers are the tables of all contexts.  Draw its own tables, and tell each bucket about its words.
+
+    Sweep 0 begins with one table for each word, and numbers the words of the shard, by which they are named from then on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = _rng(sweep)
-        for b in batches:
-            c, gamma, p = (b.column(x).to_numpy() for x in ("c", "gamma", "p"))
-            drawn = [draw_tables(c, CONTEXT[0] * gamma * p, CONTEXT[0], rng) for _ in range(SAMPLES if sweep == ROUNDS - 1 else 1)]
+        own_memos(__name__)
+        for shard, rows in _by("shard", batches):
+            parts = [unpack(r["data"].as_buffer()) for r in rows]
+            first = [np.cumsum(p[0]) for p in parts]
+            if sweep == 0:
+                names = np.unique(np.concatenate(first))
+                places, size = [np.searchsorted(names, x) for x in first], len(names)
+                counts = np.zeros(size, np.int64)
+                for at, p in zip(places, parts, strict=True):
+                    counts[at] += p[1]
+            else:
+                places = [x.astype(np.int64) for x in first]
+                size = 1 + max(int(x[-1]) for x in places)
+            customers = np.zeros(size, np.int64)
+            for at, p in zip(places, parts, strict=True):
+                customers[at] += p[-1]
+            known = customers > 0
+            tables = known.astype(np.int64)
+            if sweep:
+                weight = np.full(int(known.sum()), ROOT[0] * gamma / (words + 1))
+                tables[known] = draw_tables(customers[known], weight, ROOT[0], np.random.default_rng([SEED, sweep, 1, shard]))
+            sums = [int(known.sum()), int(counts.sum()) if sweep == 0 else 0, int(customers.sum()), int(tables.sum())]
+            none = [0] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("u"), b.column("w"), b.column("c"), pa.array(drawn[-1], pa.int64()), pa.array(np.mean(drawn, 0), pa.float64())],
-                names=["u", "w", "c", "t", "mean"],
+                [
+                    pa.array([r["b"].as_py() for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int32()),
+                    pa.array([pack(steps_of(at.astype(np.uint32)), narrow(customers[at]), narrow(tables[at])) for at in places], pa.binary()),
+                    pa.array([pack(narrow(counts[at])) if sweep == 0 else None for at in places], pa.binary()),
+                    *[pa.array([x, *none], pa.int64()) for x in sums],
+                ],
+                names=["b", "shard", "data", "counts", "v", "n", "c", "t"],
             )
 
     return run
 
 
-def _fit_shards(table: pa.Table) -> pa.Table:
-    hashes, counts = table.column("h").to_numpy(), table.column("c").to_numpy()
-    order = np.argsort(hashes)
-    part = table.column("part")[0].as_py()
-    p, unseen = fit_shard(counts[order], SEED + part)
-    # The row without a hash holds the probability of an unseen word, and the restaurant's customers.
-    return pa.table({
-        "part": pa.array([part] * (len(p) + 1), pa.int64()), "h": pa.array([*hashes[order].tolist(), None], pa.int64()),
-        "c": pa.array([*counts[order].tolist(), int(counts.sum())], pa.int64()), "logp": pa.array([*np.log10(p).tolist(), float(np.log10(unseen))], pa.float64()),
-    })
+def _read(given: pa.Scalar) -> dict[int, list]:
+    """Arrays of the rows that came for a bucket, by their kind; answers in the order of the shards."""
+    out: dict[int, list] = {}
+    for x in sorted(given.values.to_pylist(), key=lambda x: (x["kind"], x["part"])):
+        out.setdefault(x["kind"], []).append((x["part"], unpack(x["data"])))
+    return out
 
 
-_TAIL = pa.struct([("u", pa.int64()), ("w", pa.int64()), ("open", pa.float32()), ("p", pa.float32())])
+def _answers(rows: list, order: dict[int, int]) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+    """(shard and places of its words, customers, tables) of a bucket's words, in the words' order."""
+    rows = sorted(rows, key=lambda x: order[x[0]])
+    return [(s, x[0]) for s, x in rows], *(np.concatenate([x[i] for _, x in rows]).astype(np.int64) for i in (1, 2))
 
 
-def _score_head(shared, total: int, kinds_total: int):
-    floor = np.log10(total + 0.1 * (kinds_total + 1))
+def _seat(sweep: int, figures: dict, hot: Broadcast, shards: np.ndarray):
+    """Seat the customers of a bucket's contexts again, given the parent, and ask the shards for the next one."""
+    order = {int(s): i for i, s in enumerate(shards)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memos(__name__)
+        for b, (row,) in _by("b", batches):
+            room, word, customers, once, once_words, hot_at, hot_of = unpack(row["more"].as_buffer())
+            room, word, once = np.cumsum(room).astype(np.int64), word.astype(np.int64), once.astype(np.int64)
+            given = _read(row["given"])
+            places, served, laid = _answers(given[0], order)
+            p = parent(served, laid, **figures)
+            rng = np.random.default_rng([SEED, sweep, 0, b])
+            rooms = Restaurants(room, customers, len(once), CONTEXT, rng, once)
+            before = given[1][0][1][0].astype(np.int64) if 1 in given else rooms.opened()
+            gamma = rng.standard_gamma(CONTEXT[1] / CONTEXT[0] + before)
+            gamma[hot_at] = hot.value[hot_of]
+            rooms.sweep(p[word], gamma)
+            now = rooms.opened()
+            tables = once_words + np.bincount(word, rooms.tables, len(once_words)).astype(np.int64)
+            cuts = np.cumsum([0] + [len(x) for _, x in places])
+            rows = [(s, pack(x, narrow(tables[lo:hi]))) for (s, x), lo, hi in zip(places, cuts[:-1], cuts[1:], strict=True)]
+            yield _asked(b, [(None, pack(narrow(now), narrow(rooms.tables))), *rows], [{"u": int(of), "c": 0, "t": int(now[at])} for at, of in zip(hot_at, hot_of, strict=True)])
+
+    return run
+
+
+# --- scores ----------------------------------------------------------------------------------------------------------
+
+
+def _score(figures: list[dict], hot: Broadcast, total: int, words: int, shards: np.ndarray):
+    """Sums over the tokens of each document that lie in a bucket: base, score, known tokens."""
+    order = {int(s): i for i, s in enumerate(shards)}
+    floor = math.log10(total + 0.1 * (words + 1))
     discount, strength = CONTEXT
 
-    def run(docs) -> Iterator[dict]:
-        lexicon, keys, own = shared.value
-        for ids, texts, batch in docs:
-            words, lengths = _tokens(texts)
-            before = _before(words, lengths)
-            (at, known), (at_u, known_u) = lexicon.find(words), lexicon.find(before)
-            at_pair, met = _find(keys, _keys(before, words))
-            n = len(words)
-            base, score, opens, p = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-            if len(lexicon.hashes):
-                base = np.where(known, np.log10(lexicon.counts[at] + 0.1) - floor, 0.0)
-                opens, p = strength + discount * lexicon.tables[at_u], lexicon.p[at]
-                score = np.where(known_u, -np.log10(strength + lexicon.counts[at_u]), 0.0)
-            done = known & known_u & met
-            if done.any():
-                score[done] += np.log10(own[at_pair[done]] + opens[done] * p[done])
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-            left = np.flatnonzero(~done)
-            ends = np.searchsorted(left, np.concatenate((starts, [n])))
-            tail = pa.StructArray.from_arrays(
-                [pa.array(before[left].view(np.int64)), pa.array(words[left].view(np.int64)), pa.array(opens[left], pa.float32(), mask=~known_u[left]), pa.array(p[left], pa.float32(), mask=~known[left])],
-                fields=list(_TAIL),
-            )
-            yield {
-                "id": ids, "held_out": batch.column("held_out"), "n_tokens": lengths, "n_known": np.add.reduceat(known.astype(np.int64), starts),
-                "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(score, starts),
-                "tail": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail, type=pa.list_(pa.field("element", _TAIL))),
-            }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memos(__name__)
+        for _, (row,) in _by("b", batches):
+            u, cells, _, word, learn = unpack(row["cells"].as_buffer())
+            hot_at, hot_of = unpack(row["more"].as_buffer())[-2:]
+            room, learn = np.repeat(np.arange(len(u)), cells), learn.astype(np.int64)
+            many = learn > 1
+            given = _read(row["given"])
+            customers = np.bincount(room, learn, len(u))
+            customers[hot_at] = hot.value[0][hot_of]
+            p = np.zeros(len(learn))
+            for s, sums in enumerate(figures):
+                _, served, laid = _answers(given[2 * s + 1], order)
+                opened, tables = given[2 * s + 2][0][1]
+                opened = opened.astype(np.float64)
+                opened[hot_at] = hot.value[s + 1][hot_of]
+                seats = (learn > 0).astype(np.float64)
+                seats[many] = tables
+                p += (learn - discount * seats + (strength + discount * opened)[room] * parent(served, laid, **sums)[word]) / (strength + customers)[room]
+            counts = np.concatenate([x[0] for _, x in sorted(given[0], key=lambda x: order[x[0]])]).astype(np.int64)
+            del given, room, learn
+            each, codes = unpack(row["tokens"].as_buffer())
+            ends = np.cumsum(each.astype(np.int64))
+            p = np.log10(p / len(figures))
+            single, met = np.log10(counts + 0.1) - floor, counts > 0
+            parts, lo = [], 0
+            while lo < len(each):  # in steps, so that no array has an entry for each token
+                at = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, at + STEP_TOKENS, "right")))
+                doc, own = np.unique(codes[at : ends[hi - 1]].astype(np.int64) >> 1, return_inverse=True)
+                sums = [np.bincount(own, np.repeat(x, each[lo:hi]), len(doc)) for x in (single[word[lo:hi]], p[lo:hi], met[word[lo:hi]])]
+                parts.append((doc, *sums))
+                lo = hi
+            doc, own = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            base, score, known = (np.bincount(own, np.concatenate([x[i] for x in parts]), len(doc)) for i in (1, 2, 3))
+            known = known.astype(np.int64)
+            chunks = row["chunks"].as_py()
+            cuts = np.searchsorted(doc >> 16, np.arange(len(chunks) + 1))
+            data = [pack((doc[x:y] & 0xFFFF).astype(np.uint16), base[x:y], score[x:y].astype(np.float32), narrow(known[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "sums": pa.array(data, pa.binary())})
 
     return run
 
 
-def _parent(dishes: DataFrame, splits: int) -> tuple[DataFrame, DataFrame]:
-    """(h, p) of the unigram parent, whose customers ``tables`` are the tables of all contexts, and (part, unseen).
+def _add_up(schema: pa.Schema):
+    """One row for each document of a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by("chunk", batches):
+            (docs,) = (r for r in rows if r["ids"].is_valid)
+            ids, held, n = docs["ids"].values, docs["held"].values, docs["n"].values
+            base, score, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+            for r in rows:
+                if r["sums"].is_valid:
+                    at, *values = unpack(r["sums"].as_buffer())
+                    for into, x in zip((base, score, known), values, strict=True):
+                        into[at] += x
+            out = {"id": ids, "held_out": held, "n_tokens": n, "n_known": known, "base_score": base, "score": score}
+            yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
 
-    Parts of the vocabulary by hash share out the parent by their customers, one being added to each; within a part a
-    restaurant serves its words and an unseen one."""
-    part = F.expr(f"h & {SHARDS * splits - 1}L").alias("part")
-    fitted = dishes.select("h", F.col("tables").alias("c"), part).groupBy("part")
-    fitted = shared_table(fitted.applyInArrow(_fit_shards, "part long, h long, c long, logp double"), "shards")
-    rooms = fitted.where("h is null").select("part", F.col("c").alias("own"), F.col("logp").alias("unseen"))
-    whole = rooms.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
-    share = (F.col("own") + 1) / F.lit(float(whole + SHARDS * splits))
-    words = fitted.where("h is not null").join(F.broadcast(rooms.select("part", share.alias("share"))), "part")
-    every = dishes.sparkSession.range(SHARDS * splits).select(F.col("id").alias("part")).join(rooms, "part", "left")
-    unseen = F.coalesce(share * F.pow(F.lit(10.0), "unseen"), F.lit(1.0 / (whole + SHARDS * splits)))
-    return words.select("h", (F.pow(F.lit(10.0), "logp") * F.col("share")).alias("p")), every.select("part", unseen.alias("unseen"))
+    return run
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
@@ -385,97 +545,97 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A-Z are lower-cased; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end; a null or empty text is the end alone.  Rows
     whose id's crc32 modulo ``folds`` is 0 (a null id is one) teach nothing.  ``base_score`` adds up
-    log10((c + 0.1) / (N + 0.1 (V + 1))); ``score`` is the log10 probability of the text in the model.
-
-    The model: every word (and the end) is a context with a restaurant of its own, which serves words; all share a unigram
-    parent, whose customers are their tables.  Its parts are restaurants by hash; one of more than SHARD_WORDS words is
-    split by further bits.  Seating is sampled by Gibbs sweeps that seat every customer again (each cell's number of tables
-    is drawn given the parent and the restaurant), and the last sweep's samples are averaged.  Counts cover all
-    training texts; cells are spread as rows, so that no context lies in one task.  What the HEAD most frequent words and
-    the HEAD_PAIRS most frequent pairs don't decide is scored by joins.  Without training rows every probability is that
-    of the bases.
+    log10((c + 0.1) / (N + 0.1 (V + 1))); ``score`` is the log10 probability of the text in the model.  Rows that repeat an id
+    are texts of their own.  An empty table gives an empty result; only the id and the text are read, so no name can clash.
+
+    The model: every word (and the end) is a context with a restaurant that serves the words that follow it; all share a
+    unigram parent, whose customers are their tables and whose base is even over the words of the training texts and one
+    unknown word.  Seating begins with one table for each cell.  A sweep seats every customer of every context again, given
+    the parent, and then every customer of the parent; after BURN sweeps, the predictive probabilities of SAMPLES more are
+    averaged.  Without training rows every probability is that of the base.
+
+    Buckets (about BUCKET_TOKENS tokens each) hold whole contexts; frequent ones are dealt over several.  The parent lies in
+    as many shards of words; buckets ask each for their words and are answered.  So a task's memory does not depend on the input.
     """
+    with scratch() as own:
+        return own.keep(_scored(docs, id_col, text_col, folds), "scored")
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
-    discount, strength = CONTEXT
-    fold = remainder(F.col(id_col), folds)
-    learn = {"learn": fold != 0}
-    counted = map_texts(docs, _count_words, "h long, c long", id_col, text_col, learn)
-    counts = shared_table(counted.groupBy("h").agg(F.sum("c").alias("c")), "words")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    pairs = map_texts(docs, _count_pairs, "u long, w long, c long", id_col, text_col, learn)
-    cells = shared_table(pairs.groupBy("u", "w").agg(F.sum("c").alias("c")), "cells")
-    splits = 1 << max(0, math.ceil(math.log2(max(1, sums.v) / (SHARDS * SHARD_WORDS))))
-
-    # A cell of one customer has one table for good; the others begin with one.
-    more = cells.where("c > 1")
-    once = F.count(F.when(F.col("c") == 1, 1)).alias("once")
-    rooms = shared_table(cells.groupBy("u").agg(F.count("*").alias("tables"), once), "rooms")
-    dishes = shared_table(cells.groupBy(F.col("w").alias("h")).agg(F.count("*").alias("tables"), once), "dishes")
-    rooms_now, dishes_now = rooms, dishes
-    for sweep in range(ROUNDS):
-        words, unseen = _parent(dishes_now, splits)
-        words = shared_table(words, "parent")
-        opened = shared_table(rooms_now.select("u", "tables").mapInArrow(_open(sweep), "u long, gamma double"), "opened")
-        given = more.join(opened, "u").join(words.withColumnRenamed("h", "w"), "w").select("u", "w", "c", "gamma", "p")
-        seated = shared_table(given.mapInArrow(_seat(sweep), "u long, w long, c long, t long, mean double"), "seated")
-        last = sweep == ROUNDS - 1
-        tables = (F.col("once") + F.coalesce(F.col("t"), F.lit(0))).alias("tables")
-        added = seated.groupBy("u").agg(F.sum("mean" if last else "t").alias("t"))
-        rooms_now = rooms.join(added, "u", "left").select("u", tables)
-        if not last:
-            dishes_now = dishes.join(seated.groupBy(F.col("w").alias("h")).agg(F.sum("t").alias("t")), "h", "left").select("h", tables)
-
-    figures = counts.join(rooms_now.withColumnRenamed("u", "h"), "h").join(words, "h")
-    figures = shared_table(figures.select("h", "c", F.col("tables").cast("double").alias("tables"), "p"), "figures")
-    unseen = F.broadcast(unseen)
-    seen = seated.select("u", "w", "c", (F.col("c") - discount * F.col("mean")).alias("own"))
-    top = _head(seen, HEAD_PAIRS).select("u", "w", "own").toArrow()
-    keys = _keys(*(top.column(x).to_numpy().view(np.uint64) for x in ("u", "w")))
-    order = np.argsort(keys)
-    scoring = spark.sparkContext.broadcast((Lexicon(_head(figures, HEAD).toArrow()), keys[order], top.column("own").to_numpy()[order].astype(np.float32)))
-    schema = (
-        f"id {id_type(docs, id_col)}, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-        "tail array<struct<u:long,w:long,open:float,p:float>>"
-    )
-    scored = map_texts(docs, _score_head(scoring, sums.n, sums.v), schema, id_col, text_col, {"held_out": fold == 0})
-    scored = shared_table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-
-    # Tokens whose word, context or pair is not in a head.  Only rare words are joined by themselves.
-    tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.*")
-    zero = F.lit(0.0)
-    context = figures.select(F.col("h").alias("u"), F.col("c").alias("cu"), "tables")
-    lost = tail.where("open is null").join(context, "u", "left").select(
-        "row", "u", "w", (strength + discount * F.coalesce("tables", zero)).alias("open"), "p", (-F.log10(strength + F.coalesce("cu", zero))).alias("s")
-    )
-    opens = tail.where("open is not null").select("row", "u", "w", F.col("open").cast("double").alias("open"), "p", zero.alias("s")).unionByName(lost)
-    base = F.log10(F.coalesce("c", F.lit(0)) + 0.1) - F.log10(F.lit(sums.n + 0.1 * (sums.v + 1)))
-    rare = opens.where("p is null").drop("p").join(figures.select(F.col("h").alias("w"), "c", "p"), "w", "left")
-    rare = rare.withColumn("part", F.expr(f"w & {SHARDS * splits - 1}L")).join(unseen, "part").select(
-        "row", "u", "w", (F.col("open") * F.coalesce("p", "unseen")).alias("back"), "s", F.when(F.col("c") > 0, 1).otherwise(0).alias("k"), base.alias("b")
-    )
-    every = opens.where("p is not null").select("row", "u", "w", (F.col("open") * F.col("p")).alias("back"), "s", F.lit(0).alias("k"), zero.alias("b")).unionByName(rare)
-    once = cells.where("c = 1").select("u", "w", F.lit(1 - discount).alias("own"))
-    every = every.join(seen.select("u", "w", "own").unionByName(once), ["u", "w"], "left")
-    score = F.col("s") + F.log10(F.coalesce("own", zero) + F.col("back"))
-    more = every.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum(score).alias("s"))
-    return scored.drop("tail").withColumnRenamed("score", "score0").join(more, "row", "left").select(
-        F.col("id").alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(sums.n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("score0") + F.coalesce("s", zero)).alias("score"),
-    )
+    context, kind = spark.sparkContext, id_type(docs, id_col)
 
+    def arrow(schema: str) -> pa.Schema:
+        return to_arrow_schema(spark.createDataFrame([], schema).schema)
 
-def _head(counts: DataFrame, most: int) -> DataFrame:
-    """The rows with the highest counts ``c``, ``most`` at most: those above the least step of a logarithmic scale that keeps to the bound."""
-    step = F.floor(F.log2("c") * 64)
-    sizes = counts.groupBy(step.alias("step")).count().collect()  # some thousand rows for any 64-bit counts
-    least, size = 1 << 20, 0
-    for row in sorted(sizes, key=lambda r: -r["step"]):
-        size += row["count"]
-        if size > most:
-            break
-        least = row["step"]
-    return counts.where(step >= least)
+    buckets, hot, deal = _layout(docs, id_col, text_col)
+    keys = even_keys(buckets)
+    shared = context.broadcast((hot, deal, keys))
+    lists = f"ids array<{kind}>, held array<boolean>, n array<long>"
+    blocks = map_texts(
+        docs, _blocks(shared), f"b int, chunk long, data binary, {lists}", id_col, text_col, {"held_out": remainder(F.col(id_col), folds) == 0}
+    )
+    schema = f"b int, chunk long, {lists}, chunks array<long>, cells binary, tokens binary, more binary"
+    merged = blocks.repartition(buckets, "b").sortWithinPartitions("b", "chunk").mapInArrow(_merge(shared, arrow(schema)), schema)
+    table = bucketed_table(merged, "tokens", buckets, "b")
+    del blocks, merged
+    free_shuffles(spark)
+
+    def given(*tables: DataFrame) -> DataFrame:
+        every = functools.reduce(DataFrame.unionAll, tables).repartition(buckets, "b")
+        return every.groupBy("b").agg(F.collect_list(F.struct("kind", "part", "data")).alias("given"))
+
+    def came(df: DataFrame, kind: int, data: str = "data") -> DataFrame:
+        return df.select("b", F.lit(kind).alias("kind"), F.coalesce("shard", F.lit(-1)).alias("part"), F.col(data).alias("data"))
+
+    def frequent(df: DataFrame, column: str) -> np.ndarray:
+        """Sums over the buckets of the frequent contexts, of which there are at most four a bucket."""
+        sums = df.where("hot is not null").select(F.explode("hot").alias("x")).groupBy("x.u").agg(F.sum(f"x.{column}").alias("s")).collect()
+        out = np.zeros(len(hot))
+        for row in sums:
+            out[row.u] = row.s
+        return out
+
+    def serve(asked: DataFrame, sweep: int, gamma: float, words: int) -> tuple[DataFrame, object]:
+        rows = asked.where("shard is not null").select("shard", "b", "data").repartition(buckets, "shard").sortWithinPartitions("shard", "b")
+        answers = shared_table(rows.mapInArrow(_serve(sweep, gamma, words), _ANSWER), "answers")
+        return answers, answers.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "vnct"]).first()
+
+    rng = np.random.default_rng(SEED)
+    asked = shared_table(table.where("cells is not null").select("b", "cells").mapInArrow(_first_requests(shared, keys), _ASKED), "asked")
+    customers, opened = frequent(asked, "c"), frequent(asked, "t")
+    first, sums = serve(asked, 0, 0.0, 0)
+    total, words, answers, seated = sums.n, sums.v, first, None
+    samples = []
+    for sweep in range(1, BURN + SAMPLES + 1):
+        figures = {"words": words, "all_customers": sums.c, "all_tables": sums.t}
+        gamma = context.broadcast(rng.standard_gamma(CONTEXT[1] / CONTEXT[0] + opened))
+        before = [came(answers, 0)] + ([came(seated.where("shard is null"), 1)] if seated else [])
+        rows = table.where("more is not null").select("b", "more").join(given(*before), "b")
+        seated = shared_table(rows.sortWithinPartitions("b").mapInArrow(_seat(sweep, figures, gamma, keys), _ASKED), "seated")
+        opened = frequent(seated, "t")
+        answers, sums = serve(seated, sweep, float(rng.standard_gamma(ROOT[1] / ROOT[0] + sums.t)), words)
+        if sweep > BURN:
+            samples.append((seated, opened, answers, {"words": words, "all_customers": sums.c, "all_tables": sums.t}))
+
+    before = [came(first, 0, "counts")]
+    for s, (seats, _, told, _) in enumerate(samples):
+        before += [came(told, 2 * s + 1), came(seats.where("shard is null"), 2 * s + 2)]
+    rows = table.where("cells is not null").select("b", "chunks", "cells", "tokens", "more").join(given(*before), "b").sortWithinPartitions("b")
+    averages = context.broadcast((customers, *[x for _, x, _, _ in samples]))
+    part = rows.mapInArrow(_score([x for *_, x in samples], averages, total, words, keys), "chunk long, sums binary")
+    every = part.unionByName(table.where("ids is not null").select("chunk", "ids", "held", "n"), allowMissingColumns=True)
+    # The chunks of a task lie together; tasks are dealt evenly.
+    parts = shuffle_partitions(spark)
+    homes = F.lit(even_keys(parts).tolist())
+    home = F.element_at(homes, (F.pmod(F.shiftright("chunk", 24), F.lit(parts)) + 1).cast("int")).cast("int")
+    every = every.withColumn("home", home).repartition(parts, "home").sortWithinPartitions("chunk").drop("home")
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    return every.mapInArrow(_add_up(arrow(schema)), schema).select(
+        F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
 
 
 def perplexity(scored: DataFrame, column: str = "score") -> DataFrame:

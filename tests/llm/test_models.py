@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from kindred.llm import pitman_yor
-from kindred.llm.pitman_yor import CONTEXTS, DISHES, Restaurants, fit_contexts, fit_shard, perplexity, score_texts
+from kindred.llm.pitman_yor import Restaurants, parent, perplexity, score_texts
 from kindred.llm.quality import fit, keep_quality, score_quality
 
 from .conftest import SCHEMA, make_docs
@@ -18,11 +18,11 @@ def tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), None]
 
 
-@pytest.mark.parametrize(("head", "frequent", "shard_words"), [(1 << 18, 1023, 1 << 18), (40, 20, 1)])
-def test_counts_and_base_match_brute_force(spark, corpus, head, frequent, shard_words, monkeypatch):
-    monkeypatch.setattr(pitman_yor, "HEAD", head)
-    monkeypatch.setattr(pitman_yor, "FREQUENT", frequent)
-    monkeypatch.setattr(pitman_yor, "SHARD_WORDS", shard_words)
+@pytest.mark.parametrize(("gather", "docs", "bucket", "look"), [(1 << 22, 1 << 16, 1 << 22, 64), (300, 7, 500, 1)])
+def test_counts_and_base_match_brute_force(spark, corpus, gather, docs, bucket, look, monkeypatch):
+    """With small chunks and buckets, frequent contexts are dealt over several buckets."""
+    for name, value in (("GATHER", gather), ("GATHER_DOCS", docs), ("BUCKET_TOKENS", bucket), ("LOOK", look)):
+        monkeypatch.setattr(pitman_yor, name, value)
     c = Counter()
     for i, t in corpus:
         if zlib.crc32(str(i).encode() if i is not None else b"") % 10:
@@ -66,10 +66,8 @@ def test_seating_stays_whole_and_probabilities_add_up():
         assert (r.tables <= r.customers).all()
     own, rest = r.predictive()
     assert np.allclose(np.bincount(room, own, 4) + rest, 1)
-    table = fit_contexts(np.array([0, 0, 3, 3]), np.array([1, 2, 2, 5]), np.array([50, 1, 2, 9]))
-    assert table.shape == (CONTEXTS, DISHES) and np.allclose(table.sum(1), 1)
-    p, unseen = fit_shard(np.array([9, 4, 1, 1]), 3)
-    assert p.sum() + unseen == pytest.approx(1) and p[0] > p[2] > 0
+    p = parent(np.array([9, 4, 1, 1, 0]), np.array([3, 2, 1, 1, 0]), 4, 15, 7)
+    assert p.sum() == pytest.approx(1) and p[0] > p[1] > p[2] > p[4] > 0
 
 
 def test_scoring_without_training_rows(spark):
