@@ -45,7 +45,8 @@ def filter_urls(
     An entry's key is a domain; it covers the host itself and all below it.  Of the entries active at the time of the fetch
     the one with the longest domain decides, ``allow`` before ``block`` among equals; ``matched`` is that domain and ``lists``
     are the lists that say so, sorted and comma-joined.  A null or malformed URL or a null time meets no entry and is not
-    blocked; rows that repeat an id are judged one by one.
+    blocked; rows that repeat an id, or have none, are judged one by one.  Without entries nothing is blocked; without
+    captures the result is empty.  Only the three columns of a capture are read, so no name can clash.
     """
     rows = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), time.alias("fetched"))
     rows = shared_table(rows.withColumn("row", F.monotonically_increasing_id()), "captures")

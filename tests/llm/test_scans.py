@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -45,6 +47,61 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert (span.start, span.end) == (4, 52)
 
 
+def chance(token):
+    """(encoding, p) of a token by the book, with exact normal tails; None if no encoding fits."""
+    bare = token.rstrip("=")
+    for number, (name, (pattern, symbols)) in enumerate(secrets.ENCODINGS.items()):
+        text = bare.replace("-", "+").replace("_", "/") if name == "base64" else bare
+        if re.search(pattern, text):
+            break
+    else:
+        return None
+    if name in ("hex", "dashed hex", "base26", "base36"):
+        text = text.lower()
+    if name == "dashed hex":
+        text = text.replace("-", "")
+    n, k = len(text), len(symbols)
+    values = [symbols.index(c) + 1 for c in text]
+    even = sum((x - n / k) ** 2 / (n / k) for x in Counter(text).values()) + (k - len(set(text))) * n / k
+    z1 = ((even / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    high = [v > k / 2 for v in values]
+    runs, up = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    mean = 2 * up * (n - up) / n + 1
+    z2 = (runs - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+    m = sum(values) / n
+    z3 = sum((a - m) * (b - m) for a, b in zip(values, values[1:])) / max(1e-9, sum((v - m) ** 2 for v in values)) * math.sqrt(n)
+    tail = lambda z: 0.5 * math.erfc(max(-8, min(8, z)) / math.sqrt(2))
+    y = -sum(math.log(max(1e-12, min(1, p))) for p in (tail(z1), 2 * tail(abs(z2)), 2 * tail(abs(z3))))
+    return number, math.exp(-y) * (1 + y + y * y / 2)
+
+
+def test_p_values_match_the_tests_by_the_book(spark):
+    rng = random.Random(21)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase, string.ascii_lowercase + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "+/", "abcdef-0123456789_"]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.choice([20, 24, 32, 40, 64, 200]))) for a in alphabets for _ in range(12)]
+    tokens += ["a" * 30, "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef" * 4, "aB3" * 12, "Ab" * 20 + "==", "1" * 25, "A1-" * 10, "deadbeef-0000-1111-2222-333344445555"]
+    got = {r.token: (r.encoding, r.p) for r in secrets._judged(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    for t in tokens:
+        want = chance(t)
+        assert (t in got) == (want is not None)
+        if want:
+            assert got[t][0] == want[0] and abs(got[t][1] - want[1]) < 0.005, t
+
+
+def test_random_spans_of_null_empty_repeated_and_very_long_texts(spark):
+    rng = random.Random(30)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(44))
+    one = f"x {key()} y"
+    rows = [(1, None), (2, ""), (None, one), (3, one), (3, one), (3, "other"), (4, "word " * 300_000 + key() + " " + "line\n" * 100_000)] + [(10 + i, f"é {key()}") for i in range(40)]
+    got = [(r.doc_id, [(s.start, s.end) for s in r.random]) for r in scan_secrets(make_docs(spark, rows)).collect()]
+    assert sorted(str(i) for i, _ in got) == sorted(str(i) for i, _ in rows)
+    assert dict(got)[1] == dict(got)[2] == []
+    same = [s for i, s in got if i in (None, 3) and s]
+    assert len(same) in (0, 3) and all(s == [(2, 46)] for s in same)
+    assert dict(got)[4] in ([], [(1_500_000, 1_500_044)])
+    assert sum(bool(s) for i, s in got if i and i >= 10) >= 25
+
+
 def test_thresholds_bound_the_share_of_others():
     even = [(0, 2, b, 10) for b in range(100)]
     assert thresholds(even, 0.1) == {(0, 2): 0.01}
@@ -84,4 +141,37 @@ def test_captures_meet_the_entries_of_their_time(spark):
 
 
 def test_no_captures_and_no_entries(spark):
-    assert judged(spark, [("http://bad.example/", 12)] * 0 or [("u", 1)])[0].blocked is False
+    schema = "page_id long, url string, day long, row string, host string, lists string, key string"
+    none, lists = spark.createDataFrame([], schema), spark.createDataFrame(LISTS, "list string, key string, action string, verdict string, at long")
+    for limit in (1000, 0):
+        assert url_filter.filter_urls(none, lists, "page_id", "url", F.col("day"), limit).count() == 0
+        some = spark.createDataFrame([(1, "http://bad.example/", 12, "x", "x", "x", "x"), (1, "http://bad.example/", 12, "x", "x", "x", "x"), (None, None, None, None, None, None, None)], schema)
+        got = url_filter.filter_urls(some, lists.where("false"), "page_id", "url", F.col("day"), limit).collect()
+        assert len(got) == 3 and not any(r.blocked for r in got) and {r.verdict for r in got} == {None}
+        got = url_filter.filter_urls(some, lists, "page_id", "url", F.col("day"), limit).collect()
+        assert sorted((r.id or 0, r.blocked) for r in got) == [(0, False), (1, True), (1, True)]
+
+
+def test_joins_match_a_brute_force_over_all_entries(spark):
+    rng = random.Random(12)
+    domains = ["example", "a.example", "b.a.example", "c.example", "org", "x.org"]
+    entries = [(rng.choice("pqr"), rng.choice(domains), rng.choice(["add", "add", "remove"]), rng.choice(["block", "allow"]), rng.randrange(40)) for _ in range(60)]
+    pages = [(i, f"http://{rng.choice(['', 'w.', 'v.w.'])}{rng.choice(domains)}/p{i}", rng.randrange(45)) for i in range(200)]
+
+    def state(name, key, day):
+        past = [e for e in entries if e[:2] == (name, key) and e[4] <= day]
+        if not past:
+            return None
+        last = [e for e in past if e[4] == max(x[4] for x in past)]
+        return None if any(e[2] == "remove" for e in last) else "allow" if any(e[3] == "allow" for e in last) else "block"
+
+    want = {}
+    for i, url, day in pages:
+        host = url.split("/")[2]
+        keys = [host.split(".", n)[n] for n in range(host.count(".") + 1)]
+        found = [(len(k), v == "allow", k, v, ",".join(n for n in "pqr" if state(n, k, day) == v)) for k in keys for v in ("allow", "block") if any(state(n, k, day) == v for n in "pqr")]
+        want[i] = max(found, default=(0, None, None, None, None))[2:]
+    lists = spark.createDataFrame(entries, "list string, key string, action string, verdict string, at long")
+    for limit in (1000, 0):
+        got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, day long"), lists, "page_id", "url", F.col("day"), limit)
+        assert {r.id: (r.matched, r.verdict, r.lists) for r in got.collect()} == want
