@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import re
 import struct
 import zlib
@@ -15,38 +16,16 @@ from pyspark.sql import DataFrame
 
 from .common import forgets, id_type, map_texts
 
-#: Encoded chunks of text, and as many parts of chunks, that a Python worker remembers in each of two generations.
-MEMO_CHUNKS = 350_000
+#: Encoded chunks of text that a Python worker remembers in each of two generations.
+MEMO_CHUNKS = 500_000
 
-#: Windows that a packer keeps open; beyond it their pieces are joined into full windows, which bounds its memory.
+#: Windows that a packer keeps open; beyond it the pieces of the fuller half are joined into full windows, which bounds its memory.
 MOST_OPEN = 2048
 
 _encoders: dict[tuple[str, int, int], Encoder] = {}
 forgets(_encoders.clear)
 
 
-class Recent(dict):
-    """A memo of two generations: what was not asked for during the last ``bound`` new entries is forgotten."""
-
-    def __init__(self, bound: int) -> None:
-        super().__init__()
-        self.bound, self.old = bound, {}
-
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """The keys that are not known; the others are kept from now on."""
-        if len(self) > self.bound:
-            self.old = dict(self)
-            self.clear()
-        out = []
-        for key in keys.difference(self):
-            found = self.old.get(key)
-            if found is None:
-                out.append(key)
-            else:
-                self[key] = found
-        return out
-
-
 #: Characters that the tokenizer never joins with a letter or digit before them.
 _MARKS = b".,!%&*$#|?;:"
 
@@ -57,14 +36,57 @@ _PLAIN = re.compile(b"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173))}
 
 
+# The normaliser and split of the tokenizer whose texts may be encoded chunk by chunk.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_chunks(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and splits words as ``Chunks`` takes for granted."""
+    found = (spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split, *rest = found[1]
+    return (
+        found[0] == _NORMALIZERS and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and [x.get("type") for x in rest] == ["ByteLevel"] and not rest[0].get("add_prefix_space") and not rest[0].get("use_regex")
+        and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        and all(not any(t.get(k) for k in ("normalized", "single_word", "lstrip", "rstrip")) for t in spec["added_tokens"])
+    )
+
+
+class Chunks(dict):
+    """Ids of lower-cased chunks between white space, as little-endian 32-bit bytes; what the generation before knew is kept.
+
+    A chunk that ends in marks after an ASCII letter or digit is encoded as the part before them and the marks; one of small
+    Latin-1 letters, which the tokenizer leaves as one word, by its model at once; any other by the whole tokenizer."""
+
+    def __init__(self, tokenizer, old: Chunks | None = None) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, old or {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            stem = chunk.rstrip(_MARKS)
+            if len(stem) < len(chunk) and stem[-1:].isalnum():
+                found = self[stem] + self[chunk[len(stem) :]]
+            else:
+                if chunk.isalpha():
+                    ids = [t.id for t in self.model.tokenize(chunk.decode())]
+                elif _PLAIN.fullmatch(chunk):
+                    ids = [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(_BYTE_CHARS))]
+                else:
+                    ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+                found = struct.pack(f"<{len(ids)}I", *ids)
+        self[chunk] = found
+        return found
+
+
 class Encoder:
-    """Token ids, as little-endian 32-bit bytes, of whole texts of a tokenizer that drops white space and lower-cases.
+    """Token ids, as little-endian 32-bit bytes, of whole texts.
 
-    No token of such a tokenizer spans white space and its normaliser changes nothing across it, so a text is encoded
-    as the sequence of its chunks between ``[\x20\x09-\x0D]``.  A chunk that ends in marks after an ASCII letter or
-    digit is encoded as the part before them and the marks.  Each part is encoded by the library once, while it is
-    remembered; a part of small Latin-1 letters, which its normaliser and split leave as one word, by the library's
-    model at once.  Texts that may hold a special string are given to the library as they are.
+    If no token of the tokenizer spans white space and its normaliser changes nothing across it (``by_chunks``), a text is
+    encoded as the sequence of its chunks between ``[\x20\x09-\x0D]``.  Texts that hold a special string in any case, and all
+    texts of other tokenizers, are given to the library as they are.
     """
 
     def __init__(self, path: str, end: int, memo: int = MEMO_CHUNKS) -> None:
@@ -76,40 +98,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.by_chunks = by_chunks(json.load(f))
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end], "<u4").tobytes()
-        self.chunks, self.parts = Recent(memo), Recent(memo)
+        self.memo, self.chunks = memo, Chunks(self.tokenizer)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of texts in UTF-8."""
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        aside = dict(zip(whole, self._library([texts[i].decode() for i in whole]), strict=True)) if whole else {}
-        rows = [[] if i in aside else t.lower().split() for i, t in enumerate(texts)]
-        new = {}
-        for chunk in self.chunks.missing(set().union(*rows)):
-            stem = chunk.rstrip(_MARKS)
-            if len(stem) == len(chunk) or not stem[-1:].isalnum():
-                new[chunk] = (chunk,)
+        for text in texts:
+            if len(self.chunks) > self.memo:
+                self.chunks.old = {}
+                self.chunks = Chunks(self.tokenizer, self.chunks)
+            low = text.lower()
+            if not self.by_chunks or any(s in low for s in self.special):
+                yield self._library(text) + self.end
             else:
-                new[chunk] = (stem, chunk[len(stem) :])
-        parts = self.parts.missing({p for own in new.values() for p in own})
-        tokenize = self.tokenizer.model.tokenize
-        for word in parts:
-            if word.isalpha() or _PLAIN.fullmatch(word):
-                plain = word.decode("latin-1")
-                ids = [t.id for t in tokenize(plain if word.isascii() else plain.translate(_BYTE_CHARS))]
-                self.parts[word] = struct.pack(f"<{len(ids)}I", *ids)
-        parts = [p for p in parts if p not in self.parts]
-        for start in range(0, len(parts), 10_000):
-            some = parts[start : start + 10_000]
-            self.parts.update(zip(some, self._library([p.decode("utf-8") for p in some]), strict=True))
-        known = self.parts
-        self.chunks.update({chunk: b"".join([known[p] for p in own]) for chunk, own in new.items()})
-        find = self.chunks.__getitem__
-        return [(aside[i] if i in aside else b"".join(map(find, own))) + self.end for i, own in enumerate(rows)]
+                yield b"".join(map(self.chunks.__getitem__, low.split())) + self.end
 
 
 def encoder(path: str, end: int, memo: int) -> Encoder:
@@ -167,7 +175,7 @@ class SumOfSquares:
                 self.open[h + rest].append(held)
                 self.level[h + rest] += 1
                 if self.level.sum() > MOST_OPEN:
-                    out += self._join(last=False)
+                    out += self._join(MOST_OPEN // 2)
         return out
 
     def _emit(self, held: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -177,13 +185,16 @@ class SumOfSquares:
             at += length
         return out
 
-    def _join(self, last: bool) -> list[tuple[int, int, int, int, int, int]]:
-        """Join the pieces of all open windows, fullest first, into full windows.
+    def _join(self, leave: int = 0) -> list[tuple[int, int, int, int, int, int]]:
+        """Join the pieces of open windows, fullest first, into full windows, until ``leave`` windows are left as they are.
 
-        What is left is cut into windows of powers of two if it is the last, else it is one open window."""
-        pieces = [p for fill in range(self.size, 0, -1) for held in self.open[fill] for p in held]
-        self.level[:] = 0
-        self.open = [[] for _ in range(self.size + 1)]
+        The rest, less than a window, is one open window if others are left, else it is cut into windows of powers of two."""
+        pieces, still, last = [], int(self.level.sum()), not leave
+        for fill in range(self.size, 0, -1):
+            while self.open[fill] and still > leave:
+                pieces += self.open[fill].pop()
+                self.level[fill] -= 1
+                still -= 1
         left = sum(p[2] for p in pieces)
         out, held, room = [], [], 0
         for doc, start, length, ids in pieces:
@@ -200,11 +211,11 @@ class SumOfSquares:
         if held:
             fill = sum(p[2] for p in held)
             self.open[fill].append(held)
-            self.level[fill] = 1
+            self.level[fill] += 1
         return out
 
     def close(self) -> list[tuple[int, int, int, int, int, int]]:
-        return self._join(last=True)
+        return self._join()
 
 
 def _pack(encode: Callable[[], Encoder], size: int):
@@ -266,8 +277,9 @@ def pack(
     A document is the ids of its whole text by the tokenizer file, without added special tokens, then ``end``; a null or
     empty text is ``end`` alone.  Each partition packs its documents online as they come (``SumOfSquares``) and holds the
     open windows only, of which there are at most ``MOST_OPEN``.  Sequences are ``size`` long or a power
-    of two, so none needs padding.  Rows that repeat an id are documents of their own.  The tokenizer must drop white
-    space.  ``memo`` bounds what a worker remembers: more of it costs memory and saves time.  A lost task packs its partition again with the same result.
+    of two, so none needs padding.  Rows that repeat an id, or have none, are documents of their own.  An empty table gives an
+    empty result; only the id and the text are read, so no name can clash.  ``memo`` bounds what a worker remembers: more of
+    it costs memory and saves time.  A lost task packs its partition again with the same result.
     """
     schema = (
         f"id {id_type(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

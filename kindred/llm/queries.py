@@ -44,7 +44,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Dated entries of two lists: list, domain, action, verdict, day.  Days count from the first fetch.
+#: Dated entries of three lists: list, domain, action, verdict, day.  Days count from the first fetch.  The driver's tables hold
+#: no lists; ``filter_urls`` takes them from any table with these columns.
 URL_LISTS = [
     ("spam", "cheap-pills.example.com", "add", "block", 0),
     ("spam", "cheap-pills.example.com", "remove", "block", 900),
@@ -62,12 +63,14 @@ URL_LISTS = [
     ("adult", "example.org", "remove", "block", 1510),
 ]
 
+_LISTS = ", ".join(f"('{a}', '{b}', '{c}', '{d}', {e})" for a, b, c, d, e in URL_LISTS)
+
 #: Pages hold no time of their fetch; their ids stand for it, one page of each day's 1800 in turn.
 FETCH_DAYS = 1800
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = spark.createDataFrame(URL_LISTS, "list string, key string, action string, verdict string, at long")
+    lists = spark.sql(f"SELECT list, key, action, verdict, CAST(at AS BIGINT) AS at FROM VALUES {_LISTS} AS e(list, key, action, verdict, at)")
     fetched = F.pmod(F.col("page_id"), F.lit(FETCH_DAYS)).cast("long")
     found = url_filter.filter_urls(table(spark, sf_dir, "pages"), lists, "page_id", "url", fetched)
     return found.withColumnRenamed("id", "page_id").withColumnRenamed("fetched", "fetch_day")
@@ -83,7 +86,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), memo=500_000)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-_LISTS = ", ".join(f"('{a}', '{b}', '{c}', '{d}', {e})" for a, b, c, d, e in URL_LISTS)
-
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),

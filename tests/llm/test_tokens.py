@@ -17,7 +17,7 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 ODD = [
     "don't 're 'r 'rx'l 'll ''s !'s  's\n's  \n  x", "", " ", "  ", "a  b\n\nc \n d", "<|endoftext|>a<|endoftext|> b <|endoftext", "I'VE we've'",
     "x y 　 z\x85q\x1c\x1f 12 3４Ⅷ ²½", "日本語 🙂👩‍👧", "a" * 300, "-" * 200, "́á 'sé", "é. ...a. don'. é.. 5.. x́.",
-    "<|ENDOFTEXT|> <|startoftext|> İ Σς K",
+    "<|ENDOFTEXT|> <|startoftext|> İ Σς K", "see <|ENDOFTEXT|> here", "<|StartOfText|>,x <|endoftexT|", "<|ENDOFTEXT|>", "a<|endoftext|>b",
 ]
 
 
@@ -70,11 +70,60 @@ def test_states_are_forgotten_without_harm(monkeypatch):
 def test_encoder_is_the_library():
     library, own = Tokenizer.from_file(WORDS), Encoder(WORDS, 2)
     for _ in range(2):
-        got = own.encode([t.encode() for t in texts()])
+        got = list(own.encode([t.encode() for t in texts()]))
         for t, ids in zip(texts(), got, strict=True):
             assert ids == np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
 
 
+def test_special_strings_in_any_case():
+    rng, library, own = random.Random(9), Tokenizer.from_file(WORDS), Encoder(WORDS, 2)
+    parts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "<|startOFtext|>", "<|", "|>", " ", ",", "a", "É", "\u017f", "\u212a", "endoftext", "\n", "'s"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    for t, ids in zip(some, own.encode([t.encode() for t in some]), strict=True):
+        assert ids == np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+
+
+def test_memory_of_chunks_is_forgotten_without_harm():
+    library, own = Tokenizer.from_file(WORDS), Encoder(WORDS, 2, memo=20)
+    assert own.by_chunks
+    for t, ids in zip(texts(), own.encode([t.encode() for t in texts()]), strict=True):
+        assert ids == np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+
+
+def test_another_tokenizer_is_left_to_the_library():
+    library, own = Tokenizer.from_file(BYTES), Encoder(BYTES, 2)
+    assert not own.by_chunks
+    for t, ids in zip(texts(), own.encode([t.encode() for t in texts()]), strict=True):
+        assert ids == np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+
+
+def test_null_and_repeated_ids_are_packed_each(spark):
+    rows = [(None, "a b c"), (None, None), (5, "x y"), (5, "x y"), (5, "z")]
+    got = pack(make_docs(spark, rows), WORDS, size=8).collect()
+    library = Tokenizer.from_file(WORDS)
+    want = sorted(zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in rows)
+    whole = [r for r in got if r.length == r.doc_tokens]
+    assert sum(r.length for r in got) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert set(r.ids_crc32 for r in whole) <= set(want) and sum(r.doc_id is None for r in got) >= 2
+
+
+def test_a_crowded_packer_keeps_its_levels():
+    packer = SumOfSquares(64)
+    rng = random.Random(4)
+    import kindred.llm.packing as module
+    bound, module.MOST_OPEN = module.MOST_OPEN, 6
+    try:
+        rows = [r for d in range(400) for r in packer.add(d, np.zeros(rng.randint(1, 63), "<u4").tobytes())]
+        assert 0 < packer.level.sum() <= 6 and packer.level.sum() == sum(map(len, packer.open))
+        rows += packer.close()
+    finally:
+        module.MOST_OPEN = bound
+    fills = defaultdict(int)
+    for _, _, length, _, window, _ in rows:
+        fills[window] += length
+    assert sum(n != 64 for n in fills.values()) <= 7
+
+
 def check_packed(rows, ids_of, size):
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in rows:
