@@ -8,6 +8,7 @@ number of tokens that the byte adds.  It is determinised as it is needed.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ from .common import forgets, id_type, map_texts
 #: Characters of a chunk.
 CHUNK = 256
 
-#: Transitions and words that a Python worker remembers.
-MEMO_STEPS, MEMO_WORDS = 250_000, 300_000
+#: Transitions, words and pairs of tokens that a Python worker remembers.
+MEMO_STEPS, MEMO_WORDS, MEMO_PAIRS = 400_000, 300_000, 200_000
 
 # --- segmentation ----------------------------------------------------------------------------------------------------
 
@@ -36,9 +37,6 @@ START, LETTERS, NUMBERS, OTHERS, ONE_SPACE, ONE_WHITE, MORE_SPACE, MORE_WHITE, M
 #: What a transition emits: a word starts at this character, or at the one before.
 HERE, BEFORE = 1, 2
 
-#: White space as the tokenizer library's patterns have it.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-
 _IS_LETTER = {LETTER, STMD, R, V, E_, L_}
 
 
@@ -86,28 +84,32 @@ def _compile() -> tuple[np.ndarray, np.ndarray]:
 
 
 NEXT, EMIT = _compile()
-_classes: list[np.ndarray] = []
-
-
-def classes() -> np.ndarray:
-    """The class of every code point, and of 0x110000 as the end of a text."""
-    if not _classes:
-        import regex
-
-        points = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-        table = np.full(0x110001, OTHER, np.uint8)
-        for pattern, c in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-            for m in regex.finditer(pattern, points):
-                a, b = ord(m[0][0]), ord(m[0][-1])
-                if b - a + 1 == len(m[0]):
-                    table[a : b + 1] = c
-                else:
-                    table[[ord(x) for x in m[0]]] = c
-        for text, c in ((WHITE_SPACE, WHITE), (" ", SPACE), ("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("e", E_), ("l", L_)):
-            table[[ord(x) for x in text]] = c
-        table[0x110000] = END
-        _classes.append(table)
-    return _classes[0]
+
+#: A code point that was not met so far.
+UNKNOWN = 255
+
+
+class Classes:
+    """The class of every code point, as the tokenizer's own split has it, found when it is first met."""
+
+    def __init__(self, split) -> None:
+        self.split = split
+        self.table = np.full(0x110000, UNKNOWN, np.uint8)
+        self.learn(range(128))
+        for text, c in ((" ", SPACE), ("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("e", E_), ("l", L_)):
+            self.table[[ord(x) for x in text]] = c
+
+    def learn(self, points) -> None:
+        """A letter goes on a word of letters, a number one of numbers, others one of others; white space none of them."""
+        for point in points:
+            self.table[point] = next((c for head, c in (("a", LETTER), ("1", NUMBER), ("!", OTHER)) if len(self.split(head + chr(point))) == 1), WHITE)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        kinds = self.table[points]
+        if (kinds == UNKNOWN).any():
+            self.learn(np.unique(points[kinds == UNKNOWN]).tolist())
+            kinds = self.table[points]
+        return kinds
 
 
 def compose(maps: np.ndarray) -> np.ndarray:
@@ -152,13 +154,29 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Counts(dict):
+    """Tokens of words; what the generation before knew is kept."""
+
+    def __init__(self, machine: WordMachine, old: dict[str, int]) -> None:
+        super().__init__()
+        self.machine, self.old = machine, old
+
+    def __missing__(self, word: str) -> int:
+        found = self.old.get(word)
+        if found is None:
+            found = self.machine.count(word.encode("utf-8", "surrogatepass"))
+        self[word] = found
+        return found
+
+
 class WordMachine:
     """Deterministic transducer from the bytes of a word to its number of tokens.
 
     The tokens of a word are the only sequence of its bytes whose neighbours are compatible: no merge of theirs would
     have crossed the border between them.  So the last token of every prefix is found from the last tokens of shorter
     prefixes, and a state needs to hold only those prefixes from which a token may still grow: the longest suffix that
-    starts some token, with the last token and relative count at each of its positions.
+    starts some token and, at each of its places from which the rest starts a token, the last token before it and the
+    relative count.  Transitions are made when they are first taken, and forgotten beyond MEMO_STEPS.
     """
 
     def __init__(self, path: str) -> None:
@@ -176,14 +194,29 @@ class WordMachine:
             self.pairs.setdefault((number[a], number[b]), rank)
             self.made.setdefault(number[a + b], (rank, number[a], number[b]))
         self.heads = {b[:i] for b in self.tokens for i in range(len(b))}
-        self.longest = max(map(len, self.tokens))
+        from tokenizers import Tokenizer
+
+        self.classes = Classes(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str)
         self.spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self._reset()
-        self.counts: dict[str, int] = {}
+        self.counts = Counts(self, {})
 
     def _reset(self) -> None:
         first = (b"", (-1,), (0,))
         self.ids, self.states, self.steps = {first: 0}, [first], {}
+        self.moves: dict[tuple[bytes, int], tuple[bytes, list[tuple[int, int]], list[int]]] = {}
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def _places(self, suffix: bytes) -> list[int]:
+        """Where in a suffix a token may still begin; always at its end."""
+        return [p for p in range(len(suffix) + 1) if suffix[p:] in self.heads]
+
+    def _move(self, suffix: bytes, byte: int) -> tuple[bytes, list[tuple[int, int]], list[int]]:
+        """What a byte does to a suffix: (the next one, (place, token) that end here, longest first, places that stay open)."""
+        text, places = suffix + bytes((byte,)), self._places(suffix)
+        ends = [(i, self.tokens[text[p:]]) for i, p in enumerate(places) if text[p:] in self.tokens]
+        cut = next(c for c in range(len(text) + 1) if text[c:] in self.heads)
+        return text[cut:], ends, [i for i, p in enumerate(places) if p >= cut and text[p:] in self.heads]
 
     def _spine(self, token: int, right: bool) -> list[tuple[int, float]]:
         """Tokens that lie at a token's right (or left) edge while it is made, with the rank that ends each."""
@@ -202,6 +235,14 @@ class WordMachine:
     def compatible(self, left: int, right: int) -> bool:
         """No merge crosses the border: each possible one comes after its left side is used up, or (equal ranks go from
         left to right) not before its right side is."""
+        found = self.known.get((left, right))
+        if found is None:
+            if len(self.known) >= MEMO_PAIRS:
+                self.known.clear()
+            found = self.known[left, right] = self._compatible(left, right)
+        return found
+
+    def _compatible(self, left: int, right: int) -> bool:
         for x, x_end in self._spine(left, True):
             for y, y_end in self._spine(right, False):
                 rank = self.pairs.get((x, y))
@@ -211,17 +252,15 @@ class WordMachine:
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
         suffix, last, counts = self.states[state]
-        suffix += bytes((byte,))
-        for start in range(max(0, len(suffix) - self.longest), len(suffix)):
-            token = self.tokens.get(suffix[start:])
-            if token is not None and (last[start] == -1 or self.compatible(last[start], token)):
+        move = self.moves.get((suffix, byte))
+        if move is None:
+            move = self.moves[suffix, byte] = self._move(suffix, byte)
+        suffix, ends, stay = move
+        for at, token in ends:
+            if last[at] == -1 or self.compatible(last[at], token):
                 break
-        added = counts[start] + 1
-        last, counts = (*last, token), (*(c - added for c in counts), 0)
-        cut = 0
-        while suffix[cut:] not in self.heads:
-            cut += 1
-        key = (suffix[cut:], last[cut:], counts[cut:])
+        added = counts[at] + 1
+        key = (suffix, (*[last[i] for i in stay], token), (*[counts[i] - added for i in stay], 0))
         found = self.ids.setdefault(key, len(self.states))
         if found == len(self.states):
             self.states.append(key)
@@ -249,7 +288,8 @@ class WordMachine:
     def texts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         if len(self.counts) > MEMO_WORDS:
-            self.counts.clear()
+            self.counts.old = {}
+            self.counts = Counts(self, self.counts)
         totals = np.zeros(len(texts), np.int64)
         parts, owner = [], []
         for i, text in enumerate(texts):
@@ -259,18 +299,15 @@ class WordMachine:
             owner += [i] * len(own)
         big = "\0".join(parts) + "\0"
         points = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds = classes()[points]
+        kinds = self.classes.of(points)
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
         kinds[ends] = END
         starts = word_starts(kinds)
         real = kinds[starts] != END
         stops = np.append(starts[1:], len(points))[real].tolist()
         starts = starts[real]
-        counts = self.counts
-        words = [big[a:b] for a, b in zip(starts.tolist(), stops, strict=True)]
-        for word in set(words).difference(counts):
-            counts[word] = self.count(word.encode("utf-8", "surrogatepass"))
-        each = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
+        words = (big[a:b] for a, b in zip(starts.tolist(), stops, strict=True))
+        each = np.fromiter(map(self.counts.__getitem__, words), np.int64, len(starts))
         np.add.at(totals, np.array(owner)[np.searchsorted(ends, starts)], each)
         return totals
 
@@ -287,8 +324,12 @@ def machine(path: str) -> WordMachine:
 
 def _count(path: str):
     def run(docs) -> Iterator[dict]:
-        for ids, texts, _ in docs:
-            yield {"id": ids, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": machine(path).texts(texts)}
+        gc.disable()  # transitions are many objects and no cycles
+        try:
+            for ids, texts, _ in docs:
+                yield {"id": ids, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": machine(path).texts(texts)}
+        finally:
+            gc.enable()
 
     return run
 
@@ -297,7 +338,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     """One row per row of ``docs``: ``doc_id, n_bytes, n_tokens, over_limit``.
 
     Counts are those of the byte-level BPE tokenizer file (with the usual split pattern) for the whole text, its special
-    strings being one token each; null and empty texts have none.  Rows are counted where they lie, in bounded steps.
+    strings being one token each; null and empty texts have none.  Rows are counted where they lie, in bounded steps; rows
+    that repeat an id, or have none, are counted each.  An empty table gives an empty result; only the id and the text are
+    read, so no name can clash.
     """
     out = map_texts(docs, _count(tokenizer), f"id {id_type(docs, id_col)}, n_bytes long, n_tokens long", id_col, text_col)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

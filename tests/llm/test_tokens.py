@@ -40,6 +40,22 @@ def test_counts_are_the_library_s(spark, corpus):
     assert count_tokens(spark.createDataFrame([], SCHEMA), BYTES).count() == 0
 
 
+def test_classes_of_all_code_points_are_the_library_s():
+    """By words of each code point between others; white space, letters, numbers and the rest all split in their own way."""
+    library, own = Tokenizer.from_file(BYTES), WordMachine(BYTES)
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    some = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)}!{chr(c)}  " for c in points[at : at + 256]) for at in range(0, len(points), 256)]
+    want = [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    assert own.texts(some).tolist() == want
+
+
+def test_null_and_repeated_ids_are_counted_each(spark):
+    rows = [(None, "a b"), (None, None), (4, "x"), (4, "x y z"), (4, "x"), (6, "long " * 200_000)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in count_tokens(make_docs(spark, rows), BYTES).collect())
+    library = Tokenizer.from_file(BYTES)
+    assert got == sorted((i or 0, len(t or ""), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+
+
 def test_chunk_maps_compose_to_a_sequential_run():
     rng = np.random.default_rng(3)
     kinds = rng.integers(0, 11, 3000).astype(np.uint8)
@@ -61,7 +77,8 @@ def test_chunk_maps_compose_to_a_sequential_run():
 def test_states_are_forgotten_without_harm(monkeypatch):
     from kindred.llm import token_count
 
-    monkeypatch.setattr(token_count, "MEMO_STEPS", 50)
+    for name in ("MEMO_STEPS", "MEMO_WORDS", "MEMO_PAIRS"):
+        monkeypatch.setattr(token_count, name, 50)
     library, own = Tokenizer.from_file(BYTES), WordMachine(BYTES)
     for t in texts()[:60]:
         assert own.texts([t])[0] == len(library.encode(t, add_special_tokens=False).ids)
