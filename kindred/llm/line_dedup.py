@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import scratch
+from .bitmaps import bitmap, in_bitmap, split_by_bitmap
 from .common import id_type, map_texts, mix, shared_table, shuffle_partitions
 
 #: Keys that a shard's filter is meant to hold; the number of shards follows the number of repeated keys.
@@ -134,14 +136,12 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _change(table: pa.Table) -> pa.Table:
-    """A shard's filter with keys added and removed; rebuilt from the keys that remain if it has no room."""
+    """A shard's filter with keys added and removed; null if it has no room for them."""
     old = [x for x in table.column("filter").to_pylist() if x is not None]
     keys, change = table.column("k1").to_numpy().view(np.uint64), table.column("change").to_numpy()
-    shard = table.column("shard")[:1]
-    now = np.sort(keys[change >= 0])
     found = CuckooFilter.from_bytes(old[0]) if old else None
     fits = found is not None and all(found.remove(k) for k in keys[change == -1].tolist()) and all(found.add(k) for k in np.sort(keys[change == 1]).tolist())
-    return pa.table({"shard": shard, "filter": pa.array([(found if fits else CuckooFilter.build(now)).to_bytes()], pa.binary())})
+    return pa.table({"shard": table.column("shard")[:1], "filter": pa.array([found.to_bytes() if fits else None], pa.binary())})
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +169,12 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineIndex:
     """Which documents hold which lines, kept so that documents can be added and taken away again.
 
-    The exact table is a list of generations of rows ``id, k1, k2, change`` in the shared folder; its sums are the
-    references of each key.  A filter for each shard holds the keys that ``min_docs`` documents or more hold; changes
-    add keys to it and remove them.  Only keys that the filter may hold are looked up in the exact counts.
+    The exact table is a list of generations of rows ``id, k1, k2, change`` in the shared folder: a document holds a line or it
+    doesn't, so what is inserted a second time adds nothing, and what is deleted but isn't there takes nothing away.
+    ``counts`` has the documents and the largest id of each key that ``min_docs`` documents or more hold.  A change looks only at the
+    keys of its own lines again (a bitmap picks their rows where they lie).  A filter for each shard holds the counted
+    keys; a change adds keys to it and removes them.  A filter without room is built anew, and all are when there are
+    twice as many keys as shards are meant for.  Only keys that a filter may hold are looked up in the counts.
     """
 
     def __init__(self, spark: SparkSession, min_chars: int = 20, min_docs: int = 3) -> None:
@@ -179,46 +182,70 @@ class LineIndex:
         self.rows: DataFrame | None = None
         self.counts: DataFrame | None = None
         self.filters: DataFrame | None = None
+        self.generations = 0
         self.shards = 1
 
+    def _live(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("k1", "k2", "id").agg(F.sum("change").alias("refs")).where("refs > 0").drop("refs")
+
+    def _counted(self, live: DataFrame) -> DataFrame:
+        return live.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.max("id").alias("last")).where(F.col("docs") >= self.min_docs)
+
+    def _near(self, keys: DataFrame) -> DataFrame:
+        """The rows of all generations whose key may be one of ``keys``."""
+        return in_bitmap(self.rows, F.col("k1"), shared_table(bitmap(keys, F.col("k1")), "line-keys"))
+
     def _change(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> None:
         kind = id_type(docs, id_col)
-        new = map_texts(docs, _postings(self.min_chars), f"id {kind}, k1 long, k2 long", id_col, text_col)
+        new = map_texts(docs, _postings(self.min_chars), f"id {kind}, k1 long, k2 long", id_col, text_col).distinct()
         new = shared_table(new.withColumn("change", F.lit(sign).cast("long")), "lines")
-        before = self.counts
-        self.rows = new if self.rows is None else self.rows.unionByName(new)
-        held = self.rows.groupBy("k1", "k2", "id").agg(F.sum("change").alias("refs")).where("refs > 0")
-        counts = held.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.max("id").alias("last")).where(F.col("docs") >= self.min_docs)
-        self.counts = shared_table(counts, "line-counts")
-        if before is None:
-            self.shards = max(1, -(-self.counts.count() // SHARD_KEYS))
-            self.filters = shared_table(
-                self.counts.select(self._shard(), "k1").groupBy("shard").applyInArrow(_build, "shard int, filter binary"), "filters"
-            )
+        if self.rows is None:
+            self.rows, self.generations = new.where("change > 0"), 1
+            self.counts = shared_table(self._counted(self.rows), "line-counts")
+            self._build_filters()
             return
-        now = self.counts.select("k1", "k2", F.lit(1).alias("now"))
-        changes = now.join(before.select("k1", "k2", F.lit(1).alias("was")), ["k1", "k2"], "full").select(
+        same = ["k1", "k2", "id"]
+        held = self._live(self._near(new)).select(*[F.col(c).alias(f"_{c}") for c in same])
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+        new = shared_table(new.join(held, on, "left_anti" if sign > 0 else "left_semi"), "line-changes")
+        self.rows, self.generations = self.rows.unionByName(new), self.generations + 1
+        touched = shared_table(new.select("k1", "k2").distinct(), "line-keys")
+        now = shared_table(self._counted(self._live(self._near(touched).join(touched, ["k1", "k2"], "left_semi"))), "line-counts")
+        was = self.counts.join(touched, ["k1", "k2"], "left_semi")
+        self.counts = shared_table(self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(now), "line-counts")
+        if self.counts.count() > 2 * self.shards * SHARD_KEYS:
+            self._build_filters()
+            return
+        changes = now.select("k1", "k2", F.lit(1).alias("now")).join(was.select("k1", "k2", F.lit(1).alias("was")), ["k1", "k2"], "full").select(
             self._shard(), "k1", (F.coalesce("now", F.lit(0)) - F.coalesce("was", F.lit(0))).alias("change")
         )
-        old = self.filters.select("shard", F.lit(0).cast("long").alias("k1"), F.lit(-2).alias("change"), "filter")
-        both = changes.withColumn("filter", F.lit(None).cast("binary")).unionByName(old)
-        self.filters = shared_table(both.groupBy("shard").applyInArrow(_change, "shard int, filter binary"), "filters")
+        old = self.filters.select("shard", F.lit(0).cast("long").alias("k1"), F.lit(0).alias("change"), "filter")
+        both = changes.where("change <> 0").withColumn("filter", F.lit(None).cast("binary")).unionByName(old)
+        filters = shared_table(both.groupBy("shard").applyInArrow(_change, "shard int, filter binary"), "filters")
+        full = self.counts.select(self._shard(), "k1").join(filters.where("filter is null").select("shard"), "shard", "left_semi")
+        built = full.groupBy("shard").applyInArrow(_build, "shard int, filter binary")
+        self.filters = shared_table(filters.where("filter is not null").unionByName(built), "filters")
+
+    def _build_filters(self) -> None:
+        self.shards = max(1, -(-self.counts.count() // SHARD_KEYS))
+        self.filters = shared_table(self.counts.select(self._shard(), "k1").groupBy("shard").applyInArrow(_build, "shard int, filter binary"), "filters")
 
     def _shard(self):
         return F.pmod(F.xxhash64("k1"), F.lit(self.shards)).cast("int").alias("shard")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
+        """Add the lines of documents; an id that is there already may gain lines by it."""
         self._change(docs, 1, id_col, text_col)
         return self
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """Take documents away that were inserted with the same ids and texts."""
+        """Take away the lines of documents, given by ids and texts; lines that an id doesn't hold are passed over."""
         self._change(docs, -1, id_col, text_col)
         return self
 
     def dropped(self) -> DataFrame:
         """(id, keys): for each document the keys (16 bytes each, joined) whose lines it loses."""
-        live = self.rows.groupBy("k1", "k2", "id").agg(F.sum("change").alias("refs")).where("refs > 0")
+        live = self.rows if self.generations == 1 else self._live(self.rows)
         salts = shuffle_partitions(self.spark)
         lines = live.select(self._shard(), F.pmod(F.xxhash64("id", "k2"), F.lit(salts)).cast("int").alias("salt"), "id", "k1", "k2")
         kind = lines.schema["id"].dataType
@@ -237,12 +264,17 @@ class LineIndex:
         """``doc_id, n_lines, n_dropped, kept`` for documents of the index; ``kept`` is the text that stays."""
         kind = id_type(docs, id_col)
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        lost = self.dropped().withColumnRenamed("id", "_id")
-        both = rows.join(lost, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "keys")
-        out = map_texts(
-            both, _cut(self.min_chars), f"id {kind}, n_lines long, n_dropped long, kept string, kept_sha256 string", "id", "text", {"keys": F.col("keys")}
-        )
-        return out.withColumnRenamed("id", "doc_id")
+        lost = shared_table(self.dropped().withColumnRenamed("id", "_id"), "lost")
+        # Only texts that may lose lines are moved to meet their keys.
+        moved, still = split_by_bitmap(rows, F.col("id"), shared_table(bitmap(lost, F.col("_id")), "losers"))
+        both = moved.join(lost, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "keys")
+        cut = [
+            map_texts(
+                x, _cut(self.min_chars), f"id {kind}, n_lines long, n_dropped long, kept string, kept_sha256 string", "id", "text", {"keys": F.col("keys")}
+            )
+            for x in (both, still.withColumn("keys", F.lit(None).cast(lost.schema["keys"].dataType)))
+        ]
+        return cut[0].unionAll(cut[1]).withColumnRenamed("id", "doc_id")
 
 
 def _cut(least: int):

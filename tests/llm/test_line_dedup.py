@@ -50,6 +50,45 @@ def test_insertions_and_deletions_are_reversible(spark, corpus):
     assert rows_of(index.apply(first)) == brute(rows[:50])
 
 
+def test_unknown_deletions_and_second_insertions_change_nothing(spark):
+    line = "a line of more than twenty characters"
+    rows = [(i, line) for i in (1, 2, 3, 9)]
+    one, rest = make_docs(spark, rows[3:]), make_docs(spark, rows[:3])
+    index = LineIndex(spark).insert(rest).delete(one).insert(one)
+    assert rows_of(index.apply(make_docs(spark, rows))) == brute(rows)
+    index.insert(one).insert(one).delete(one)
+    assert rows_of(index.apply(rest)) == brute(rows[:3])
+    index.delete(one).delete(make_docs(spark, [(3, line), (3, "another line that no document holds")]))
+    assert rows_of(index.apply(make_docs(spark, rows[:2]))) == brute(rows[:2])
+    assert index.counts.count() == 0
+
+
+def test_deletion_from_an_empty_index(spark):
+    line = "a line of more than twenty characters"
+    docs = make_docs(spark, [(i, line) for i in range(4)])
+    assert rows_of(LineIndex(spark).delete(docs).insert(docs).apply(docs)) == brute([(i, line) for i in range(4)])
+
+
+def test_filters_grow_with_the_keys(spark, corpus, monkeypatch):
+    from kindred.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    rows = [(i, "\n".join(f"line number {j} of them all, repeated" for j in range(i, i + 20))) for i in range(40)]
+    index = LineIndex(spark).insert(make_docs(spark, rows[:5]))
+    few = index.shards
+    for lo in range(5, 40, 7):
+        index.insert(make_docs(spark, rows[lo : lo + 7]))
+    assert index.shards > few
+    assert rows_of(index.apply(make_docs(spark, rows))) == brute(rows)
+
+
+def test_a_null_id_is_a_document_below_all_others(spark):
+    line = "a line of more than twenty characters"
+    rows = [(None, line), (1, line), (2, line), (None, line + "\nx")]
+    index = LineIndex(spark).insert(make_docs(spark, rows[:2])).insert(make_docs(spark, rows[2:]))
+    assert rows_of(index.apply(make_docs(spark, rows))) == brute(rows)
+
+
 def test_cuckoo_filter_holds_forgets_and_grows():
     rng = random.Random(1)
     keys = np.array([rng.getrandbits(64) for _ in range(5000)], np.uint64)
