@@ -69,6 +69,32 @@ def affine32(h: Column, a: int, b: int) -> Column:
     return (times32(a, h) + F.lit(b)).bitwiseAND(F.lit(M32))
 
 
+def times64(a: Column | int, h: Column) -> Column:
+    """a * h modulo 2**64 on BIGINTs that hold the bits; Spark's product may not overflow, so it is made of 16-bit parts."""
+    a = F.lit(a - (1 << 64) if isinstance(a, int) and a >= 1 << 63 else a).cast("bigint") if isinstance(a, int) else a
+    part = lambda x, i: F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    low = part(a, 0) * part(h, 0)
+    c1 = F.shiftrightunsigned(low, 16) + part(a, 0) * part(h, 1) + part(a, 1) * part(h, 0)
+    c2 = F.shiftrightunsigned(c1, 16) + part(a, 0) * part(h, 2) + part(a, 1) * part(h, 1) + part(a, 2) * part(h, 0)
+    c3 = F.shiftrightunsigned(c2, 16) + part(a, 0) * part(h, 3) + part(a, 1) * part(h, 2) + part(a, 2) * part(h, 1) + part(a, 3) * part(h, 0)
+    word = lambda x: x.bitwiseAND(F.lit(0xFFFF))
+    return F.shiftleft(word(c3), 48).bitwiseOR(F.shiftleft(word(c2), 32)).bitwiseOR(F.shiftleft(word(c1), 16)).bitwiseOR(word(low))
+
+
+def fmix64(h: Column) -> Column:
+    """The 64-bit finaliser on the bits of a BIGINT."""
+    for factor in FMIX64:
+        h = times64(factor, h.bitwiseXOR(F.shiftrightunsigned(h, 33)))
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 33))
+
+
+def band_hash_column(values: Column) -> Column:
+    """``band_hash`` of an array of BIGINTs, as the bits of a BIGINT."""
+    basis = F.lit(FNV_BASIS - (1 << 64)).cast("bigint")
+    folded = F.aggregate(values, basis, lambda h, v: times64(FNV_PRIME, h.bitwiseXOR(v)))
+    return F.aggregate(F.array(folded.bitwiseXOR(F.size(values).cast("bigint"))), F.lit(0).cast("bigint"), lambda _, h: fmix64(h))
+
+
 def candidate_probability(similarity: Column, bands: int, rows: int) -> Column:
     """Probability that two records of this similarity share a band bucket."""
     return 1 - F.pow(1 - F.pow(similarity, F.lit(float(rows))), F.lit(float(bands)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +14,16 @@ from ..errors import ConfigurationError
 from ..functions.features import jaccard
 from ..plans import planner
 from . import graph, lsh, minhash
+from .skew import with_group
 from .tables import shared_table
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Threshold, signature length, seed and width; bands and rows are tuned to the threshold."""
+    """Threshold, signature length, seed and width; bands and rows are tuned to the threshold.
+
+    ``min_similarity`` is for signatures and ``exact`` for feature sets.  A stored index without ``store_signatures`` keeps
+    buckets only."""
 
     threshold: float = 0.8
     num_perm: int = 128
@@ -25,6 +32,7 @@ class Settings:
     min_similarity: float | None = None
     exact: float | None = None
     params: tuple[int, int] | None = field(default=None)
+    store_signatures: bool = True
 
     def __post_init__(self) -> None:
         planner.validate(self.threshold, self.num_perm)
@@ -38,16 +46,57 @@ class Settings:
         return self.params or planner.tune(self.threshold, self.num_perm)
 
 
+#: Whether two records, given as structs of their columns, may be linked.
+Predicate = Callable[[Column, Column], Column]
+
+
+def row_predicate(fn: Callable[[dict, dict], bool]) -> Predicate:
+    """A predicate from a Python function of two records; Arrow brings the pairs in batches.  Column functions are faster."""
+
+    def both(a: Column, b: Column) -> Column:
+        @F.pandas_udf("boolean")
+        def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
+            return pd.Series([bool(fn(p, q)) for p, q in zip(x.to_dict("records"), y.to_dict("records"), strict=True)], dtype=bool)
+
+        return run(a, b)
+
+    return both
+
+
+@dataclass(frozen=True)
+class Result:
+    """What deduplication found.  ``kept`` and ``dropped`` are the records; sort them by their key for the order of ingestion."""
+
+    groups: DataFrame
+    decisions: DataFrame
+    kept: DataFrame
+    dropped: DataFrame
+
+    @cached_property
+    def group_count(self) -> int:
+        return self.groups.select("representative").distinct().count()
+
+    @cached_property
+    def duplicate_count(self) -> int:
+        return self.decisions.where("not keep").count()
+
+
 class Deduplicator:
     """The stages of deduplication over ``records``; each is a DataFrame and is computed when it is asked for.
 
-    Keys must be unique; the smallest key of a group represents it unless a preference is given.  Records whose
-    signatures are equal meet once, as a class, so that many copies make few pairs.
+    Keys must be unique; the smallest key of a group represents it unless ``representative`` (a preference or a function, see
+    ``graph.representatives``) chooses another.  ``predicate`` decides on candidate pairs that pass the other checks, the smaller
+    key being its first record; it must not depend on keys.
+    Copies are never paired with each other: records that no check can tell apart are a class, and classes are compared.
     """
 
-    def __init__(self, records: DataFrame, key: str, features: Column, settings: Settings | None = None) -> None:
+    def __init__(
+        self, records: DataFrame, key: str, features: Column, settings: Settings | None = None,
+        predicate: Predicate | None = None, representative: Column | graph.Selector | None = None,
+    ) -> None:
         self.records, self.key, self.features = records, key, features
         self.settings = settings or Settings()
+        self.predicate, self.representative = predicate, representative
         s = self.settings
         self.signed = shared_table(minhash.sign(records, key, features, s.num_perm, s.seed, s.width), "signatures")
         self.banded = lsh.band_rows(self.signed, key, *s.bands)
@@ -63,30 +112,80 @@ class Deduplicator:
         """Candidate pairs with the exact Jaccard similarity of their features, at least ``least``."""
         return verify(self.candidate_pairs(), self.records, self.key, self.features, least)
 
-    def _class_links(self) -> DataFrame:
-        """Edges from the smallest key of equal signatures to the others: always alike, whatever the check on signatures."""
-        digest = self.signed.select(F.col(self.key).alias("b"), F.xxhash64("signature").alias("x"), F.md5(F.array_join("signature", ",")).alias("y"))
-        first = digest.groupBy("x", "y").agg(F.min("b").alias("a"))
-        return digest.join(first, ["x", "y"]).select("a", "b")
+    def similarity(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, similarity`` of the signatures of any pairs of keys; a pair with an unknown key is an error."""
+        known = self.signed.select(F.col(self.key).alias("k"))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("k"))
+        unknown = asked.join(known, "k", "left_anti").limit(1).collect()
+        if unknown:
+            raise ConfigurationError(f"no record has the key {unknown[0].k}")
+        return lsh.score(pairs.select("a", "b"), "a", "b", self.signed, self.key, self.signed, self.key)
+
+    def _classes(self) -> DataFrame:
+        """``key, head, second``: records that no check can tell apart, with the two smallest keys of them (``second`` is null for one)."""
+        s, name = self.settings, F.col(self.key).alias("key")
+        rows = self.signed.select(name, F.xxhash64("signature").alias("x"), F.md5(F.array_join("signature", ",")).alias("y"))
+        if s.exact is not None:
+            own = self.records.select(name, F.sha2(F.array_join(F.array_sort(F.array_distinct(self.features)), "\x1e"), 256).alias("z"))
+            rows = rows.join(own, "key")
+        if self.predicate is not None:
+            others = [c for c in self.records.columns if c != self.key]
+            rows = rows.join(self.records.select(name, F.sha2(F.to_json(F.struct(*others)) if others else F.lit(""), 256).alias("r")), "key")
+        by = [c for c in rows.columns if c != "key"]
+        rows = rows.withColumn("_class", F.struct(*by)).select("key", "_class")
+        firsts = with_group(
+            rows, ["_class"], F.col("key"), {"head": F.min("key"), "last": F.max("key")}, {"head": F.min("head"), "last": F.max("last")}
+        )
+        return firsts.select("key", "head", F.when(F.col("head") != F.col("last"), F.col("last")).alias("second"))
+
+    def _passing(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` that pass all checks."""
+        s = self.settings
+        if s.min_similarity is not None:
+            pairs = lsh.at_least(lsh.score(pairs, "a", "b", self.signed, self.key, self.signed, self.key), s.min_similarity).select("a", "b")
+        if s.exact is not None:
+            pairs = verify(pairs, self.records, self.key, self.features, s.exact).select("a", "b")
+        return pairs if self.predicate is None else self._allowed(pairs)
+
+    def _allowed(self, pairs: DataFrame) -> DataFrame:
+        r = self.records.select(F.col(self.key).alias("_k"), F.struct(*self.records.columns).alias("_r"))
+        a, b = r.select(F.col("_k").alias("a"), F.col("_r").alias("_ra")), r.select(F.col("_k").alias("b"), F.col("_r").alias("_rb"))
+        return pairs.join(a, "a").join(b, "b").where(self.predicate(F.col("_ra"), F.col("_rb"))).select("a", "b")
 
     def components(self, verified: bool = True) -> DataFrame:
-        """``node, component``; verified components use only pairs that pass ``min_similarity`` and ``exact``."""
+        """``node, component``; verified components use only pairs that pass every check.
+
+        Heads of classes are compared with the first member of each bucket, and then, in buckets that still hold several
+        components, across those.  So neither copies nor large families are expanded into all their pairs, yet no link that
+        would connect two components is passed over."""
         s = self.settings
-        if not verified or (s.min_similarity is None and s.exact is None):
+        if not verified or (s.min_similarity is None and s.exact is None and self.predicate is None):
             return graph.components(lsh.anchor_pairs(self.banded))
-        if s.exact is not None:
-            # Features of equal signatures may differ, so all pairs are looked at.
-            pairs = self.candidate_pairs()
-            if s.min_similarity is not None:
-                scored = lsh.score(pairs, "a", "b", self.signed, self.key, self.signed, self.key)
-                pairs = lsh.at_least(scored, s.min_similarity).select("a", "b")
-            return graph.components(verify(pairs, self.records, self.key, self.features, s.exact).select("a", "b"))
-        alike = shared_table(self._class_links(), "classes")
-        heads = alike.select(F.col("a").alias("key")).distinct()
-        pairs = lsh.candidate_pairs(self.banded.join(heads, "key", "left_semi"))
-        scored = lsh.score(pairs, "a", "b", self.signed, self.key, self.signed, self.key)
-        edges = lsh.at_least(scored, s.min_similarity).select("a", "b").unionAll(alike.where("a <> b"))
-        return graph.components(edges)
+        classes = shared_table(self._classes(), "classes")
+        heads = shared_table(self.banded.join(classes.where("key = head").select("key"), "key", "left_semi"), "heads")
+        star = classes.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+        if self.predicate is not None:
+            # Members of a class are alike, so one pair of them tells whether they may be linked with each other.
+            loose = classes.where("key = head and second is not null").select(F.col("head").alias("a"), F.col("second").alias("b"))
+            tied = shared_table(self._allowed(loose).select(F.col("a").alias("head")), "tied")
+            star = star.join(tied.withColumnRenamed("head", "a"), "a", "left_semi")
+            apart = shared_table(classes.where("key <> head").join(tied, "head", "left_anti").select("head", F.col("key").alias("other")), "apart")
+        edges = shared_table(self._passing(lsh.anchor_pairs(heads)), "links").unionAll(star)
+        found = shared_table(graph.components(edges), "found")
+        more = self._passing(lsh.pairs_across(heads, found))
+        every = edges = shared_table(edges.unionAll(more), "links")
+        if self.predicate is not None:
+            # What links with one of a class whose members don't link among themselves links with all of them.
+            for x, y in (("a", "b"), ("b", "a")):
+                every = every.unionAll(edges.join(apart.withColumnRenamed("head", x), x).select(F.col("other").alias("a"), F.col(y).alias("b")))
+        return graph.components(every)
+
+    @cached_property
+    def _found(self) -> DataFrame:
+        return shared_table(self.components(), "found")
+
+    def _chosen(self, found: DataFrame) -> DataFrame | None:
+        return None if self.representative is None else graph.representatives(found, self.records, self.key, self.representative)
 
     def groups(self, min_size: int = 2, verified: bool = True) -> DataFrame:
         found = self.components(verified)
@@ -95,13 +194,24 @@ class Deduplicator:
         return graph.groups(found, min_size)
 
     def decisions(self, verified: bool = True) -> DataFrame:
-        return graph.decisions(self.components(verified), self.records, self.key)
+        found = self.components(verified)
+        return graph.decisions(found, self.records, self.key, self._chosen(found))
 
     def kept(self) -> DataFrame:
         """The records without those whose group another record represents."""
         lost = self.decisions().where(~F.col("keep")).select(F.col(self.key))
         return self.records.join(lost, self.key, "left_anti")
 
+    def result(self) -> Result:
+        """Groups (a row for each member: ``representative, key, size``), decisions, and the records kept and dropped."""
+        decided = shared_table(graph.decisions(self._found, self.records, self.key, self._chosen(self._found)), "decisions")
+        sized = with_group(decided, ["representative"], F.col(self.key), {"n": F.count("*")}, {"size": F.sum("n")})
+        lost = decided.where(~F.col("keep")).select(self.key)
+        return Result(
+            sized.where("size > 1").select("representative", self.key, "size"), decided,
+            self.records.join(lost, self.key, "left_anti"), self.records.join(lost, self.key, "left_semi"),
+        )
+
     def summary(self, verified: bool = True) -> DataFrame:
         """records, groups, duplicates, duplicate rate."""
         rows = self.decisions(verified).groupBy("representative").agg(F.count("*").alias("n"))
@@ -111,9 +221,11 @@ class Deduplicator:
         ).withColumn("duplicate_rate", F.when(F.col("records") == 0, 0.0).otherwise(F.col("duplicates").cast("double") / F.col("records")))
 
 
-def deduplicate(records: DataFrame, key: str, features: Column, **settings) -> DataFrame:
-    """Records that stay."""
-    return Deduplicator(records, key, features, Settings(**settings)).kept()
+def deduplicate(
+    records: DataFrame, key: str, features: Column, predicate: Predicate | None = None, representative: Column | graph.Selector | None = None, **settings
+) -> Result:
+    """Groups, decisions and the records that stay or go."""
+    return Deduplicator(records, key, features, Settings(**settings), predicate, representative).result()
 
 
 def verify(pairs: DataFrame, records: DataFrame, key: str, features: Column, least: float) -> DataFrame:

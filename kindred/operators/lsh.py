@@ -8,15 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
+from ..functions import hashing
 from ..functions.features import signature_similarity
+from ..plans import planner
+from .skew import pairs_within
+from .tables import shared_table
 
 
-def band_rows(signed: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
-    """``key, band, bucket``: one row for each band of each signature; the bucket is a 64-bit hash of the band's values."""
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("signature", i * rows + 1, rows)).alias("bucket"))
-    )
-    return signed.select(F.col(key).alias("key"), F.inline(hashed))
+def band_hashes(bands: int, rows: int, signature: str = "signature", published: bool = False) -> Column:
+    """The bucket of each band of a signature, in order: a 64-bit hash of its values.  ``published`` is the hash with a
+    published definition, for buckets that are shared with other programs; the other one is Spark's own and cheaper."""
+    part = lambda i: F.slice(signature, i * rows + 1, rows)
+    of = (lambda i: hashing.band_hash_column(part(i))) if published else (lambda i: F.xxhash64(i, part(i)))
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), of)
+
+
+def band_rows(signed: DataFrame, key: str, bands: int, rows: int, published: bool = False) -> DataFrame:
+    """``key, band, bucket``: one row for each band of each signature."""
+    return stored_bands(signed.select(F.col(key).alias("key"), band_hashes(bands, rows, published=published).alias("buckets")), "key")
+
+
+def stored_bands(rows: DataFrame, key: str) -> DataFrame:
+    """The same from rows that hold their ``buckets``."""
+    return rows.select(F.col(key).alias("key"), F.posexplode("buckets").alias("band", "bucket"))
 
 
 def buckets(banded: DataFrame) -> DataFrame:
@@ -45,22 +59,25 @@ def distribution(histogram: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(banded: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` that share a bucket.  Buckets of one are left out before the join."""
-    shared = buckets(banded).where("size > 1").select("band", "bucket")
-    rows = banded.join(shared, ["band", "bucket"], "left_semi")
-    a, b = rows.select("band", "bucket", F.col("key").alias("a")), rows.select("band", "bucket", F.col("key").alias("b"))
-    return a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    """Distinct pairs ``a < b`` that share a bucket.  Buckets of one are left out before the join; large ones are dealt out in blocks."""
+    return pairs_within(banded, ["band", "bucket"], "key", buckets(banded).where("size > 1"))
 
 
-def anchor_pairs(banded: DataFrame) -> DataFrame:
-    """Edges from the smallest key of each bucket to the others: as many as members, with the same components."""
-    first = buckets_first(banded)
-    return banded.join(first, ["band", "bucket"]).where("key <> anchor").select(F.col("anchor").alias("a"), F.col("key").alias("b")).distinct()
+def pairs_across(banded: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` that share a bucket and are in different components of ``found`` (node, component)."""
+    labelled = banded.join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    labelled = shared_table(labelled, "labelled")
+    mixed = labelled.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return pairs_within(labelled, ["band", "bucket"], "key", mixed.where("lo <> hi"), apart="component")
 
 
-def buckets_first(banded: DataFrame) -> DataFrame:
+def anchor_pairs(banded: DataFrame) -> DataFrame:
+    """Edges from the smallest key of each bucket to the others: as many as members, with the same components.
+
+    The join has a plain exchange on both sides, so that adaptive execution can split a large bucket."""
     found = banded.groupBy("band", "bucket").agg(F.min("key").alias("anchor"), F.max("key").alias("last"))
-    return found.where("anchor <> last").select("band", "bucket", "anchor")
+    first = found.where("anchor <> last").select("band", "bucket", "anchor")
+    return banded.join(first, ["band", "bucket"]).where("key <> anchor").select(F.col("anchor").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def query(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -112,14 +129,59 @@ def query_metrics(queries: int, found: DataFrame, indexed: int) -> DataFrame:
 
 
 def latency_percentiles(samples: DataFrame, value: str) -> DataFrame:
-    """p50, p95, p99: the sorted value at the zero-based place ceil(p * (n - 1)), found by a count below each distinct value.
-
-    For measured samples: the distinct values pass through one task."""
-    every = Window.orderBy("v")
-    rows = samples.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn(
-        "upto", F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("total", F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return rows.agg(*[F.min(F.when(F.col("upto") > F.ceil((F.col("total") - 1) * p / 100), F.col("v"))).alias(f"p{p}") for p in (50, 95, 99)])
+    """p50, p95, p99: the sorted value at the zero-based place ceil(p * (n - 1)).
+
+    Distinct values are sorted over all tasks; the tasks' totals, one row each, tell which of them holds a place, and a running
+    count within that task finds it.  Null samples are left out; without samples all are null."""
+    rows = samples.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    rows = shared_table(rows.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "sorted")
+    parts = rows.groupBy("part").agg(F.sum("n").alias("here"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("before", F.sum("here").over(order) - F.col("here"))
+    total = F.lit(parts.agg(F.coalesce(F.sum("here"), F.lit(0))).first()[0])
+    places = [F.ceil((total - 1) * p / 100) for p in (50, 95, 99)]
+    wanted = F.greatest(*[((at >= F.col("before")) & (at < F.col("before") + F.col("here"))).cast("int") for at in places])
+    near = rows.join(F.broadcast(parts.where(wanted == 1)), "part")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    near = near.withColumn("upto", upto)
+    return near.agg(*[F.min(F.when((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at), F.col("v"))).alias(f"p{p}") for p, at in zip((50, 95, 99), places, strict=True)])
+
+
+def cross_source_quality(signed: DataFrame, key: str, source: DataFrame, truth: DataFrame, thresholds: list[float], num_perm: int) -> DataFrame:
+    """One row a threshold: candidates between two sources, measured against labelled pairs.
+
+    ``source`` is ``key, left`` (true on one side), ``truth`` is ``a`` (left), ``b`` (right).  Pairs within a source don't count.
+    Columns: threshold, true_pairs, candidate_pairs, true_candidates, candidate_recall, candidate_precision,
+    candidate_reduction_ratio; a share without anything to share out is null."""
+    sides = source.groupBy("left").count().collect()
+    possible = math.prod(r["count"] for r in sides) if len(sides) == 2 else 0
+    labelled = shared_table(truth.select("a", "b").distinct(), "truth")
+    out = None
+    for t in thresholds:
+        banded = band_rows(signed, key, *planner.tune(t, num_perm)).join(source.select(F.col(key).alias("key"), "left"), "key")
+        a, b = banded.where("left").select("band", "bucket", F.col("key").alias("a")), banded.where("not left").select("band", "bucket", F.col("key").alias("b"))
+        pairs = a.join(b, ["band", "bucket"]).select("a", "b").distinct()
+        both = pairs.withColumn("c", F.lit(1)).join(labelled.withColumn("t", F.lit(1)), ["a", "b"], "full")
+        sums = both.agg(F.count("t").alias("true_pairs"), F.count("c").alias("candidate_pairs"), F.count(F.when(F.col("c").isNotNull() & F.col("t").isNotNull(), 1)).alias("true_candidates"))
+        share = lambda x, n: F.when(F.col(n) > 0, F.col(x).cast("double") / F.col(n))
+        row = sums.select(
+            F.lit(float(t)).alias("threshold"), "*", share("true_candidates", "true_pairs").alias("candidate_recall"),
+            share("true_candidates", "candidate_pairs").alias("candidate_precision"),
+            (1 - F.col("candidate_pairs").cast("double") / F.lit(possible or None).cast("double")).alias("candidate_reduction_ratio"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def candidate_rates(pairs: DataFrame, signed: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
+    """``similarity, pairs, observed, expected, absolute_error`` of given pairs ``a, b, similarity``: the share that meets in a
+    bucket against the curve."""
+    own = signed.select(F.col(key).alias("_k"), band_hashes(bands, rows).alias("_b"))
+    a, b = own.select(F.col("_k").alias("a"), F.col("_b").alias("_ba")), own.select(F.col("_k").alias("b"), F.col("_b").alias("_bb"))
+    met = F.exists(F.zip_with("_ba", "_bb", lambda x, y: x == y), lambda x: x)
+    rates = pairs.join(a, "a").join(b, "b").groupBy("similarity").agg(F.count("*").alias("pairs"), F.avg(met.cast("double")).alias("observed"))
+    expected = hashing.candidate_probability(F.col("similarity"), bands, rows)
+    return rates.withColumn("expected", expected).withColumn("absolute_error", F.abs(F.col("observed") - F.col("expected")))
 
 
 def compare_reports(old: DataFrame, new: DataFrame) -> DataFrame:

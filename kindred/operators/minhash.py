@@ -57,15 +57,20 @@ def sign_native(df: DataFrame, key: str, features: Column, num_perm: int = 128,
     return rows.groupBy(key).agg(F.array(*minima).alias("signature"))
 
 
-def merge(signed: DataFrame, by: list[str], num_perm: int) -> DataFrame:
-    """Signatures of unions: element-wise minima of 32-bit signatures per group."""
+def merge(signed: DataFrame, by: list[str], num_perm: int, width: int = 32) -> DataFrame:
+    """Signatures of unions: element-wise minima per group; 64-bit values are compared without a sign."""
+    _check(num_perm, width)
     wrong = F.raise_error(F.lit("signatures of different lengths can't be merged")).cast("bigint")
-    at = [F.min(F.when(F.size("signature") == num_perm, F.element_at("signature", i + 1)).otherwise(wrong)) for i in range(num_perm)]
+    # With the highest bit turned over, the order of BIGINTs is that of the unsigned values.
+    flip = (lambda v: v.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))) if width == 64 else (lambda v: v)
+    at = [flip(F.min(flip(F.when(F.size("signature") == num_perm, F.element_at("signature", i + 1)).otherwise(wrong)))) for i in range(num_perm)]
     return signed.groupBy(*by).agg(F.array(*at).alias("signature"))
 
 
-def is_empty(signature: Column) -> Column:
-    return F.forall(signature, lambda v: v == F.lit(hashing.M32))
+def is_empty(signature: Column, width: int = 32) -> Column:
+    """Whether a signature is that of no features at all."""
+    _check(1, width)
+    return F.forall(signature, lambda v: v == F.lit(hashing.M32 if width == 32 else -1).cast("bigint"))
 
 
 def check_compatible(left: tuple[int, int, int], right: tuple[int, int, int]) -> None:

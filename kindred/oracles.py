@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from .functions import hashing
-from .plans import planner
-
 ORACLES: dict[str, str] = {}
 
+# Fixed values, stated here once more so that nothing is shared with the engine: the parameters that each threshold and signature
+# length are tuned to (bands, rows), the multipliers of the seed stream and of the finalisers, and of the band hash.
+TUNED = {
+    (0.3, 128): (37, 3), (0.4, 128): (32, 4), (0.5, 16): (5, 3), (0.5, 128): (25, 5), (0.6, 128): (18, 7), (0.7, 64): (8, 8), (0.7, 128): (14, 9),
+    (0.8, 32): (3, 10), (0.8, 64): (5, 11), (0.8, 128): (9, 13), (0.9, 128): (5, 25),
+}
+STREAM = (11400714819323198485, 13787848793156543929, 10723151780598845931)
+FMIX32 = (2246822507, 3266489909)
+FMIX64 = (18397679294719823053, 14181476777654086739)
+FNV = (14695981039346656037, 1099511628211)
+
 # --- pieces ----------------------------------------------------------------------------------------------------------
 
 FOLD = "replace(lower({t}), 'ß', 'ss')"
@@ -43,11 +51,28 @@ def features(source: str, key: str, expr: str, where: str = "") -> str:
     return f"f AS (SELECT DISTINCT key, unnest(fs) AS feature FROM (SELECT {key} AS key, {expr} AS fs FROM {source} {where}))"
 
 
+_T64 = "18446744073709551616"
+
+
+def mul64(h: str, factor: str) -> str:
+    """h * factor modulo 2**64 in 128 bits: the upper half of h is reduced first."""
+    return f"((((({h} >> 32)::UHUGEINT * {factor}) % 4294967296::UHUGEINT) * 4294967296::UHUGEINT + ({h} & 4294967295)::UHUGEINT * {factor}) % {_T64}::UHUGEINT)::UBIGINT"
+
+
+def permutations(num_perm: int, seed: int, width: int = 32) -> str:
+    """CTE ``perm(pos, a, b)``: the seed stream, of which the first half are multipliers (made odd) and the rest offsets."""
+    low = "& 4294967295::UBIGINT" if width == 32 else ""
+    return f"""
+        z0 AS (SELECT i, (({seed}::UHUGEINT + (i + 1)::UHUGEINT * '{STREAM[0]}'::UHUGEINT) % {_T64}::UHUGEINT)::UBIGINT AS z FROM range({2 * num_perm}) t(i)),
+        z1 AS (SELECT i, {mul64('xor(z, z >> 30)', f"'{STREAM[1]}'::UHUGEINT")} AS z FROM z0),
+        z2 AS (SELECT i, {mul64('xor(z, z >> 27)', f"'{STREAM[2]}'::UHUGEINT")} AS z FROM z1),
+        z3 AS (SELECT i, xor(z, z >> 31) {low} AS z FROM z2),
+        perm AS (SELECT CAST(x.i AS INTEGER) AS pos, x.z | 1::UBIGINT AS a, y.z AS b FROM z3 x JOIN z3 y ON y.i = x.i + {num_perm} WHERE x.i < {num_perm})"""
+
+
 def signed(source: str, key: str, expr: str, num_perm: int = 128, seed: int = 1, where: str = "", words_from: str | None = None) -> str:
     """CTEs up to ``s(key, pos, value)`` and ``sig(key, signature)``, empty sets having all ones."""
-    a, b = hashing.permutations(num_perm, seed)
-    perms = ", ".join(f"({i}, {x}::UBIGINT, {y}::UBIGINT)" for i, (x, y) in enumerate(zip(a, b, strict=True)))
-    m1, m2 = hashing.FMIX32
+    m1, m2 = FMIX32
     src = source if words_from is None else f"(SELECT *, {words(words_from)} AS w FROM {source} {where})"
     return f"""
         {features(src, key, expr, where if words_from is None else '')},
@@ -55,7 +80,7 @@ def signed(source: str, key: str, expr: str, num_perm: int = 128, seed: int = 1,
         h1 AS (SELECT key, (xor(h, h >> 16) * {m1}) % 4294967296 AS h FROM h0),
         h2 AS (SELECT key, (xor(h, h >> 13) * {m2}) % 4294967296 AS h FROM h1),
         h3 AS (SELECT key, xor(h, h >> 16) AS h FROM h2),
-        perm(pos, a, b) AS (VALUES {perms}),
+        {permutations(num_perm, seed)},
         m AS (SELECT key, pos, min((a * h + b) % 4294967296) AS value FROM h3, perm GROUP BY ALL),
         k AS (SELECT {key} AS key FROM {source} {where}),
         s AS (SELECT k.key, perm.pos, coalesce(CAST(m.value AS BIGINT), 4294967295) AS value FROM k CROSS JOIN perm LEFT JOIN m ON m.key = k.key AND m.pos = perm.pos),
@@ -63,7 +88,7 @@ def signed(source: str, key: str, expr: str, num_perm: int = 128, seed: int = 1,
 
 
 def banded(threshold: float, num_perm: int, sig: str = "sig", name: str = "bd") -> str:
-    bands, rows = planner.tune(threshold, num_perm)
+    bands, rows = TUNED[threshold, num_perm]
     return f"""
         {name} AS (SELECT key, b.band, signature[b.band * {rows} + 1 : b.band * {rows} + {rows}] AS bucket
                FROM {sig}, (SELECT unnest(range({bands})) AS band) b)"""
@@ -115,7 +140,7 @@ def oracle(name: str, sql: str) -> None:
 
 # --- features and hashes ---------------------------------------------------------------------------------------------
 
-_m1, _m2 = hashing.FMIX32
+_m1, _m2 = FMIX32
 oracle("sha1_hash32_tokens", f"""
     WITH a AS (SELECT p_partkey, {le('sha1(p_name)', 4)} AS h FROM part),
     b AS (SELECT *, (xor(h, h >> 16) * {_m1}) % 4294967296 AS x FROM a),
@@ -151,27 +176,18 @@ oracle("entity_features", rf"""
 _PART = signed("(SELECT p_partkey, " + folded("p_name") + " AS t FROM part)", "p_partkey", chars("t", 3), 16, 42)
 oracle("minhash_signature_long", f"WITH {_PART} SELECT key AS p_partkey, pos, value FROM s")
 oracle("minhash_signature_native", ORACLES["minhash_signature_long"])
-_a64, _b64 = hashing.permutations(16, 42, 64)
-_perm64 = ", ".join(f"({i}, '{x}'::UBIGINT, '{y}'::UBIGINT)" for i, (x, y) in enumerate(zip(_a64, _b64, strict=True)))
-_T64 = "18446744073709551616"
-
-
-def _mul64(h: str, factor: str) -> str:
-    """h * factor modulo 2**64 in 128 bits: the upper half of h is reduced first."""
-    return f"((((({h} >> 32)::UHUGEINT * {factor}) % 4294967296::UHUGEINT) * 4294967296::UHUGEINT + ({h} & 4294967295)::UHUGEINT * {factor}) % {_T64}::UHUGEINT)::UBIGINT"
-
-
-oracle("minhash64_signature_long", f"""
-    WITH {features("(SELECT p_partkey, " + folded("p_name") + " AS t FROM part)", "p_partkey", chars("t", 3))},
+_WIDE = f""" {features("(SELECT p_partkey, " + folded("p_name") + " AS t FROM part)", "p_partkey", chars("t", 3))},
     h0 AS (SELECT key, {le('sha1(feature)', 8)} AS h FROM f),
     h1 AS (SELECT key, xor(h, h >> 33) AS h FROM h0),
-    h2 AS (SELECT key, {_mul64('h', f"'{hashing.FMIX64[0]}'::UHUGEINT")} AS h FROM h1),
+    h2 AS (SELECT key, {mul64('h', f"'{FMIX64[0]}'::UHUGEINT")} AS h FROM h1),
     h3 AS (SELECT key, xor(h, h >> 33) AS h FROM h2),
-    h4 AS (SELECT key, {_mul64('h', f"'{hashing.FMIX64[1]}'::UHUGEINT")} AS h FROM h3),
+    h4 AS (SELECT key, {mul64('h', f"'{FMIX64[1]}'::UHUGEINT")} AS h FROM h3),
     h5 AS (SELECT key, xor(h, h >> 33) AS h FROM h4),
-    perm(pos, a, b) AS (VALUES {_perm64}),
-    m AS (SELECT key, pos, min((({_mul64('h', 'a::UHUGEINT')}::UHUGEINT + b::UHUGEINT) % {_T64}::UHUGEINT)::UBIGINT) AS value FROM h5, perm GROUP BY ALL)
-    SELECT key AS p_partkey, pos, CAST(value AS VARCHAR) AS value FROM m""")
+    {permutations(16, 42, 64)},
+    m AS (SELECT key, pos, min((({mul64('h', 'a::UHUGEINT')}::UHUGEINT + b::UHUGEINT) % {_T64}::UHUGEINT)::UBIGINT) AS value FROM h5, perm GROUP BY ALL)
+    """
+oracle("minhash64_signature_long", f"WITH {_WIDE} SELECT key AS p_partkey, pos, CAST(value AS VARCHAR) AS value FROM m")
+oracle("minhash64_merge_by_brand", f"WITH {_WIDE} SELECT p_brand, pos, CAST(min(value) AS VARCHAR) AS value FROM m JOIN part ON p_partkey = key GROUP BY p_brand, pos")
 oracle("minhash_documents", f"WITH {DOCS} SELECT key AS doc_id, md5(array_to_string(signature, ',')) AS digest FROM sig")
 oracle("minhash_merge_by_lang", f"WITH {DOCS}, g AS (SELECT lang, pos, min(value) AS value FROM s JOIN documents ON doc_id = key GROUP BY ALL) SELECT lang, md5(string_agg(CAST(value AS VARCHAR), ',' ORDER BY pos)) AS digest FROM g GROUP BY lang")
 _SIZES = "z AS (SELECT band, bucket, count(*) AS size FROM bd GROUP BY ALL)"
@@ -203,18 +219,46 @@ oracle("query_metrics", f"""WITH {_both(0.3)}, n AS (SELECT (SELECT count(*) FRO
 oracle("exact_jaccard_pairs", f"WITH {DOC_PAIRS}, {EXACT} SELECT a, b, jaccard FROM ex WHERE jaccard >= 0.8")
 _CONV = "(SELECT conv_id * 1000 + turn AS id, text FROM conversations)"
 _CONVF = features(f"(SELECT id, {words('text')} AS w FROM {_CONV})", "id", DOC3)
-oracle("exact_join_bruteforce", f"WITH {_CONVF}, {FSIZE}, {truth(0.5)} SELECT a, b, jaccard FROM t")
+oracle("exact_join_bruteforce", f"WITH {_CONVF}, {FSIZE}, {truth(0.01)} SELECT a, b, jaccard FROM t")
 oracle("recall_precision_vs_exact", f"""WITH {DOC_PAIRS}, {FSIZE}, {truth(0.8)}, n AS (SELECT (SELECT count(*) FROM c) AS candidates, (SELECT count(*) FROM t) AS matches, (SELECT count(*) FROM c JOIN t USING (a, b)) AS hits)
     SELECT *, CAST(hits AS DOUBLE) / matches AS recall, CAST(hits AS DOUBLE) / candidates AS precision FROM n""")
 
+_NEXT = "q AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"
+_EQUAL = "CAST(len(list_filter(range(1, len(x.signature) + 1), lambda i: x.signature[i] = y.signature[i])) AS DOUBLE) / len(x.signature)"
+_PART32 = signed("(SELECT p_partkey, " + folded("p_name") + " AS t FROM part)", "p_partkey", chars("t", 3), 32, 1)
+oracle("signature_similarity_pairs", f"WITH {_PART32}, {_NEXT} SELECT a, b, {_EQUAL} AS similarity FROM q JOIN sig x ON x.key = a JOIN sig y ON y.key = b")
+_PART16 = signed("(SELECT p_partkey, " + folded("p_name") + " AS t FROM part)", "p_partkey", chars("t", 3), 16, 1)
+oracle("candidate_rates", f"""WITH {_PART16}, {_NEXT}, e AS (SELECT {_EQUAL} AS similarity,
+    list_contains(list_transform(range(5), lambda i: x.signature[i * 3 + 1 : i * 3 + 3] = y.signature[i * 3 + 1 : i * 3 + 3]), true) AS met FROM q JOIN sig x ON x.key = a JOIN sig y ON y.key = b),
+    g AS (SELECT similarity, count(*) AS pairs, avg(CAST(met AS DOUBLE)) AS observed, 1 - pow(1 - pow(similarity, 3), 5) AS expected FROM e GROUP BY similarity)
+    SELECT similarity, pairs, round(observed, 9) AS observed, round(expected, 9) AS expected, round(abs(observed - expected), 9) AS absolute_error FROM g""")
+_HALVES = " UNION ALL ".join(f"""
+    SELECT CAST({t} AS DOUBLE) AS threshold, (SELECT count(*) FROM tr) AS true_pairs, count(*) AS candidate_pairs, count(tr.a) AS true_candidates
+    FROM (SELECT DISTINCT x.key AS a, y.key AS b FROM hv{i} x JOIN hv{i} y ON x.band = y.band AND x.bucket = y.bucket AND x.key % 2 = 0 AND y.key % 2 = 1) p LEFT JOIN tr USING (a, b)""" for i, t in enumerate((0.4, 0.6, 0.8)))
+oracle("cross_source_quality", f"""WITH {DOCS}, {", ".join(banded(t, 128, name=f"hv{i}") for i, t in enumerate((0.4, 0.6, 0.8)))}, {FSIZE}, {truth(0.5)},
+    tr AS (SELECT CASE WHEN a % 2 = 0 THEN a ELSE b END AS a, CASE WHEN a % 2 = 0 THEN b ELSE a END AS b FROM t WHERE a % 2 <> b % 2),
+    n AS (SELECT count(*) FILTER (WHERE doc_id % 2 = 0) * count(*) FILTER (WHERE doc_id % 2 = 1) AS possible FROM documents), q AS ({_HALVES})
+    SELECT q.*, CAST(true_candidates AS DOUBLE) / nullif(true_pairs, 0) AS candidate_recall, CAST(true_candidates AS DOUBLE) / nullif(candidate_pairs, 0) AS candidate_precision,
+           1 - CAST(candidate_pairs AS DOUBLE) / possible AS candidate_reduction_ratio FROM q, n""")
+
 # --- groups ----------------------------------------------------------------------------------------------------------
 
 oracle("duplicate_groups", f"WITH RECURSIVE {DOC_PAIRS}, {NODES}, {components('c', 'nd')} {GROUPED} HAVING count(*) > 1")
 oracle("duplicate_groups_verified", f"WITH RECURSIVE {DOC_PAIRS}, {EXACT}, {NODES}, ok AS (SELECT a, b FROM ex WHERE jaccard >= 0.8), {components('ok', 'nd')} {GROUPED} HAVING count(*) > 1")
 oracle("duplicate_groups_min_similarity", f"WITH RECURSIVE {DOC_PAIRS}, {SIMILAR}, {NODES}, ok AS (SELECT a, b FROM sc WHERE similarity >= 0.9), {components('ok', 'nd')} {GROUPED} HAVING count(*) > 1")
 oracle("duplicate_groups_min_size1", f"WITH RECURSIVE {DOC_PAIRS}, {NODES}, {components('c', 'nd')} {GROUPED}")
-oracle("group_pairs_external", f"""WITH RECURSIVE e AS (SELECT o_orderkey % 997 AS a, 10000 + o_custkey % 1499 AS b FROM orders WHERE (10000 + o_custkey % 1499) % 3 = 0),
+oracle("group_pairs_external", f"""WITH RECURSIVE e AS (SELECT o_custkey AS a, 1000000000 + o_orderkey AS b FROM orders),
     nd AS (SELECT a AS node FROM e UNION SELECT b FROM e), {components('e', 'nd')} {GROUPED} HAVING count(*) > 1""")
+oracle("group_members", f"""WITH RECURSIVE {DOC_PAIRS}, {NODES}, {components('c', 'nd')}, z AS (SELECT component, node, count(*) OVER (PARTITION BY component) AS size FROM cc)
+    SELECT * FROM z WHERE size > 1""")
+oracle("duplicate_groups_predicate", f"""WITH RECURSIVE {DOC_PAIRS}, {NODES}, ok AS (SELECT a, b FROM c JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b
+    WHERE x.lang = y.lang AND abs(x.n_chars - y.n_chars) <= 40), {components('ok', 'nd')} {GROUPED} HAVING count(*) > 1""")
+_CHOSEN = """r AS (SELECT component, node, n_chars, count(*) OVER (PARTITION BY component) AS size,
+    row_number() OVER (PARTITION BY component ORDER BY {order}) AS n FROM cc JOIN documents ON doc_id = node)"""
+oracle("representative_selected", f"""WITH RECURSIVE {DOC_PAIRS}, {NODES}, {components('c', 'nd')}, {_CHOSEN.format(order='n_chars, node DESC')}
+    SELECT component, node AS representative FROM r WHERE n = 1 AND size > 1""")
+oracle("dedupe_result", f"""WITH RECURSIVE {DOC_PAIRS}, {EXACT}, {NODES}, ok AS (SELECT a, b FROM ex WHERE jaccard >= 0.8), {components('ok', 'nd')}, {_CHOSEN.format(order='n_chars DESC, node')}
+    SELECT x.node AS doc_id, y.node AS representative, x.node = y.node AS keep, CASE WHEN x.node = y.node THEN 'kept' ELSE 'dropped' END AS fate, x.size FROM r x JOIN r y ON x.component = y.component AND y.n = 1""")
 oracle("representative_longest", f"""WITH RECURSIVE {DOC_PAIRS}, {NODES}, {components('c', 'nd')}, r AS (SELECT component, node, n_chars, count(*) OVER (PARTITION BY component) AS size,
     row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, node) AS n FROM cc JOIN documents ON doc_id = node) SELECT component, node AS representative FROM r WHERE n = 1 AND size > 1""")
 oracle("dedupe_decisions", f"WITH RECURSIVE {DOC_PAIRS}, {NODES}, {components('c', 'nd')} {DECIDED.format(key='doc_id')}")
@@ -242,16 +286,18 @@ oracle("entity_quality", f"""WITH {_CUSTP} SELECT (SELECT count(*) FROM c) AS ca
     (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey % 500)) AS pairs""")
 _PRODF = f"list_concat(list_transform({words('p_name')}, lambda x: 'title:word:' || x), ['brand:exact:' || regexp_replace({FOLD.format(t='p_brand')}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')], list_transform({words('p_type')}, lambda x: 'category:word:' || x))"
 oracle("entity_product_pairs", f"WITH {signed('part', 'p_partkey', _PRODF, 64, 7)}, {banded(0.8, 64)}, {PAIRS} SELECT a, b FROM c")
-oracle("weighted_jaccard_tokens", """
-    WITH p AS (SELECT p_partkey, lower(p_name) AS t FROM part WHERE p_partkey <= 400),
-    n AS (SELECT p_partkey AS key, token, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(t, '')) AS token FROM p) GROUP BY ALL),
-    q AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM p WHERE p_partkey < 400),
-    x AS (SELECT q.a, q.b, token, sum(CASE WHEN n.key = q.a THEN n ELSE 0 END) AS x, sum(CASE WHEN n.key = q.b THEN n ELSE 0 END) AS y FROM q JOIN n ON n.key = q.a OR n.key = q.b GROUP BY ALL)
+oracle("weighted_jaccard_tokens", f"""
+    WITH p AS (SELECT p_partkey, lower(p_name) AS t FROM part),
+    n AS (SELECT p_partkey AS key, token, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(t, '')) AS token FROM p) GROUP BY ALL), {_NEXT},
+    e AS (SELECT a, b, token, n AS x, 0 AS y FROM q JOIN n ON key = a UNION ALL SELECT a, b, token, 0, n FROM q JOIN n ON key = b),
+    x AS (SELECT a, b, token, sum(x) AS x, sum(y) AS y FROM e GROUP BY ALL)
     SELECT a, b, CAST(sum(least(x, y)) AS DOUBLE) / sum(greatest(x, y)) AS similarity FROM x GROUP BY ALL""")
 _bits = " + ".join(f"CASE WHEN b{i} >= 0 THEN {(1 << i) - (1 << 64) if i == 63 else 1 << i}::HUGEINT ELSE 0 END" for i in range(64))
 _votes = ", ".join(f"sum(CASE WHEN (v >> {i}) & 1 = 1 THEN n ELSE -n END) AS b{i}" for i in range(64))
 oracle("simhash_tokens", f"""WITH w AS (SELECT user_id AS key, event_type AS token, count(*) AS n FROM events GROUP BY ALL), v AS (SELECT key, n, {le('sha256(token)', 8)} AS v FROM w),
     s AS (SELECT key, {_votes} FROM v GROUP BY key) SELECT key, CAST({_bits} AS BIGINT) AS simhash FROM s""")
+oracle("hamming_similarity_pairs", f"""WITH o AS ({ORACLES['simhash_tokens']})
+    SELECT x.key AS a, y.key AS b, 1 - bit_count(xor(x.simhash, y.simhash)) / 64.0::DOUBLE AS similarity FROM o x JOIN o y ON y.key = x.key + 1""")
 _SETS = "(SELECT l_orderkey, list(DISTINCT CAST(l_partkey % 40 AS VARCHAR)) AS items FROM lineitem GROUP BY 1)"
 oracle("integer_set_groups", f"""WITH RECURSIVE {signed(_SETS, 'l_orderkey', 'items', 64, 1)}, {banded(0.8, 64)}, an AS (SELECT band, bucket, min(key) AS a FROM bd GROUP BY ALL),
     c AS (SELECT DISTINCT an.a, bd.key AS b FROM bd JOIN an USING (band, bucket) WHERE bd.key <> an.a), nd AS (SELECT DISTINCT l_orderkey AS node FROM lineitem), {components('c', 'nd')} {_SUMMARY}""")
@@ -259,10 +305,10 @@ oracle("integer_set_groups", f"""WITH RECURSIVE {signed(_SETS, 'l_orderkey', 'it
 # --- stored index ----------------------------------------------------------------------------------------------------
 
 oracle("contains_many", "SELECT p_partkey AS key, p_partkey % 2 = 0 AS present FROM part")
-oracle("insert_reject_duplicates", "SELECT p_partkey AS key FROM part WHERE p_partkey <= 50 OR p_partkey BETWEEN 91 AND 120")
+oracle("insert_reject_duplicates", "SELECT p_partkey AS key FROM part WHERE p_partkey % 3 <> 1")
 oracle("remove_keys", "SELECT p_partkey AS key FROM part WHERE p_partkey % 7 <> 3")
 oracle("compacted_index", "SELECT p_partkey AS key, 0 AS gen FROM part WHERE p_partkey % 11 <> 0")
-oracle("index_verify", "SELECT * FROM (VALUES ('repeated_keys', 0::BIGINT), ('wrong_lengths', 0::BIGINT), ('orphan_removals', 0::BIGINT)) t(problem, n)")
+oracle("index_verify", "SELECT * FROM (VALUES ('repeated_keys', 0::BIGINT), ('wrong_lengths', 0::BIGINT), ('wrong_buckets', 0::BIGINT), ('orphan_removals', 0::BIGINT)) t(problem, n)")
 _LIVE = f"(SELECT p_partkey, {folded('CASE WHEN p_partkey % 10 = 0 THEN reverse(p_name) ELSE p_name END')} AS t FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 10 = 0)"
 oracle("reinsert_generation", f"WITH {signed(_LIVE, 'p_partkey', chars('t', 3), 32, 1)} SELECT key, value AS first FROM s WHERE pos = 0")
 _NAMES = signed("(SELECT p_partkey, " + folded("p_name") + " AS t FROM part)", "p_partkey", chars("t", 3), 32, 1)
@@ -270,6 +316,14 @@ oracle("index_search_topk", f"""WITH {_NAMES}, {banded(0.8, 32)},
     c AS (SELECT DISTINCT x.key AS a, y.key AS b FROM bd x JOIN bd y ON x.band = y.band AND x.bucket = y.bucket AND x.key % 50 = 0), {SIMILAR},
     r AS (SELECT a AS query, b AS key, similarity, CAST(row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS INTEGER) AS rank FROM sc WHERE similarity >= 0.5) SELECT * FROM r WHERE rank <= 3""")
 
+oracle("index_without_signatures", f"""WITH {_NAMES}, {banded(0.8, 32)}
+    SELECT DISTINCT x.key AS query, y.key AS key FROM bd x JOIN bd y ON x.band = y.band AND x.bucket = y.bucket AND x.key % 50 = 0""")
+_fold = f"list_reduce(list_prepend({FNV[0]}::UBIGINT, list_transform(bucket, lambda v: v::UBIGINT)), lambda h, v: {mul64('xor(h, v)', f'{FNV[1]}::UHUGEINT')})"
+oracle("band_hashes_published", f"""WITH {_NAMES}, {banded(0.8, 32)},
+    b0 AS (SELECT key, band, xor({_fold}, 10::UBIGINT) AS h FROM bd), b1 AS (SELECT key, band, {mul64('xor(h, h >> 33)', f"'{FMIX64[0]}'::UHUGEINT")} AS h FROM b0),
+    b2 AS (SELECT key, band, {mul64('xor(h, h >> 33)', f"'{FMIX64[1]}'::UHUGEINT")} AS h FROM b1)
+    SELECT key, CAST(band AS INTEGER) AS band, lpad(lower(printf('%x', xor(h, h >> 33))), 16, '0') AS bucket FROM b2""")
+
 # --- plans and reports -----------------------------------------------------------------------------------------------
 
 _curve = "1 - pow(1 - pow({s}, {r}), {b})"

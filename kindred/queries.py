@@ -145,6 +145,40 @@ def minhash_merge_by_lang(spark, sf_dir):
     return minhash.merge(signed, ["lang"], 128).select("lang", F.md5(F.array_join("signature", ",")).alias("digest"))
 
 
+@query
+def minhash64_merge_by_brand(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    merged = minhash.merge(_part_signed(spark, sf_dir, width=64).join(p, "p_partkey"), ["p_brand"], 16, 64)
+    unsigned = F.col("value").cast("decimal(20,0)") + F.when(F.col("value") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(0)
+    return _long(merged, "p_brand").select("p_brand", "pos", unsigned.cast("string").alias("value"))
+
+
+@query
+def band_hashes_published(spark, sf_dir):
+    """The buckets of the published band hash, for sharing with other programs."""
+    s = Settings(num_perm=32)
+    signed = minhash.sign(table(spark, sf_dir, "part"), "p_partkey", fx.char_shingles(F.col("p_name"), 3), 32, 1)
+    return lsh.band_rows(signed, "p_partkey", *s.bands, published=True).select("key", "band", F.lower(F.lpad(F.hex("bucket"), 16, "0")).alias("bucket"))
+
+
+@query
+def signature_similarity_pairs(spark, sf_dir):
+    """The similarity of any two records: each part and the next one."""
+    p = table(spark, sf_dir, "part")
+    d = Deduplicator(p, "p_partkey", fx.char_shingles(F.col("p_name"), 3), Settings(num_perm=32))
+    own = p.select(F.col("p_partkey").alias("b"))
+    return d.similarity(p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")).join(own, "b", "left_semi"))
+
+
+@query
+def hamming_similarity_pairs(spark, sf_dir):
+    """The similarity of the 64-bit sketches of each user and the next one."""
+    w = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key"), F.col("event_type").alias("token")).agg(F.count("*").alias("n"))
+    own = dedupe.simhash(w)
+    a, b = own.select(F.col("key").alias("a"), F.col("simhash").alias("x")), own.select(F.col("key").alias("b"), F.col("simhash").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", fx.hamming_similarity(F.col("x"), F.col("y")).alias("similarity"))
+
+
 @query
 def lsh_buckets(spark, sf_dir):
     d = documents_deduped(spark, sf_dir)
@@ -216,7 +250,7 @@ def exact_jaccard_pairs(spark, sf_dir):
 
 @query
 def exact_join_bruteforce(spark, sf_dir):
-    return dedupe.exact_join(table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("id"), "text"), "id", fx.word_shingles(F.col("text"), 3), 0.5)
+    return dedupe.exact_join(table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("id"), "text"), "id", fx.word_shingles(F.col("text"), 3), 0.01)
 
 
 @query
@@ -225,6 +259,27 @@ def recall_precision_vs_exact(spark, sf_dir):
     return lsh.quality(d.candidate_pairs(), dedupe.exact_join(d.records, "doc_id", words3(), SIMILARITY))
 
 
+@query
+def cross_source_quality(spark, sf_dir):
+    """Documents with even ids against those with odd ones, at three thresholds; the truth is an exact similarity of one half."""
+    d = documents_deduped(spark, sf_dir)
+    even = F.expr("doc_id % 2 = 0")
+    truth = dedupe.exact_join(d.records, "doc_id", words3(), 0.5).where("a % 2 <> b % 2")
+    truth = truth.select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("b"))
+    return lsh.cross_source_quality(d.signed, "doc_id", d.records.select("doc_id", even.alias("left")), truth, [0.4, 0.6, 0.8], 128)
+
+
+@query
+def candidate_rates(spark, sf_dir):
+    """Observed against expected candidate rate of each part and the next one, by the similarity of their signatures."""
+    p = table(spark, sf_dir, "part")
+    d = Deduplicator(p, "p_partkey", fx.char_shingles(F.col("p_name"), 3), Settings(threshold=0.5, num_perm=16))
+    own = p.select(F.col("p_partkey").alias("b"))
+    pairs = d.similarity(p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")).join(own, "b", "left_semi"))
+    rates = lsh.candidate_rates(pairs, d.signed, "p_partkey", *d.settings.bands)
+    return rates.select("similarity", "pairs", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "absolute_error")])
+
+
 # --- groups ----------------------------------------------------------------------------------------------------------
 
 
@@ -250,10 +305,44 @@ def duplicate_groups_min_size1(spark, sf_dir):
 
 @query
 def group_pairs_external(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").select(F.expr("o_orderkey % 997").alias("a"), F.expr("10000 + o_custkey % 1499").alias("b")).where("b % 3 = 0")
+    """Pairs that come from elsewhere: customers and their orders, whose keys are set apart."""
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.expr("1000000000 + o_orderkey").alias("b"))
     return graph.groups(graph.components(edges))
 
 
+@query
+def group_members(spark, sf_dir):
+    """Groups of any size, a row for each member."""
+    return graph.members(documents_deduped(spark, sf_dir).components(verified=False))
+
+
+def _like_lengths(a, b):
+    return (a["lang"] == b["lang"]) & (F.abs(a["n_chars"] - b["n_chars"]) <= 40)
+
+
+@query
+def duplicate_groups_predicate(spark, sf_dir):
+    """Candidates are linked if a predicate on the two records holds: one language, and lengths that differ by 40 at most."""
+    return Deduplicator(docs(spark, sf_dir), "doc_id", words3(), Settings(), predicate=_like_lengths).groups()
+
+
+@query
+def representative_selected(spark, sf_dir):
+    """A function chooses: the shortest document, the last of several."""
+    d = documents_deduped(spark, sf_dir)
+    shortest = lambda group: group.loc[group["n_chars"] == group["n_chars"].min(), "doc_id"].max()
+    return graph.representatives(d.components(verified=False), d.records, "doc_id", shortest)
+
+
+@query
+def dedupe_result(spark, sf_dir):
+    """The whole result: exact verification, the longest document of a group stays."""
+    r = Deduplicator(docs(spark, sf_dir), "doc_id", words3(), Settings(exact=SIMILARITY), representative=F.col("n_chars")).result()
+    fate = r.kept.select("doc_id", F.lit("kept").alias("fate")).unionByName(r.dropped.select("doc_id", F.lit("dropped").alias("fate")))
+    sizes = r.groups.select("doc_id", "size")
+    return r.decisions.join(fate, "doc_id").join(sizes, "doc_id", "left").select("doc_id", "representative", "keep", "fate", F.coalesce("size", F.lit(1)).cast("bigint").alias("size"))
+
+
 @query
 def representative_longest(spark, sf_dir):
     d = documents_deduped(spark, sf_dir)
@@ -329,11 +418,12 @@ def entity_quality(spark, sf_dir):
 
 @query
 def weighted_jaccard_tokens(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey <= 400")
+    """Letters of the names of each part and the next one."""
+    p = table(spark, sf_dir, "part")
     counts = p.select(F.col("p_partkey").alias("key"), F.explode(fx.char_shingles(F.col("p_name"), 1, normalize=True)).alias("token")).groupBy("key", "token").count()
     counts = counts.join(p.select(F.col("p_partkey").alias("key"), "p_name"), "key").select("key", "token", F.expr("length(p_name) - length(replace(lower(p_name), token, ''))").cast("bigint").alias("n"))
-    pairs = p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")).where("b <= 400")
-    return dedupe.weighted_jaccard(counts, pairs)
+    own = p.select(F.col("p_partkey").alias("b"))
+    return dedupe.weighted_jaccard(counts, p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")).join(own, "b", "left_semi"))
 
 
 @query
@@ -372,16 +462,16 @@ def contains_many(spark, sf_dir):
 
 @query
 def insert_reject_duplicates(spark, sf_dir):
-    """All other parts in a batch with one known key are refused as a whole; the next batch is added."""
+    """A third of the parts; another third with one known key, which is refused as a whole; the last third."""
     from .errors import DuplicateKeyError
 
     index, p = _index(spark, sf_dir)
-    index.insert(p.where("p_partkey <= 50"), "p_partkey", _name3())
+    index.insert(p.where("p_partkey % 3 = 0"), "p_partkey", _name3())
     try:
-        index.insert(p.where("p_partkey >= 50"), "p_partkey", _name3())
+        index.insert(p.where("p_partkey % 3 = 1 or p_partkey = 3"), "p_partkey", _name3())
     except DuplicateKeyError:
-        index.insert(p.where("p_partkey between 91 and 120"), "p_partkey", _name3())
-    return index.live().select("key")
+        index.insert(p.where("p_partkey % 3 = 2"), "p_partkey", _name3())
+    return index.live_keys()
 
 
 @query
@@ -389,7 +479,7 @@ def remove_keys(spark, sf_dir):
     index, p = _index(spark, sf_dir)
     index.insert(p, "p_partkey", _name3())
     index.remove(p.where("p_partkey % 7 = 3"), "p_partkey")
-    return index.live().select("key")
+    return index.live_keys()
 
 
 @query
@@ -426,6 +516,23 @@ def index_search_topk(spark, sf_dir):
     return index.search(p.where("p_partkey % 50 = 0"), "p_partkey", _name3(), min_similarity=0.5, top_k=3)
 
 
+@query
+def index_without_signatures(spark, sf_dir):
+    """An index of buckets alone finds candidates, but can't score them."""
+    import uuid
+
+    from .errors import ConfigurationError
+
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    index = StoredIndex.create(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Settings(num_perm=32, store_signatures=False))
+    index.insert(p, "p_partkey", _name3())
+    try:
+        index.search(p, "p_partkey", _name3(), top_k=1)
+    except ConfigurationError:
+        return index.search(p.where("p_partkey % 50 = 0"), "p_partkey", _name3())
+    raise AssertionError("scored without signatures")
+
+
 @query
 def streaming_incremental_dedupe(spark, sf_dir):
     """Documents arrive as a file stream; the components of the final state are those of a batch."""

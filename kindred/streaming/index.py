@@ -9,20 +9,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ClosedIndexError, CompatibilityError, DuplicateKeyError, ProgressCancelledError, StorageError
+from ..errors import ClosedIndexError, CompatibilityError, ConfigurationError, DuplicateKeyError, ProgressCancelledError, StorageError
 from ..operators import lsh, minhash
 from ..operators.dedupe import Settings
+from ..operators.tables import shared_table
+from ..plans import planner
 
 #: Generations and share of removed keys beyond which a commit rewrites the index.
 MOST_GENERATIONS, MOST_REMOVED = 32, 0.25
 
+ROWS = "key bigint, signature array<bigint>, buckets array<bigint>, removed boolean"
+_LENGTH = "a signature has another length than the index"
+
 
 class StoredIndex:
     """Signatures by key in a folder.
 
     ``meta-<version>.json`` names the generations; it is written last and never changed, so a reader keeps its version and
-    a commit that was interrupted is not seen.  Each generation holds rows ``key, signature, removed``; for a key the
-    highest generation counts.  Paths are reached through Spark's file systems only.
+    a commit that was interrupted is not seen.  Each generation holds rows ``key, signature, buckets, removed``; for a key the
+    highest generation counts.  ``buckets`` are the band hashes, so that nothing is banded again; an index without signatures
+    has null signatures and can't score.  Compaction sorts rows by ranges of their keys.  Paths are reached through Spark's
+    file systems only; of two writers of one version the file system's exclusive creation lets one win, so a store
+    without that needs a single writer.
     """
 
     def __init__(self, spark: SparkSession, path: str, meta: dict, read_only: bool) -> None:
@@ -50,7 +58,7 @@ class StoredIndex:
         if cls._fs(spark, path)[0].exists(cls._fs(spark, path)[1]):
             raise StorageError(f"{path} exists")
         bands, rows = s.bands
-        meta = {"version": 0, "threshold": s.threshold, "num_perm": s.num_perm, "seed": s.seed, "width": s.width, "bands": bands, "rows": rows, "generations": []}
+        meta = {"version": 0, "threshold": s.threshold, "num_perm": s.num_perm, "seed": s.seed, "width": s.width, "bands": bands, "rows": rows, "stores_signatures": s.store_signatures, "generations": []}
         out = cls(spark, path, meta, False)
         out._publish(meta)
         return out
@@ -76,13 +84,29 @@ class StoredIndex:
         out.close()
         self.meta = meta
 
-    def _commit(self, rows: DataFrame, instead: bool = False) -> None:
+    def _staged(self, rows: DataFrame) -> str:
+        """Write rows as a generation that no version names yet."""
         if self.read_only:
             raise StorageError("the index is open to read only")
         name = f"gen-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
+        try:
+            rows.select("key", "signature", "buckets", "removed").write.parquet(f"{self.path}/{name}")
+        except Exception:
+            self._discard(name)
+            raise
+        return name
+
+    def _discard(self, name: str) -> None:
+        fs, p = self._fs(self.spark, f"{self.path}/{name}")
+        fs.delete(p, True)
+
+    def _commit(self, name: str, instead: bool = False) -> None:
         generations = [name] if instead else [*self.meta["generations"], name]
-        self._publish(self.meta | {"version": self.meta["version"] + 1, "generations": generations})
+        try:
+            self._publish(self.meta | {"version": self.meta["version"] + 1, "generations": generations})
+        except StorageError:
+            self._discard(name)
+            raise
 
     # --- contents ----------------------------------------------------------------------------------------------------
 
@@ -90,74 +114,125 @@ class StoredIndex:
         if self._closed:
             raise ClosedIndexError("the index is closed")
 
+    def _generation(self, name: str) -> DataFrame:
+        return self.spark.read.schema(ROWS).parquet(f"{self.path}/{name}")
+
     def history(self) -> DataFrame:
-        """``key, signature, removed, gen`` of all generations."""
+        """``key, signature, buckets, removed, gen`` of all generations."""
         self._check()
-        out = self.spark.createDataFrame([], "key bigint, signature array<bigint>, removed boolean, gen int")
+        out = self.spark.createDataFrame([], f"{ROWS}, gen int")
         for i, name in enumerate(self.meta["generations"]):
-            out = out.unionByName(self.spark.read.parquet(f"{self.path}/{name}").withColumn("gen", F.lit(i)))
+            out = out.unionByName(self._generation(name).withColumn("gen", F.lit(i)))
         return out
 
     def live(self) -> DataFrame:
-        """``key, signature`` of the keys that are in the index."""
-        last = self.history().groupBy("key").agg(F.max_by(F.struct("signature", "removed"), "gen").alias("x"))
-        return last.where(~F.col("x.removed")).select("key", "x.signature")
+        """``key, signature, buckets`` of the keys that are in the index.  One generation is read as it is."""
+        names = self.meta["generations"]
+        if len(names) == 1:
+            self._check()
+            return self._generation(names[0]).where("not removed").select("key", "signature", "buckets")
+        last = self.history().groupBy("key").agg(F.max_by(F.struct("signature", "buckets", "removed"), "gen").alias("x"))
+        return last.where(~F.col("x.removed")).select("key", "x.signature", "x.buckets")
+
+    def live_keys(self) -> DataFrame:
+        """``key`` alone: signatures and buckets are not read."""
+        last = self.history().select("key", "removed", "gen").groupBy("key").agg(F.max_by("removed", "gen").alias("removed"))
+        return last.where("not removed").select("key")
+
+    def bands(self) -> DataFrame:
+        """``key, band, bucket`` as they are stored."""
+        return lsh.stored_bands(self.live().select("key", "buckets"), "key")
+
+    def signature(self, key: int) -> list[int] | None:
+        """The stored signature of a key; None if it isn't there or the index stores none."""
+        row = self.live().where(F.col("key") == key).select("signature").first()
+        return None if row is None else row.signature
+
+    @property
+    def stores_signatures(self) -> bool:
+        return self.meta.get("stores_signatures", True)
+
+    @property
+    def _law(self) -> tuple[int, int, int]:
+        m = self.meta
+        return m["num_perm"], m["seed"], m["width"]
 
     def insert(self, records: DataFrame, key: str, features: Column) -> StoredIndex:
         """Add a batch: all of it, or none if a key repeats or is in the index."""
         self._check()
-        m = self.meta
-        rows = minhash.sign(records, key, features, m["num_perm"], m["seed"], m["width"]).withColumnRenamed(key, "key")
-        return self.insert_signatures(rows, (m["num_perm"], m["seed"], m["width"]))
+        return self.insert_signatures(minhash.sign(records, key, features, *self._law).withColumnRenamed(key, "key"), self._law)
 
     def insert_signatures(self, rows: DataFrame, law: tuple[int, int, int]) -> StoredIndex:
-        """Add rows ``key, signature`` made with (num_perm, seed, width)."""
+        """Add rows ``key, signature`` made with (num_perm, seed, width).
+
+        The batch is written once; the checks read what was written, and a batch that fails one is deleted again."""
         self._check()
-        minhash.check_compatible(law, (self.meta["num_perm"], self.meta["seed"], self.meta["width"]))
-        if not rows.where(F.size("signature") != self.meta["num_perm"]).isEmpty():
-            raise CompatibilityError("a signature has another length than the index")
-        twice = rows.groupBy("key").count().where("count > 1").select("key")
-        held = rows.select("key").join(self.live().select("key"), "key", "left_semi")
+        minhash.check_compatible(law, self._law)
+        m = self.meta
+        right = F.size("signature") == m["num_perm"]
+        checked = F.when(right, F.col("signature")).otherwise(F.raise_error(F.lit(_LENGTH)).cast("array<bigint>"))
+        rows = rows.select(F.col("key").cast("bigint").alias("key"), checked.alias("signature"))
+        rows = rows.withColumn("buckets", lsh.band_hashes(m["bands"], m["rows"]))
+        if not self.stores_signatures:
+            rows = rows.withColumn("signature", F.lit(None).cast("array<bigint>"))
+        try:
+            name = self._staged(rows.withColumn("removed", F.lit(False)))
+        except Exception as e:
+            if _LENGTH in str(e):
+                raise CompatibilityError(_LENGTH) from e
+            raise
+        new = self._generation(name).select("key")
+        twice = new.groupBy("key").count().where("count > 1").select("key")
+        held = new.join(self.live_keys(), "key", "left_semi")
         bad = twice.unionAll(held).limit(1).collect()
         if bad:
+            self._discard(name)
             raise DuplicateKeyError(f"key {bad[0].key} is in the batch twice or in the index")
-        self._commit(rows.select(F.col("key").cast("bigint"), "signature", F.lit(False).alias("removed")))
+        self._commit(name)
         return self._tidy()
 
     def remove(self, keys: DataFrame, key: str) -> int:
         """Remove keys; the number of those that were there."""
         self._check()
-        gone = keys.select(F.col(key).cast("bigint").alias("key")).distinct().join(self.live().select("key"), "key", "left_semi")
-        n = gone.count()
-        if n:
-            self._commit(gone.select("key", F.lit(None).cast("array<bigint>").alias("signature"), F.lit(True).alias("removed")))
-            self._tidy()
+        gone = keys.select(F.col(key).cast("bigint").alias("key")).distinct().join(self.live_keys(), "key", "left_semi")
+        none = F.lit(None).cast("array<bigint>")
+        name = self._staged(gone.select("key", none.alias("signature"), none.alias("buckets"), F.lit(True).alias("removed")))
+        n = self._generation(name).count()
+        if not n:
+            self._discard(name)
+            return 0
+        self._commit(name)
+        self._tidy()
         return n
 
     def _tidy(self) -> StoredIndex:
-        counts = self.history().agg(F.count("*").alias("n"), F.count(F.when(F.col("removed"), 1)).alias("gone")).first()
+        counts = self.history().select("removed").agg(F.count("*").alias("n"), F.count(F.when(F.col("removed"), 1)).alias("gone")).first()
         if len(self.meta["generations"]) > MOST_GENERATIONS or counts.gone > MOST_REMOVED * max(1, counts.n):
             self.compact()
         return self
 
     def compact(self) -> StoredIndex:
-        """Fold all generations into one without removed keys."""
-        self._commit(self.live().withColumn("removed", F.lit(False)), instead=True)
+        """Fold all generations into one without removed keys, sorted by ranges of keys so that a key's file is found by its statistics."""
+        self._commit(self._staged(self.live().withColumn("removed", F.lit(False)).repartitionByRange("key").sortWithinPartitions("key")), instead=True)
         return self
 
     def contains(self, keys: DataFrame, key: str) -> DataFrame:
         """``key, present`` for each distinct key asked for."""
         asked = keys.select(F.col(key).cast("bigint").alias("key")).distinct()
-        return asked.join(self.live().select("key", F.lit(True).alias("p")), "key", "left").select("key", F.coalesce("p", F.lit(False)).alias("present"))
+        return asked.join(self.live_keys().withColumn("p", F.lit(True)), "key", "left").select("key", F.coalesce("p", F.lit(False)).alias("present"))
 
     def search(self, queries: DataFrame, key: str, features: Column, min_similarity: float | None = None, top_k: int | None = None) -> DataFrame:
         """``query, key`` of candidates; with a bound or a limit also ``similarity`` (and ``rank``)."""
         self._check()
+        scores = min_similarity is not None or top_k is not None
+        if scores and not self.stores_signatures:
+            raise ConfigurationError("the index does not store signatures, so it can't score")
         m = self.meta
-        signed = minhash.sign(queries, key, features, m["num_perm"], m["seed"], m["width"])
+        signed = minhash.sign(queries, key, features, *self._law)
+        signed = shared_table(signed.withColumn("buckets", lsh.band_hashes(m["bands"], m["rows"])), "queries")
         live = self.live()
-        found = lsh.query(lsh.band_rows(live, "key", m["bands"], m["rows"]), lsh.band_rows(signed, key, m["bands"], m["rows"]))
-        if min_similarity is None and top_k is None:
+        found = lsh.query(lsh.stored_bands(live, "key"), lsh.stored_bands(signed, key))
+        if not scores:
             return found
         scored = lsh.score(found, "query", "key", signed, key, live, "key")
         if min_similarity is not None:
@@ -165,16 +240,40 @@ class StoredIndex:
         return scored if top_k is None else lsh.top(scored, top_k)
 
     def stats(self) -> DataFrame:
-        return lsh.bucket_distribution(lsh.band_rows(self.live(), "key", self.meta["bands"], self.meta["rows"]))
+        """The distribution of bucket sizes, with the version, generations, live keys and stored bytes."""
+        fs, _ = self._fs(self.spark, self.path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        size = sum(fs.getContentSummary(path(f"{self.path}/{n}")).getLength() for n in self.meta["generations"])
+        return lsh.bucket_distribution(self.bands()).withColumns({
+            "version": F.lit(self.meta["version"]), "generations": F.lit(len(self.meta["generations"])),
+            "keys": F.lit(len(self)).cast("bigint"), "bytes": F.lit(size).cast("bigint"),
+        })
+
+    def explain(self, items: int | None = None, budget: int | None = None, mode: str = "auto") -> DataFrame:
+        """The planner's report on this index, for as many keys as it has or ``items``."""
+        m = self.meta
+        report = planner.plan(max(1, len(self)) if items is None else items, m["threshold"], m["num_perm"], budget, mode, m["width"], (m["bands"], m["rows"]))
+        return planner.plan_frame(self.spark, [report])
 
     def verify(self) -> DataFrame:
-        """``problem, n``: keys that repeat in a generation, removals of absent keys, signatures of a wrong length."""
+        """``problem, n``: keys that repeat in a generation, removals of absent keys, signatures of a wrong length, buckets that
+        aren't those of the signature, generations whose files are gone."""
+        fs, _ = self._fs(self.spark, self.path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        names = self.meta["generations"]
+        there = [n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]
+        if len(there) < len(names):
+            return self.spark.createDataFrame([("missing_generations", len(names) - len(there))], "problem string, n bigint")
         rows = self.history()
+        m = self.meta
         repeated = rows.groupBy("gen", "key").count().where("count > 1")
-        wrong = rows.where(~F.col("removed") & (F.size("signature") != self.meta["num_perm"]))
+        kept = rows.where("not removed")
+        wrong = kept.where((F.size("signature") != m["num_perm"]) if self.stores_signatures else F.col("signature").isNotNull())
+        other = lsh.band_hashes(m["bands"], m["rows"]) if self.stores_signatures else F.col("buckets")
+        strange = kept.where(~(F.col("buckets").eqNullSafe(other)) | (F.size("buckets") != m["bands"]))
         before = rows.select("key", F.col("gen").alias("g0"), F.col("removed").alias("r0"))
         orphans = rows.where("removed").join(before.where("not r0"), "key", "left").groupBy("key", "gen").agg(F.min("g0").alias("g0")).where("g0 is null or g0 >= gen")
-        each = [("repeated_keys", repeated), ("wrong_lengths", wrong), ("orphan_removals", orphans)]
+        each = [("repeated_keys", repeated), ("wrong_lengths", wrong), ("wrong_buckets", strange), ("orphan_removals", orphans)]
         out = None
         for name, df in each:
             row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
@@ -182,7 +281,7 @@ class StoredIndex:
         return out
 
     def __len__(self) -> int:
-        return self.live().count()
+        return self.live_keys().count()
 
     def close(self) -> None:
         self._closed = True
@@ -206,7 +305,7 @@ class StoredIndex:
         ``progress`` gets the number of keys so far; False stops the stream after the batch that was committed."""
 
         def add(batch: DataFrame, _: int) -> None:
-            fresh = batch.dropDuplicates([key]).join(self.live().select(F.col("key").alias(key)), key, "left_anti")
+            fresh = batch.dropDuplicates([key]).join(self.live_keys().withColumnRenamed("key", key), key, "left_anti")
             self.insert(fresh, key, features)
             if progress is not None and progress(len(self)) is False:
                 raise ProgressCancelledError(len(self))
