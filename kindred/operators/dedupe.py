@@ -290,6 +290,23 @@ def audit(
     )
 
 
+def audit_matches(audited: DataFrame, reference: DataFrame, reference_key: str, *identity: str) -> DataFrame:
+    """``query, key, <identity>``: the matches of an audit, a row each, with columns that tell what they are and where."""
+    kind = reference.schema[reference_key].dataType
+    keys = F.explode(F.transform(F.split("reference_matches", ","), lambda k: k.cast(kind))).alias("key")
+    return audited.where("matched").select("query", keys).join(reference.select(F.col(reference_key).alias("key"), *identity), "key").select("query", "key", *identity)
+
+
+def exact_search(queries: DataFrame, query_key: str, items: DataFrame, key: str, query_features: Column, features: Column, least: float) -> DataFrame:
+    """``query, key, jaccard`` of all queries and items that share a feature and reach ``least`` > 0, within a rounding step: ground
+    truth for searches.  Its work grows with the product of a feature's frequencies, so it is for evaluation only."""
+    ask = queries.select(F.col(query_key).alias("query"), F.array_distinct(query_features).alias("f")).select("query", F.size("f").alias("nq"), F.explode("f").alias("f"))
+    own = items.select(F.col(key).alias("key"), F.array_distinct(features).alias("f")).select("key", F.size("f").alias("nk"), F.explode("f").alias("f"))
+    both = ask.join(own, "f").groupBy("query", "key", "nq", "nk").agg(F.count("*").alias("n"))
+    found = both.select("query", "key", (F.col("n").cast("double") / (F.col("nq") + F.col("nk") - F.col("n"))).alias("jaccard"))
+    return found.where(F.col("jaccard") + F.lit(2.0**-52) >= least)
+
+
 def audit_summary(audited: DataFrame, references: int) -> DataFrame:
     """queries, candidates, matched, overlap_rate, candidate_reduction."""
     return audited.agg(

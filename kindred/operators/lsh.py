@@ -81,9 +81,12 @@ def anchor_pairs(banded: DataFrame) -> DataFrame:
 
 
 def query(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, key``: distinct keys of the banded index that share a bucket with each banded query."""
+    """``query, key``: distinct keys of the banded index that share a bucket with each banded query.
+
+    The index is asked for each bucket once, however many queries ask for it."""
     asked = queries.select(F.col("key").alias("query"), "band", "bucket")
-    return asked.join(index, ["band", "bucket"]).select("query", "key").distinct()
+    hits = index.join(asked.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
+    return asked.join(hits, ["band", "bucket"]).select("query", "key").distinct()
 
 
 def score(pairs: DataFrame, left: str, right: str, left_signed: DataFrame, left_key: str, right_signed: DataFrame, right_key: str) -> DataFrame:
@@ -128,6 +131,29 @@ def query_metrics(queries: int, found: DataFrame, indexed: int) -> DataFrame:
     )
 
 
+def operation_metrics(metrics: DataFrame, seconds: list[float]) -> DataFrame:
+    """Query metrics with those of the operations that answered: operations, and milliseconds in total, at most and on average."""
+    total = 1000.0 * sum(seconds)
+    return metrics.withColumns({
+        "operations": F.lit(len(seconds)).cast("bigint"), "total_ms": F.lit(total), "max_ms": F.lit(1000.0 * max(seconds, default=0.0)),
+        "average_ms": F.lit(total / len(seconds) if seconds else 0.0),
+    })
+
+
+def bucket_table(banded: DataFrame, path: str) -> DataFrame:
+    """Write the members of each bucket, sorted by ranges of (band, bucket), and report ``records, buckets, files, bytes``.
+
+    Sorting spills where a range outgrows memory; a bucket's file is found by its statistics."""
+    spark = banded.sparkSession
+    banded.select("band", "bucket", "key").repartitionByRange("band", "bucket").sortWithinPartitions("band", "bucket", "key").write.parquet(path)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(fs_path)
+    rows = spark.read.parquet(path)
+    return rows.groupBy("band", "bucket").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("*").alias("buckets")).select(
+        "*", F.lit(held.getFileCount()).cast("bigint").alias("files"), F.lit(held.getLength()).cast("bigint").alias("bytes")
+    )
+
+
 def latency_percentiles(samples: DataFrame, value: str) -> DataFrame:
     """p50, p95, p99: the sorted value at the zero-based place ceil(p * (n - 1)).
 

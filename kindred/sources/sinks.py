@@ -28,23 +28,46 @@ def group_text(groups: DataFrame) -> DataFrame:
     return groups.select(F.concat_ws("\t", F.col("representative").cast("string"), "members").alias("value"))
 
 
-def search_rows(found: DataFrame) -> DataFrame:
-    """One row per query with its candidates in order, and scores if there are any."""
-    if "similarity" not in found.columns:
-        return found.groupBy("query").agg(F.array_sort(F.collect_set("key")).alias("candidates"))
-    pairs = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "key")))
-    out = found.groupBy("query").agg(pairs.alias("p"))
-    return out.select("query", F.col("p.key").alias("candidates"), F.transform("p", lambda p: -p["s"]).alias("scores"))
-
-
-def search_text(found: DataFrame) -> DataFrame:
-    """``query TAB key[:score],...``"""
-    rows = search_rows(found)
+def search_rows(found: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One row per query with its candidates in order, and scores if there are any.
+
+    ``queries`` (``query``, and ``id`` if queries have names of their own) adds those without candidates and the names."""
+    scored = "similarity" in found.columns
+    if scored:
+        pairs = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "key")))
+        out = found.groupBy("query").agg(pairs.alias("p"))
+        out = out.select("query", F.col("p.key").alias("candidates"), F.transform("p", lambda p: -p["s"]).alias("scores"))
+    else:
+        out = found.groupBy("query").agg(F.array_sort(F.collect_set("key")).alias("candidates"))
+    if queries is None:
+        return out
+    names = [c for c in queries.columns if c in ("query", "id")]
+    lists = ["candidates", "scores"] if scored else ["candidates"]
+    return queries.select(*names).join(out, "query", "left").select(*names, *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in lists])
+
+
+def search_text(found: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """``query TAB key[:score],...``; with names, ``query TAB id TAB ...``."""
+    rows = search_rows(found, queries)
     if "scores" in rows.columns:
         listed = F.array_join(F.zip_with("candidates", "scores", lambda k, s: F.concat(k.cast("string"), F.lit(":"), F.format_string("%.4f", s))), ",")
     else:
         listed = F.array_join(F.col("candidates").cast("array<string>"), ",")
-    return rows.select(F.concat_ws("\t", F.col("query").cast("string"), listed).alias("value"))
+    names = [F.col(c).cast("string") for c in ("query", "id") if c in rows.columns]
+    return rows.select(F.concat_ws("\t", *names, listed).alias("value"))
+
+
+def report_text(report: DataFrame) -> DataFrame:
+    """``name: value`` lines of reports (statistics, checks, plans): one for each column of each row, in their order."""
+    cells = F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("unknown"))) for c in report.columns])
+    return report.select(F.explode(cells).alias("value"))
+
+
+def workload_outputs(base: str, decisions: DataFrame, groups: DataFrame, metrics: dict[str, object]) -> dict[str, DataFrame]:
+    """What a deduplication run leaves behind, for ``publish``: groups and decisions as JSON lines and one object of metrics."""
+    spark = decisions.sparkSession
+    named = spark.range(1).select(*[F.lit(v).alias(k) for k, v in sorted(metrics.items())])
+    return {f"{base}/groups.jsonl": json_text(groups), f"{base}/decisions.jsonl": json_text(decisions), f"{base}/metrics.json": json_text(named)}
 
 
 def publish(spark: SparkSession, outputs: dict[str, DataFrame]) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -216,6 +217,40 @@ class StoredIndex:
         self._commit(self._staged(self.live().withColumn("removed", F.lit(False)).repartitionByRange("key").sortWithinPartitions("key")), instead=True)
         return self
 
+    def vacuum(self, keep_versions: int = 1) -> int:
+        """Delete all but the newest versions, and the generations that none of those names; the number of generations deleted.
+
+        Readers of a deleted version fail, and a batch that another writer has staged is lost to it."""
+        self._check()
+        if self.read_only or keep_versions < 1:
+            raise StorageError("an index that is open to read only keeps its versions, and every index keeps one")
+        versions = self._versions(self.spark, self.path)
+        kept = versions[-keep_versions:]
+        named = {n for v in kept for n in self.open(self.spark, self.path, version=v).meta["generations"]}
+        fs, p = self._fs(self.spark, self.path)
+        gone = [n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("gen-") and n not in named]
+        for version in versions[:-keep_versions]:
+            self._discard(f"meta-{version}.json")
+        for name in gone:
+            self._discard(name)
+        return len(gone)
+
+    def expired(self, seconds: int, now: float | None = None) -> bool:
+        """Whether the last commit is longer ago than a retention of whole seconds; every commit begins it anew."""
+        if isinstance(seconds, bool) or not isinstance(seconds, int) or seconds < 1:
+            raise ConfigurationError("a retention is a positive number of whole seconds")
+        fs, p = self._fs(self.spark, f"{self.path}/meta-{self.meta['version']}.json")
+        return (time.time() if now is None else now) - fs.getFileStatus(p).getModificationTime() / 1000 > seconds
+
+    def drop(self) -> None:
+        """Delete the index and close it."""
+        self._check()
+        if self.read_only:
+            raise StorageError("the index is open to read only")
+        fs, p = self._fs(self.spark, self.path)
+        fs.delete(p, True)
+        self.close()
+
     def contains(self, keys: DataFrame, key: str) -> DataFrame:
         """``key, present`` for each distinct key asked for."""
         asked = keys.select(F.col(key).cast("bigint").alias("key")).distinct()
