@@ -15,14 +15,14 @@ SEGMENTS = 64
 # Fixed values of the size model, in bytes.
 KEY, BAND_ENTRY, MEMORY_BASE, MEMORY_BAND, FILE_BAND, FILE_BASE, LAZY_BAND = 8, 16, 64, 112, 48, 736, 56
 
-#: What the advice is for, by reason.
+#: What to do on a cluster, by reason.
 GUIDANCE = {
-    "explicit_mode": "The mode that was asked for is kept; it fits the budget, if there is one.",
-    "in_memory_fits_budget": "The index in memory fits the budget with half as much again to spare.",
-    "in_memory_exceeds_budget": "The index in memory does not fit; the resident part of a stored one does.",
-    "local_metadata_exceeds_budget": "Neither local way fits; a shared store is the remaining one.",
-    "capacity_unknown": "Without a budget, a stored index that can be changed is the careful choice.",
-    "explicit_mode_exceeds_budget": "The mode that was asked for is kept, although it does not fit the budget.",
+    "explicit_mode": "Use the storage that was named.",
+    "in_memory_fits_budget": "Persist the band rows of a Deduplicator; executors hold them besides their shuffles.",
+    "in_memory_exceeds_budget": "Build a StoredIndex: band hashes are read from Parquet, column by column, when a search needs them.",
+    "local_metadata_exceeds_budget": "Build a StoredIndex on a shared store and give it more executors; nothing of it stays on one machine.",
+    "capacity_unknown": "Build a StoredIndex until the memory that executors can spare is known.",
+    "explicit_mode_exceeds_budget": "The named storage is used, but expect spills: it is larger than the budget.",
 }
 
 

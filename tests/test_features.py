@@ -107,3 +107,9 @@ def test_golden_permutations_and_signatures():
     assert got[0] == got[2] == [hashing.M64] * 8
     with pytest.raises(ConfigurationError):
         hashing.permutations(0, 1)
+
+
+def test_code_tokens_of_compatibility_characters(spark):
+    rows = spark.createDataFrame([("ｘ１ = ﬁ",), ("a = 1",), (None,)], "t string")
+    got = [r.v for r in rows.select(fx.code_tokens(F.col("t"), general=True).alias("v")).collect()]
+    assert got == [["x1", "=", "fi"], ["a", "=", "<number>"], None]
