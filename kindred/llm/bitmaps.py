@@ -20,19 +20,19 @@ def bitmap(keys: DataFrame, key: Column) -> DataFrame:
 
 
 def _marked(df: DataFrame, key: Column, found: DataFrame, how: str) -> DataFrame:
-    slotted = df.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)))
-    small = F.broadcast(found.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
-    return slotted.join(small, F.shiftright("_slot", 6) == F.col("_word"), how).withColumn(
-        "_may", F.expr("coalesce((_bits & shiftleft(1L, cast(_slot & 63L as int))) <> 0L, false)")
+    slotted = df.withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)))
+    small = F.broadcast(found.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
+    return slotted.join(small, F.shiftright("__slot", 6) == F.col("__word"), how).withColumn(
+        "__may", F.expr("coalesce((__bits & shiftleft(1L, cast(__slot & 63L as int))) <> 0L, false)")
     )
 
 
 def in_bitmap(df: DataFrame, key: Column, found: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in the bitmap: all that are, and few others while the bitmap is sparse."""
-    return _marked(df, key, found, "inner").where("_may").drop("_slot", "_word", "_bits", "_may")
+    return _marked(df, key, found, "inner").where("__may").drop("__slot", "__word", "__bits", "__may")
 
 
 def split_by_bitmap(df: DataFrame, key: Column, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be in the bitmap, rows whose key is not)."""
     marked = _marked(df, key, found, "left")
-    return tuple(marked.where(c).drop("_slot", "_word", "_bits", "_may") for c in ("_may", "not _may"))
+    return tuple(marked.where(c).drop("__slot", "__word", "__bits", "__may") for c in ("__may", "not __may"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_group
+from ..operators.tables import scratch
+from .bitmaps import bitmap, split_by_bitmap
+from .common import shared_table, with_group
 
 #: Code points that the prefix hash covers.
 PREFIX = 64
@@ -47,8 +49,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size are counted with salted partial aggregates.  A null id never wins over another id; of rows that repeat an id
     and its text, one is kept.  An empty table gives an empty result.
     """
-    out = _groups(docs, id_col, text_col, digest)
-    return out.withColumnRenamed("sha", "text_sha256") if digest else out.drop("sha")
+    with scratch() as own:
+        out = _groups(docs, id_col, text_col, digest)
+        return own.keep(out.withColumnRenamed("sha", "text_sha256") if digest else out.drop("sha"), "groups")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
@@ -56,14 +59,19 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     length_hash = F.xxhash64(F.octet_length("text"))
     prefix_hash = F.xxhash64(F.octet_length("text"), F.substring("text", 1, PREFIX))
-    lengths = _survivors(rows.select(length_hash.alias("h")))
-    by_length = _may_repeat(rows, length_hash, lengths).withColumnRenamed("again", "same_length")
-    prefixes = _survivors(by_length.where("same_length").select(prefix_hash.alias("h")))
-    refined = _may_repeat(by_length, prefix_hash, prefixes).withColumn("again", F.col("again") & F.col("same_length"))
+    # One scan for both hashes, one for the full hashes of what they leave.
+    keys = shared_table(rows.select(length_hash.alias("length"), prefix_hash.alias("prefix")), "hashes")
+    lengths = shared_table(_survivors(keys.select(F.col("length").alias("h"))), "lengths")
+    prefixes = _may_repeat(keys, F.col("length"), lengths).where("again").select(F.col("prefix").alias("h"))
+    prefixes = shared_table(_survivors(prefixes), "prefixes")
+    refined = _may_repeat(rows, length_hash, lengths).withColumnRenamed("again", "same_length")
+    refined = _may_repeat(refined, prefix_hash, prefixes).withColumn("again", F.col("again") & F.col("same_length"))
+    sha = F.sha2("text", 256) if digest else F.when(F.col("again"), F.sha2("text", 256))
+    refined = shared_table(refined.select("doc_id", "again", sha.alias("sha")), "hashed")
     single = refined.where(~F.col("again")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), (F.sha2("text", 256) if digest else F.lit(None).cast("string")).alias("sha")
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
-    full = refined.where("again").select("doc_id", F.sha2("text", 256).alias("sha"))
+    full = refined.where("again").select("doc_id", "sha")
     # Rows that repeat an id and its text count as members; the first of them can stay.
     full = full.groupBy("sha", "doc_id").agg(F.count("*").alias("copies"))
     grouped = with_group(
@@ -83,15 +91,19 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` does not keep; all columns stay as they are.
 
-    Rows to drop are looked up by id (null-safely) and text hash.  Where an id repeats with one text, one row stays.
+    Rows to drop are looked up by id (null-safely) and text hash; a bitmap of their ids tells which rows need to be moved for
+    that.  Where an id repeats with one text, one row stays.
     """
-    lost = _groups(docs, id_col, text_col).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_lost"), F.col("sha").alias("_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_twice")
-    ).distinct()
+    with scratch() as own:
+        lost = _groups(docs, id_col, text_col).where(~F.col("kept")).select(
+            F.col("doc_id").alias("_lost"), F.col("sha").alias("_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_twice")
+        )
+        lost = own.keep(lost.distinct(), "lost")
+    moved, still = split_by_bitmap(docs, F.col(id_col), shared_table(bitmap(lost, F.col("_lost")), "lost-ids"))
 
     def same(x: DataFrame) -> Column:
-        return docs[id_col].eqNullSafe(x["_lost"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == x["_sha"])
+        return moved[id_col].eqNullSafe(x["_lost"]) & (F.sha2(F.coalesce(moved[text_col], F.lit("")), 256) == x["_sha"])
 
-    rest = docs.join(lost, same(lost), "left_anti")
     twice = lost.where("_twice")
-    return rest.unionAll(docs.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col]))
+    again = moved.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return still.unionAll(moved.join(lost, same(lost), "left_anti")).unionAll(again)
