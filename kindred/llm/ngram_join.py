@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap, in_bitmap
+from ..operators.tables import scratch
+from .bitmaps import bitmap, in_bitmap, split_by_bitmap
 from .common import components, gram_hashes, hash_words, id_type, map_texts, mix, shared_table, shuffle_partitions, small_batches, space_words, with_group
 
 #: Rows of one bucket that a task compares with as many others at a time.
@@ -334,7 +335,14 @@ def _short(key):
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns stay as they are."""
-    found = jaccard_components(docs, id_col, text_col, k, percent)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["_lost"]), "left_anti")
+    """``docs`` with one document of each component, the one with the smallest id; all columns stay as they are.
+
+    All rows of an id that represents its component stay, also where it repeats; rows without an id stay if they have no equal or
+    are in a component without ids."""
+    with scratch() as own:
+        found = jaccard_components(docs, id_col, text_col, k, percent)
+        lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost"))
+        lost = own.keep(lost.distinct(), "lost")
+    # A bitmap tells which rows need to be moved to be looked up.
+    moved, still = split_by_bitmap(docs, F.col(id_col), shared_table(bitmap(lost, F.col("_lost")), "lost-ids"))
+    return still.unionAll(moved.join(lost, moved[id_col].eqNullSafe(lost["_lost"]), "left_anti"))
