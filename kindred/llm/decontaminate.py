@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, gram_hashes, hash_words, id_type, map_texts, shared_table
+from .bitmaps import bitmap, split_by_bitmap
+from .common import alnum_words, gram_hashes, hash_words, id_type, map_texts, own_memos, shared_table, steps
 
 #: Words of a k-gram.
 GRAM = 5
@@ -206,6 +208,14 @@ def _merged():
     return run
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text")).where("item is not null and item_text is not null")
+
+
+def _size(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("item_text")).alias("s")).first().s or 0
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -228,10 +238,9 @@ def contamination(
     extended word by word.  A benchmark of up to ``index_bytes`` goes to every task as an index; a larger one has its
     fingerprints joined with those of the documents, and each pair of document and item that meets is extended.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text")).where("item is not null and item_text is not null")
-    size = items.agg(F.sum(F.octet_length("item_text")).alias("s")).first().s or 0
+    items = _items(benchmark, item_col, item_text_col)
     kind, item_kind = id_type(docs, id_col), id_type(benchmark, item_col)
-    if size <= index_bytes:
+    if _size(items) <= index_bytes:
         rows = [(r.item, r.item_text) for r in items.collect()]
         index = docs.sparkSession.sparkContext.broadcast(Index(rows, window))
         schema = f"id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<{item_kind}>"
@@ -266,7 +275,28 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
-    """``docs`` without those that hold a benchmark window; all columns stay as they are."""
-    hit = contamination(docs, benchmark, id_col, text_col, window=window).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = 10, index_bytes: int = INDEX_BYTES,
+) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; all columns stay as they are.
+
+    Each row is judged by its own text, whatever its id.  With a benchmark of up to ``index_bytes`` no row moves to another task;
+    with a larger one, only rows that a bitmap of the hit ones may name."""
+    items = _items(benchmark, item_col, item_text_col)
+    if _size(items) <= index_bytes:
+        index = docs.sparkSession.sparkContext.broadcast(Index([(r.item, r.item_text) for r in items.collect()], window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own_memos(__name__)
+            for batch in batches:
+                for part in steps(batch, text_col):
+                    texts = pc.fill_null(part.column(text_col), "").to_pylist()
+                    yield part.filter(pa.array([not index.value.search(hash_words(alnum_words(t)))[1] for t in texts], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    rows = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    hit = _joined(rows.select("__row", F.col(text_col).alias("text")), items, "__row", "text", id_type(benchmark, item_col), window)
+    hit = shared_table(hit.where(F.size("spans") > 0).select(F.col("id").alias("__hit")), "hit")
+    moved, still = split_by_bitmap(rows, F.col("__row"), shared_table(bitmap(hit, F.col("__hit")), "hit-rows"))
+    return still.unionAll(moved.join(hit, F.col("__row") == F.col("__hit"), "left_anti")).drop("__row")

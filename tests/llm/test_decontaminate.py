@@ -48,11 +48,12 @@ def test_hits_match_brute_force(spark, corpus, items, index_bytes):
     assert any(h for _, h, _ in want.values())
 
 
-def test_clean_documents_stay(spark, corpus, items):
+@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
+def test_clean_documents_stay(spark, corpus, items, index_bytes):
     docs = make_docs(spark, corpus)
     bench = spark.createDataFrame(items, "item_id long, text string")
     hit = {i for i, (_, h, _) in brute(corpus, items).items() if h}
-    kept = drop_contaminated(docs, bench)
+    kept = drop_contaminated(docs, bench, index_bytes=index_bytes)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in corpus if i not in hit)
 

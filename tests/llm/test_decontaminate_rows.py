@@ -1,6 +1,6 @@
 import pytest
 
-from kindred.llm.decontaminate import contamination
+from kindred.llm.decontaminate import contamination, drop_contaminated
 
 from .conftest import make_docs
 
@@ -14,3 +14,5 @@ def test_rows_with_null_or_repeated_ids_are_judged_by_themselves(spark, index_by
     have = sorted((str(r.doc_id), r.n_words, r.n_hit, [(s.start, s.end) for s in r.spans], sorted(r["items"])) for r in got)
     want = [(None, 12, 12, [(0, 12)], [1]), (None, 1, 0, [], []), (7, 12, 12, [(0, 12)], [1]), (7, 13, 12, [(1, 13)], [2]), (7, 2, 0, [], []), (8, 0, 0, [], [])]
     assert have == sorted((str(i), *x) for i, *x in want)
+    kept = drop_contaminated(make_docs(spark, rows), bench, index_bytes=index_bytes).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == [("7", "clean too"), ("8", ""), ("None", "clean")]
