@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import with_group
 from ..operators.tables import shared_table
 
 #: Characters of text that one step of an Arrow map holds as Python words at a time.
@@ -26,30 +27,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# --- rows that share a key -------------------------------------------------------------------------------------------
-
-
-def with_group(
-    df: DataFrame, keys: list[str], spread: Column, partial: dict[str, Column], final: dict[str, Column]
-) -> DataFrame:
-    """``df`` with statistics of each row's group of equal ``keys``, without bringing a group into one task.
-
-    Every row gets a salt from ``spread``; ``partial`` is computed per key and salt, ``final`` per key from those at
-    most ``spark.sql.shuffle.partitions`` rows, and is joined back by key and salt.  Null keys form a group of their own.
-    """
-    salts = shuffle_partitions(df.sparkSession)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    parts = salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
-    whole = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()], F.collect_list("_salt").alias("_salts"))
-    back = whole.select(
-        *[F.col(k).alias(f"_g_{k}") for k in keys], *final, F.explode("_salts").alias("_g_salt")
-    )
-    on = F.col("_salt") == F.col("_g_salt")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    return salted.join(back, on).drop("_salt", "_g_salt", *[f"_g_{k}" for k in keys])
-
-
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is the smallest node that can be reached.
 
