@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..operators import lsh, minhash
 from ..operators.dedupe import Settings
 from ..operators.tables import shared_table
 from ..plans import planner
+from .storage import HadoopStorage, Storage
 
 #: Generations and share of removed keys beyond which a commit rewrites the index.
 MOST_GENERATIONS, MOST_REMOVED = 32, 0.25
@@ -23,6 +25,18 @@ ROWS = "key bigint, signature array<bigint>, buckets array<bigint>, removed bool
 _LENGTH = "a signature has another length than the index"
 
 
+@dataclass(frozen=True)
+class ProgressEvent:
+    """What a batch that was committed makes known."""
+
+    completed: int
+    total: int
+    batch_size: int
+    elapsed_seconds: float
+    items_per_second: float
+    final: bool
+
+
 class StoredIndex:
     """Signatures by key in a folder.
 
@@ -31,58 +45,45 @@ class StoredIndex:
     highest generation counts.  ``buckets`` are the band hashes, so that nothing is banded again; an index without signatures
     has null signatures and can't score.  Compaction sorts rows by ranges of their keys.  Paths are reached through Spark's
     file systems only; of two writers of one version the file system's exclusive creation lets one win, so a store
-    without that needs a single writer.
+    without that needs a single writer or a ``storage`` of its own (see ``storage.conformance``).
     """
 
-    def __init__(self, spark: SparkSession, path: str, meta: dict, read_only: bool) -> None:
+    def __init__(self, spark: SparkSession, path: str, meta: dict, read_only: bool, storage: Storage | None = None) -> None:
         self.spark, self.path, self.meta, self.read_only, self._closed = spark, path.rstrip("/"), meta, read_only, False
+        self.storage = storage or HadoopStorage(spark)
 
     # --- files -------------------------------------------------------------------------------------------------------
 
     @staticmethod
-    def _fs(spark: SparkSession, path: str):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-    @classmethod
-    def _versions(cls, spark: SparkSession, path: str) -> list[int]:
-        fs, p = cls._fs(spark, path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[5:-5]) for n in names if n.startswith("meta-") and n.endswith(".json"))
+    def _versions(storage: Storage, path: str) -> list[int]:
+        return sorted(int(n[5:-5]) for n in storage.names(path) if n.startswith("meta-") and n.endswith(".json"))
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, settings: Settings | None = None) -> StoredIndex:
+    def create(cls, spark: SparkSession, path: str, settings: Settings | None = None, storage: Storage | None = None) -> StoredIndex:
         """A new index; a path that is in use is refused."""
         s = settings or Settings()
-        if cls._fs(spark, path)[0].exists(cls._fs(spark, path)[1]):
+        storage = storage or HadoopStorage(spark)
+        if storage.exists(path):
             raise StorageError(f"{path} exists")
         bands, rows = s.bands
         meta = {"version": 0, "threshold": s.threshold, "num_perm": s.num_perm, "seed": s.seed, "width": s.width, "bands": bands, "rows": rows, "stores_signatures": s.store_signatures, "generations": []}
-        out = cls(spark, path, meta, False)
+        out = cls(spark, path, meta, False, storage)
         out._publish(meta)
         return out
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, read_only: bool = False, version: int | None = None) -> StoredIndex:
+    def open(cls, spark: SparkSession, path: str, read_only: bool = False, version: int | None = None, storage: Storage | None = None) -> StoredIndex:
         """The newest version, or an older one to read."""
-        versions = cls._versions(spark, path)
+        storage = storage or HadoopStorage(spark)
+        versions = cls._versions(storage, path)
         if not versions or (version is not None and version not in versions):
             raise StorageError(f"no index version at {path}")
         at = versions[-1] if version is None else version
-        text = spark.read.text(f"{path}/meta-{at}.json", wholetext=True).first()[0]
-        return cls(spark, path, json.loads(text), read_only or version is not None)
+        return cls(spark, path, json.loads(storage.read(f"{path}/meta-{at}.json")), read_only or version is not None, storage)
 
     def _publish(self, meta: dict) -> None:
         """Commit: the file of the next version is created if no other writer did so first."""
-        fs, p = self._fs(self.spark, f"{self.path}/meta-{meta['version']}.json")
-        try:
-            out = fs.create(p, False)
-        except Exception as e:  # noqa: BLE001  the file system says that it exists
-            raise StorageError(f"version {meta['version']} of {self.path} was written by another writer") from e
-        out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
-        out.close()
+        self.storage.create(f"{self.path}/meta-{meta['version']}.json", json.dumps(meta, sort_keys=True))
         self.meta = meta
 
     def _staged(self, rows: DataFrame) -> str:
@@ -98,8 +99,7 @@ class StoredIndex:
         return name
 
     def _discard(self, name: str) -> None:
-        fs, p = self._fs(self.spark, f"{self.path}/{name}")
-        fs.delete(p, True)
+        self.storage.delete(f"{self.path}/{name}")
 
     def _commit(self, name: str, instead: bool = False) -> None:
         generations = [name] if instead else [*self.meta["generations"], name]
@@ -192,6 +192,26 @@ class StoredIndex:
         self._commit(name)
         return self._tidy()
 
+    def insert_in_batches(
+        self, records: DataFrame, key: str, features: Column, batches: int, progress: Callable[[ProgressEvent], bool | None] | None = None
+    ) -> StoredIndex:
+        """Add records in ``batches`` commits, dealt out by a hash of their keys.  ``progress`` hears of each; if it returns False, what
+        was committed stays and a ProgressCancelledError tells how many records that are."""
+        if isinstance(batches, bool) or batches < 1:
+            raise ConfigurationError("batches must be positive")
+        began, done, total = time.monotonic(), 0, records.count()
+        for i in range(batches):
+            part = records.where(F.pmod(F.xxhash64(key), F.lit(batches)) == i)
+            n = part.count()
+            if n:
+                self.insert(part, key, features)
+            done += n
+            took = time.monotonic() - began
+            if progress is not None and n:
+                if progress(ProgressEvent(done, total, n, took, done / took if took else 0.0, done == total)) is False:
+                    raise ProgressCancelledError(done)
+        return self
+
     def remove(self, keys: DataFrame, key: str) -> int:
         """Remove keys; the number of those that were there."""
         self._check()
@@ -224,11 +244,10 @@ class StoredIndex:
         self._check()
         if self.read_only or keep_versions < 1:
             raise StorageError("an index that is open to read only keeps its versions, and every index keeps one")
-        versions = self._versions(self.spark, self.path)
+        versions = self._versions(self.storage, self.path)
         kept = versions[-keep_versions:]
-        named = {n for v in kept for n in self.open(self.spark, self.path, version=v).meta["generations"]}
-        fs, p = self._fs(self.spark, self.path)
-        gone = [n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("gen-") and n not in named]
+        named = {n for v in kept for n in self.open(self.spark, self.path, version=v, storage=self.storage).meta["generations"]}
+        gone = [n for n in self.storage.names(self.path) if n.startswith("gen-") and n not in named]
         for version in versions[:-keep_versions]:
             self._discard(f"meta-{version}.json")
         for name in gone:
@@ -239,16 +258,14 @@ class StoredIndex:
         """Whether the last commit is longer ago than a retention of whole seconds; every commit begins it anew."""
         if isinstance(seconds, bool) or not isinstance(seconds, int) or seconds < 1:
             raise ConfigurationError("a retention is a positive number of whole seconds")
-        fs, p = self._fs(self.spark, f"{self.path}/meta-{self.meta['version']}.json")
-        return (time.time() if now is None else now) - fs.getFileStatus(p).getModificationTime() / 1000 > seconds
+        return (time.time() if now is None else now) - self.storage.modified(f"{self.path}/meta-{self.meta['version']}.json") > seconds
 
     def drop(self) -> None:
         """Delete the index and close it."""
         self._check()
         if self.read_only:
             raise StorageError("the index is open to read only")
-        fs, p = self._fs(self.spark, self.path)
-        fs.delete(p, True)
+        self.storage.delete(self.path)
         self.close()
 
     def contains(self, keys: DataFrame, key: str) -> DataFrame:
@@ -276,9 +293,7 @@ class StoredIndex:
 
     def stats(self) -> DataFrame:
         """The distribution of bucket sizes, with the version, generations, live keys and stored bytes."""
-        fs, _ = self._fs(self.spark, self.path)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        size = sum(fs.getContentSummary(path(f"{self.path}/{n}")).getLength() for n in self.meta["generations"])
+        size = sum(self.storage.size(f"{self.path}/{n}") for n in self.meta["generations"])
         return lsh.bucket_distribution(self.bands()).withColumns({
             "version": F.lit(self.meta["version"]), "generations": F.lit(len(self.meta["generations"])),
             "keys": F.lit(len(self)).cast("bigint"), "bytes": F.lit(size).cast("bigint"),
@@ -293,10 +308,8 @@ class StoredIndex:
     def verify(self) -> DataFrame:
         """``problem, n``: keys that repeat in a generation, removals of absent keys, signatures of a wrong length, buckets that
         aren't those of the signature, generations whose files are gone."""
-        fs, _ = self._fs(self.spark, self.path)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
         names = self.meta["generations"]
-        there = [n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]
+        there = [n for n in names if self.storage.exists(f"{self.path}/{n}/_SUCCESS")]
         if len(there) < len(names):
             return self.spark.createDataFrame([("missing_generations", len(names) - len(there))], "problem string, n bigint")
         rows = self.history()

@@ -202,3 +202,42 @@ def test_the_life_of_an_index(spark, tmp_path):
         StoredIndex.open(spark, str(tmp_path / "i"), read_only=True).drop()
     index.drop()
     assert index.closed and not (tmp_path / "i").exists()
+
+
+class Memory:
+    """A storage that keeps small files in a dictionary and leaves the rest to another one; ``broken`` forgets that creation is exclusive."""
+
+    def __init__(self, other, broken=False):
+        self.other, self.broken, self.files = other, broken, {}
+
+    def __getattr__(self, name):
+        return getattr(self.other, name)
+
+    def create(self, path, text):
+        if self.broken and self.other.exists(path):
+            self.other.delete(path)
+        self.other.create(path, text)
+
+
+def test_storages_conform_or_say_what_they_break(spark, tmp_path):
+    from kindred.streaming.storage import HadoopStorage, conformance
+
+    assert conformance(HadoopStorage(spark), str(tmp_path)) == []
+    assert conformance(Memory(HadoopStorage(spark), broken=True), str(tmp_path)) == ["creation is exclusive"]
+    index = StoredIndex.create(spark, str(tmp_path / "i"), Settings(num_perm=16), Memory(HadoopStorage(spark)))
+    rows = spark.createDataFrame([(i, f"word{i}") for i in range(5)], "key long, text string")
+    assert len(index.insert(rows, "key", word_shingles(F.col("text"), 1))) == 5
+
+
+def test_batches_tell_their_progress_and_can_be_stopped(spark, tmp_path):
+    from kindred.errors import ProgressCancelledError
+
+    rows = spark.createDataFrame([(i, f"word{i} more") for i in range(30)], "key long, text string")
+    w, seen = word_shingles(F.col("text"), 1), []
+    index = StoredIndex.create(spark, str(tmp_path / "a"), Settings(num_perm=16))
+    index.insert_in_batches(rows, "key", w, 3, lambda e: seen.append(e))
+    assert len(index) == 30 and seen[-1].final and seen[-1].completed == seen[-1].total == 30 and sum(e.batch_size for e in seen) == 30
+    other = StoredIndex.create(spark, str(tmp_path / "b"), Settings(num_perm=16))
+    with pytest.raises(ProgressCancelledError) as e:
+        other.insert_in_batches(rows, "key", w, 3, lambda _: False)
+    assert e.value.completed == len(other) == seen[0].completed
