@@ -62,7 +62,8 @@ def char_shingles(text: Column, size: int = 3, normalize: bool = True, general:
     """Distinct character shingles; normalised text has its white space collapsed and trimmed."""
     _size(size)
     t = F.trim(F.regexp_replace(fold(text, general), r"\s+", " ")) if normalize else text
-    runs = F.transform(F.sequence(F.lit(1), F.length(t) - (size - 1)), lambda i: F.substring(t, i, F.lit(size)))
+    # One pass over the text: each match takes one character and captures it with those that follow.
+    runs = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= size, F.array(t)).otherwise(F.array_distinct(runs))
 
 

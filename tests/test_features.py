@@ -113,3 +113,10 @@ def test_code_tokens_of_compatibility_characters(spark):
     rows = spark.createDataFrame([("ｘ１ = ﬁ",), ("a = 1",), (None,)], "t string")
     got = [r.v for r in rows.select(fx.code_tokens(F.col("t"), general=True).alias("v")).collect()]
     assert got == [["x1", "=", "fi"], ["a", "=", "<number>"], None]
+
+
+def test_character_shingles_of_long_and_odd_texts(spark):
+    texts = ["a😀b😀c\n?x" * 3, "x" * 200_000 + "yz", "\ud7ff\ue000\U0010ffff" * 2, "ab"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(fx.char_shingles(F.col("t"), 3, normalize=False).alias("v")).collect()
+    for t, r in zip(texts, rows, strict=True):
+        assert r.v == (list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) if len(t) > 3 else [t])
