@@ -124,19 +124,24 @@ class Deduplicator:
     def _classes(self) -> DataFrame:
         """``key, head, second``: records that no check can tell apart, with the two smallest keys of them (``second`` is null for one)."""
         s, name = self.settings, F.col(self.key).alias("key")
-        rows = self.signed.select(name, F.xxhash64("signature").alias("x"), F.md5(F.array_join("signature", ",")).alias("y"))
-        if s.exact is not None:
-            own = self.records.select(name, F.sha2(F.array_join(F.array_sort(F.array_distinct(self.features)), "\x1e"), 256).alias("z"))
-            rows = rows.join(own, "key")
-        if self.predicate is not None:
-            others = [c for c in self.records.columns if c != self.key]
-            rows = rows.join(self.records.select(name, F.sha2(F.to_json(F.struct(*others)) if others else F.lit(""), 256).alias("r")), "key")
-        by = [c for c in rows.columns if c != "key"]
-        rows = rows.withColumn("_class", F.struct(*by)).select("key", "_class")
-        firsts = with_group(
-            rows, ["_class"], F.col("key"), {"head": F.min("key"), "last": F.max("key")}, {"head": F.min("head"), "last": F.max("last")}
-        )
-        return firsts.select("key", "head", F.when(F.col("head") != F.col("last"), F.col("last")).alias("second"))
+        first = {"head": F.min("key"), "last": F.max("key")}, {"head": F.min("head"), "last": F.max("last")}
+        rows = self.signed.select(name, F.struct(F.xxhash64("signature").alias("x"), F.md5(F.array_join("signature", ",")).alias("y")).alias("_class"))
+        found = with_group(rows, ["_class"], F.col("key"), *first)
+        if s.exact is not None or self.predicate is not None:
+            # Records can be of one class only if their signatures are equal, so features of the others need not be looked at.
+            found = shared_table(found, "alike")
+            several = found.where("head <> last").select("key", "_class")
+            own = self.records.join(several.withColumnRenamed("key", self.key), self.key)
+            more = []
+            if s.exact is not None:
+                more.append(F.sha2(F.array_join(F.array_sort(F.array_distinct(self.features)), "\x1e"), 256).alias("z"))
+            if self.predicate is not None:
+                others = [c for c in self.records.columns if c != self.key]
+                more.append(F.sha2(F.to_json(F.struct(*others)) if others else F.lit(""), 256).alias("r"))
+            own = own.select(name, F.struct("_class", *more).alias("_class"))
+            alone = found.where("head = last").select("key", "head", "last")
+            found = with_group(own, ["_class"], F.col("key"), *first).select("key", "head", "last").unionAll(alone)
+        return found.select("key", "head", F.when(F.col("head") != F.col("last"), F.col("last")).alias("second"))
 
     def _passing(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that pass all checks."""
@@ -229,10 +234,13 @@ def deduplicate(
 
 
 def verify(pairs: DataFrame, records: DataFrame, key: str, features: Column, least: float) -> DataFrame:
-    """``a, b, jaccard`` of pairs whose exact similarity is at least ``least``."""
-    f = records.select(F.col(key).alias("_k"), F.array_distinct(features).alias("_f"))
+    """``a, b, jaccard`` of pairs whose exact similarity is at least ``least``; features are made of the records that pairs name, once."""
+    pairs = shared_table(pairs.select("a", "b"), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct()
+    f = records.join(asked, records[key] == asked["_k"], "left_semi").select(F.col(key).alias("_k"), F.array_distinct(features).alias("_f"))
+    f = shared_table(f, "features")
     a, b = f.select(F.col("_k").alias("a"), F.col("_f").alias("_fa")), f.select(F.col("_k").alias("b"), F.col("_f").alias("_fb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("_fa"), F.col("_fb")).alias("jaccard")).where(F.col("jaccard") >= least)
+    return pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("_fa"), F.col("_fb")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def exact_join(records: DataFrame, key: str, features: Column, least: float) -> DataFrame:
