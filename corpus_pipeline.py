@@ -1,7 +1,8 @@
 """A corpus pipeline: quality, exact and near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and all but the last return the
-columns of ``documents``.
+columns of ``documents``.  In every stage a null text is empty, a null id is a document below all others, and an empty table stays
+empty; other columns pass as they are.
 """
 
 from __future__ import annotations
@@ -18,27 +19,29 @@ from kindred.llm.quality import keep_quality
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.3 or more."""
+    """Documents that the classifier scores 0.3 or more, each row by its own text; without labels all score 0.5 and stay."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id; of rows that repeat it, one."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the document with the smallest id."""
+    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the document with the smallest id.
+
+    Rows that repeat an id with several texts are one document, whose groups are joined."""
     return drop_near_copies(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window of ten words."""
+    """Documents without a benchmark window of ten words, each row by its own text; an empty benchmark drops nothing."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 tokens."""
+    """Pieces of the documents in sequences of 4096 tokens; every row is a document of its own, an empty text its end alone."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -35,8 +35,8 @@ class Bands:
     """
 
     def __init__(self, percent: int) -> None:
-        if not 50 <= percent <= 100:
-            raise ValueError("percent must be within 50 and 100")
+        if not 70 <= percent <= 100:
+            raise ValueError("percent must be within 70 and 100: below, too many sets fill too few blocks of a sketch")
         self.percent = percent
 
     def of(self, n: int) -> int:

@@ -97,3 +97,9 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 160)] + [(300, 301), (301, 300), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(21)} == {0} and {got[i] for i in range(100, 160)} == {100} and got[301] == 300
+
+
+@pytest.mark.parametrize("percent", [69, 0, 101])
+def test_thresholds_that_sketches_cannot_serve_are_refused(spark, percent):
+    with pytest.raises(ValueError, match="within 70 and 100"):
+        jaccard_components(make_docs(spark, [(1, "a b c")]), percent=percent)

@@ -51,6 +51,36 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
 
 
+def written(spark, path, rows, labels, items=()):
+    make_docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_nulls_repeats_and_empty_texts_pass_all_stages(spark, tmp_path):
+    long = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    near = " ".join([*long[1].split()[:-1], "other"])
+    rows = [
+        (None, long[0]), (4, long[0]), (None, None), (5, ""), (6, long[1]), (7, near), (8, long[2]), (8, long[2]), (8, "a text of its own"), (None, long[3]), (9, f"so {long[3]}"),
+    ]
+    path = written(spark, str(tmp_path), rows, [], [(1, long[3])])
+    got = corpus_pipeline.run(spark, path).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    # Equal texts: the largest id; near copies: the smallest; rows with the benchmark's passage go, whatever their id.
+    kept = [(4, long[0]), (5, ""), (6, long[1]), (8, long[2]), (8, "a text of its own")]
+    want = sorted((i, len(library.encode(t, add_special_tokens=False).ids) + 1) for i, t in kept)
+    tokens = defaultdict(int)
+    for r in got:
+        tokens[r.doc_id] += r.length
+    assert sorted({r.doc_id for r in got}) == [4, 5, 6, 8]
+    assert sum(tokens.values()) == sum(n for _, n in want) and tokens[8] == sum(n for i, n in want if i == 8)
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, str(tmp_path), [], [])).count() == 0
+
+
 def test_every_operator_has_a_query():
     assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
     assert zlib.crc32(b"") == 0
