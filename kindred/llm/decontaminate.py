@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap, split_by_bitmap
+from .bitmaps import bitmap, in_bitmap, split_by_bitmap
 from .common import alnum_words, gram_hashes, hash_words, id_type, map_texts, own_memos, shared_table, steps
 
 #: Words of a k-gram.
@@ -138,57 +138,59 @@ def _search_all(shared, item_type: pa.DataType):
     return run
 
 
-def _prints(lengths: list[int]):
-    """Rows (id, fp) of fingerprints for each required length."""
+class _Prints:
+    """Columns of fingerprints: the key of their text, the position, and the words about it that a match of ``length`` may take in."""
 
-    def run(docs) -> Iterator[dict]:
-        for ids, texts, _ in docs:
-            index, fps = [], []
-            for i, text in enumerate(texts):
-                words = hash_words(alnum_words(text))
-                for length in lengths:
-                    if len(words) >= length:
-                        own = np.unique(fingerprints(words, length)[0] ^ np.uint64(length << 56))
-                        index.append(np.full(len(own), i))
-                        fps.append(own)
-            at = np.concatenate(index).astype(np.int64) if index else np.empty(0, np.int64)
-            yield {"id": ids.take(pa.array(at)), "fp": np.concatenate(fps).view(np.int64) if fps else np.empty(0, np.int64)}
+    def __init__(self) -> None:
+        self.key, self.at, self.length, self.fp, self.back, self.words = [], [], [], [], [], []
 
-    return run
+    def add(self, key: int, words: np.ndarray, length: int) -> None:
+        fps, at = fingerprints(words, length)
+        k = min(GRAM, length)
+        for p, f in zip(at.tolist(), (fps ^ np.uint64(length << 56)).view(np.int64).tolist(), strict=True):
+            first = max(0, p - (length - k))
+            self.key.append(key)
+            self.at.append(p)
+            self.length.append(length)
+            self.fp.append(f)
+            self.back.append(p - first)
+            self.words.append(words[first : p + length].tobytes())
+
+    def columns(self, ids: pa.Array) -> dict:
+        return {"id": ids.take(pa.array(self.key, pa.int64())), "at": self.at, "length": self.length, "fp": self.fp, "back": self.back, "words": self.words}
 
 
-def _item_prints(window: int):
+def _prints(lengths: list[int] | None, window: int):
+    """Fingerprints of each text: for all ``lengths``, or (items) for the one that an occurrence of the text must have."""
+
     def run(docs) -> Iterator[dict]:
         for ids, texts, _ in docs:
-            index, lengths, fps = [], [], []
+            out = _Prints()
             for i, text in enumerate(texts):
                 words = hash_words(alnum_words(text))
-                if len(words):
-                    length = min(window, len(words))
-                    own = np.unique(fingerprints(words, length)[0] ^ np.uint64(length << 56))
-                    index.append(np.full(len(own), i))
-                    lengths.append(np.full(len(own), length))
-                    fps.append(own)
-            at = np.concatenate(index).astype(np.int64) if index else np.empty(0, np.int64)
-            yield {
-                "id": ids.take(pa.array(at)),
-                "length": np.concatenate(lengths).astype(np.int32) if index else np.empty(0, np.int32),
-                "fp": np.concatenate(fps).view(np.int64) if fps else np.empty(0, np.int64),
-            }
+                for length in lengths if lengths is not None else [min(window, len(words))] if len(words) else []:
+                    if len(words) >= length:
+                        out.add(i, words, length)
+            yield out.columns(ids)
 
     return run
 
 
-def _search_pairs(window: int):
-    def run(docs) -> Iterator[dict]:
-        for ids, texts, batch in docs:
-            out = []
-            for text, item in zip(texts, batch.column("item_text").to_pylist(), strict=True):
-                out.append(Index([(0, item)], window).search(hash_words(alnum_words(text)))[0])
-            keep = pa.array([bool(x) for x in out], pa.bool_())
-            yield {"id": ids.filter(keep), "item": batch.column("item").filter(keep), "spans": _span_rows([x for x in out if x])}
-
-    return run
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the document's words about each pair of equal fingerprints that are long enough, with the items that have them."""
+    for batch in batches:
+        keep, starts, ends = [], [], []
+        rows = zip(*[batch.column(c).to_pylist() for c in ("at", "back", "words", "item_back", "item_words", "length")], strict=True)
+        for i, (at, back, words, item_back, item_words, length) in enumerate(rows):
+            found = matches(np.frombuffer(words, np.uint64), np.frombuffer(item_words, np.uint64), length, [(back, item_back)])
+            for a, b in found:
+                keep.append(i)
+                starts.append(at - back + a)
+                ends.append(at - back + b)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), batch.column("items").take(at)], names=["id", "start", "end", "items"]
+        )
 
 
 def _counts():
@@ -202,7 +204,7 @@ def _counts():
 def _merged():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_merge([(s["start"], s["end"]) for own in row for s in own]) for row in batch.column("spans").to_pylist()]
+            rows = [_merge([(s["start"], s["end"]) for s in row]) for row in batch.column("spans").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), _span_rows(rows), batch.column("items")], ["id", "spans", "items"])
 
     return run
@@ -236,7 +238,7 @@ def contamination(
 
     Every window of k-grams keeps its least hash, so a shared run of ``window`` words shares a kept hash, which is
     extended word by word.  A benchmark of up to ``index_bytes`` goes to every task as an index; a larger one has its
-    fingerprints joined with those of the documents, and each pair of document and item that meets is extended.
+    fingerprints joined with those of the documents, both with the words about them, and each pair that meets is extended.
     """
     items = _items(benchmark, item_col, item_text_col)
     kind, item_kind = id_type(docs, id_col), id_type(benchmark, item_col)
@@ -254,19 +256,22 @@ def contamination(
 
 
 def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_kind: str, window: int) -> DataFrame:
-    own = shared_table(map_texts(items, _item_prints(window), f"id {item_kind}, length int, fp long", "item", "item_text"), "item-prints")
+    """The same by a join of fingerprints, each with the few words about it, so that no whole text is moved.
+
+    Items that agree about a fingerprint are one row; fingerprints that no item can have are left out where they lie; the join
+    has a plain exchange on both sides, so that adaptive execution can split a frequent passage."""
+    schema = "at int, length int, fp long, back int, words binary"
+    own = map_texts(items, _prints(None, window), f"id {item_kind}, {schema}", "item", "item_text")
+    own = own.groupBy("fp", "length", "back", "words").agg(F.collect_set("id").alias("items"))
+    own = shared_table(own.select("fp", "length", F.col("back").alias("item_back"), F.col("words").alias("item_words"), "items"), "item-prints")
     lengths = sorted(r.length for r in own.select("length").distinct().collect())  # at most ``window`` numbers
     # Rows are told apart by a written number, since ids may be null or repeat.
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = shared_table(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
-    prints = map_texts(rows, _prints(lengths), "id long, fp long", "id")
-    pairs = prints.join(own.select("fp", F.col("id").alias("item")), "fp").select("id", "item").distinct()
-    both = pairs.join(items, "item").join(rows.select("id", "text"), "id")
-    found = map_texts(
-        both, _search_pairs(window), f"id long, item {item_kind}, spans array<struct<start:int,end:int>>", "id", "text",
-        {"item": F.col("item"), "item_text": F.col("item_text")},
-    )
-    per_doc = found.groupBy("id").agg(F.collect_list("spans").alias("spans"), F.collect_set("item").alias("items"))
+    prints = map_texts(rows, _prints(lengths, window), f"id long, {schema}", "id").drop("length")
+    prints = in_bitmap(prints, F.col("fp"), shared_table(bitmap(own, F.col("fp")), "prints"))
+    found = prints.join(own, "fp").mapInArrow(_extended, f"id long, start int, end int, items array<{item_kind}>")
+    per_doc = found.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     per_doc = per_doc.mapInArrow(_merged(), f"id long, spans array<struct<start:int,end:int>>, items array<{item_kind}>")
     counts = map_texts(rows, _counts(), "id long, n_words long", "id").join(rows.select("id", "doc"), "id")
     return counts.join(per_doc, "id", "left").select(

@@ -73,3 +73,17 @@ def test_winnowing_guarantee():
         for j in range(max(1, len(x) - window + 1)):
             part = x[j : j + window]
             assert {j + int(i) for i in np.flatnonzero(part == part.min())} <= at
+
+
+@pytest.mark.parametrize("window", [3, 10])
+def test_both_ways_give_the_same_rows_for_random_texts(spark, window):
+    """Few words, so that passages repeat, overlap and stand at the ends of texts."""
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4, n))
+    items = [(i, text(int(rng.integers(0, 25)))) for i in range(25)] + [(90, "w1 " * 40), (91, "w1 " * 40)]
+    rows = [(i, text(int(rng.integers(0, 120)))) for i in range(60)] + [(900, "w1 " * 60), (901, items[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(rows, items, window)
+    for size in (1 << 20, 0):
+        got = contamination(make_docs(spark, rows), bench, window=window, index_bytes=size).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in got} == want
