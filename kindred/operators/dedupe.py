@@ -101,6 +101,18 @@ class Deduplicator:
         self.signed = shared_table(minhash.sign(records, key, features, s.num_perm, s.seed, s.width), "signatures")
         self.banded = lsh.band_rows(self.signed, key, *s.bands)
 
+    @classmethod
+    def of_signatures(cls, signed: DataFrame, key: str, settings: Settings) -> Deduplicator:
+        """Over rows ``<key>, signature`` that were made elsewhere by these settings; there are no features to verify with."""
+        if settings.exact is not None:
+            raise ConfigurationError("exact verification needs features")
+        out = cls.__new__(cls)
+        out.signed = shared_table(signed.select(key, "signature"), "signatures")
+        out.records, out.key, out.features, out.settings = out.signed, key, F.lit(None), settings
+        out.predicate = out.representative = None
+        out.banded = lsh.band_rows(out.signed, key, *settings.bands)
+        return out
+
     def candidate_pairs(self) -> DataFrame:
         """``a, b`` of all records that share a bucket."""
         return lsh.candidate_pairs(self.banded)

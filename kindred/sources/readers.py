@@ -73,23 +73,24 @@ def _where() -> Column:
     return F.concat(F.lit(" (line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"), F.lit(")"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str, ordinal: bool = False) -> DataFrame:
     """Objects of a JSON-lines file or ``-``; blank lines are skipped; a malformed line or a field that the schema does not have
-    is an error that names the line and shows it."""
+    is an error that names the line and shows it.  ``ordinal`` adds the number of the line."""
     fields = [f.name for f in T._parse_datatype_string(schema).fields]
     lines = numbered_lines(spark, path).where(~_blank())
     allowed = F.array(*[F.lit(f) for f in fields])
     bad = F.concat(F.lit("malformed record or unknown field: "), F.substring("value", 1, 200), _where())
     parsed = lines.select("*", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.json_object_keys("value").alias("k"))
     good = F.col("k").isNotNull() & (F.size(F.array_except("k", allowed)) == 0)
-    return parsed.select(F.when(good, F.col("r")).otherwise(F.raise_error(bad)).alias("r")).select("r.*")
+    return parsed.select(F.when(good, F.col("r")).otherwise(F.raise_error(bad)).alias("r"), "ordinal").select("r.*", *["ordinal"] * ordinal)
 
 
 def index_records(spark: SparkSession, path: str, query: bool = False, num_perm: int = 128, seed: int = 1, scheme: str = "affine32") -> DataFrame:
-    """Records with either ``values`` or a ``signature`` whose scheme, seed and length are those of the index."""
-    rows = json_lines(spark, path, QUERY_RECORD if query else INDEX_RECORD)
+    """Records with either ``values`` or a ``signature`` whose scheme, seed and length are those of the index; queries have
+    their line's ``ordinal`` as well."""
+    rows = json_lines(spark, path, QUERY_RECORD if query else INDEX_RECORD, ordinal=query)
     values, signature = F.col("values").isNotNull(), F.col("signature").isNotNull()
-    limit = F.lit((1 << 32) - 1 if scheme == "affine32" else (1 << 64) - 1).cast("decimal(20,0)")
+    limit = F.lit(str((1 << 32) - 1 if scheme == "affine32" else (1 << 64) - 1)).cast("decimal(20,0)")
     plain = values & ~signature & F.col("scheme").isNull() & F.col("seed").isNull()
     signed = (
         signature & ~values & (F.col("scheme") == scheme) & (F.coalesce("seed", F.lit(seed)) == seed) & (F.size("signature") == num_perm)

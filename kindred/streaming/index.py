@@ -276,11 +276,15 @@ class StoredIndex:
     def search(self, queries: DataFrame, key: str, features: Column, min_similarity: float | None = None, top_k: int | None = None) -> DataFrame:
         """``query, key`` of candidates; with a bound or a limit also ``similarity`` (and ``rank``)."""
         self._check()
+        return self.search_signatures(minhash.sign(queries, key, features, *self._law), key, min_similarity, top_k)
+
+    def search_signatures(self, signed: DataFrame, key: str, min_similarity: float | None = None, top_k: int | None = None) -> DataFrame:
+        """The same for rows ``<key>, signature`` that are made as those of the index."""
+        self._check()
         scores = min_similarity is not None or top_k is not None
         if scores and not self.stores_signatures:
             raise ConfigurationError("the index does not store signatures, so it can't score")
         m = self.meta
-        signed = minhash.sign(queries, key, features, *self._law)
         signed = shared_table(signed.withColumn("buckets", lsh.band_hashes(m["bands"], m["rows"])), "queries")
         live = self.live()
         found = lsh.query(lsh.stored_bands(live, "key"), lsh.stored_bands(signed, key))
