@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -94,16 +95,24 @@ def own_memos(owner: str) -> None:
         _owner[0] = owner
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system: a worker outlives its tasks, and arrays leave holes behind."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of fewer rows while something with large rows is computed."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int | None = None, size: int | None = None) -> Iterator[None]:
+    """Arrow batches of fewer rows or bytes while something with large rows is computed."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k, v in wanted.items() if v is not None}
+    for k in before:
+        spark.conf.set(k, wanted[k])
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def id_type(df: DataFrame, id_col: str) -> str:

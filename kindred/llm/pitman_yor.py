@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import bucketed_table, free_shuffles, scratch
 from .blobs import even_keys, narrow, pack, steps_of, unpack
-from .common import hash_words, id_type, map_texts, mix, own_memos, shared_table, shuffle_partitions, space_words
+from .common import hash_words, id_type, map_texts, mix, own_memos, shared_table, shuffle_partitions, small_batches, space_words, trim
 from .quality import remainder
 
 #: (discount, strength) of the unigram parent and of the contexts.
@@ -31,7 +31,10 @@ BURN, SAMPLES = 2, 2
 SEED = 20_000_003
 
 #: Tokens and documents that a task of the map side sorts at a time, and tokens that a bucket is meant to hold.
-GATHER, GATHER_DOCS, BUCKET_TOKENS = 1 << 21, 1 << 16, 1 << 22
+GATHER, GATHER_DOCS, BUCKET_TOKENS = 1 << 20, 1 << 16, 1 << 21
+
+#: Bytes of an Arrow batch: values are large, and both sides of a Python worker hold whole batches.
+BATCH_BYTES = 1 << 20
 
 #: Tokens of a bucket that are scored at a time.
 STEP_TOKENS = 1 << 18
@@ -267,11 +270,13 @@ def _blocks(shared: Broadcast):
             words, lengths = _tokens(texts)
             if held and (tokens + len(words) > GATHER or count + len(lengths) > GATHER_DOCS):
                 yield flush()
+                trim()
                 tokens = count = 0
             held.append((ids, words, lengths, batch.column("held_out").to_numpy(zero_copy_only=False)))
             tokens, count = tokens + len(words), count + len(lengths)
         if held:
             yield flush()
+        trim()
 
     return run
 
@@ -291,6 +296,7 @@ def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, l
             rows.append(row)
     if rows:
         yield own, rows
+    trim()
 
 
 def _merge(shared: Broadcast, schema: pa.Schema):
@@ -557,7 +563,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Buckets (about BUCKET_TOKENS tokens each) hold whole contexts; frequent ones are dealt over several.  The parent lies in
     as many shards of words; buckets ask each for their words and are answered.  So a task's memory does not depend on the input.
     """
-    with scratch() as own:
+    with scratch() as own, small_batches(docs.sparkSession, size=BATCH_BYTES):
         return own.keep(_scored(docs, id_col, text_col, folds), "scored")
 
 
