@@ -102,9 +102,12 @@ def trim() -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int | None = None, size: int | None = None) -> Iterator[None]:
-    """Arrow batches of fewer rows or bytes while something with large rows is computed."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+def small_batches(spark: SparkSession, rows: int | None = None, size: int | None = None, read: int | None = None) -> Iterator[None]:
+    """Arrow batches of fewer rows or bytes, and ``read`` rows from Parquet at a time, while something with large rows is computed."""
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size,
+        "spark.sql.parquet.columnarReaderBatchSize": read,
+    }
     before = {k: spark.conf.get(k) for k, v in wanted.items() if v is not None}
     for k in before:
         spark.conf.set(k, wanted[k])

@@ -3,6 +3,9 @@
 Tokens, grouped by their context, travel as packed arrays (``blobs``), not as rows: a task of the map side sorts some millions
 of them and sends each bucket one value.  A bucket holds whole contexts; one that is too frequent for that is dealt over
 several buckets by the words that follow it.
+
+Packed values travel and are stored in pieces of ``PIECE`` bytes and are put together again in Python: an executor's heap keeps
+longer ones apart, copies them at every step, and fills up with them.
 """
 
 from __future__ import annotations
@@ -36,6 +39,15 @@ GATHER, GATHER_DOCS, BUCKET_TOKENS = 1 << 20, 1 << 16, 1 << 21
 #: Bytes of an Arrow batch: values are large, and both sides of a Python worker hold whole batches.
 BATCH_BYTES = 1 << 20
 
+#: Bytes of a value in a row, at most, and rows that are read from Parquet at a time.
+PIECE, READ_ROWS = 1 << 16, 8
+
+#: How tables of pieces are written: they are compressed already, and a writer holds a row group in memory.
+WRITTEN = {
+    "compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": 4 * BATCH_BYTES, "parquet.page.size": 2 * PIECE,
+    "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 2,
+}
+
 #: Tokens of a bucket that are scored at a time.
 STEP_TOKENS = 1 << 18
 
@@ -207,8 +219,8 @@ def _place(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _blocks(shared: Broadcast):
-    """Rows of two kinds: (bucket, chunk, data) for the tokens of a chunk of documents that belong to a bucket, sorted by context and
-    word; and (bucket, chunk, ids, held, n) for its documents.  A document's code is its number in the chunk, and whether it teaches."""
+    """Rows of two kinds: (bucket, chunk, piece, data) for the tokens of a chunk of documents that belong to a bucket, sorted by context
+    and word; and (bucket, chunk, ids, held, n) for its documents.  A document's code is its number in the chunk, and whether it teaches."""
 
     def block(words: np.ndarray, cu: np.ndarray, cw: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> bytes:
         first = np.flatnonzero(np.diff(cu, prepend=-1))
@@ -222,7 +234,7 @@ def _blocks(shared: Broadcast):
         buckets, task, chunks = len(keys), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
-        def flush() -> dict:
+        def flush() -> Iterator[dict]:
             nonlocal chunks
             ids, words, lengths, out = (list(x) for x in zip(*held, strict=True))
             ids, lengths, out = pa.chunked_array(ids).combine_chunks(), np.concatenate(lengths), np.concatenate(out)
@@ -258,29 +270,49 @@ def _blocks(shared: Broadcast):
             data = [block(words, cu[x:y], cw[x:y], np.diff(ends[x : y + 1]), codes[ends[x] : ends[y]]) for _, x, y in rows]
             chunk = task << 24 | chunks
             chunks += 1
-            offsets = pa.array([0] * (len(rows) + 1) + [len(ids)], pa.int32())
-            return {
-                "b": [k for k, _, _ in rows] + [int(keys[chunk % buckets])], "chunk": [chunk] * (len(rows) + 1), "data": [*data, None],
+            split = [(k, i, x) for (k, _, _), whole in zip(rows, data, strict=True) for i, x in enumerate(_pieces(whole))]
+            del data
+            offsets = pa.array([0] * (len(split) + 1) + [len(ids)], pa.int32())
+            made = {
+                "b": [k for k, _, _ in split] + [int(keys[chunk % buckets])], "chunk": [chunk] * (len(split) + 1),
+                "piece": [i for _, i, _ in split] + [0], "data": [*[x for *_, x in split], None],
                 "ids": pa.ListArray.from_arrays(offsets, ids), "held": pa.ListArray.from_arrays(offsets, pa.array(out)),
                 "n": pa.ListArray.from_arrays(offsets, pa.array(lengths)),
             }
+            for lo in range(0, len(split) + 1, BATCH_BYTES // PIECE):
+                yield {name: column[lo : lo + BATCH_BYTES // PIECE] for name, column in made.items()}
 
         tokens = count = 0
         for ids, texts, batch in docs:
             words, lengths = _tokens(texts)
             if held and (tokens + len(words) > GATHER or count + len(lengths) > GATHER_DOCS):
-                yield flush()
+                yield from flush()
                 trim()
                 tokens = count = 0
             held.append((ids, words, lengths, batch.column("held_out").to_numpy(zero_copy_only=False)))
             tokens, count = tokens + len(words), count + len(lengths)
         if held:
-            yield flush()
+            yield from flush()
         trim()
 
     return run
 
 
+def _pieces(data: bytes) -> list[bytes]:
+    return [data[at : at + PIECE] for at in range(0, len(data), PIECE)]
+
+
+def _whole(pieces: list[tuple[int, pa.Buffer]]) -> bytes:
+    return b"".join(x for _, x in sorted(pieces, key=lambda x: x[0]))
+
+
+def _thin(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``BATCH_BYTES``."""
+    rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of sorted batches, those of one value at a time.  Binary values are buffers."""
     own, rows = None, []
@@ -299,8 +331,19 @@ def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, l
     trim()
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[int, dict[int, bytes]]]:
+    """(bucket, {kind: {part: value}}) of rows (bucket, kind, part, piece, data) of one bucket, in any order; parts ascend."""
+    b, found = 0, {}
+    for batch in batches:
+        b = batch.column("bucket")[0].as_py()
+        kinds, parts, pieces = (batch.column(n).to_pylist() for n in ("kind", "part", "piece"))
+        for kind, part, piece, data in zip(kinds, parts, pieces, batch.column("data"), strict=True):
+            found.setdefault(kind, {}).setdefault(part, []).append((piece, data.as_buffer()))
+    return b, {kind: {part: _whole(parts.pop(part)) for part in sorted(parts)} for kind, parts in found.items()}
+
+
 def _merge(shared: Broadcast, schema: pa.Schema):
-    """One row for each bucket: its cells (context, word, customers), its tokens by cell, and what sweeps need of the cells."""
+    """Rows for each bucket, in pieces: its cells (context, word, customers), its tokens by cell, and what sweeps need of the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memos(__name__)
@@ -312,8 +355,11 @@ def _merge(shared: Broadcast, schema: pa.Schema):
             rows = [r for r in rows if r["data"].is_valid]
             if not rows:
                 continue
-            chunks = [r["chunk"].as_py() for r in rows]
-            parts = [unpack(r["data"].as_buffer()) for r in rows]
+            split: dict[int, list] = {}
+            for r in rows:
+                split.setdefault(r["chunk"].as_py(), []).append((r["piece"].as_py(), r["data"].as_buffer()))
+            chunks, parts = list(split), [unpack(_whole(x)) for x in split.values()]
+            del rows, split
             us, ws = [np.cumsum(p[0]) for p in parts], [np.cumsum(p[2]) for p in parts]
             u_all, w_all = np.unique(np.concatenate(us)), np.unique(np.concatenate(ws))
             key, code = [], []
@@ -334,16 +380,22 @@ def _merge(shared: Broadcast, schema: pa.Schema):
             many, one = np.flatnonzero(learn > 1), learn == 1
             at, known = _place(shared.value[0], u_all)
             hot = np.flatnonzero(known)
-            row = {
-                "b": [b], "chunks": [chunks],
-                "cells": [pack(steps_of(u_all), narrow(np.bincount(room, minlength=len(u_all))), steps_of(w_all), narrow(word), narrow(learn))],
-                "tokens": [pack(narrow(counts), narrow(code))],
-                "more": [pack(
+            made = {
+                "cells": pack(
+                    steps_of(u_all), narrow(np.bincount(room, minlength=len(u_all))), steps_of(w_all), narrow(word), narrow(learn), np.array(chunks, np.int64)
+                ),
+                "tokens": pack(narrow(counts), narrow(code)),
+                "more": pack(
                     steps_of(room[many].astype(np.uint32)), narrow(word[many]), narrow(learn[many]), narrow(np.bincount(room[one], minlength=len(u_all))),
                     narrow(np.bincount(word[one], minlength=len(w_all))), narrow(hot), narrow(at[hot]),
-                )],
+                ),
             }
-            yield pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) if f.name in row else pa.nulls(1, f.type) for f in schema], schema=schema)
+            for name, value in made.items():
+                pieces = _pieces(value)
+                row = {"b": [b] * len(pieces), "piece": range(len(pieces)), name: pieces}
+                yield from _thin(pa.RecordBatch.from_arrays(
+                    [pa.array(row[f.name], f.type) if f.name in row else pa.nulls(len(pieces), f.type) for f in schema], schema=schema
+                ))
 
     return run
 
@@ -351,16 +403,22 @@ def _merge(shared: Broadcast, schema: pa.Schema):
 # --- Gibbs sweeps ----------------------------------------------------------------------------------------------------
 
 #: Rows of buckets: requests to the shards of the parent (``shard`` is set), or the seating of a bucket.
-_ASKED = "b int, shard int, data binary, hot array<struct<u:long,c:long,t:long>>"
+_ASKED = "b int, shard int, piece int, data binary, hot array<struct<u:long,c:long,t:long>>"
 _HOT = pa.list_(pa.struct([("u", pa.int64()), ("c", pa.int64()), ("t", pa.int64())]))
 
 
-def _asked(b: int, rows: list[tuple[int | None, bytes]], hot: list[dict]) -> pa.RecordBatch:
-    """``hot`` goes with the first row."""
-    return pa.RecordBatch.from_pydict({
-        "b": pa.array([b] * len(rows), pa.int32()), "shard": pa.array([s for s, _ in rows], pa.int32()), "data": pa.array([x for _, x in rows], pa.binary()),
+#: Kinds of rows that are a bucket's own; those of rows that are sent to it are 0 or more.
+_CELLS, _TOKENS, _MORE = -3, -2, -1
+
+
+def _asked(b: int, rows: list[tuple[int | None, bytes]], hot: list[dict]) -> Iterator[pa.RecordBatch]:
+    """``hot`` goes with the first row.  What asks no shard is split; a request needs no more than the words of one shard."""
+    rows = [(s, i, x) for s, whole in rows for i, x in enumerate(_pieces(whole) if s is None else [whole])]
+    yield from _thin(pa.RecordBatch.from_pydict({
+        "b": pa.array([b] * len(rows), pa.int32()), "shard": pa.array([s for s, _, _ in rows], pa.int32()),
+        "piece": pa.array([i for _, i, _ in rows], pa.int32()), "data": pa.array([x for *_, x in rows], pa.binary()),
         "hot": pa.array([hot, *[None] * (len(rows) - 1)], _HOT),
-    })
+    }))
 
 
 def _first_requests(shared: Broadcast, shards: np.ndarray):
@@ -368,22 +426,23 @@ def _first_requests(shared: Broadcast, shards: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memos(__name__)
-        for b, (row,) in _by("b", batches):
-            u, cells, w, word, learn = unpack(row["cells"].as_buffer())
-            u, w, learn = np.cumsum(u), np.cumsum(w), learn.astype(np.int64)
-            customers, tables = np.bincount(word, learn, len(w)).astype(np.int64), np.bincount(word[learn > 0], minlength=len(w))
-            cuts = np.searchsorted(((w >> np.uint64(32)) * np.uint64(len(shards))) >> np.uint64(32), np.arange(len(shards) + 1))
-            rows = [
-                (s, pack(steps_of(w[x:y]), narrow(customers[x:y]), narrow(tables[x:y])))
-                for s, x, y in zip(shards.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if x < y
-            ]
-            room = np.repeat(np.arange(len(u)), cells)
-            at, known = _place(shared.value[0], u)
-            hot = [
-                {"u": int(at[r]), "c": int(learn[lo:hi].sum()), "t": int((learn[lo:hi] > 0).sum())}
-                for r in np.flatnonzero(known) for lo, hi in [np.searchsorted(room, [r, r + 1])]
-            ]
-            yield _asked(b, rows, hot)
+        b, own = _gather(batches)
+        u, cells, w, word, learn, _ = unpack(own[_CELLS][-1])
+        u, w, learn = np.cumsum(u), np.cumsum(w), learn.astype(np.int64)
+        customers, tables = np.bincount(word, learn, len(w)).astype(np.int64), np.bincount(word[learn > 0], minlength=len(w))
+        cuts = np.searchsorted(((w >> np.uint64(32)) * np.uint64(len(shards))) >> np.uint64(32), np.arange(len(shards) + 1))
+        rows = [
+            (s, pack(steps_of(w[x:y]), narrow(customers[x:y]), narrow(tables[x:y])))
+            for s, x, y in zip(shards.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if x < y
+        ]
+        room = np.repeat(np.arange(len(u)), cells)
+        at, known = _place(shared.value[0], u)
+        hot = [
+            {"u": int(at[r]), "c": int(learn[lo:hi].sum()), "t": int((learn[lo:hi] > 0).sum())}
+            for r in np.flatnonzero(known) for lo, hi in [np.searchsorted(room, [r, r + 1])]
+        ]
+        yield from _asked(b, rows, hot)
+        trim()
 
     return run
 
@@ -420,7 +479,7 @@ def _serve(sweep: int, gamma: float, words: int):
                 tables[known] = draw_tables(customers[known], weight, ROOT[0], np.random.default_rng([SEED, sweep, 1, shard]))
             sums = [int(known.sum()), int(counts.sum()) if sweep == 0 else 0, int(customers.sum()), int(tables.sum())]
             none = [0] * (len(rows) - 1)
-            yield pa.RecordBatch.from_arrays(
+            yield from _thin(pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["b"].as_py() for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int32()),
                     pa.array([pack(steps_of(at.astype(np.uint32)), narrow(customers[at]), narrow(tables[at])) for at in places], pa.binary()),
@@ -428,22 +487,14 @@ def _serve(sweep: int, gamma: float, words: int):
                     *[pa.array([x, *none], pa.int64()) for x in sums],
                 ],
                 names=["b", "shard", "data", "counts", "v", "n", "c", "t"],
-            )
+            ))
 
     return run
 
 
-def _read(given: pa.Scalar) -> dict[int, list]:
-    """Arrays of the rows that came for a bucket, by their kind; answers in the order of the shards."""
-    out: dict[int, list] = {}
-    for x in sorted(given.values.to_pylist(), key=lambda x: (x["kind"], x["part"])):
-        out.setdefault(x["kind"], []).append((x["part"], unpack(x["data"])))
-    return out
-
-
-def _answers(rows: list, order: dict[int, int]) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+def _answers(values: dict[int, bytes], order: dict[int, int]) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
     """(shard and places of its words, customers, tables) of a bucket's words, in the words' order."""
-    rows = sorted(rows, key=lambda x: order[x[0]])
+    rows = [(s, unpack(values[s])) for s in sorted(values, key=order.__getitem__)]
     return [(s, x[0]) for s, x in rows], *(np.concatenate([x[i] for _, x in rows]).astype(np.int64) for i in (1, 2))
 
 
@@ -453,23 +504,24 @@ def _seat(sweep: int, figures: dict, hot: Broadcast, shards: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memos(__name__)
-        for b, (row,) in _by("b", batches):
-            room, word, customers, once, once_words, hot_at, hot_of = unpack(row["more"].as_buffer())
-            room, word, once = np.cumsum(room).astype(np.int64), word.astype(np.int64), once.astype(np.int64)
-            given = _read(row["given"])
-            places, served, laid = _answers(given[0], order)
-            p = parent(served, laid, **figures)
-            rng = np.random.default_rng([SEED, sweep, 0, b])
-            rooms = Restaurants(room, customers, len(once), CONTEXT, rng, once)
-            before = given[1][0][1][0].astype(np.int64) if 1 in given else rooms.opened()
-            gamma = rng.standard_gamma(CONTEXT[1] / CONTEXT[0] + before)
-            gamma[hot_at] = hot.value[hot_of]
-            rooms.sweep(p[word], gamma)
-            now = rooms.opened()
-            tables = once_words + np.bincount(word, rooms.tables, len(once_words)).astype(np.int64)
-            cuts = np.cumsum([0] + [len(x) for _, x in places])
-            rows = [(s, pack(x, narrow(tables[lo:hi]))) for (s, x), lo, hi in zip(places, cuts[:-1], cuts[1:], strict=True)]
-            yield _asked(b, [(None, pack(narrow(now), narrow(rooms.tables))), *rows], [{"u": int(of), "c": 0, "t": int(now[at])} for at, of in zip(hot_at, hot_of, strict=True)])
+        b, given = _gather(batches)
+        room, word, customers, once, once_words, hot_at, hot_of = unpack(given[_MORE][-1])
+        room, word, once = np.cumsum(room).astype(np.int64), word.astype(np.int64), once.astype(np.int64)
+        places, served, laid = _answers(given[0], order)
+        p = parent(served, laid, **figures)
+        rng = np.random.default_rng([SEED, sweep, 0, b])
+        rooms = Restaurants(room, customers, len(once), CONTEXT, rng, once)
+        before = unpack(given[1][-1])[0].astype(np.int64) if 1 in given else rooms.opened()
+        del given
+        gamma = rng.standard_gamma(CONTEXT[1] / CONTEXT[0] + before)
+        gamma[hot_at] = hot.value[hot_of]
+        rooms.sweep(p[word], gamma)
+        now = rooms.opened()
+        tables = once_words + np.bincount(word, rooms.tables, len(once_words)).astype(np.int64)
+        cuts = np.cumsum([0] + [len(x) for _, x in places])
+        rows = [(s, pack(x, narrow(tables[lo:hi]))) for (s, x), lo, hi in zip(places, cuts[:-1], cuts[1:], strict=True)]
+        yield from _asked(b, [(None, pack(narrow(now), narrow(rooms.tables))), *rows], [{"u": int(of), "c": 0, "t": int(now[at])} for at, of in zip(hot_at, hot_of, strict=True)])
+        trim()
 
     return run
 
@@ -485,44 +537,44 @@ def _score(figures: list[dict], hot: Broadcast, total: int, words: int, shards:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memos(__name__)
-        for _, (row,) in _by("b", batches):
-            u, cells, _, word, learn = unpack(row["cells"].as_buffer())
-            hot_at, hot_of = unpack(row["more"].as_buffer())[-2:]
-            room, learn = np.repeat(np.arange(len(u)), cells), learn.astype(np.int64)
-            many = learn > 1
-            given = _read(row["given"])
-            customers = np.bincount(room, learn, len(u))
-            customers[hot_at] = hot.value[0][hot_of]
-            p = np.zeros(len(learn))
-            for s, sums in enumerate(figures):
-                _, served, laid = _answers(given[2 * s + 1], order)
-                opened, tables = given[2 * s + 2][0][1]
-                opened = opened.astype(np.float64)
-                opened[hot_at] = hot.value[s + 1][hot_of]
-                seats = (learn > 0).astype(np.float64)
-                seats[many] = tables
-                p += (learn - discount * seats + (strength + discount * opened)[room] * parent(served, laid, **sums)[word]) / (strength + customers)[room]
-            counts = np.concatenate([x[0] for _, x in sorted(given[0], key=lambda x: order[x[0]])]).astype(np.int64)
-            del given, room, learn
-            each, codes = unpack(row["tokens"].as_buffer())
-            ends = np.cumsum(each.astype(np.int64))
-            p = np.log10(p / len(figures))
-            single, met = np.log10(counts + 0.1) - floor, counts > 0
-            parts, lo = [], 0
-            while lo < len(each):  # in steps, so that no array has an entry for each token
-                at = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, at + STEP_TOKENS, "right")))
-                doc, own = np.unique(codes[at : ends[hi - 1]].astype(np.int64) >> 1, return_inverse=True)
-                sums = [np.bincount(own, np.repeat(x, each[lo:hi]), len(doc)) for x in (single[word[lo:hi]], p[lo:hi], met[word[lo:hi]])]
-                parts.append((doc, *sums))
-                lo = hi
-            doc, own = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            base, score, known = (np.bincount(own, np.concatenate([x[i] for x in parts]), len(doc)) for i in (1, 2, 3))
-            known = known.astype(np.int64)
-            chunks = row["chunks"].as_py()
-            cuts = np.searchsorted(doc >> 16, np.arange(len(chunks) + 1))
-            data = [pack((doc[x:y] & 0xFFFF).astype(np.uint16), base[x:y], score[x:y].astype(np.float32), narrow(known[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "sums": pa.array(data, pa.binary())})
+        _, given = _gather(batches)
+        u, cells, _, word, learn, chunks = unpack(given[_CELLS][-1])
+        hot_at, hot_of = unpack(given[_MORE][-1])[-2:]
+        room, learn = np.repeat(np.arange(len(u)), cells), learn.astype(np.int64)
+        many = learn > 1
+        customers = np.bincount(room, learn, len(u))
+        customers[hot_at] = hot.value[0][hot_of]
+        p = np.zeros(len(learn))
+        for s, sums in enumerate(figures):
+            _, served, laid = _answers(given[2 * s + 1], order)
+            opened, tables = unpack(given[2 * s + 2][-1])
+            opened = opened.astype(np.float64)
+            opened[hot_at] = hot.value[s + 1][hot_of]
+            seats = (learn > 0).astype(np.float64)
+            seats[many] = tables
+            p += (learn - discount * seats + (strength + discount * opened)[room] * parent(served, laid, **sums)[word]) / (strength + customers)[room]
+        counts = np.concatenate([unpack(given[0][x])[0] for x in sorted(given[0], key=order.__getitem__)]).astype(np.int64)
+        packed = given[_TOKENS][-1]
+        del given, room, learn
+        each, codes = unpack(packed)
+        ends = np.cumsum(each.astype(np.int64))
+        p = np.log10(p / len(figures))
+        single, met = np.log10(counts + 0.1) - floor, counts > 0
+        parts, lo = [], 0
+        while lo < len(each):  # in steps, so that no array has an entry for each token
+            at = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, at + STEP_TOKENS, "right")))
+            doc, own = np.unique(codes[at : ends[hi - 1]].astype(np.int64) >> 1, return_inverse=True)
+            sums = [np.bincount(own, np.repeat(x, each[lo:hi]), len(doc)) for x in (single[word[lo:hi]], p[lo:hi], met[word[lo:hi]])]
+            parts.append((doc, *sums))
+            lo = hi
+        doc, own = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        base, score, known = (np.bincount(own, np.concatenate([x[i] for x in parts]), len(doc)) for i in (1, 2, 3))
+        known = known.astype(np.int64)
+        cuts = np.searchsorted(doc >> 16, np.arange(len(chunks) + 1))
+        data = [pack((doc[x:y] & 0xFFFF).astype(np.uint16), base[x:y], score[x:y].astype(np.float32), narrow(known[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield from _thin(pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "sums": pa.array(data, pa.binary())}))
+        trim()
 
     return run
 
@@ -563,7 +615,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Buckets (about BUCKET_TOKENS tokens each) hold whole contexts; frequent ones are dealt over several.  The parent lies in
     as many shards of words; buckets ask each for their words and are answered.  So a task's memory does not depend on the input.
     """
-    with scratch() as own, small_batches(docs.sparkSession, size=BATCH_BYTES):
+    with scratch() as own, small_batches(docs.sparkSession, size=BATCH_BYTES, read=READ_ROWS):
         return own.keep(_scored(docs, id_col, text_col, folds), "scored")
 
 
@@ -581,20 +633,26 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFram
     shared = context.broadcast((hot, deal, keys))
     lists = f"ids array<{kind}>, held array<boolean>, n array<long>"
     blocks = map_texts(
-        docs, _blocks(shared), f"b int, chunk long, data binary, {lists}", id_col, text_col, {"held_out": remainder(F.col(id_col), folds) == 0}
+        docs, _blocks(shared), f"b int, chunk long, piece int, data binary, {lists}", id_col, text_col, {"held_out": remainder(F.col(id_col), folds) == 0}
     )
-    schema = f"b int, chunk long, {lists}, chunks array<long>, cells binary, tokens binary, more binary"
+    schema = f"b int, chunk long, {lists}, piece int, cells binary, tokens binary, more binary"
     merged = blocks.repartition(buckets, "b").sortWithinPartitions("b", "chunk").mapInArrow(_merge(shared, arrow(schema)), schema)
-    table = bucketed_table(merged, "tokens", buckets, "b")
+    table = bucketed_table(merged, "tokens", buckets, "b", WRITTEN)
     del blocks, merged
     free_shuffles(spark)
 
+    def own_rows(**kinds: int) -> DataFrame:
+        """Pieces of some of the columns of the table, which stays where it is: a union keeps buckets that have another name than the column."""
+        some = table.where(" or ".join(f"{c} is not null" for c in kinds))
+        kind = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(k)) for c, k in kinds.items()])
+        return some.select(F.col("b").alias("bucket"), kind.alias("kind"), F.lit(-1).alias("part"), "piece", F.coalesce(*kinds).alias("data"))
+
     def given(*tables: DataFrame) -> DataFrame:
-        every = functools.reduce(DataFrame.unionAll, tables).repartition(buckets, "b")
-        return every.groupBy("b").agg(F.collect_list(F.struct("kind", "part", "data")).alias("given"))
+        return functools.reduce(DataFrame.unionAll, tables).repartition(buckets, "b")
 
     def came(df: DataFrame, kind: int, data: str = "data") -> DataFrame:
-        return df.select("b", F.lit(kind).alias("kind"), F.coalesce("shard", F.lit(-1)).alias("part"), F.col(data).alias("data"))
+        piece = F.col("piece") if "piece" in df.columns else F.lit(0).alias("piece")
+        return df.select("b", F.lit(kind).alias("kind"), F.coalesce("shard", F.lit(-1)).alias("part"), piece, F.col(data).alias("data"))
 
     def frequent(df: DataFrame, column: str) -> np.ndarray:
         """Sums over the buckets of the frequent contexts, of which there are at most four a bucket."""
@@ -606,11 +664,11 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFram
 
     def serve(asked: DataFrame, sweep: int, gamma: float, words: int) -> tuple[DataFrame, object]:
         rows = asked.where("shard is not null").select("shard", "b", "data").repartition(buckets, "shard").sortWithinPartitions("shard", "b")
-        answers = shared_table(rows.mapInArrow(_serve(sweep, gamma, words), _ANSWER), "answers")
+        answers = shared_table(rows.mapInArrow(_serve(sweep, gamma, words), _ANSWER), "answers", WRITTEN)
         return answers, answers.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "vnct"]).first()
 
     rng = np.random.default_rng(SEED)
-    asked = shared_table(table.where("cells is not null").select("b", "cells").mapInArrow(_first_requests(shared, keys), _ASKED), "asked")
+    asked = shared_table(own_rows(cells=_CELLS).groupBy("bucket").applyInArrow(_first_requests(shared, keys), _ASKED), "asked", WRITTEN)
     customers, opened = frequent(asked, "c"), frequent(asked, "t")
     first, sums = serve(asked, 0, 0.0, 0)
     total, words, answers, seated = sums.n, sums.v, first, None
@@ -619,8 +677,8 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFram
         figures = {"words": words, "all_customers": sums.c, "all_tables": sums.t}
         gamma = context.broadcast(rng.standard_gamma(CONTEXT[1] / CONTEXT[0] + opened))
         before = [came(answers, 0)] + ([came(seated.where("shard is null"), 1)] if seated else [])
-        rows = table.where("more is not null").select("b", "more").join(given(*before), "b")
-        seated = shared_table(rows.sortWithinPartitions("b").mapInArrow(_seat(sweep, figures, gamma, keys), _ASKED), "seated")
+        rows = own_rows(more=_MORE).unionAll(given(*before))
+        seated = shared_table(rows.groupBy("bucket").applyInArrow(_seat(sweep, figures, gamma, keys), _ASKED), "seated", WRITTEN)
         opened = frequent(seated, "t")
         answers, sums = serve(seated, sweep, float(rng.standard_gamma(ROOT[1] / ROOT[0] + sums.t)), words)
         if sweep > BURN:
@@ -629,9 +687,9 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFram
     before = [came(first, 0, "counts")]
     for s, (seats, _, told, _) in enumerate(samples):
         before += [came(told, 2 * s + 1), came(seats.where("shard is null"), 2 * s + 2)]
-    rows = table.where("cells is not null").select("b", "chunks", "cells", "tokens", "more").join(given(*before), "b").sortWithinPartitions("b")
+    rows = own_rows(cells=_CELLS, tokens=_TOKENS, more=_MORE).unionAll(given(*before))
     averages = context.broadcast((customers, *[x for _, x, _, _ in samples]))
-    part = rows.mapInArrow(_score([x for *_, x in samples], averages, total, words, keys), "chunk long, sums binary")
+    part = rows.groupBy("bucket").applyInArrow(_score([x for *_, x in samples], averages, total, words, keys), "chunk long, sums binary")
     every = part.unionByName(table.where("ids is not null").select("chunk", "ids", "held", "n"), allowMissingColumns=True)
     # The chunks of a task lie together; tasks are dealt evenly.
     parts = shuffle_partitions(spark)
