@@ -28,14 +28,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, options: dict | None = None, rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is the smallest node that can be reached.
 
     Alternating large-star and small-star steps: neighbours are re-linked to the smallest one known until nothing
-    changes.  Each round is written to the shared folder.  Minimum labels are aggregated map-side and joined salted, so
-    a node with very many neighbours does not land in one task.
+    changes.  Each round is written to the shared folder, with ``options`` of the writer.  Minimum labels are aggregated
+    map-side and joined salted, so a node with very many neighbours does not land in one task.
     """
-    e = shared_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = shared_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", options)
     for _ in range(rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_group(both, ["u"], F.col("v"), {"m": F.min("v")}, {"m": F.min("m")})
@@ -49,7 +49,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
                 )
             ).alias("e")
         ).select("e.u", "e.v").where("u <> v").distinct()
-        after = shared_table(small, "edges")
+        after = shared_table(small, "edges", options)
         e = after
         # A fixed point: every node has one edge, and it leads to a node that has none of its own.
         forks = after.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w")).where("v <> w").select("u", "v")
@@ -92,21 +92,26 @@ def own_memos(owner: str) -> None:
         for clear in _caches:
             clear()
         gc.collect()
+        trim()
         _owner[0] = owner
 
 
 def trim() -> None:
     """Give memory that was freed back to the system: a worker outlives its tasks, and arrays leave holes behind."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int | None = None, size: int | None = None, read: int | None = None) -> Iterator[None]:
-    """Arrow batches of fewer rows or bytes, and ``read`` rows from Parquet at a time, while something with large rows is computed."""
+def small_batches(
+    spark: SparkSession, rows: int | None = None, size: int | None = None, read: int | None = None, split: int | None = None
+) -> Iterator[None]:
+    """Arrow batches of fewer rows or bytes, ``read`` rows from Parquet at a time and ``split`` bytes of it a task, while something with
+    large rows is computed."""
     wanted = {
         "spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size,
-        "spark.sql.parquet.columnarReaderBatchSize": read,
+        "spark.sql.parquet.columnarReaderBatchSize": read, "spark.sql.files.maxPartitionBytes": split,
     }
     before = {k: spark.conf.get(k) for k, v in wanted.items() if v is not None}
     for k in before:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import scratch
+from ..operators.tables import free_shuffles, scratch
 from .bitmaps import bitmap, in_bitmap, split_by_bitmap
 from .common import components, gram_hashes, hash_words, id_type, map_texts, mix, shared_table, shuffle_partitions, small_batches, space_words, with_group
 
@@ -26,6 +26,12 @@ PAIR_ROWS = 500
 #: Classes that a task remembers, so as not to give the sketch of a repeated set again.
 SEEN = 200_000
 
+#: Bytes of a table that a task reads at a time where each of its rows becomes very many.
+SPLIT_BYTES = 2 << 20
+
+#: How tables between steps are written: in small row groups, as a task holds one as a whole.
+TABLE = {"parquet.block.size": SPLIT_BYTES}
+
 
 class Bands:
     """Size bands and what the threshold means for set sizes.
@@ -228,18 +234,22 @@ def _linked(percent: int):
     return run
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    return shared_table(df, name, TABLE)
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     """Links (a, b), as class keys, of the candidate pairs (a, b) of short keys whose shingle sets meet the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
     # Texts are not shuffled: a bitmap picks the documents (and a few others, which meet no pair) where they lie.
     reps = classes.where("id = rep").join(wanted, "k1", "left_semi")
-    texts = in_bitmap(docs, F.col("id"), shared_table(bitmap(reps, F.col("id")), "wanted"))
-    sets = shared_table(map_texts(texts, _sets(k), "k1 long, key binary, s binary", "id"), "sets")
+    texts = in_bitmap(docs, F.col("id"), _table(bitmap(reps, F.col("id")), "wanted"))
+    sets = _table(map_texts(texts, _sets(k), "k1 long, key binary, s binary", "id"), "sets")
     both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("key").alias("ka"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("k1").alias("b"), F.col("key").alias("kb"), F.col("s").alias("sb")), "b"
     )
     with small_batches(docs.sparkSession, PAIR_ROWS):
-        return shared_table(both.select("ka", "kb", "sa", "sb").mapInArrow(_linked(percent), "a binary, b binary"), "links")
+        return _table(both.select("ka", "kb", "sa", "sb").mapInArrow(_linked(percent), "a binary, b binary"), "links")
 
 
 def jaccard_components(
@@ -262,23 +272,26 @@ def jaccard_components(
     kind = id_type(docs, id_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"id {kind}, n int, k1 long, key binary, sketches array<struct<band:int,bits:binary,tokens:array<long>>>"
-    keyed = shared_table(map_texts(rows, _sketch_docs(k, percent), schema, "id"), "keys")
+    keyed = _table(map_texts(rows, _sketch_docs(k, percent), schema, "id"), "keys")
     classes = with_group(
         keyed.where("n > 0").select("id", "n", "k1", "key"), ["key"], F.col("id"), {"rep": F.min("id")}, {"rep": F.min("rep")}
     )
-    classes = shared_table(classes, "classes")
+    classes = _table(classes, "classes")
     sketches = keyed.where("sketches is not null").select("k1", "n", F.explode("sketches").alias("s"))
-    short = shared_table(
+    short = _table(
         sketches.groupBy("k1", F.col("s.band").alias("band")).agg(F.min("n").alias("n"), F.min("s.bits").alias("bits")), "short"
     )
     tokens = sketches.select("k1", F.explode("s.tokens").alias("token"))
-    buckets = shared_table(
-        tokens.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("z"), F.count("*").alias("size")).where("a <> z").drop("z"),
-        "buckets",
-    )
+    # Nearly all tokens are distinct, so a task counts about as many groups as it reads tokens.
+    with small_batches(docs.sparkSession, split=SPLIT_BYTES):
+        buckets = _table(
+            tokens.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("z"), F.count("*").alias("size")).where("a <> z").drop("z"),
+            "buckets",
+        )
     band = F.col("token").bitwiseAND(F.lit(BAND_MASK)).cast("int").alias("band")
-    often = in_bitmap(tokens, F.col("token"), shared_table(bitmap(buckets, F.col("token")), "tokens"))
-    members = shared_table(often.join(buckets, "token"), "members")
+    often = in_bitmap(tokens, F.col("token"), _table(bitmap(buckets, F.col("token")), "tokens"))
+    members = _table(often.join(buckets, "token"), "members")
+    free_shuffles(docs.sparkSession)
     stars = members.where("k1 <> a").select(band, "a", F.col("k1").alias("b")).distinct()
     near = (
         stars.join(short.select(F.col("k1").alias("a"), "band", F.col("n").alias("na"), F.col("bits").alias("xa")), ["a", "band"])
@@ -287,17 +300,19 @@ def jaccard_components(
         .mapInArrow(_close(percent), "a long, b long")
         .distinct()
     )
-    links = _verify(shared_table(near, "near"), classes, rows, k, percent, kind)
-    found = components(links)
+    links = _verify(_table(near, "near"), classes, rows, k, percent, kind)
+    found = components(links, TABLE)
+    free_shuffles(docs.sparkSession)  # what was broadcast stays in the executors' heap until then
 
     # Once with forests, which join most of what is left, then with every pair across components that is left.
     for forest in (True, False):
         across = _pairs_across(members, found, short, percent, forest)
         if not across.isEmpty():
             links = links.unionAll(_verify(across, classes, rows, k, percent, kind))
-            found = components(links)
+            found = components(links, TABLE)
+            free_shuffles(docs.sparkSession)
     # The smallest id of each component, through the smallest id of each of its classes.
-    least = shared_table(
+    least = _table(
         found.join(classes.where("id = rep").select(F.col("key").alias("node"), "rep").distinct(), "node")
         .groupBy("component").agg(F.min("rep").alias("smallest")).join(found, "component").select(F.col("node").alias("key"), "smallest"),
         "least",
@@ -314,10 +329,10 @@ def _pairs_across(members: DataFrame, found: DataFrame, short: DataFrame, percen
     label = found.select(_short(F.col("node")).alias("k1"), _short(F.col("component")).alias("comp"))
     label = label.groupBy("k1").agg(F.min("comp").alias("comp"))
     labelled = members.where("size > 2").join(label, "k1", "left").select("token", "k1", "size", F.coalesce("comp", "k1").alias("comp"))
-    labelled = shared_table(labelled, "labelled")
+    labelled = _table(labelled, "labelled")
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     band = F.col("token").bitwiseAND(F.lit(BAND_MASK)).cast("int").alias("band")
-    inside = labelled.join(shared_table(mixed, "mixed"), "token").distinct().withColumn("band", band).join(short, ["k1", "band"])
+    inside = labelled.join(_table(mixed, "mixed"), "token").distinct().withColumn("band", band).join(short, ["k1", "band"])
     count = F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int")
     parts = inside.withColumn("side", F.pmod(F.xxhash64("k1"), count).cast("int")).withColumn(
         "with", F.explode(F.sequence(F.lit(0), count - 1))
@@ -326,7 +341,7 @@ def _pairs_across(members: DataFrame, found: DataFrame, short: DataFrame, percen
         "token", F.least("side", "with").alias("mine"), F.greatest("side", "with").alias("other"), "side", F.col("k1").alias("id"), "n", "bits", "comp"
     ).repartition(shuffle_partitions(members.sparkSession), "token", "mine", "other")
     pairs = blocks.groupBy("token", "mine", "other").applyInArrow(_across(percent, forest), "a long, b long")
-    return shared_table(pairs.distinct(), "across")
+    return _table(pairs.distinct(), "across")
 
 
 def _short(key):
@@ -344,5 +359,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost"))
         lost = own.keep(lost.distinct(), "lost")
     # A bitmap tells which rows need to be moved to be looked up.
-    moved, still = split_by_bitmap(docs, F.col(id_col), shared_table(bitmap(lost, F.col("_lost")), "lost-ids"))
+    moved, still = split_by_bitmap(docs, F.col(id_col), _table(bitmap(lost, F.col("_lost")), "lost-ids"))
     return still.unionAll(moved.join(lost, moved[id_col].eqNullSafe(lost["_lost"]), "left_anti"))
