@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, exact_dedup, line_dedup, ngram_join, packing, pitman_yor, quality, secrets, token_count, url_filter
+from . import align, decontaminate, exact_dedup, fill_middle, line_dedup, mixing, ngram_join, packing, pitman_yor, quality, secrets, token_count, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -104,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_alignment": op12_alignment,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -170,4 +189,40 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
         FROM d JOIN g USING (text)
     """,
+    "op11_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+               sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT doc_id, text, units, len(units) AS n, list_transform([1, 9, 17, 25], lambda p: CAST('0x' || substr(h, p, 8) AS BIGINT)) AS h FROM d),
+        c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS i, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS j,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                    WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+        p AS (SELECT doc_id, text, n, form, array_to_string(units[1:i], '') AS pre, array_to_string(units[i + 1:j], '') AS mid,
+               array_to_string(units[j + 1:n], '') AS suf FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                      ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p
+    """,
+    "op13_mixing": r"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        k AS (SELECT doc_id, source, size, -ln((CAST('0x' || substr(sha256('13:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 1.0::DOUBLE) / 281474976710656.0::DOUBLE)
+               / greatest(0.01::DOUBLE, coalesce(length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g'))::DOUBLE / nullif(length(text), 0), 0)) AS key FROM d),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight FROM s),
+        o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source NULLS LAST) AS place FROM w),
+        r AS (SELECT *, (SELECT sum(source_size) FROM o) - coalesce(sum(3 * source_size) OVER b, 0) AS rest,
+               (SELECT sum(weight) FROM o) - coalesce(sum(weight) OVER b, 0) AS others FROM o
+               WINDOW b AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT *, 3 * source_size * others <= weight * rest AS stops FROM r),
+        l AS (SELECT rest, others FROM t WHERE NOT stops ORDER BY place LIMIT 1),
+        g AS (SELECT source, source_size, CASE WHEN stops THEN CAST(3 * source_size AS DOUBLE)
+               ELSE weight * (CAST((SELECT rest FROM l) AS DOUBLE) / CAST((SELECT others FROM l) AS DOUBLE)) END AS target FROM t),
+        u AS (SELECT k.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+        e AS (SELECT u.*, source_size, target, CAST(round(target) AS BIGINT) AS budget,
+               CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs
+               FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken FROM e
+    """,
 }
