@@ -70,8 +70,27 @@ class Tokens:
         return np.searchsorted(ends, self.ends, "right")
 
 
+# Fixed value: how the byte-level pre-tokenizer splits texts.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def by_ranks(spec: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE whose merges come in the order of their ids, so that ids are ranks."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return False
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    vocab, chars = model["vocab"], byte_characters()
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    last = max(vocab.get(c, 1 << 40) for c in chars)
+    return merged == sorted(set(merged)) and (not merged or merged[0] > last) and len(merged) + 256 == sum(all(c in chars for c in t) for t in vocab if t not in {x["content"] for x in spec.get("added_tokens", ())})
+
+
 class Aligner:
-    """Both tokenizers, and the bytes of their tokens by id."""
+    """Both tokenizers, and the bytes of their tokens by id.
+
+    The first is run by the library that its file is for, or, where ids are ranks (``by_ranks``), by one that gives the same ids sooner."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,7 +103,8 @@ class Aligner:
         self.left.no_padding()
         self.right = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
         chars = byte_characters()
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -94,6 +114,13 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.kind_a, self.kind_b = (np.min_scalar_type(len(t)).newbyteorder("<") for t in (self.bytes_a, self.bytes_b))
         self._written: np.ndarray | None = None
+        self._ranked = None
+        if by_ranks(spec):
+            import tiktoken
+
+            added = {x["content"] for x in spec.get("added_tokens", ())}
+            ranks = {self.bytes_a[i]: i for t, i in vocab.items() if self.bytes_a[i] and t not in added}
+            self._ranked = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def _piece(self, i: int) -> bytes:
         piece = self.right.id_to_piece(i)
@@ -114,9 +141,12 @@ class Aligner:
         full = [i for i, t in enumerate(texts) if t]
         out: list[tuple[list[int], list[int]]] = [([], []) for _ in texts]
         some = [texts[i] for i in full]
-        left = self.left.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-        for i, text, x, b in zip(full, some, left, self.right.encode(some, num_threads=1), strict=True):
-            a, want = x.ids, b" " + text.encode()
+        if self._ranked:
+            left = [self._ranked.encode_ordinary(" " + t) for t in some]
+        else:
+            left = [x.ids for x in self.left.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
+        for i, text, a, b in zip(full, some, left, self.right.encode(some, num_threads=1), strict=True):
+            want = b" " + text.encode()
             if b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want:
                 out[i] = a, b
         return out

@@ -115,3 +115,16 @@ def test_no_rows_and_no_texts(spark):
     assert align.alignment(spark.createDataFrame([], SCHEMA), A, B).count() == 0
     got = align.alignment(make_docs(spark, [(1, None), (2, ""), (None, None)]), A, B).collect()
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr((i, 0, 0, 0, 0, 0, 0, "")) for i in (1, 2, None))
+
+
+def test_ranks_give_the_ids_of_the_library_for_every_character():
+    tools = align.aligner(A, B)
+    assert tools._ranked is not None
+    texts = [f"a{chr(c)}1{chr(c)} {chr(c)}.{chr(c)}{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x30000 or c % 37 == 0)]
+    texts += [" " * 70_000, " " * 70_000 + "x", "x" * 70_000, "ab" * 40_000, "'s'T'll x's 've''", "<|endoftext|>a"]
+    wrong = []
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        want = [x.ids for x in tools.left.encode_batch_fast(part, add_special_tokens=False)]
+        wrong += [t for t, w in zip(part, want, strict=True) if tools._ranked.encode_ordinary(t) != w]
+    assert not wrong
