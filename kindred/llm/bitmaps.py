@@ -19,20 +19,30 @@ def bitmap(keys: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def _marked(df: DataFrame, key: Column, found: DataFrame, how: str) -> DataFrame:
-    slotted = df.withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)))
-    small = F.broadcast(found.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
-    return slotted.join(small, F.shiftright("__slot", 6) == F.col("__word"), how).withColumn(
-        "__may", F.expr("coalesce((__bits & shiftleft(1L, cast(__slot & 63L as int))) <> 0L, false)")
-    )
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _marked(df: DataFrame, key: Column, found: DataFrame, how: str) -> tuple[DataFrame, str]:
+    """``df`` with a column that tells whether its key may be in the bitmap, and that column's name."""
+    slot, word, bits, may = (unused(df, f"__{x}") for x in ("slot", "word", "bits", "may"))
+    slotted = df.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(SLOTS)))
+    small = F.broadcast(found.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    is_set = F.coalesce(F.col(bits).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(slot).bitwiseAND(F.lit(63)).cast("int"))) != 0, F.lit(False))
+    return slotted.join(small, F.shiftright(slot, 6) == F.col(word), how).withColumn(may, is_set).drop(slot, word, bits), may
 
 
 def in_bitmap(df: DataFrame, key: Column, found: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in the bitmap: all that are, and few others while the bitmap is sparse."""
-    return _marked(df, key, found, "inner").where("__may").drop("__slot", "__word", "__bits", "__may")
+    marked, may = _marked(df, key, found, "inner")
+    return marked.where(F.col(may)).drop(may)
 
 
 def split_by_bitmap(df: DataFrame, key: Column, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key may be in the bitmap, rows whose key is not)."""
-    marked = _marked(df, key, found, "left")
-    return tuple(marked.where(c).drop("__slot", "__word", "__bits", "__may") for c in ("__may", "not __may"))
+    marked, may = _marked(df, key, found, "left")
+    return marked.where(F.col(may)).drop(may), marked.where(~F.col(may)).drop(may)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import bitmap, in_bitmap, split_by_bitmap
+from .bitmaps import bitmap, in_bitmap, split_by_bitmap, unused
 from .common import alnum_words, gram_hashes, hash_words, id_type, map_texts, own_memos, shared_table, steps
 
 #: Words of a k-gram.
@@ -300,8 +300,9 @@ def drop_contaminated(
                     yield part.filter(pa.array([not index.value.search(hash_words(alnum_words(t)))[1] for t in texts], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    rows = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    hit = _joined(rows.select("__row", F.col(text_col).alias("text")), items, "__row", "text", id_type(benchmark, item_col), window)
-    hit = shared_table(hit.where(F.size("spans") > 0).select(F.col("id").alias("__hit")), "hit")
-    moved, still = split_by_bitmap(rows, F.col("__row"), shared_table(bitmap(hit, F.col("__hit")), "hit-rows"))
-    return still.unionAll(moved.join(hit, F.col("__row") == F.col("__hit"), "left_anti")).drop("__row")
+    row, own = unused(docs, "__row"), unused(docs, "__hit")
+    rows = shared_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    hit = _joined(rows.select(F.col(row).alias("number"), F.col(text_col).alias("text")), items, "number", "text", id_type(benchmark, item_col), window)
+    hit = shared_table(hit.where(F.size("spans") > 0).select(F.col("id").alias(own)), "hit")
+    moved, still = split_by_bitmap(rows, F.col(row), shared_table(bitmap(hit, F.col(own)), "hit-rows"))
+    return still.unionAll(moved.join(hit, F.col(row) == F.col(own), "left_anti")).drop(row)

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import free_shuffles, scratch
-from .bitmaps import bitmap, in_bitmap, split_by_bitmap
+from .bitmaps import bitmap, in_bitmap, split_by_bitmap, unused
 from .common import components, gram_hashes, hash_words, id_type, map_texts, mix, shared_table, shuffle_partitions, small_batches, space_words, with_group
 
 #: Rows of one bucket that a task compares with as many others at a time.
@@ -20,8 +21,8 @@ BLOCK_ROWS = 512
 #: The low bits of a token hold its band.
 BAND_MASK = 63
 
-#: Pairs, each with two sets, that go to a Python worker at a time.
-PAIR_ROWS = 500
+#: Pairs, each with two sets, that go to a Python worker at a time, and bytes of them.
+PAIR_ROWS, PAIR_BYTES = 500, 4 << 20
 
 #: Classes that a task remembers, so as not to give the sketch of a repeated set again.
 SEEN = 200_000
@@ -126,7 +127,7 @@ def _sketch_docs(k: int, percent: int):
 
     def run(docs) -> Iterator[dict]:
         seen: set[bytes] = set()
-        for ids, texts, _ in docs:
+        for ids, texts, part in docs:
             n, keys, sketches = [], [], []
             for text in texts:
                 s = shingle_set(text, k)
@@ -144,7 +145,7 @@ def _sketch_docs(k: int, percent: int):
                     tokens, parity = sketch(s, band, top, bands)
                     own.append({"band": band, "bits": parity, "tokens": tokens.view(np.int64)})
                 sketches.append(own)
-            yield {"id": ids, "n": n, "k1": [short_key(x) for x in keys], "key": keys, "sketches": pa.array(sketches, SKETCHES)}
+            yield {"id": ids, "h": part.column("h"), "n": n, "k1": [short_key(x) for x in keys], "key": keys, "sketches": pa.array(sketches, SKETCHES)}
 
     return run
 
@@ -213,10 +214,10 @@ def _across(percent: int, forest: bool):
 
 def _sets(k: int):
     def run(docs) -> Iterator[dict]:
-        for _, texts, _ in docs:
+        for ids, texts, _ in docs:
             sets = [shingle_set(t, k) for t in texts]
             keys = [set_key(x) for x in sets]
-            yield {"k1": [short_key(x) for x in keys], "key": keys, "s": [x.tobytes() for x in sets]}
+            yield {"k1": [short_key(x) for x in keys], "key": keys, "s": [x.tobytes() for x in sets], "nameless": pc.is_null(ids)}
 
     return run
 
@@ -238,17 +239,23 @@ def _table(df: DataFrame, name: str) -> DataFrame:
     return shared_table(df, name, TABLE)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64("text")
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     """Links (a, b), as class keys, of the candidate pairs (a, b) of short keys whose shingle sets meet the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
     # Texts are not shuffled: a bitmap picks the documents (and a few others, which meet no pair) where they lie.
-    reps = classes.where("id = rep").join(wanted, "k1", "left_semi")
-    texts = in_bitmap(docs, F.col("id"), _table(bitmap(reps, F.col("id")), "wanted"))
-    sets = _table(map_texts(texts, _sets(k), "k1 long, key binary, s binary", "id"), "sets")
+    reps = classes.where(F.struct("id", "h").eqNullSafe(F.struct("pick.id", "pick.h"))).join(wanted, "k1", "left_semi")
+    texts = in_bitmap(docs, F.xxhash64("id", _text_hash()), _table(bitmap(reps, F.xxhash64("id", "h")), "wanted"))
+    sets = _table(map_texts(texts, _sets(k), "k1 long, key binary, s binary, nameless boolean", "id"), "sets")
+    # A class without ids is known by its text alone, so all its rows come.
+    sets = sets.where("not nameless").select("k1", "key", "s").unionAll(sets.where("nameless").groupBy("k1", "key").agg(F.first("s").alias("s")))
     both = pairs.join(sets.select(F.col("k1").alias("a"), F.col("key").alias("ka"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("k1").alias("b"), F.col("key").alias("kb"), F.col("s").alias("sb")), "b"
     )
-    with small_batches(docs.sparkSession, PAIR_ROWS):
+    with small_batches(docs.sparkSession, PAIR_ROWS, PAIR_BYTES):
         return _table(both.select("ka", "kb", "sa", "sb").mapInArrow(_linked(percent), "a binary, b binary"), "links")
 
 
@@ -259,8 +266,10 @@ def jaccard_components(
 
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, a set holds the distinct k-word shingles (the whole sequence
     where there are fewer words).  Sets link when ``100 * |A and B| >= percent * |A or B|``; ``component_id`` is the smallest
-    id reachable over links.  Texts without words (null, empty, blank) link with nothing and are their own component, as
-    is a row with a null id and no equal; ids that repeat with different texts join those texts' components.
+    id reachable over links.  Texts without words (null, empty, blank) link with nothing and are their own component.  Rows
+    without an id link as others do, and joined ones carry links on; their component is null where none of its rows has an id.
+    Rows that repeat an id are rows of their own, each with its own text's component.  An empty table gives an empty result; only
+    the id and the text are read, so no name can clash.
 
     1. Equal sets fall together under a 128-bit key: a class.  Copies are never paired with each other.
     2. Classes emit tokens (``sketch``); the smallest class that has a token is paired with the others that have it.
@@ -269,12 +278,21 @@ def jaccard_components(
        blocks, and decided in the same way: first the closest pairs that would connect a block, then all that are left.
        So no bucket is expanded into all its pairs, yet no link is lost.
     """
+    found = _linked_rows(docs, id_col, text_col, k, percent)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("smallest").alias("component_id"))
+
+
+def _linked_rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """``id, h, n, smallest`` of each row: its id, the hash of its text, the size of its set, the smallest id of its component."""
     kind = id_type(docs, id_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"id {kind}, n int, k1 long, key binary, sketches array<struct<band:int,bits:binary,tokens:array<long>>>"
-    keyed = _table(map_texts(rows, _sketch_docs(k, percent), schema, "id"), "keys")
+    schema = f"id {kind}, h long, n int, k1 long, key binary, sketches array<struct<band:int,bits:binary,tokens:array<long>>>"
+    keyed = _table(map_texts(rows, _sketch_docs(k, percent), schema, "id", also={"h": _text_hash()}), "keys")
+    # The row whose text is read again for its class: the one with the smallest id, or, if no row has one, any.
+    pick = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h"))
     classes = with_group(
-        keyed.where("n > 0").select("id", "n", "k1", "key"), ["key"], F.col("id"), {"rep": F.min("id")}, {"rep": F.min("rep")}
+        keyed.where("n > 0").select("id", "h", "n", "k1", "key"), ["key"], F.xxhash64("id", "h"), {"rep": F.min("id"), "pick": pick},
+        {"rep": F.min("rep"), "pick": F.min("pick")},
     )
     classes = _table(classes, "classes")
     sketches = keyed.where("sketches is not null").select("k1", "n", F.explode("sketches").alias("s"))
@@ -317,11 +335,8 @@ def jaccard_components(
         .groupBy("component").agg(F.min("rep").alias("smallest")).join(found, "component").select(F.col("node").alias("key"), "smallest"),
         "least",
     )
-    linked = classes.join(least, "key", "left").select("id", "n", F.coalesce("smallest", "rep", "id").alias("smallest"))
-    empty = keyed.where("n = 0").select("id", "n", F.col("id").alias("smallest"))
-    return linked.unionAll(empty).select(
-        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("smallest").alias("component_id")
-    )
+    linked = classes.join(least, "key", "left").select("id", "h", "n", F.coalesce("smallest", "rep", "id").alias("smallest"))
+    return linked.unionAll(keyed.where("n = 0").select("id", "h", "n", F.col("id").alias("smallest")))
 
 
 def _pairs_across(members: DataFrame, found: DataFrame, short: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -352,12 +367,19 @@ def _short(key):
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns stay as they are.
 
-    All rows of an id that represents its component stay, also where it repeats; rows without an id stay if they have no equal or
-    are in a component without ids."""
+    All rows of an id stay or go together: they go if one of them is in a component with a smaller id.  A row without an id goes if its
+    component has one."""
     with scratch() as own:
-        found = jaccard_components(docs, id_col, text_col, k, percent)
-        lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost"))
-        lost = own.keep(lost.distinct(), "lost")
+        found = _linked_rows(docs, id_col, text_col, k, percent).where(~F.col("id").eqNullSafe(F.col("smallest")))
+        lost = own.keep(found.select(_row_key(F.col("id"), F.col("h")).alias("_lost")).distinct(), "lost")
     # A bitmap tells which rows need to be moved to be looked up.
-    moved, still = split_by_bitmap(docs, F.col(id_col), _table(bitmap(lost, F.col("_lost")), "lost-ids"))
-    return still.unionAll(moved.join(lost, moved[id_col].eqNullSafe(lost["_lost"]), "left_anti"))
+    key = _row_key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    moved, still = split_by_bitmap(docs, key, _table(bitmap(lost, F.col("_lost")), "lost-ids"))
+    name = unused(docs, "_key")
+    moved = moved.withColumn(name, key)
+    return still.unionAll(moved.join(lost, moved[name].eqNullSafe(lost["_lost"]), "left_anti").drop(name))
+
+
+def _row_key(key: Column, text_hash: Column) -> Column:
+    """What a row is told by: its id, or its text's hash if it has none."""
+    return F.struct(key.alias("id"), F.when(key.isNull(), text_hash).alias("h"))

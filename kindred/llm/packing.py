@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from .common import forgets, id_type, map_texts
 
-#: Encoded chunks of text that a Python worker remembers in each of two generations.
-MEMO_CHUNKS = 500_000
+#: Encoded chunks of text that a Python worker remembers in each of two generations, and bytes of the longest that it does.
+MEMO_CHUNKS, LONGEST = 100_000, 64
 
 #: Windows that a packer keeps open; beyond it the pieces of the fuller half are joined into full windows, which bounds its memory.
 MOST_OPEN = 2048
@@ -77,7 +77,8 @@ class Chunks(dict):
                 else:
                     ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
                 found = struct.pack(f"<{len(ids)}I", *ids)
-        self[chunk] = found
+        if len(chunk) <= LONGEST:
+            self[chunk] = found
         return found
 
 

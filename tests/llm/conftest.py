@@ -10,7 +10,7 @@ def make_docs(spark, rows):
     """documents with columns whose names clash with those that operators use inside."""
     full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
     df = spark.createDataFrame(full, SCHEMA)
-    for name in ("id", "kept", "_salt", "score", "row", "n", "_lost"):
+    for name in ("id", "kept", "_salt", "score", "row", "n", "_lost", "__slot", "__word", "__bits", "__may", "__row", "__hit", "_key", "h"):
         df = df.selectExpr("*", f"'x' AS {name}")
     return df
 

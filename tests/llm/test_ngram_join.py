@@ -103,3 +103,58 @@ def test_components_of_paths_stars_and_loops(spark):
 def test_thresholds_that_sketches_cannot_serve_are_refused(spark, percent):
     with pytest.raises(ValueError, match="within 70 and 100"):
         jaccard_components(make_docs(spark, [(1, "a b c")]), percent=percent)
+
+
+def rows_by_the_book(rows, k, percent):
+    """Smallest id of each row's component, rows being told apart by their place."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[j : j + min(k, len(w))]) for j in range(len(w) - min(k, len(w)) + 1)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                root[find(x)] = find(y)
+    least = {}
+    for i, (own, _) in enumerate(rows):
+        if own is not None:
+            least[find(i)] = min(own, least.get(find(i), own))
+    return [(own, least.get(find(i))) for i, (own, _) in enumerate(rows)]
+
+
+def test_rows_without_ids_carry_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    other = [*words[:48], "x", "y", *words[50:]]
+    a, n, b = (" ".join(w) for w in (words, other, [*other[:10], "v", "z", *other[12:]]))
+    for middle in (7, None):
+        rows = [(3, a), (middle, n), (9, b), (None, "alone " + b[::-1])]
+        got = sorted(map(repr, ((r.doc_id, r.component_id) for r in jaccard_components(make_docs(spark, rows), k=3, percent=85).collect())))
+        assert got == sorted(map(repr, rows_by_the_book(rows, 3, 85)))
+        assert "(9, 3)" in got
+
+
+def test_null_and_repeated_ids_match_brute_force(spark):
+    rng = random.Random(8)
+    families = [[f"f{f}w{rng.randrange(500)}" for _ in range(80)] for f in range(8)]
+    rows = []
+    for i in range(90):
+        own = list(rng.choice(families))
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(9999)}"
+        rows.append((None if rng.random() < 0.4 else rng.randrange(40), " ".join(own)))
+    rows += [(None, " ".join(families[0]))] * 3 + [(None, None), (None, "")]
+    got = jaccard_components(make_docs(spark, rows), k=3, percent=90).collect()
+    # Rows are told by id and text alone here, so equal pairs are counted.
+    assert sorted(map(repr, ((r.doc_id, r.component_id) for r in got))) == sorted(map(repr, rows_by_the_book(rows, 3, 90)))
+    kept = drop_near_copies(make_docs(spark, rows), k=3, percent=90).collect()
+    want = rows_by_the_book(rows, 3, 90)
+    gone = {own for own, c in want if own is not None and own != c}
+    assert sorted(r.text or "" for r in kept) == sorted(t or "" for (own, t), (_, c) in zip(rows, want, strict=True) if own not in gone and (own is not None or c is None))
