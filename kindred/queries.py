@@ -13,6 +13,7 @@ from .operators import dedupe, graph, lsh, minhash
 from .operators.dedupe import Deduplicator, Settings
 from .operators.tables import shared_dir, shared_table
 from .plans import planner
+from .streaming.groups import GroupedIndex
 from .streaming.index import StoredIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,6 +550,34 @@ def streaming_incremental_dedupe(spark, sf_dir):
     return graph.decisions(found, live, "key").withColumnRenamed("key", "doc_id")
 
 
+@query
+def index_bucket_lookup(spark, sf_dir):
+    """Every hundredth part asks an index of several generations, in which buckets are looked up where they lie."""
+    import uuid
+
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    index = StoredIndex.create(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Settings(num_perm=32, store_signatures=False), lookups=True)
+    index.insert(p.where("p_partkey % 3 <> 1"), "p_partkey", _name3())
+    index.insert(p.where("p_partkey % 3 = 1"), "p_partkey", _name3())
+    index.remove(p.where("p_partkey % 7 = 0"), "p_partkey")
+    index.insert(p.where("p_partkey % 21 = 0"), "p_partkey", _name3())
+    return index.search(p.where("p_partkey % 100 = 0"), "p_partkey", _name3())
+
+
+@query
+def incremental_groups(spark, sf_dir):
+    """Groups of parts by name that stay current over insertions, removals and a new insertion of what was removed."""
+    import uuid
+
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    index = GroupedIndex.create(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Settings(num_perm=32))
+    for i in range(2):
+        index.insert(p.where(f"p_partkey % 2 = {i}"), "p_partkey", _name3())
+    index.remove(p.where("p_partkey % 5 = 0"), "p_partkey")
+    index.insert(p.where("p_partkey % 15 = 0"), "p_partkey", _name3())
+    return index.decisions().withColumnRenamed("key", "p_partkey")
+
+
 # --- plans and reports -----------------------------------------------------------------------------------------------
 
 

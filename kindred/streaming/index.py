@@ -16,6 +16,7 @@ from ..operators import lsh, minhash
 from ..operators.dedupe import Settings
 from ..operators.tables import shared_table
 from ..plans import planner
+from . import lookup
 from .storage import HadoopStorage, Storage
 
 #: Generations and share of removed keys beyond which a commit rewrites the index.
@@ -51,6 +52,7 @@ class StoredIndex:
     def __init__(self, spark: SparkSession, path: str, meta: dict, read_only: bool, storage: Storage | None = None) -> None:
         self.spark, self.path, self.meta, self.read_only, self._closed = spark, path.rstrip("/"), meta, read_only, False
         self.storage = storage or HadoopStorage(spark)
+        self._tables: dict[str, tuple[DataFrame, str]] = {}
 
     # --- files -------------------------------------------------------------------------------------------------------
 
@@ -59,14 +61,17 @@ class StoredIndex:
         return sorted(int(n[5:-5]) for n in storage.names(path) if n.startswith("meta-") and n.endswith(".json"))
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, settings: Settings | None = None, storage: Storage | None = None) -> StoredIndex:
-        """A new index; a path that is in use is refused."""
+    def create(cls, spark: SparkSession, path: str, settings: Settings | None = None, storage: Storage | None = None, lookups: bool = False) -> StoredIndex:
+        """A new index; a path that is in use is refused.  With ``lookups`` each generation also has its buckets' members in
+        files by bucket (``lookup``), so that a search doesn't move the index; a ``GroupedIndex`` always has them."""
         s = settings or Settings()
         storage = storage or HadoopStorage(spark)
         if storage.exists(path):
             raise StorageError(f"{path} exists")
         bands, rows = s.bands
         meta = {"version": 0, "threshold": s.threshold, "num_perm": s.num_perm, "seed": s.seed, "width": s.width, "bands": bands, "rows": rows, "stores_signatures": s.store_signatures, "generations": []}
+        if lookups or cls is not StoredIndex:
+            meta["lookups"] = {}
         out = cls(spark, path, meta, False, storage)
         out._publish(meta)
         return out
@@ -93,6 +98,11 @@ class StoredIndex:
         name = f"gen-{uuid.uuid4().hex}"
         try:
             rows.select("key", "signature", "buckets", "removed").write.parquet(f"{self.path}/{name}")
+            if "lookups" in self.meta:
+                here = self._generation(name).where("not removed")
+                files = lookup.file_count(here.count() * self.meta["bands"])
+                lookup.write(lsh.stored_bands(here, "key"), f"{self.path}/look-{name[4:]}", files)
+                self.meta = self.meta | {"lookups": self.meta["lookups"] | {name: files}}
         except Exception:
             self._discard(name)
             raise
@@ -100,11 +110,15 @@ class StoredIndex:
 
     def _discard(self, name: str) -> None:
         self.storage.delete(f"{self.path}/{name}")
+        if name.startswith("gen-") and "lookups" in self.meta:
+            self.storage.delete(f"{self.path}/look-{name[4:]}")
+            self.meta = self.meta | {"lookups": {k: n for k, n in self.meta["lookups"].items() if k != name}}
 
     def _commit(self, name: str, instead: bool = False) -> None:
         generations = [name] if instead else [*self.meta["generations"], name]
+        held = {"lookups": {k: n for k, n in self.meta["lookups"].items() if k in generations}} if "lookups" in self.meta else {}
         try:
-            self._publish(self.meta | {"version": self.meta["version"] + 1, "generations": generations})
+            self._publish(self.meta | {"version": self.meta["version"] + 1, "generations": generations} | held)
         except StorageError:
             self._discard(name)
             raise
@@ -144,6 +158,31 @@ class StoredIndex:
         """``key, band, bucket`` as they are stored."""
         return lsh.stored_bands(self.live().select("key", "buckets"), "key")
 
+    def _members(self, asked: DataFrame) -> DataFrame:
+        """``query, key``, repeated or not: the keys in the index that share a bucket with each of ``query, band, bucket``.
+
+        With lookups, each generation's files of the buckets asked for are read where they lie, and members that a later generation
+        removed are left out; else the live rows are banded and exchanged."""
+        self._check()
+        if "lookups" not in self.meta:
+            return lsh.query(self.bands(), asked.withColumnRenamed("query", "key"))
+        few = lookup.few_buckets(asked)
+        found = self.spark.createDataFrame([], f"query {asked.schema['query'].dataType.simpleString()}, key bigint, at int")
+        gone = self.spark.createDataFrame([], "key bigint, since int")
+        for i, name in enumerate(self.meta["generations"]):
+            if name not in self._tables:
+                self._tables[name] = lookup.read(self.spark, f"{self.path}/look-{name[4:]}", self.meta["lookups"][name])
+            found = found.unionByName(lookup.members(self._tables[name][0], asked, few).select("query", "key", F.lit(i).alias("at")))
+            gone = gone.unionByName(self._generation(name).where("removed").select("key", F.lit(i).alias("since")))
+        gone = gone.groupBy("key").agg(F.max("since").alias("since")).withColumnRenamed("key", "_gone")
+        return found.join(gone, (F.col("key") == F.col("_gone")) & (F.col("since") > F.col("at")), "left_anti").select("query", "key")
+
+    def _rows_of(self, keys: DataFrame) -> DataFrame:
+        """``key, buckets`` of some keys (``key``, distinct)."""
+        last = self.history().select("key", "buckets", "removed", "gen").join(keys, "key", "left_semi")
+        last = last.groupBy("key").agg(F.max_by(F.struct("buckets", "removed"), "gen").alias("x"))
+        return last.where(~F.col("x.removed")).select("key", "x.buckets")
+
     def signature(self, key: int) -> list[int] | None:
         """The stored signature of a key; None if it isn't there or the index stores none."""
         row = self.live().where(F.col("key") == key).select("signature").first()
@@ -246,13 +285,14 @@ class StoredIndex:
             raise StorageError("an index that is open to read only keeps its versions, and every index keeps one")
         versions = self._versions(self.storage, self.path)
         kept = versions[-keep_versions:]
-        named = {n for v in kept for n in self.open(self.spark, self.path, version=v, storage=self.storage).meta["generations"]}
-        gone = [n for n in self.storage.names(self.path) if n.startswith("gen-") and n not in named]
+        metas = [self.open(self.spark, self.path, version=v, storage=self.storage).meta for v in kept]
+        named = {n for m in metas for n in [*m["generations"], *m.get("labels", []), *(f"look-{x[4:]}" for x in m.get("lookups", {}))]}
+        gone = [n for n in self.storage.names(self.path) if n.startswith(("gen-", "labels-", "look-")) and n not in named]
         for version in versions[:-keep_versions]:
             self._discard(f"meta-{version}.json")
         for name in gone:
-            self._discard(name)
-        return len(gone)
+            self.storage.delete(f"{self.path}/{name}")
+        return sum(n.startswith("gen-") for n in gone)
 
     def expired(self, seconds: int, now: float | None = None) -> bool:
         """Whether the last commit is longer ago than a retention of whole seconds; every commit begins it anew."""
@@ -286,11 +326,10 @@ class StoredIndex:
             raise ConfigurationError("the index does not store signatures, so it can't score")
         m = self.meta
         signed = shared_table(signed.withColumn("buckets", lsh.band_hashes(m["bands"], m["rows"])), "queries")
-        live = self.live()
-        found = lsh.query(lsh.stored_bands(live, "key"), lsh.stored_bands(signed, key))
+        found = self._members(lsh.stored_bands(signed, key).withColumnRenamed("key", "query")).distinct()
         if not scores:
             return found
-        scored = lsh.score(found, "query", "key", signed, key, live, "key")
+        scored = lsh.score(found, "query", "key", signed, key, self.live(), "key")
         if min_similarity is not None:
             scored = lsh.at_least(scored, min_similarity)
         return scored if top_k is None else lsh.top(scored, top_k)
@@ -336,7 +375,9 @@ class StoredIndex:
         return self.live_keys().count()
 
     def close(self) -> None:
-        self._closed = True
+        for _, table in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables, self._closed = {}, True
 
     @property
     def closed(self) -> bool:
