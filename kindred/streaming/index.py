@@ -8,13 +8,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ClosedIndexError, CompatibilityError, ConfigurationError, DuplicateKeyError, ProgressCancelledError, StorageError
 from ..operators import lsh, minhash
 from ..operators.dedupe import Settings
-from ..operators.tables import shared_table
+from ..operators.tables import scratch, shared_table
 from ..plans import planner
 from . import lookup
 from .storage import HadoopStorage, Storage
@@ -53,6 +53,7 @@ class StoredIndex:
         self.spark, self.path, self.meta, self.read_only, self._closed = spark, path.rstrip("/"), meta, read_only, False
         self.storage = storage or HadoopStorage(spark)
         self._tables: dict[str, tuple[DataFrame, str]] = {}
+        self._noted: dict = {}
 
     # --- files -------------------------------------------------------------------------------------------------------
 
@@ -110,6 +111,8 @@ class StoredIndex:
 
     def _discard(self, name: str) -> None:
         self.storage.delete(f"{self.path}/{name}")
+        if name.startswith("gen-"):
+            self.storage.delete(f"{self.path}/man-{name[4:]}")
         if name.startswith("gen-") and "lookups" in self.meta:
             self.storage.delete(f"{self.path}/look-{name[4:]}")
             self.meta = self.meta | {"lookups": {k: n for k, n in self.meta["lookups"].items() if k != name}}
@@ -117,12 +120,44 @@ class StoredIndex:
     def _commit(self, name: str, instead: bool = False) -> None:
         generations = [name] if instead else [*self.meta["generations"], name]
         held = {"lookups": {k: n for k, n in self.meta["lookups"].items() if k in generations}} if "lookups" in self.meta else {}
+        held["manifests"] = [m for m in self.meta.get("manifests", []) if m[4:] in {g[4:] for g in generations}]
         try:
-            self._publish(self.meta | {"version": self.meta["version"] + 1, "generations": generations} | held)
+            held["manifests"].append(self._manifest(name))
+            self._publish(self.meta | {"version": self.meta["version"] + 1, "generations": generations} | held | self._noted)
         except StorageError:
             self._discard(name)
             raise
 
+    # --- files of a commit ----------------------------------------------------------------------------------------------
+
+    def _bytes_of(self, name: str) -> DataFrame:
+        """``file, length, crc`` of the part files of a generation and of its lookup, from their stored bytes, in executors."""
+        folders = [name, *([f"look-{name[4:]}"] if name in self.meta.get("lookups", {}) else [])]
+        folders = [f for f in folders if self.storage.exists(f"{self.path}/{f}")]
+        if not folders:
+            return self.spark.createDataFrame([], "file string, length bigint, crc bigint")
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([f"{self.path}/{f}" for f in folders])
+        return files.select(F.substring_index("path", "/", -2).alias("file"), "length", F.crc32("content").alias("crc"))
+
+    def _manifest(self, name: str) -> str:
+        """Write what a generation's files must be, as a table that the commit names."""
+        manifest = f"man-{name[4:]}"
+        self._bytes_of(name).write.mode("overwrite").parquet(f"{self.path}/{manifest}")
+        return manifest
+
+    def verify_files(self) -> DataFrame:
+        """``file, problem`` of part files that aren't as their commit left them: ``lost``, ``length``, ``checksum`` or ``unknown``.
+
+        Each file is read once, in an executor, and held there as a whole; generations of before there were manifests are passed over."""
+        self._check()
+        out = self.spark.createDataFrame([], "file string, problem string")
+        for manifest in self.meta.get("manifests", []):
+            want = self.spark.read.schema("file string, length bigint, crc bigint").parquet(f"{self.path}/{manifest}")
+            now = self._bytes_of(f"gen-{manifest[4:]}").select("file", F.col("length").alias("l"), F.col("crc").alias("c"))
+            problem = F.when(F.col("c").isNull(), "lost").when(F.col("crc").isNull(), "unknown").when(F.col("l") != F.col("length"), "length").when(F.col("c") != F.col("crc"), "checksum")
+            out = out.unionAll(want.join(now, "file", "full").select("file", problem.alias("problem")).where("problem is not null"))
+        return out
+
     # --- contents ----------------------------------------------------------------------------------------------------
 
     def _check(self) -> None:
@@ -286,8 +321,8 @@ class StoredIndex:
         versions = self._versions(self.storage, self.path)
         kept = versions[-keep_versions:]
         metas = [self.open(self.spark, self.path, version=v, storage=self.storage).meta for v in kept]
-        named = {n for m in metas for n in [*m["generations"], *m.get("labels", []), *(f"look-{x[4:]}" for x in m.get("lookups", {}))]}
-        gone = [n for n in self.storage.names(self.path) if n.startswith(("gen-", "labels-", "look-")) and n not in named]
+        named = {n for m in metas for n in [*m["generations"], *m.get("labels", []), *m.get("manifests", []), *(f"look-{x[4:]}" for x in m.get("lookups", {}))]}
+        gone = [n for n in self.storage.names(self.path) if n.startswith(("gen-", "labels-", "look-", "man-")) and n not in named]
         for version in versions[:-keep_versions]:
             self._discard(f"meta-{version}.json")
         for name in gone:
@@ -391,16 +426,67 @@ class StoredIndex:
 
     # --- streams -----------------------------------------------------------------------------------------------------
 
-    def ingest(self, stream: DataFrame, key: str, features: Column, checkpoint: str, progress: Callable[[int], bool | None] | None = None):
+    def append(self, records: DataFrame, features: Column, order: list[Column], batch: tuple[str, int] | None = None) -> tuple[int, int]:
+        """Add records under keys of the index's own, dense and in order of ingestion; the range [first, end) that they got.
+
+        Keys go on where the last commit that reserved some ended, in ``order`` within the batch (rows that agree in it, in any); the
+        commit records the range.  ``batch``, a stream's name and the batch's number, is recorded with it: a batch whose
+        number isn't beyond the last one of its stream is a replay, which gets an empty range and reads no index data."""
+        self._check()
+        first = self.meta.get("next_key", 0)
+        if batch is not None and batch[1] <= self.meta.get("batches", {}).get(batch[0], -1):
+            return first, first
+        with scratch():
+            rows = records.select(features.alias("_features"), *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+            by = [F.col(f"_o{i}") for i in range(len(order))]
+            ranged = shared_table(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()), "ordered")
+            parts = ranged.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row for each task that sorted
+            starts, end = {}, first
+            for r in parts:
+                starts[r["_part"]], end = end, end + r.n
+            if not parts:
+                return first, first
+            start = self.spark.createDataFrame(list(starts.items()), "_part int, _start bigint")
+            within = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+            keyed = ranged.withColumn("_within", within).join(F.broadcast(start), "_part").select((F.col("_start") + F.col("_within")).alias("key"), "_features")
+            self._noted = {"next_key": end} | self._with_batch(batch)
+            try:
+                self.insert(keyed, "key", F.col("_features"))
+            finally:
+                self._noted = {}
+        return first, end
+
+    def _with_batch(self, batch: tuple[str, int] | None) -> dict:
+        return {} if batch is None else {"batches": self.meta.get("batches", {}) | {batch[0]: batch[1]}}
+
+    def ingest(
+        self, stream: DataFrame, key: str | None, features: Column, checkpoint: str, progress: Callable[[int], bool | None] | None = None,
+        order: list[Column] | None = None, name: str | None = None,
+    ):
         """Start a stream that adds each micro-batch as a generation of its own.
 
-        A batch that is given again after a failure adds only the keys that are not yet there, so each key is added once.
+        The commit records the stream's ``name`` (its checkpoint if none is given) and the batch's number, so that a batch that is given
+        again after a failure is recognised from the log alone.  Without ``key``, keys are dense, in ``order`` within a batch (``append``).
+        With one, keys that are there already are passed over, as are rows that repeat a key in a batch, but for one.
         ``progress`` gets the number of keys so far; False stops the stream after the batch that was committed."""
+        own = name or checkpoint
+
+        def add(batch: DataFrame, number: int) -> None:
+            if number <= self.meta.get("batches", {}).get(own, -1):
+                return
+            if key is None:
+                self.append(batch, features, order or [features], (own, number))
+            else:
+                self._noted = self._with_batch((own, number))
+                try:
+                    add_new(batch)
+                finally:
+                    self._noted = {}
+            if progress is not None and progress(len(self)) is False:
+                raise ProgressCancelledError(len(self))
 
-        def add(batch: DataFrame, _: int) -> None:
+        def add_new(batch: DataFrame) -> None:
             fresh = batch.dropDuplicates([key]).join(self.live_keys().withColumnRenamed("key", key), key, "left_anti")
             self.insert(fresh, key, features)
-            if progress is not None and progress(len(self)) is False:
-                raise ProgressCancelledError(len(self))
 
         return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
