@@ -319,11 +319,12 @@ oracle("index_search_topk", f"""WITH {_NAMES}, {banded(0.8, 32)},
 
 oracle("index_without_signatures", f"""WITH {_NAMES}, {banded(0.8, 32)}
     SELECT DISTINCT x.key AS query, y.key AS key FROM bd x JOIN bd y ON x.band = y.band AND x.bucket = y.bucket AND x.key % 50 = 0""")
-oracle("index_bucket_lookup", f"""WITH {_NAMES}, {banded(0.8, 32)}
+_URLS = signed("(SELECT page_id, " + folded("url") + " AS t FROM pages)", "page_id", chars("t", 3), 32, 1)
+oracle("index_bucket_lookup", f"""WITH {_URLS}, {banded(0.8, 32)}
     SELECT DISTINCT x.key AS query, y.key AS key FROM bd x JOIN bd y ON x.band = y.band AND x.bucket = y.bucket AND x.key % 100 = 0
     WHERE y.key % 7 <> 0 OR y.key % 21 = 0""")
-_LIVE_NAMES = signed("(SELECT p_partkey, " + folded("p_name") + " AS t FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 15 = 0)", "p_partkey", chars("t", 3), 32, 1)
-oracle("incremental_groups", f"""WITH RECURSIVE {_LIVE_NAMES}, {banded(0.8, 32)}, {PAIRS}, nd AS (SELECT key AS node FROM sig), {components('c', 'nd')} {DECIDED.format(key='p_partkey')}""")
+_LIVE_URLS = signed("(SELECT page_id, " + folded("url") + " AS t FROM pages WHERE page_id % 5 <> 0 OR page_id % 15 = 0)", "page_id", chars("t", 3), 32, 1)
+oracle("incremental_groups", f"""WITH RECURSIVE {_LIVE_URLS}, {banded(0.8, 32)}, {PAIRS}, nd AS (SELECT key AS node FROM sig), {components('c', 'nd')} {DECIDED.format(key='page_id')}""")
 _fold = f"list_reduce(list_prepend({FNV[0]}::UBIGINT, list_transform(bucket, lambda v: v::UBIGINT)), lambda h, v: {mul64('xor(h, v)', f'{FNV[1]}::UHUGEINT')})"
 oracle("band_hashes_published", f"""WITH {_NAMES}, {banded(0.8, 32)},
     b0 AS (SELECT key, band, xor({_fold}, 10::UBIGINT) AS h FROM bd), b1 AS (SELECT key, band, {mul64('xor(h, h >> 33)', f"'{FMIX64[0]}'::UHUGEINT")} AS h FROM b0),

@@ -550,32 +550,40 @@ def streaming_incremental_dedupe(spark, sf_dir):
     return graph.decisions(found, live, "key").withColumnRenamed("key", "doc_id")
 
 
+def _urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url")
+
+
+def _url3():
+    return fx.char_shingles(F.col("url"), 3)
+
+
 @query
 def index_bucket_lookup(spark, sf_dir):
-    """Every hundredth part asks an index of several generations, in which buckets are looked up where they lie."""
+    """Every hundredth page's address asks an index of several generations, in which buckets are looked up where they lie."""
     import uuid
 
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p = _urls(spark, sf_dir)
     index = StoredIndex.create(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Settings(num_perm=32, store_signatures=False), lookups=True)
-    index.insert(p.where("p_partkey % 3 <> 1"), "p_partkey", _name3())
-    index.insert(p.where("p_partkey % 3 = 1"), "p_partkey", _name3())
-    index.remove(p.where("p_partkey % 7 = 0"), "p_partkey")
-    index.insert(p.where("p_partkey % 21 = 0"), "p_partkey", _name3())
-    return index.search(p.where("p_partkey % 100 = 0"), "p_partkey", _name3())
+    index.insert(p.where("page_id % 3 <> 1"), "page_id", _url3())
+    index.insert(p.where("page_id % 3 = 1"), "page_id", _url3())
+    index.remove(p.where("page_id % 7 = 0"), "page_id")
+    index.insert(p.where("page_id % 21 = 0"), "page_id", _url3())
+    return index.search(p.where("page_id % 100 = 0"), "page_id", _url3())
 
 
 @query
 def incremental_groups(spark, sf_dir):
-    """Groups of parts by name that stay current over insertions, removals and a new insertion of what was removed."""
+    """Groups of pages by address that stay current over insertions, removals and a new insertion of what was removed."""
     import uuid
 
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p = _urls(spark, sf_dir)
     index = GroupedIndex.create(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Settings(num_perm=32))
     for i in range(2):
-        index.insert(p.where(f"p_partkey % 2 = {i}"), "p_partkey", _name3())
-    index.remove(p.where("p_partkey % 5 = 0"), "p_partkey")
-    index.insert(p.where("p_partkey % 15 = 0"), "p_partkey", _name3())
-    return index.decisions().withColumnRenamed("key", "p_partkey")
+        index.insert(p.where(f"page_id % 2 = {i}"), "page_id", _url3())
+    index.remove(p.where("page_id % 5 = 0"), "page_id")
+    index.insert(p.where("page_id % 15 = 0"), "page_id", _url3())
+    return index.decisions().withColumnRenamed("key", "page_id")
 
 
 # --- plans and reports -----------------------------------------------------------------------------------------------
