@@ -325,6 +325,10 @@ oracle("index_bucket_lookup", f"""WITH {_URLS}, {banded(0.8, 32)}
     WHERE y.key % 7 <> 0 OR y.key % 21 = 0""")
 _LIVE_URLS = signed("(SELECT page_id, " + folded("url") + " AS t FROM pages WHERE page_id % 5 <> 0 OR page_id % 15 = 0)", "page_id", chars("t", 3), 32, 1)
 oracle("incremental_groups", f"""WITH RECURSIVE {_LIVE_URLS}, {banded(0.8, 32)}, {PAIRS}, nd AS (SELECT key AS node FROM sig), {components('c', 'nd')} {DECIDED.format(key='page_id')}""")
+_BURST = signed("events", "event_id", "['user:' || CAST(user_id AS VARCHAR), 'type:' || event_type]", 32, 1)
+oracle("streaming_bucket_sessions", f"""WITH RECURSIVE {_BURST}, {banded(0.8, 32)},
+    near AS (SELECT key AS b, ts, lag(key) OVER w AS a, lag(ts) OVER w AS before FROM bd JOIN events ON event_id = key WINDOW w AS (PARTITION BY band, bucket ORDER BY ts, key)),
+    c AS (SELECT DISTINCT a, b FROM near WHERE ts - before <= INTERVAL 6 HOUR), nd AS (SELECT event_id AS node FROM events), {components('c', 'nd')} {DECIDED.format(key='event_id')}""")
 _fold = f"list_reduce(list_prepend({FNV[0]}::UBIGINT, list_transform(bucket, lambda v: v::UBIGINT)), lambda h, v: {mul64('xor(h, v)', f'{FNV[1]}::UHUGEINT')})"
 oracle("band_hashes_published", f"""WITH {_NAMES}, {banded(0.8, 32)},
     b0 AS (SELECT key, band, xor({_fold}, 10::UBIGINT) AS h FROM bd), b1 AS (SELECT key, band, {mul64('xor(h, h >> 33)', f"'{FMIX64[0]}'::UHUGEINT")} AS h FROM b0),

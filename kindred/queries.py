@@ -13,6 +13,7 @@ from .operators import dedupe, graph, lsh, minhash
 from .operators.dedupe import Deduplicator, Settings
 from .operators.tables import shared_dir, shared_table
 from .plans import planner
+from .streaming import meetings
 from .streaming.groups import GroupedIndex
 from .streaming.index import StoredIndex
 
@@ -550,6 +551,25 @@ def streaming_incremental_dedupe(spark, sf_dir):
     return graph.decisions(found, live, "key").withColumnRenamed("key", "doc_id")
 
 
+@query
+def streaming_bucket_sessions(spark, sf_dir):
+    """Events stream in by time, in two runs of one checkpoint; those of a user and kind are one burst while six hours don't pass between them."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/meet-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    half = e.agg(F.percentile_approx("ts", 0.5).alias("half"))
+    marked = e.join(F.broadcast(half))
+    kinds = F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.concat(F.lit("type:"), "event_type"))
+    for part in (marked.where("ts < half"), marked.where("ts >= half")):
+        part.drop("half").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+        found = meetings.links(stream, "event_id", "ts", kinds, 6 * 3600, "1 second", Settings(num_perm=32))
+        meetings.start(found, f"{base}/links", f"{base}/checkpoint").awaitTermination()
+    found = graph.components(meetings.read(spark, f"{base}/links"))
+    return graph.decisions(found, e.withColumnRenamed("event_id", "key"), "key").withColumnRenamed("key", "event_id")
+
+
 def _urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url")
 
