@@ -297,6 +297,13 @@ _bits = " + ".join(f"CASE WHEN b{i} >= 0 THEN {(1 << i) - (1 << 64) if i == 63 e
 _votes = ", ".join(f"sum(CASE WHEN (v >> {i}) & 1 = 1 THEN n ELSE -n END) AS b{i}" for i in range(64))
 oracle("simhash_tokens", f"""WITH w AS (SELECT user_id AS key, event_type AS token, count(*) AS n FROM events GROUP BY ALL), v AS (SELECT key, n, {le('sha256(token)', 8)} AS v FROM w),
     s AS (SELECT key, {_votes} FROM v GROUP BY key) SELECT key, CAST({_bits} AS BIGINT) AS simhash FROM s""")
+for _d in (3, 7):
+    oracle(f"hamming_links_{_d}", f"""WITH w AS (SELECT key, token, count(*) AS n FROM (SELECT doc_id AS key, unnest({words('text')}) AS token FROM documents) GROUP BY ALL),
+        v AS (SELECT key, n, {le('sha256(token)', 8)} AS v FROM w), s AS (SELECT key, {_votes} FROM v GROUP BY key),
+        h AS (SELECT doc_id, CAST({_bits} AS BIGINT) AS code FROM documents LEFT JOIN s ON key = doc_id),
+        k AS (SELECT code, min(doc_id) AS class_id FROM h WHERE code IS NOT NULL GROUP BY code),
+        l AS (SELECT x.code, count(*) AS n FROM k x JOIN k y ON x.code <> y.code AND bit_count(xor(x.code, y.code)) <= {_d} GROUP BY 1)
+        SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM h LEFT JOIN k USING (code) LEFT JOIN l USING (code)""")
 oracle("hamming_similarity_pairs", f"""WITH o AS ({ORACLES['simhash_tokens']})
     SELECT x.key AS a, y.key AS b, 1 - bit_count(xor(x.simhash, y.simhash)) / 64.0::DOUBLE AS similarity FROM o x JOIN o y ON y.key = x.key + 1""")
 _SETS = "(SELECT l_orderkey, list(DISTINCT CAST(l_partkey % 40 AS VARCHAR)) AS items FROM lineitem GROUP BY 1)"

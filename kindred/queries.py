@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import features as fx
 from .functions import hashing
-from .operators import dedupe, graph, lsh, minhash
+from .operators import dedupe, graph, hamming, lsh, minhash
 from .operators.dedupe import Deduplicator, Settings
 from .operators.tables import shared_dir, shared_table
 from .plans import planner
@@ -434,6 +434,26 @@ def simhash_tokens(spark, sf_dir):
     return dedupe.simhash(w)
 
 
+def _text_sketches(spark, sf_dir):
+    """``key, code``: SimHash of each document's words; null where it has none.  A word that repeats votes each time, and the votes of a
+    document are added up where its row lies, so that 64 sums leave a task for each."""
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("key"), "text")
+    voted = dedupe.simhash(d.select("key", F.explode(fx.words(F.col("text"))).alias("token"), F.lit(1).alias("n")))
+    return d.select("key").join(voted.withColumnRenamed("simhash", "code"), "key", "left")
+
+
+@query
+def hamming_links_3(spark, sf_dir):
+    """Documents whose sketches differ in at most 3 of 64 bits."""
+    return hamming.linked(shared_table(_text_sketches(spark, sf_dir), "sketches"), 3).withColumnRenamed("key", "doc_id")
+
+
+@query
+def hamming_links_7(spark, sf_dir):
+    """Documents whose sketches differ in at most 7 of 64 bits."""
+    return hamming.linked(shared_table(_text_sketches(spark, sf_dir), "sketches"), 7).withColumnRenamed("key", "doc_id")
+
+
 @query
 def integer_set_groups(spark, sf_dir):
     """Orders as sets of parts."""
