@@ -1,8 +1,9 @@
 """Links between 64-bit sketches that differ in few bits, by the pigeonhole principle on bits.
 
 A mask is a set of bits.  With d + 1 masks that share no bit, two sketches that differ in at most d bits agree under one of them, so
-pairs are looked for among sketches that agree under a mask.  Where more than a block of sketches do, the bits that the mask leaves are
-cut into d + 1 masks again, for the same reason; what is crowded even then is dealt out in blocks.
+pairs are looked for among sketches that agree under a mask.  Where many do, the bits that the mask leaves are cut into d + 1 masks
+again, for the same reason; what is crowded even then is dealt out in blocks.  A pair that agrees under several masks counts at the
+first one, which is told from the two sketches, so that pairs needn't be brought together to be made distinct.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
-from .skew import BLOCK, pairs_within, with_group
+from .skew import BLOCK, met_within, with_group
 from .tables import shared_table
 
 #: Times that the bits which are left are cut again in a crowded bucket, and the largest distance.
@@ -50,27 +51,42 @@ def close_codes(codes: DataFrame, d: int) -> DataFrame:
     the members of buckets, which random sketches fill evenly; sketches that agree in almost all bits are compared in blocks of BLOCK."""
     if not 0 <= d <= MOST_BITS:
         raise ConfigurationError(f"a distance must lie within 0 and {MOST_BITS}")
+    spark = codes.sparkSession
     own = shared_table(codes.where("code is not null").select("code").distinct(), "codes")
     out = own.select(F.col("code").alias("a"), F.col("code").alias("b")).where(F.lit(False))
-    masks = {_signed(p): p for p in parts(_EVERY, d)}
-    rows = own.select("code", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("mask"))
+    # Each cut's masks by number: two ways of cutting may lead to one mask, and a pair counts on one way alone.
+    first = parts(_EVERY, d)
+    cuts = [(held, [_signed(q) for q in first[:i]]) for i, held in enumerate(first)]
+    masks = F.array(*[F.struct(F.lit(n).alias("way"), F.lit(_signed(held)).cast("bigint").alias("mask")) for n, (held, _) in enumerate(cuts)])
+    rows = own.select("code", F.inline(masks))
     for cut in range(CUTS + 1):
-        rows = rows.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
-        sized = with_group(rows, ["mask", "value"], F.col("code"), {"n": F.count("*")}, {"size": F.sum("n")}).where("size > 1")
+        rows = rows.select("way", "code", F.col("code").bitwiseAND(F.col("mask")).alias("value"))
+        sized = with_group(rows, ["way", "value"], F.col("code"), {"n": F.count("*")}, {"size": F.sum("n")}).where("size > 1")
         sized = shared_table(sized, "sized")
-        crowded = sized.where(F.col("size") > BLOCK)
+        crowded = sized.where(F.col("size") > BLOCK * (d + 1))  # cutting makes d + 1 rows of one, dealing out one for each block
         last = cut == CUTS or crowded.isEmpty()
-        ready = sized if last else sized.where(F.col("size") <= BLOCK)
-        sizes = ready.select("mask", "value", "size").distinct()
-        # The filter goes below the distinct of pairs, to where they are joined.
-        out = out.unionAll(pairs_within(ready.drop("size"), ["mask", "value"], "code", sizes).where(distance("a", "b") <= d))
+        ready = sized if last else sized.where(F.col("size") <= BLOCK * (d + 1))
+        met = met_within(ready, ["way", "value"], "code").where(distance("a", "b") <= d)
+        # Earlier masks in columns; a way that has fewer is filled up with all bits, under which no two values agree.
+        width = d * (cut + 1)
+        earlier = [(n, *(before + [-1] * (width - len(before)))) for n, (_, before) in enumerate(cuts)]
+        known = spark.createDataFrame(earlier, ", ".join(["way int", *[f"e{i} bigint" for i in range(width)]]))
+        met = met.join(F.broadcast(known), "way")  # (d + 1) ** (cut + 1) rows
+        for i in range(width):
+            met = met.where(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.col(f"e{i}")) != 0)
+        out = out.unionAll(met.select("a", "b"))
         if last:
             break
-        finer = {m: {_signed(held + p): held + p for p in parts([i for i in _EVERY if i not in held], d)} for m, held in masks.items()}
-        named = F.create_map(*[x for m, under in finer.items() for x in (F.lit(m).cast("bigint"), F.array(*[F.lit(f).cast("bigint") for f in under]))])
-        rows = crowded.select("code", F.explode(F.element_at(named, F.col("mask"))).alias("mask"))
-        masks = {f: held for under in finer.values() for f, held in under.items()}
-    return out.distinct().select("a", "b", distance("a", "b").alias("distance"))
+        named, finer = [], []
+        for n, (held, before) in enumerate(cuts):
+            under = [held + p for p in parts([i for i in _EVERY if i not in held], d)]
+            for i, bits in enumerate(under):
+                named.append((n, len(finer), _signed(bits)))
+                finer.append((bits, before + [_signed(u) for u in under[:i]]))
+        masks = spark.createDataFrame(named, "way int, next int, mask bigint")
+        rows = crowded.select("code", "way").join(F.broadcast(masks), "way").select("code", F.col("next").alias("way"), "mask")
+        cuts = finer
+    return out.select("a", "b", distance("a", "b").alias("distance"))
 
 
 def linked(codes: DataFrame, d: int) -> DataFrame:

@@ -26,12 +26,11 @@ def with_group(df: DataFrame, keys: list[str], spread: Column, partial: dict[str
     return salted.join(back, on).drop("_salt", "_g_salt", *[f"_g_{k}" for k in keys])
 
 
-def pairs_within(rows: DataFrame, keys: list[str], member: str, sizes: DataFrame, apart: str | None = None) -> DataFrame:
-    """Distinct pairs ``a < b`` of members of one group; with ``apart`` only those that differ in that column.
+def met_within(found: DataFrame, keys: list[str], member: str, apart: str | None = None) -> DataFrame:
+    """``keys, a, b`` (a < b) of members of one group, once for each group that they share; rows have the ``size`` of theirs.
 
-    ``sizes`` has the keys and ``size`` of the groups to look at.  Members are dealt to blocks of about BLOCK, and every
-    two blocks of a group meet in a join key of their own, so a large group is spread over as many tasks as it needs."""
-    found = rows.join(sizes.select(*keys, "size"), keys)
+    Members are dealt to blocks of about BLOCK, and every two blocks of a group meet in a join key of their own, so a large group is
+    spread over as many tasks as it needs.  With ``apart`` only those that differ in that column."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = found.withColumn("_side", F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     columns = [*keys, F.least("_side", "_other").alias("_lo"), F.greatest("_side", "_other").alias("_hi"), "_side"]
@@ -42,4 +41,9 @@ def pairs_within(rows: DataFrame, keys: list[str], member: str, sizes: DataFrame
     # Within one block all pairs, between two blocks those of different sides; each pair is kept once, as a < b.
     left, right = left.withColumnRenamed("_side", "_sa"), right.withColumnRenamed("_side", "_sb")
     both = left.join(right, on).where("a < b AND (_lo = _hi OR _sa <> _sb)")
-    return (both.where("_ca <> _cb") if more else both).select("a", "b").distinct()
+    return (both.where("_ca <> _cb") if more else both).select(*keys, "a", "b")
+
+
+def pairs_within(rows: DataFrame, keys: list[str], member: str, sizes: DataFrame, apart: str | None = None) -> DataFrame:
+    """Distinct pairs ``a < b`` of members of one group; ``sizes`` has the keys and ``size`` of the groups to look at."""
+    return met_within(rows.join(sizes.select(*keys, "size"), keys), keys, member, apart).select("a", "b").distinct()
