@@ -332,6 +332,9 @@ oracle("index_bucket_lookup", f"""WITH {_URLS}, {banded(0.8, 32)}
     WHERE y.key % 7 <> 0 OR y.key % 21 = 0""")
 _LIVE_URLS = signed("(SELECT page_id, " + folded("url") + " AS t FROM pages WHERE page_id % 5 <> 0 OR page_id % 15 = 0)", "page_id", chars("t", 3), 32, 1)
 oracle("incremental_groups", f"""WITH RECURSIVE {_LIVE_URLS}, {banded(0.8, 32)}, {PAIRS}, nd AS (SELECT key AS node FROM sig), {components('c', 'nd')} {DECIDED.format(key='page_id')}""")
+_UPPER = "page_id > (SELECT max(page_id) // 2 FROM pages)"
+_MERGED = f"(SELECT page_id, {folded(f'CASE WHEN {_UPPER} AND page_id % 21 = 0 THEN reverse(url) ELSE url END')} AS t FROM pages WHERE NOT ({_UPPER}) OR page_id % 7 <> 0 OR page_id % 21 = 0)"
+oracle("merged_index", f"WITH {signed(_MERGED, 'page_id', chars('t', 3), 32, 1)} SELECT key, value AS first FROM s WHERE pos = 0")
 _BURST = signed("events", "event_id", "['user:' || CAST(user_id AS VARCHAR), 'type:' || event_type]", 32, 1)
 oracle("streaming_bucket_sessions", f"""WITH RECURSIVE {_BURST}, {banded(0.8, 32)},
     near AS (SELECT key AS b, ts, lag(key) OVER w AS a, lag(ts) OVER w AS before FROM bd JOIN events ON event_id = key WINDOW w AS (PARTITION BY band, bucket ORDER BY ts, key)),

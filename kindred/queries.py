@@ -626,6 +626,29 @@ def incremental_groups(spark, sf_dir):
     return index.decisions().withColumnRenamed("key", "page_id")
 
 
+#: Keys of a range in ``merged_index``: signatures of 32 values are small, and each range is one task's.
+_RANGE = 1 << 12
+
+
+@query
+def merged_index(spark, sf_dir):
+    """Pages by address, the lower half of ids first: merges after the upper half came, some of it was removed and some of that came
+    again with another address link the ranges of the lower half."""
+    import uuid
+
+    p = _urls(spark, sf_dir)
+    upper = F.col("page_id") > (p.agg(F.max("page_id")).first()[0] or 0) // 2
+    index = StoredIndex.create(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", Settings(num_perm=32))
+    index.insert(p.where(~upper), "page_id", _url3())
+    index.merge(_RANGE)
+    index.insert(p.where(upper), "page_id", _url3())
+    index.remove(p.where(upper & F.expr("page_id % 7 = 0")), "page_id")
+    index.merge(_RANGE)
+    index.insert(p.where(upper & F.expr("page_id % 21 = 0")).withColumn("url", F.reverse("url")), "page_id", _url3())
+    index.merge(_RANGE)
+    return index.live().select("key", F.element_at("signature", 1).alias("first"))
+
+
 # --- plans and reports -----------------------------------------------------------------------------------------------
 
 

@@ -16,10 +16,10 @@ from ..operators import lsh, minhash
 from ..operators.dedupe import Settings
 from ..operators.tables import scratch, shared_table
 from ..plans import planner
-from . import lookup
+from . import lookup, ranges
 from .storage import HadoopStorage, Storage
 
-#: Generations and share of removed keys beyond which a commit rewrites the index.
+#: Generations and share of removed keys beyond which a commit merges the generations.
 MOST_GENERATIONS, MOST_REMOVED = 32, 0.25
 
 ROWS = "key bigint, signature array<bigint>, buckets array<bigint>, removed boolean"
@@ -44,7 +44,8 @@ class StoredIndex:
     ``meta-<version>.json`` names the generations; it is written last and never changed, so a reader keeps its version and
     a commit that was interrupted is not seen.  Each generation holds rows ``key, signature, buckets, removed``; for a key the
     highest generation counts.  ``buckets`` are the band hashes, so that nothing is banded again; an index without signatures
-    has null signatures and can't score.  Compaction sorts rows by ranges of their keys.  Paths are reached through Spark's
+    has null signatures and can't score.  Merged rows lie in a folder for each range of keys, sorted, and a later merge writes the
+    ranges that changed and links the others (``ranges``).  Paths are reached through Spark's
     file systems only; of two writers of one version the file system's exclusive creation lets one win, so a store
     without that needs a single writer or a ``storage`` of its own (see ``storage.conformance``).
     """
@@ -92,13 +93,19 @@ class StoredIndex:
         self.storage.create(f"{self.path}/meta-{meta['version']}.json", json.dumps(meta, sort_keys=True))
         self.meta = meta
 
-    def _staged(self, rows: DataFrame) -> str:
-        """Write rows as a generation that no version names yet."""
+    def _staged(self, rows: DataFrame, layout: list[tuple[int, str | None]] | None = None) -> str:
+        """Write rows as a generation that no version names yet; with a layout, as those of its ranges that have no folder."""
         if self.read_only:
             raise StorageError("the index is open to read only")
         name = f"gen-{uuid.uuid4().hex}"
         try:
-            rows.select("key", "signature", "buckets", "removed").write.parquet(f"{self.path}/{name}")
+            rows = rows.select("key", "signature", "buckets", "removed")
+            if layout is None:
+                rows.write.parquet(f"{self.path}/{name}")
+            else:
+                ranges.write(rows, f"{self.path}/{name}", layout)
+                linked = ranges.linked(layout, name, set(self.storage.names(f"{self.path}/{name}")))
+                self.meta = self.meta | {"pieces": self.meta.get("pieces", {}) | {name: linked}}
             if "lookups" in self.meta:
                 here = self._generation(name).where("not removed")
                 files = lookup.file_count(here.count() * self.meta["bands"])
@@ -111,6 +118,8 @@ class StoredIndex:
 
     def _discard(self, name: str) -> None:
         self.storage.delete(f"{self.path}/{name}")
+        if name in self.meta.get("pieces", {}):
+            self.meta = self.meta | {"pieces": {k: p for k, p in self.meta["pieces"].items() if k != name}}
         if name.startswith("gen-"):
             self.storage.delete(f"{self.path}/man-{name[4:]}")
         if name.startswith("gen-") and "lookups" in self.meta:
@@ -120,7 +129,10 @@ class StoredIndex:
     def _commit(self, name: str, instead: bool = False) -> None:
         generations = [name] if instead else [*self.meta["generations"], name]
         held = {"lookups": {k: n for k, n in self.meta["lookups"].items() if k in generations}} if "lookups" in self.meta else {}
-        held["manifests"] = [m for m in self.meta.get("manifests", []) if m[4:] in {g[4:] for g in generations}]
+        if "pieces" in self.meta:
+            held["pieces"] = {k: p for k, p in self.meta["pieces"].items() if k in generations}
+        written = {f.split("/")[0][4:] for g in generations for f in [g, *self._folders(g)]}
+        held["manifests"] = [m for m in self.meta.get("manifests", []) if m[4:] in written]
         try:
             held["manifests"].append(self._manifest(name))
             self._publish(self.meta | {"version": self.meta["version"] + 1, "generations": generations} | held | self._noted)
@@ -136,8 +148,15 @@ class StoredIndex:
         folders = [f for f in folders if self.storage.exists(f"{self.path}/{f}")]
         if not folders:
             return self.spark.createDataFrame([], "file string, length bigint, crc bigint")
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([f"{self.path}/{f}" for f in folders])
-        return files.select(F.substring_index("path", "/", -2).alias("file"), "length", F.crc32("content").alias("crc"))
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True)
+        file = F.regexp_extract("path", "((gen|look)-[0-9a-f]{32}/.*)$", 1)
+        return files.load([f"{self.path}/{f}" for f in folders]).select(file.alias("file"), "length", F.crc32("content").alias("crc"))
+
+    def _in_use(self, files: DataFrame, name: str) -> DataFrame:
+        """Those of a generation's files (``file``) that this version reads: a merge may have replaced ranges, or the lookup."""
+        ranged = F.regexp_extract("file", "^(gen-[^/]*/range=[^/]*)/", 1)
+        used = (ranged == "") | ranged.isin([f for g in self.meta["generations"] for f in self._folders(g) if f.startswith(f"{name}/")])
+        return files.where(used if name in self.meta.get("lookups", {}) else used & ~F.startswith("file", F.lit("look-")))
 
     def _manifest(self, name: str) -> str:
         """Write what a generation's files must be, as a table that the commit names."""
@@ -152,8 +171,9 @@ class StoredIndex:
         self._check()
         out = self.spark.createDataFrame([], "file string, problem string")
         for manifest in self.meta.get("manifests", []):
-            want = self.spark.read.schema("file string, length bigint, crc bigint").parquet(f"{self.path}/{manifest}")
-            now = self._bytes_of(f"gen-{manifest[4:]}").select("file", F.col("length").alias("l"), F.col("crc").alias("c"))
+            name = f"gen-{manifest[4:]}"
+            want = self._in_use(self.spark.read.schema("file string, length bigint, crc bigint").parquet(f"{self.path}/{manifest}"), name)
+            now = self._in_use(self._bytes_of(name), name).select("file", F.col("length").alias("l"), F.col("crc").alias("c"))
             problem = F.when(F.col("c").isNull(), "lost").when(F.col("crc").isNull(), "unknown").when(F.col("l") != F.col("length"), "length").when(F.col("c") != F.col("crc"), "checksum")
             out = out.unionAll(want.join(now, "file", "full").select("file", problem.alias("problem")).where("problem is not null"))
         return out
@@ -164,8 +184,18 @@ class StoredIndex:
         if self._closed:
             raise ClosedIndexError("the index is closed")
 
+    def _folders(self, name: str) -> list[str]:
+        """Where a generation's rows lie: in its own folder, or in those of ranges, some of which earlier merges wrote."""
+        pieces = self.meta.get("pieces", {}).get(name)
+        return [name] if pieces is None else [folder for _, folder in pieces]
+
+    def _rows_in(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], ROWS)
+        return self.spark.read.schema(ROWS).parquet(*[f"{self.path}/{f}" for f in folders])
+
     def _generation(self, name: str) -> DataFrame:
-        return self.spark.read.schema(ROWS).parquet(f"{self.path}/{name}")
+        return self._rows_in(self._folders(name))
 
     def history(self) -> DataFrame:
         """``key, signature, buckets, removed, gen`` of all generations."""
@@ -303,16 +333,43 @@ class StoredIndex:
     def _tidy(self) -> StoredIndex:
         counts = self.history().select("removed").agg(F.count("*").alias("n"), F.count(F.when(F.col("removed"), 1)).alias("gone")).first()
         if len(self.meta["generations"]) > MOST_GENERATIONS or counts.gone > MOST_REMOVED * max(1, counts.n):
-            self.compact()
+            self.merge()
         return self
 
-    def compact(self) -> StoredIndex:
-        """Fold all generations into one without removed keys, sorted by ranges of keys so that a key's file is found by its statistics."""
-        self._commit(self._staged(self.live().withColumn("removed", F.lit(False)).repartitionByRange("key").sortWithinPartitions("key")), instead=True)
+    def compact(self, range_rows: int = ranges.RANGE_ROWS) -> StoredIndex:
+        """Fold all generations into one without removed keys, written anew in ranges of about ``range_rows`` keys, sorted by key."""
+        self._check()
+        layout = ranges.arrange(self.live_keys(), [], [0], range_rows)
+        self._commit(self._staged(self.live().withColumn("removed", F.lit(False)), layout), instead=True)
         return self
 
+    def merge(self, range_rows: int = ranges.RANGE_ROWS) -> int:
+        """Fold the later generations into the first; the number of ranges of keys that were read and written for it.
+
+        Only ranges in which a later generation has keys are read and written; the new version links the folders of the others,
+        so what is written follows the change where keys that change lie together (those given in order of arrival do; keys spread over
+        all ranges change all).  Older versions keep their folders until ``vacuum``.  A first generation that isn't in ranges is compacted.
+        Lookups are by bucket, not by key: an index that has them writes these (keys and buckets, no signatures) in full."""
+        self._check()
+        names = self.meta["generations"]
+        if not names or names[0] not in self.meta.get("pieces", {}):
+            self.compact(range_rows)
+            return len(self._folders(self.meta["generations"][0]))
+        if len(names) == 1:
+            return 0
+        pieces = [(low, folder) for low, folder in self.meta["pieces"][names[0]]]
+        with scratch():
+            later = self.history().where("gen > 0").groupBy("key").agg(F.max_by(F.struct("signature", "buckets", "removed"), "gen").alias("x"))
+            later = shared_table(later.select("key", "x.*"), "later")
+            touched = ranges.touched(later, pieces)
+            old = self._rows_in([pieces[i][1] for i in touched if pieces]).join(later.select("key"), "key", "left_anti")
+            now = old.unionByName(later.where("not removed"))
+            layout = ranges.arrange(now.select("key"), pieces, touched, range_rows)
+            self._commit(self._staged(now, layout), instead=True)
+        return sum(folder is None for _, folder in layout)
+
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete all but the newest versions, and the generations that none of those names; the number of generations deleted.
+        """Delete all but the newest versions, and the generations and ranges that none of those names; the number of generations deleted.
 
         Readers of a deleted version fail, and a batch that another writer has staged is lost to it."""
         self._check()
@@ -321,12 +378,19 @@ class StoredIndex:
         versions = self._versions(self.storage, self.path)
         kept = versions[-keep_versions:]
         metas = [self.open(self.spark, self.path, version=v, storage=self.storage).meta for v in kept]
-        named = {n for m in metas for n in [*m["generations"], *m.get("labels", []), *m.get("manifests", []), *(f"look-{x[4:]}" for x in m.get("lookups", {}))]}
+        linked = {folder for m in metas for pieces in m.get("pieces", {}).values() for _, folder in pieces}
+        holders = {f.split("/")[0] for f in linked}
+        manifests = {n for m in metas for n in m.get("manifests", [])}
+        named = holders | manifests | {n for m in metas for n in [*m["generations"], *m.get("labels", []), *(f"look-{x[4:]}" for x in m.get("lookups", {}))]}
         gone = [n for n in self.storage.names(self.path) if n.startswith(("gen-", "labels-", "look-", "man-")) and n not in named]
         for version in versions[:-keep_versions]:
             self._discard(f"meta-{version}.json")
         for name in gone:
             self.storage.delete(f"{self.path}/{name}")
+        for holder in holders:
+            for n in self.storage.names(f"{self.path}/{holder}"):
+                if n.startswith("range=") and f"{holder}/{n}" not in linked:
+                    self.storage.delete(f"{self.path}/{holder}/{n}")
         return sum(n.startswith("gen-") for n in gone)
 
     def expired(self, seconds: int, now: float | None = None) -> bool:
@@ -371,7 +435,7 @@ class StoredIndex:
 
     def stats(self) -> DataFrame:
         """The distribution of bucket sizes, with the version, generations, live keys and stored bytes."""
-        size = sum(self.storage.size(f"{self.path}/{n}") for n in self.meta["generations"])
+        size = sum(self.storage.size(f"{self.path}/{n}") for g in self.meta["generations"] for n in self._folders(g))
         return lsh.bucket_distribution(self.bands()).withColumns({
             "version": F.lit(self.meta["version"]), "generations": F.lit(len(self.meta["generations"])),
             "keys": F.lit(len(self)).cast("bigint"), "bytes": F.lit(size).cast("bigint"),
@@ -387,7 +451,9 @@ class StoredIndex:
         """``problem, n``: keys that repeat in a generation, removals of absent keys, signatures of a wrong length, buckets that
         aren't those of the signature, generations whose files are gone."""
         names = self.meta["generations"]
-        there = [n for n in names if self.storage.exists(f"{self.path}/{n}/_SUCCESS")]
+        held = {h: set(self.storage.names(f"{self.path}/{h}")) for h in {f.split("/")[0] for n in names for f in [n, *self._folders(n)]}}
+        whole = lambda folder: "_SUCCESS" in held[folder.split("/")[0]] and ("/" not in folder or folder.split("/")[1] in held[folder.split("/")[0]])
+        there = [n for n in names if all(whole(f) for f in [n, *self._folders(n)])]
         if len(there) < len(names):
             return self.spark.createDataFrame([("missing_generations", len(names) - len(there))], "problem string, n bigint")
         rows = self.history()
