@@ -424,14 +424,24 @@ class StoredIndex:
         if scores and not self.stores_signatures:
             raise ConfigurationError("the index does not store signatures, so it can't score")
         m = self.meta
-        signed = shared_table(signed.withColumn("buckets", lsh.band_hashes(m["bands"], m["rows"])), "queries")
-        found = self._members(lsh.stored_bands(signed, key).withColumnRenamed("key", "query")).distinct()
+        signed = shared_table(signed.select(F.col(key).alias("key"), "signature", lsh.band_hashes(m["bands"], m["rows"]).alias("buckets")), "queries")
+        if not scores and "lookups" in m:
+            return self._members(lsh.stored_bands(signed, "key").withColumnRenamed("key", "query")).distinct()
+        by = "signature" if scores else "buckets"
+        own, asked = (shared_table(lsh.alike(lsh.marked(rows, by), "mark"), "alike") for rows in (self.live(), signed))
+        heads, asking = own.where("key = head"), asked.where("key = head")
+        if "lookups" in m:
+            met = self._members(lsh.stored_bands(asking, "key").withColumnRenamed("key", "query"))
+            found = met.join(heads.select("key"), "key", "left_semi").distinct()
+        else:
+            found = lsh.query(lsh.stored_bands(heads, "key"), lsh.stored_bands(asking, "key"))
         if not scores:
-            return found
-        scored = lsh.score(found, "query", "key", signed, key, self.live(), "key")
+            return lsh.expand_found(found, asked, own)
+        # Heads of classes of equal signatures are scored: their members have the same similarity.
+        scored = lsh.score(found, "query", "key", asking, "key", heads, "key")
         if min_similarity is not None:
             scored = lsh.at_least(scored, min_similarity)
-        return scored if top_k is None else lsh.top(scored, top_k)
+        return lsh.expand_found(scored, asked, own) if top_k is None else lsh.top_of_classes(scored, asked, own, top_k)
 
     def stats(self) -> DataFrame:
         """The distribution of bucket sizes, with the version, generations, live keys and stored bytes."""
