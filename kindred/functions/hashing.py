@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterable
 from functools import lru_cache
+from hashlib import sha1
 
 import numpy as np
 from pyspark.sql import Column
@@ -103,31 +104,61 @@ def candidate_probability(similarity: Column, bands: int, rows: int) -> Column:
 # --- kernels ---------------------------------------------------------------------------------------------------------
 
 
-def hashes(features: list[bytes], width: int) -> np.ndarray:
+def hashes(features: list[bytes] | Iterable[bytes], width: int) -> np.ndarray:
     """Finalised feature hashes."""
     size, kind = width // 8, np.uint32 if width == 32 else np.uint64
-    h = np.frombuffer(b"".join([hashlib.sha1(f).digest()[:size] for f in features]), f"<u{size}").astype(kind)
+    digests = np.frombuffer(b"".join([sha1(f).digest() for f in features]), np.uint8).reshape(-1, 20)
+    h = np.ascontiguousarray(digests[:, :size]).view(f"<u{size}").ravel().astype(kind)
     with np.errstate(over="ignore"):
         for shift, factor in zip((16, 13) if width == 32 else (33, 33), FMIX32 if width == 32 else FMIX64, strict=True):
             h = (h ^ (h >> kind(shift))) * kind(factor)
         return h ^ (h >> kind(16 if width == 32 else 33))
 
 
+#: Features of a set from which on it is signed by itself, all permutations at once, and how many of them at a time.
+LONG, PIECE = 48, 1 << 9
+
+
 def signatures(features: list[bytes], lengths: np.ndarray, num_perm: int, seed: int, width: int) -> np.ndarray:
     """Signatures of consecutive feature sets, one row each; an empty set has all ones."""
     kind = np.uint32 if width == 32 else np.uint64
     a, b = (np.array(x, kind) for x in permutations(num_perm, seed, width))
     out = np.full((len(lengths), num_perm), M32 if width == 32 else M64, kind)
     h = hashes(features, width)
-    filled = np.flatnonzero(lengths > 0)
-    starts = (np.cumsum(lengths) - lengths)[filled]
-    if len(filled):
-        with np.errstate(over="ignore"):
+    every = np.cumsum(lengths) - lengths
+    room, a1, b1 = np.empty(num_perm * PIECE, kind), a[:, None], b[:, None]
+    with np.errstate(over="ignore"):
+        for r in np.flatnonzero(lengths >= LONG):
+            end = every[r] + lengths[r]
+            for start in range(every[r], end, PIECE):
+                n = min(PIECE, end - start)
+                part = room[: num_perm * n].reshape(num_perm, n)
+                np.multiply(h[start : start + n], a1, out=part)
+                np.add(part, b1, out=part)
+                np.minimum(out[r], part.min(axis=1), out=out[r])
+        # Short sets lie together, so that one pass for each permutation signs them all.
+        filled = np.flatnonzero((lengths > 0) & (lengths < LONG))
+        if len(filled):
+            if len(filled) < np.count_nonzero(lengths):
+                h = h[np.repeat(lengths < LONG, lengths)]
+            starts = np.cumsum(lengths[filled]) - lengths[filled]
             for i in range(num_perm):
                 out[filled, i] = np.minimum.reduceat(h * a[i] + b[i], starts)
     return out
 
 
+def band_hashes(values: np.ndarray) -> np.ndarray:
+    """``band_hash`` of each row of a matrix of unsigned 64-bit values."""
+    h = np.full(len(values), FNV_BASIS, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(values.shape[1]):
+            h = (h ^ values[:, i]) * np.uint64(FNV_PRIME)
+        h ^= np.uint64(values.shape[1])
+        for factor in FMIX64:
+            h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+        return h ^ (h >> np.uint64(33))
+
+
 def band_hash(values: list[int]) -> int:
     """The published 64-bit hash of a signature's band."""
     h = FNV_BASIS
