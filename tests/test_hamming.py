@@ -74,3 +74,18 @@ def test_no_plan_joins_all_with_all(spark):
     codes = table(spark, list(enumerate(sketches(random.Random(1), 50))))
     plan = hamming.linked(codes, 3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("codes_of_a_block", [37, 1 << 14])
+def test_links_within_many_bits_are_counted_without_pairs(spark, monkeypatch, codes_of_a_block):
+    monkeypatch.setattr(hamming, "CODES", codes_of_a_block)
+    rng = random.Random(5)
+    codes = [*sketches(rng, 150), *(signed(rng.getrandbits(9) << 55) for _ in range(150)), 0, -1]
+    rows = list(enumerate(codes)) + [(9000, codes[0]), (9001, None)]
+    links = {}
+    for a, b, _ in by_the_book(codes, 7):
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    found = hamming.linked(table(spark, rows), 7)
+    first = {c: min(k for k, x in rows if x == c) for c in codes}
+    got = {r.key: (r.class_id, r.n_links) for r in found.collect()}
+    assert got == {k: (None, 0) if c is None else (first[c], links.get(c, 0)) for k, c in rows}
