@@ -108,23 +108,115 @@ def hashes(features: list[bytes] | Iterable[bytes], width: int) -> np.ndarray:
     """Finalised feature hashes."""
     size, kind = width // 8, np.uint32 if width == 32 else np.uint64
     digests = np.frombuffer(b"".join([sha1(f).digest() for f in features]), np.uint8).reshape(-1, 20)
-    h = np.ascontiguousarray(digests[:, :size]).view(f"<u{size}").ravel().astype(kind)
+    return _finalised(np.ascontiguousarray(digests[:, :size]).view(f"<u{size}").ravel().astype(kind), width)
+
+
+def _finalised(h: np.ndarray, width: int) -> np.ndarray:
+    kind = h.dtype.type
     with np.errstate(over="ignore"):
         for shift, factor in zip((16, 13) if width == 32 else (33, 33), FMIX32 if width == 32 else FMIX64, strict=True):
             h = (h ^ (h >> kind(shift))) * kind(factor)
         return h ^ (h >> kind(16 if width == 32 else 33))
 
 
+#: Messages that are hashed at a time, whose arrays then stay in a core's cache, and bytes of the longest of them: what one block of SHA-1 holds.
+LANES, BLOCK_BYTES = 1 << 13, 55
+
+_K = (0x5A827999, 0x6ED9EBA1, 0x8F1BBCDC, 0xCA62C1D6)
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476, 0xC3D2E1F0)
+
+#: For each length, the bytes of a block that belong to a message, and what follows it there: a bit, and the length at the end.
+_KEPT = np.zeros((BLOCK_BYTES + 1, 64), np.uint8)
+_AFTER = np.zeros((BLOCK_BYTES + 1, 64), np.uint8)
+for _n in range(BLOCK_BYTES + 1):
+    _KEPT[_n, :_n], _AFTER[_n, _n] = 255, 128
+    _AFTER[_n, 62], _AFTER[_n, 63] = divmod(8 * _n, 256)
+_KEPT, _AFTER = _KEPT.view(np.uint64), _AFTER.view(np.uint64)
+
+
+def _one_block(w: np.ndarray, words: int) -> list[np.ndarray]:
+    """The first words of the SHA-1 digests of messages of one block; ``w`` (16 rows of 32-bit words, a column each) is overwritten.
+
+    Every step is one for all messages, so none of them costs an object of Python's."""
+    n = w.shape[1]
+    state = [np.full(n, x, np.uint32) for x in _START]
+    spare, f, g = np.empty(n, np.uint32), np.empty(n, np.uint32), np.empty(n, np.uint32)
+    u = {i: np.array(i, np.uint32) for i in (1, 2, 5, 27, 30, 31)}
+    keys = [np.array(k, np.uint32) for k in _K]
+    for t in range(80):
+        a, b, c, d, e = state
+        own = w[t % 16]
+        if t >= 16:
+            np.bitwise_xor(own, w[(t - 3) % 16], out=own)
+            np.bitwise_xor(own, w[(t - 8) % 16], out=own)
+            np.bitwise_xor(own, w[(t - 14) % 16], out=own)
+            np.right_shift(own, u[31], out=g)
+            np.left_shift(own, u[1], out=own)
+            np.bitwise_or(own, g, out=own)
+        if t < 20:
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif 40 <= t < 60:
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_and(c, d, out=g)
+            np.bitwise_xor(f, g, out=f)
+        else:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        np.add(e, own, out=e)
+        np.add(e, f, out=e)
+        np.add(e, keys[t // 20], out=e)
+        np.left_shift(a, u[5], out=f)
+        np.right_shift(a, u[27], out=g)
+        np.bitwise_or(f, g, out=f)
+        np.add(e, f, out=e)
+        np.right_shift(b, u[2], out=g)
+        np.left_shift(b, u[30], out=spare)
+        np.bitwise_or(spare, g, out=spare)
+        state, spare = [e, a, spare, c, d], b
+    return [state[i] + np.uint32(_START[i]) for i in range(words)]
+
+
+def cut_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """``hashes`` of the pieces of ``data`` (bytes, and 64 more at the end that no piece has)."""
+    size, kind = width // 8, np.uint32 if width == 32 else np.uint64
+    out = np.empty(len(starts), kind)
+    if not len(starts):
+        return out
+    views = np.lib.stride_tricks.sliding_window_view(data, 64)
+    short = np.flatnonzero(lengths <= BLOCK_BYTES)
+    for at in range(0, len(short), LANES):
+        part = short[at : at + LANES]
+        n = lengths[part]
+        block = views[starts[part]].view(np.uint64)
+        block &= _KEPT[n]
+        block |= _AFTER[n]
+        found = _one_block(np.ascontiguousarray(block.view(">u4").T.astype(np.uint32)), size // 4)
+        found = [x.byteswap() for x in found]
+        out[part] = found[0] if width == 32 else found[0].astype(np.uint64) | (found[1].astype(np.uint64) << np.uint64(32))
+    long = np.flatnonzero(lengths > BLOCK_BYTES)
+    if len(long):
+        digests = [sha1(data[s : s + n]).digest()[:size] for s, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(digests), f"<u{size}")
+    return _finalised(out, width)
+
+
 #: Features of a set from which on it is signed by itself, all permutations at once, and how many of them at a time.
 LONG, PIECE = 48, 1 << 9
 
 
 def signatures(features: list[bytes], lengths: np.ndarray, num_perm: int, seed: int, width: int) -> np.ndarray:
     """Signatures of consecutive feature sets, one row each; an empty set has all ones."""
+    return minima(hashes(features, width), lengths, num_perm, seed, width)
+
+
+def minima(h: np.ndarray, lengths: np.ndarray, num_perm: int, seed: int, width: int) -> np.ndarray:
+    """The same from the features' hashes."""
     kind = np.uint32 if width == 32 else np.uint64
     a, b = (np.array(x, kind) for x in permutations(num_perm, seed, width))
     out = np.full((len(lengths), num_perm), M32 if width == 32 else M64, kind)
-    h = hashes(features, width)
     every = np.cumsum(lengths) - lengths
     room, a1, b1 = np.empty(num_perm * PIECE, kind), a[:, None], b[:, None]
     with np.errstate(over="ignore"):

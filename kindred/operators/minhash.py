@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import CompatibilityError, ConfigurationError
 from ..functions import hashing
+from ..functions.features import WordShingles, cut_shingles
 
 #: Features that a task signs at a time, which bounds its arrays.
 STEP = 1 << 17
@@ -35,12 +36,20 @@ def _bytes(strings: pa.Array) -> list[bytes]:
     return [whole[x - base : y - base] for x, y in zip(ends, ends[1:], strict=False)]
 
 
-def sign(df: DataFrame, key: str, features: Column, num_perm: int = 128, seed: int = 1, width: int = 32) -> DataFrame:
+#: Bytes of texts whose shingles a task cuts and signs at a time; a longer one by itself.
+TEXT_STEP = 1 << 20
+
+
+def sign(df: DataFrame, key: str, features: Column | WordShingles, num_perm: int = 128, seed: int = 1, width: int = 32) -> DataFrame:
     """``key, signature`` for each row; null or empty features give the empty signature, all ones.
 
     64-bit values are bit-cast to BIGINT.  Runs where the rows lie, in bounded steps, without a shuffle.
     """
     _check(num_perm, width)
+    kind = df.schema[key].dataType.simpleString()
+    if isinstance(features, WordShingles):
+        texts = df.select(F.col(key).alias("key"), features.plain.alias("text"))
+        return texts.mapInArrow(_of_texts(features.size, num_perm, seed, width), f"key {kind}, signature array<bigint>").withColumnRenamed("key", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,15 +60,36 @@ def sign(df: DataFrame, key: str, features: Column, num_perm: int = 128, seed: i
                 base = ends[start - 1] if start else 0
                 end = max(start + 1, int(np.searchsorted(ends, base + STEP, "right")))
                 flat = _bytes(pc.list_flatten(lists.slice(start, end - start)))
-                values = hashing.signatures(flat, counts[start:end], num_perm, seed, width).astype(np.int64 if width == 32 else np.uint64).view(np.int64)
-                rows = pa.ListArray.from_arrays(pa.array(np.arange(end - start + 1, dtype=np.int32) * num_perm), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, end - start), rows], ["key", "signature"])
+                yield _signed(batch.column("key").slice(start, end - start), hashing.signatures(flat, counts[start:end], num_perm, seed, width))
                 start = end
 
-    kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), features.alias("features")).mapInArrow(run, f"key {kind}, signature array<bigint>").withColumnRenamed("key", key)
 
 
+def _signed(keys: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+    n, num_perm = values.shape
+    wide = values.astype(np.int64 if values.dtype == np.uint32 else np.uint64).view(np.int64)
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * num_perm), pa.array(wide.ravel()))
+    return pa.RecordBatch.from_arrays([keys, rows], ["key", "signature"])
+
+
+def _of_texts(size: int, num_perm: int, seed: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "").cast(pa.large_binary())
+            _, offsets, data = texts.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+            whole, start = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), 0
+            while start < len(texts):
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + TEXT_STEP, "right")) - 1)
+                packed, at, lengths, counts = cut_shingles(whole[ends[start] : ends[end]], ends[start + 1 : end + 1] - ends[start], size)
+                h = hashing.cut_hashes(packed, at, lengths, width)
+                yield _signed(batch.column("key").slice(start, end - start), hashing.minima(h, counts, num_perm, seed, width))
+                start = end
+
+    return run
+
+
 def sign_native(df: DataFrame, key: str, features: Column, num_perm: int = 128, seed: int = 1) -> DataFrame:
     """The 32-bit signatures as a plain aggregation, one minimum per permutation, with map-side combination."""
     _check(num_perm, 32)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ClosedIndexError, CompatibilityError, ConfigurationError, DuplicateKeyError, ProgressCancelledError, StorageError
+from ..functions.features import WordShingles
 from ..operators import lsh, minhash
 from ..operators.dedupe import Settings
 from ..operators.tables import scratch, shared_table
@@ -262,7 +263,7 @@ class StoredIndex:
         m = self.meta
         return m["num_perm"], m["seed"], m["width"]
 
-    def insert(self, records: DataFrame, key: str, features: Column) -> StoredIndex:
+    def insert(self, records: DataFrame, key: str, features: Column | WordShingles) -> StoredIndex:
         """Add a batch: all of it, or none if a key repeats or is in the index."""
         self._check()
         return self.insert_signatures(minhash.sign(records, key, features, *self._law).withColumnRenamed(key, "key"), self._law)
@@ -536,7 +537,7 @@ class StoredIndex:
         return {} if batch is None else {"batches": self.meta.get("batches", {}) | {batch[0]: batch[1]}}
 
     def ingest(
-        self, stream: DataFrame, key: str | None, features: Column, checkpoint: str, progress: Callable[[int], bool | None] | None = None,
+        self, stream: DataFrame, key: str | None, features: Column | WordShingles, checkpoint: str, progress: Callable[[int], bool | None] | None = None,
         order: list[Column] | None = None, name: str | None = None,
     ):
         """Start a stream that adds each micro-batch as a generation of its own.
@@ -551,7 +552,8 @@ class StoredIndex:
             if number <= self.meta.get("batches", {}).get(own, -1):
                 return
             if key is None:
-                self.append(batch, features, order or [features], (own, number))
+                made = features.column if isinstance(features, WordShingles) else features
+                self.append(batch, made, order or [made], (own, number))
             else:
                 self._noted = self._with_batch((own, number))
                 try:
