@@ -564,7 +564,9 @@ class StoredIndex:
                 raise ProgressCancelledError(len(self))
 
         def add_new(batch: DataFrame) -> None:
-            fresh = batch.dropDuplicates([key]).join(self.live_keys().withColumnRenamed("key", key), key, "left_anti")
-            self.insert(fresh, key, features)
+            # Signed where they lie: signatures are exchanged, not records.
+            self._check()
+            signed = minhash.sign(batch, key, features, *self._law).withColumnRenamed(key, "key")
+            self.insert_signatures(signed.dropDuplicates(["key"]).join(self.live_keys(), "key", "left_anti"), self._law)
 
         return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
