@@ -7,6 +7,7 @@ less, pairs that share fewer in these prefixes are out.  This holds whatever the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lsh import alike
-from .skew import BLOCK
+from .skew import BLOCK, blocks_of
 from .tables import free_shuffles, shared_table
 
 #: Rows of the sample that tells frequent features, for the order alone, and how many features are told.
@@ -28,6 +29,12 @@ MANY = 6
 #: Pairs that a task brings together to count them.
 PAIRS = 1 << 22
 
+#: Features that one side of a cell holds, and pairs for each feature that a cell counts, on average.
+CELL_FEATURES, CELL_PAIRS = 1 << 22, 1 << 26
+
+#: Rows of pairs that a task hands on at a time.
+ROWS = 1 << 18
+
 #: Room for rounding where a size is compared with a share of another.
 SLACK = 1e-9
 
@@ -156,3 +163,95 @@ def prefix_pairs(found: DataFrame, least: float, rows: int) -> DataFrame:
 
     met = small.unionAll(large).repartition("anchor", "lo", "hi").sortWithinPartitions("anchor").select("x", "y").mapInArrow(run, f"a {kind}, b {kind}, n bigint, needed bigint")
     return met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("needed").alias("needed")).where("n >= needed").select("a", "b")
+
+
+def _cell(least: float, x: pa.Table, y: pa.Table | None) -> Iterator[pa.Table]:
+    """``a, b, jaccard`` (a < b) of the members of any row of x and any of y whose sets, of ``n`` features and ``f`` that others have, reach
+    ``least``; without y those of x among each other, a row's own members being equal.  Pairs are counted PAIRS at a time."""
+    sides = [t.combine_chunks() for t in ((x,) if y is None else (x, y))]
+    lists = [pa.concat_arrays([c.chunk(i) for i in range(c.num_chunks)]) if c.num_chunks else pa.array([], c.type) for t in sides for c in (t.column("f"), t.column("members"))]
+    sizes = [pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists]
+    f, row = [pc.list_flatten(c).to_numpy(zero_copy_only=False) for c in lists[::2]], [np.repeat(np.arange(len(n)), n) for n in sizes[::2]]
+    n = [t.column("n").to_numpy().astype(np.int64) for t in sides]
+    keys = pa.concat_arrays([pc.list_flatten(c) for c in lists[1::2]])
+    rank = np.empty(len(keys), np.int64)
+    rank[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+    held, starts = sizes[1::2], [np.cumsum(m) - m for m in sizes[1::2]]
+    if y is not None:
+        starts[1] = starts[1] + held[0].sum()
+
+    def rows(u: np.ndarray, v: np.ndarray, j: np.ndarray, within: bool) -> Iterator[pa.Table]:
+        each = held[0][u] * held[-1][v]
+        upto = np.cumsum(each)
+        at = 0
+        while at < len(u):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] - each[at] + ROWS, "right")))
+            k = np.repeat(np.arange(at, end), each[at:end])
+            place = np.arange(len(k)) - np.repeat(upto[at:end] - each[at:end] - (upto[at] - each[at]), each[at:end])
+            p, q = starts[0][u[k]] + place // held[-1][v[k]], starts[-1][v[k]] + place % held[-1][v[k]]
+            if within:
+                k, p, q = (z[rank[p] < rank[q]] for z in (k, p, q))
+            less = rank[p] < rank[q]
+            yield pa.table({"a": keys.take(pa.array(np.where(less, p, q))), "b": keys.take(pa.array(np.where(less, q, p))), "jaccard": pa.array(j[k])})
+            at = end
+
+    if y is None and least <= 1:
+        several = np.flatnonzero(held[0] > 1)
+        yield from rows(several, several, np.ones(len(several)), True)
+    order = np.argsort(f[-1], kind="stable")
+    other, of = f[-1][order], row[-1][order]
+    lo = np.searchsorted(other, f[0], "left")
+    times = np.searchsorted(other, f[0], "right") - lo
+    upto = np.append(0, np.cumsum(np.bincount(row[0], times, len(n[0])).astype(np.int64)))
+    ends = np.append(0, np.cumsum(sizes[0]))
+    at = 0
+    while at < len(n[0]):
+        # A row has no more pairs than the other side has features, so one alone has room.
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+        part = slice(ends[at], ends[end])
+        many = times[part]
+        v = of[np.repeat(lo[part] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        u = np.repeat(row[0][part], many)
+        if y is None:
+            u, v = u[u < v], v[u < v]
+        each, both = np.unique((u - at) * len(n[-1]) + v, return_counts=True)
+        u, v = each // len(n[-1]) + at, each % len(n[-1])
+        j = both / (n[0][u] + n[-1][v] - both)
+        yield from rows(u[j >= least], v[j >= least], j[j >= least], False)
+        at = end
+
+
+def counted_pairs(found: DataFrame, least: float) -> DataFrame:
+    """``a, b, jaccard`` (a < b) of all keys of ``sets`` (written, for they are read several times) that share a feature and reach ``least`` > 0.
+
+    Where a few shared features suffice, prefixes are whole sets and almost all pairs that share any are looked at.  So pairs are never
+    written nor exchanged: rows are dealt to groups, every two groups meet in a cell of their own, and a cell counts what its rows share and
+    lists their pairs as they are found.  A row goes to as many cells as there are groups; there are as many as the square root of the pairs
+    asks for, so what is exchanged grows as the rows and that root do.  Rows are classes of equal sets with up to BLOCK members, and only
+    their features that others have travel."""
+    kind = found.schema["key"].dataType.simpleString()
+    lists = blocks_of(classes(found)).join(found.select(F.col("key").alias("head"), F.size("h").alias("n"), "h"), "head")
+    lists = shared_table(lists.select(F.array_min("members").alias("row"), "members", "n", "h"), "lists")
+    each = lists.select("row", F.size("members").alias("m"), F.explode("h").alias("f"))
+    several = shared_table(each.groupBy("f").agg(F.sum("m").alias("m"), F.count("*").alias("n")).where("m > 1").select("f", "n"), "several")
+    features, pairs = several.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("double(n) * (n - 1) / 2")), F.lit(0.0))).first()
+    groups = max(1, -(-features // CELL_FEATURES), math.ceil(math.sqrt(2 * pairs / CELL_PAIRS)))
+    own = each.select("row", "f").join(several.select("f"), "f", "left_semi").groupBy("row").agg(F.collect_list("f").alias("f"))
+    group = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group")
+    rows = shared_table(own.join(lists.select("row", "members", "n"), "row").select(group, "members", "n", "f"), "rows")
+    free_shuffles(found.sparkSession)
+    meeting = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other")
+    dealt = rows.select("group", "members", "n", "f", meeting).withColumn("cell", F.least("group", "other") * groups + F.greatest("group", "other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if table.num_rows:
+            cell = table.column("cell")[0].as_py()
+            lo, hi = cell // groups, cell % groups
+            x, y = (table.filter(pc.equal(table.column("group"), g)).select(["members", "n", "f"]) for g in (lo, hi))
+            for out in _cell(least, x, None if lo == hi else y):
+                yield from out.to_batches()
+
+    # A number of tasks that is given stays as it is: a cell's bytes don't tell its work.
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups * (groups + 1) // 2)
+    return dealt.drop("other").repartition(tasks, "cell").groupBy("cell").applyInArrow(run, f"a {kind}, b {kind}, jaccard double")
