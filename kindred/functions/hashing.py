@@ -120,11 +120,15 @@ def _finalised(h: np.ndarray, width: int) -> np.ndarray:
 
 
 #: Messages that are hashed at a time, whose arrays then stay in a core's cache, and bytes of the longest of them: what one block of SHA-1 holds.
-LANES, BLOCK_BYTES = 1 << 13, 55
+LANES, BLOCK_BYTES = 1 << 14, 55
 
 _K = (0x5A827999, 0x6ED9EBA1, 0x8F1BBCDC, 0xCA62C1D6)
+_KEYS = np.repeat(np.array(_K, np.uint32), 20)[:, None]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476, 0xC3D2E1F0)
 
+#: Rows of the schedule from which on others can be made at once: none needs another of them, and their sources lie together.
+_TOGETHER = {0: 3, 3: 3, 6: 2, 8: 3, 11: 3, 14: 2}
+
 #: For each length, the bytes of a block that belong to a message, and what follows it there: a bit, and the length at the end.
 _KEPT = np.zeros((BLOCK_BYTES + 1, 64), np.uint8)
 _AFTER = np.zeros((BLOCK_BYTES + 1, 64), np.uint8)
@@ -141,18 +145,21 @@ def _one_block(w: np.ndarray, words: int) -> list[np.ndarray]:
     n = w.shape[1]
     state = [np.full(n, x, np.uint32) for x in _START]
     spare, f, g = np.empty(n, np.uint32), np.empty(n, np.uint32), np.empty(n, np.uint32)
+    turned, keyed = np.empty((3, n), np.uint32), np.empty((3, n), np.uint32)
     u = {i: np.array(i, np.uint32) for i in (1, 2, 5, 27, 30, 31)}
-    keys = [np.array(k, np.uint32) for k in _K]
     for t in range(80):
         a, b, c, d, e = state
-        own = w[t % 16]
-        if t >= 16:
-            np.bitwise_xor(own, w[(t - 3) % 16], out=own)
-            np.bitwise_xor(own, w[(t - 8) % 16], out=own)
-            np.bitwise_xor(own, w[(t - 14) % 16], out=own)
-            np.right_shift(own, u[31], out=g)
-            np.left_shift(own, u[1], out=own)
-            np.bitwise_or(own, g, out=own)
+        if t % 16 in _TOGETHER:
+            first, rows = t % 16, _TOGETHER[t % 16]
+            own = w[first : first + rows]
+            if t >= 16:
+                for back in (14, 8, 3):  # of 14 back some are among these, so they come first
+                    other = (t - back) % 16
+                    np.bitwise_xor(own, w[other : other + rows], out=own)
+                np.right_shift(own, u[31], out=turned[:rows])
+                np.left_shift(own, u[1], out=own)
+                np.bitwise_or(own, turned[:rows], out=own)
+            np.add(own, _KEYS[t : t + rows], out=keyed[:rows])
         if t < 20:
             np.bitwise_xor(c, d, out=f)
             np.bitwise_and(f, b, out=f)
@@ -165,9 +172,8 @@ def _one_block(w: np.ndarray, words: int) -> list[np.ndarray]:
         else:
             np.bitwise_xor(b, c, out=f)
             np.bitwise_xor(f, d, out=f)
-        np.add(e, own, out=e)
+        np.add(e, keyed[t % 16 - first], out=e)
         np.add(e, f, out=e)
-        np.add(e, keys[t // 20], out=e)
         np.left_shift(a, u[5], out=f)
         np.right_shift(a, u[27], out=g)
         np.bitwise_or(f, g, out=f)
